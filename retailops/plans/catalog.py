@@ -117,3 +117,64 @@ def q_branch_pairs(spark, sf_dir):
 def q_combo_summary(spark, sf_dir):
     b = Bindings(spark, sf_dir)
     return bsk.combo_summary(two_item(b), three_item(b), per_branch_pairs(b))
+
+
+# ------------------------------------------------------------ demand
+from ..operators import demand as dem  # noqa: E402
+
+
+def features_of(b: Bindings) -> DataFrame:
+    return dem.monthly_features(b.monthly_sales())
+
+
+def profile_of(b: Bindings) -> DataFrame:
+    return dem.branch_profile(b.monthly_sales(), b.division_summary(), b.avg_sales(), b.customer_orders())
+
+
+def forecast_of(b: Bindings) -> DataFrame:
+    return dem.forecast(features_of(b))
+
+
+def forecast_summary_of(b: Bindings) -> DataFrame:
+    return dem.forecast_summary(forecast_of(b), profile_of(b))
+
+
+@register("monthly_features")
+def q_monthly_features(spark, sf_dir):
+    return features_of(Bindings(spark, sf_dir))
+
+
+@register("branch_profile")
+def q_branch_profile(spark, sf_dir):
+    return profile_of(Bindings(spark, sf_dir))
+
+
+@register("forecast_dataset")
+def q_forecast_dataset(spark, sf_dir):
+    b = Bindings(spark, sf_dir)
+    return dem.forecast_dataset(features_of(b), profile_of(b))
+
+
+@register("trend_fit")
+def q_trend_fit(spark, sf_dir):
+    return dem.trend_fit(features_of(Bindings(spark, sf_dir)))
+
+
+@register("wma")
+def q_wma(spark, sf_dir):
+    return dem.wma(features_of(Bindings(spark, sf_dir)))
+
+
+@register("growth_rate")
+def q_growth_rate(spark, sf_dir):
+    return dem.growth_rate(features_of(Bindings(spark, sf_dir)))
+
+
+@register("forecast")
+def q_forecast(spark, sf_dir):
+    return forecast_of(Bindings(spark, sf_dir))
+
+
+@register("forecast_summary")
+def q_forecast_summary(spark, sf_dir):
+    return forecast_summary_of(Bindings(spark, sf_dir))

@@ -33,9 +33,9 @@ def in_list(vals) -> str:
 
 # ------------------------------------------------------------ binding CTEs
 CTE = {
-    "geo": """geo AS (
+    "geo": f"""geo AS (
   SELECT n_nationkey, n_name, r_regionkey, r_name AS branch FROM nation JOIN region ON n_regionkey = r_regionkey)""",
-    "sales_lines": """sales_lines AS (
+    "sales_lines": f"""sales_lines AS (
   SELECT g.branch, c_name AS customer, l_orderkey AS order_id, o_orderdate AS order_ts,
          p_type AS division, p_brand AS grp, p_name AS item, p_brand || ' ' || p_name AS description,
          CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS qty,
@@ -43,38 +43,38 @@ CTE = {
          CASE o_orderstatus WHEN 'F' THEN 'delivery' WHEN 'O' THEN 'table' ELSE 'take_away' END AS channel
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
        JOIN geo g ON g.n_nationkey = c_nationkey JOIN part ON p_partkey = l_partkey)""",
-    "order_facts": """order_facts AS (
+    "order_facts": f"""order_facts AS (
   SELECT g.branch, c_name AS customer, o_orderkey AS order_id, o_orderdate AS order_ts, o_totalprice AS total,
          CASE o_orderstatus WHEN 'F' THEN 'DELIVERY' WHEN 'O' THEN 'TABLE' ELSE 'TAKE AWAY' END AS menu_channel
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN geo g ON g.n_nationkey = c_nationkey)""",
-    "sales_by_item": """sales_by_item AS (
-  SELECT branch, division, grp, description, sum(qty) AS qty, sum(price) AS total_amount,
-         sum(price) / sum(qty) AS unit_price
+    "sales_by_item": f"""sales_by_item AS (
+  SELECT branch, division, grp, description, sum(qty) AS qty, {rnd("sum(price)", 2)} AS total_amount,
+         {rnd("sum(price)", 2)} / sum(qty) AS unit_price
   FROM sales_lines WHERE NOT is_cancellation AND order_ts >= TIMESTAMP '1997-03-01' AND order_ts < TIMESTAMP '1997-04-01'
   GROUP BY branch, division, grp, description)""",
-    "monthly_sales": """monthly_sales AS (
+    "monthly_sales": f"""monthly_sales AS (
   SELECT branch, strftime(d, '%B') AS month, CAST(month(d) AS INTEGER) AS month_num, CAST(year(d) AS INTEGER) AS year,
          total, d AS date
-  FROM (SELECT branch, CAST(date_trunc('month', order_ts) AS DATE) AS d, sum(total) AS total
+  FROM (SELECT branch, CAST(date_trunc('month', order_ts) AS DATE) AS d, {rnd("sum(total)", 2)} AS total
         FROM order_facts WHERE order_ts < TIMESTAMP '2001-08-01' GROUP BY 1, 2))""",
-    "division_summary": """division_summary AS (
+    "division_summary": f"""division_summary AS (
   SELECT branch, coalesce(division, 'ITEMS') AS division,
-         sum(CASE WHEN channel = 'delivery' THEN price ELSE 0 END) AS delivery,
-         sum(CASE WHEN channel = 'table' THEN price ELSE 0 END) AS dine_in,
-         sum(CASE WHEN channel = 'take_away' THEN price ELSE 0 END) AS take_away, sum(price) AS total
+         {rnd("sum(CASE WHEN channel = 'delivery' THEN price ELSE 0 END)", 2)} AS delivery,
+         {rnd("sum(CASE WHEN channel = 'table' THEN price ELSE 0 END)", 2)} AS dine_in,
+         {rnd("sum(CASE WHEN channel = 'take_away' THEN price ELSE 0 END)", 2)} AS take_away, {rnd("sum(price)", 2)} AS total
   FROM sales_lines WHERE NOT is_cancellation GROUP BY GROUPING SETS ((branch, division), (branch)))""",
-    "avg_sales": """avg_sales AS (
-  SELECT branch, menu_channel, count(DISTINCT customer) AS num_customers, sum(total) AS sales,
-         sum(total) / count(DISTINCT customer) AS avg_per_customer
+    "avg_sales": f"""avg_sales AS (
+  SELECT branch, menu_channel, count(DISTINCT customer) AS num_customers, {rnd("sum(total)", 2)} AS sales,
+         {rnd(rnd("sum(total)", 2) + " / count(DISTINCT customer)", 2)} AS avg_per_customer
   FROM order_facts GROUP BY branch, menu_channel)""",
-    "customer_orders": """customer_orders AS (
-  SELECT branch, customer, min(order_ts) AS first_order, max(order_ts) AS last_order, sum(total) AS total,
+    "customer_orders": f"""customer_orders AS (
+  SELECT branch, customer, min(order_ts) AS first_order, max(order_ts) AS last_order, {rnd("sum(total)", 2)} AS total,
          count(*) AS num_orders
   FROM order_facts GROUP BY branch, customer)""",
-    "tax_report": """tax_report AS (
-  SELECT branch, sum(price * tax_rate) AS vat, sum(price * tax_rate) AS total_tax
+    "tax_report": f"""tax_report AS (
+  SELECT branch, {rnd(rnd("sum(price * tax_rate)", 4), 2)} AS vat, {rnd(rnd("sum(price * tax_rate)", 4), 2)} AS total_tax
   FROM sales_lines WHERE NOT is_cancellation GROUP BY branch)""",
-    "attendance": """attendance AS (
+    "attendance": f"""attendance AS (
   SELECT user_id AS emp_id, 'P' || CAST(user_id AS VARCHAR) AS emp_name, r_name AS branch, ts AS punch_in,
          ts + to_seconds(CAST(floor(least(value, 120) * 360) AS BIGINT)) AS punch_out,
          CAST(floor(least(value, 120) * 360) AS BIGINT) AS work_seconds,
@@ -278,3 +278,150 @@ ORACLES: dict[str, str] = {
     "triples": with_("sales_lines", "sales_by_item", extra=triples_ctes()) + "SELECT * FROM three_item",
     "branch_pairs": with_("sales_lines", "sales_by_item", extra=branch_pairs_ctes()) + "SELECT * FROM by_branch",
 }
+
+
+# ------------------------------------------------------------ demand
+def clip0(x: str) -> str:
+    return f"(CASE WHEN ({x}) < 0 THEN 0.0 ELSE ({x}) END)"
+
+
+FEATURES_CTE = f"""features AS (
+  SELECT branch, month, month_num, year, total, date,
+    lag(total, 1) OVER w AS lag_1, lag(total, 2) OVER w AS lag_2,
+    {rnd('CASE WHEN lag(total, 1) OVER w <> 0 THEN total / lag(total, 1) OVER w - 1 END', 6)} AS mom_growth,
+    {rnd('avg(total) OVER (PARTITION BY branch ORDER BY date ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)', 4)} AS rolling_avg_2,
+    {rnd('avg(total) OVER (PARTITION BY branch ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)', 4)} AS rolling_avg_3,
+    {rnd('sum(total) OVER (PARTITION BY branch ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 2)} AS cumulative_total,
+    {rnd('CASE WHEN sum(total) OVER (PARTITION BY branch) > 0 THEN total / sum(total) OVER (PARTITION BY branch) ELSE 0.0 END', 6)} AS month_share,
+    CAST(row_number() OVER w - 1 AS INTEGER) AS trend_idx, CAST(month(date) AS INTEGER) AS month_of_year
+  FROM monthly_sales WINDOW w AS (PARTITION BY branch ORDER BY date))"""
+
+PROFILE_CTE = f"""profile AS (
+  WITH m AS (SELECT *, CASE WHEN lag(total) OVER w <> 0 THEN total / lag(total) OVER w - 1 END AS pct
+             FROM monthly_sales WINDOW w AS (PARTITION BY branch ORDER BY date)),
+  g AS (SELECT branch, sum(total) AS tot, count(*) AS n, arg_min(total, date) AS fv, arg_max(total, date) AS lv,
+               avg(pct) AS mom, stddev_samp(total) AS sd, avg(total) AS mean,
+               first(month ORDER BY total DESC, date) AS peak_month FROM m GROUP BY branch),
+  ch AS (SELECT branch,
+           CASE WHEN delivery + dine_in + take_away > 0 THEN delivery / (delivery + dine_in + take_away) ELSE 0.0 END AS ds,
+           CASE WHEN delivery + dine_in + take_away > 0 THEN dine_in / (delivery + dine_in + take_away) ELSE 0.0 END AS ts,
+           CASE WHEN delivery + dine_in + take_away > 0 THEN take_away / (delivery + dine_in + take_away) ELSE 0.0 END AS tas
+         FROM division_summary WHERE division = 'ITEMS'),
+  cu AS (SELECT branch, sum(num_customers) AS c, sum(sales) AS s FROM avg_sales GROUP BY branch),
+  dl AS (SELECT branch, count(DISTINCT customer) AS dc, sum(num_orders) AS do_ FROM customer_orders GROUP BY branch),
+  ad AS (SELECT branch, count(*) AS a FROM division_summary WHERE total > 0 GROUP BY branch)
+  SELECT g.branch, {rnd('tot', 2)} AS total_revenue, n AS num_months,
+    {rnd('CASE WHEN n > 0 THEN tot / n ELSE 0.0 END', 2)} AS avg_monthly_revenue,
+    {rnd('CASE WHEN n >= 2 THEN (CASE WHEN fv > 0 THEN (lv - fv) / fv ELSE 0.0 END) ELSE 0.0 END', 4)} AS overall_growth,
+    {rnd('CASE WHEN n >= 2 THEN mom ELSE 0.0 END', 4)} AS avg_mom_growth,
+    {rnd('CASE WHEN mean > 0 THEN sd / mean ELSE 0.0 END', 4)} AS revenue_cv, peak_month,
+    {rnd('coalesce(ds, 0.0)', 4)} AS delivery_share, {rnd('coalesce(ts, 0.0)', 4)} AS table_share,
+    {rnd('coalesce(tas, 0.0)', 4)} AS takeaway_share,
+    CAST(coalesce(c, 0) AS BIGINT) AS total_customers,
+    {rnd('coalesce(CASE WHEN c > 0 THEN s / c ELSE 0.0 END, 0.0)', 2)} AS avg_ticket_size,
+    CAST(coalesce(dc, 0) AS BIGINT) AS delivery_customers, CAST(coalesce(do_, 0) AS BIGINT) AS delivery_orders,
+    {rnd('coalesce(CASE WHEN dc > 0 THEN do_ / dc ELSE 0.0 END, 0.0)', 2)} AS avg_orders_per_delivery_customer,
+    CAST(coalesce(a, 0) AS BIGINT) AS active_divisions
+  FROM g LEFT JOIN ch ON ch.branch = g.branch LEFT JOIN cu ON cu.branch = g.branch
+       LEFT JOIN dl ON dl.branch = g.branch LEFT JOIN ad ON ad.branch = g.branch)"""
+
+FIT_CTE = """fit AS (
+  WITH m AS (SELECT branch, date, trend_idx, total,
+               CASE WHEN lag(total) OVER w > 0 THEN (total - lag(total) OVER w) / lag(total) OVER w END AS rate,
+               row_number() OVER (PARTITION BY branch ORDER BY date DESC) AS rd,
+               count(*) OVER (PARTITION BY branch) AS n
+             FROM features WINDOW w AS (PARTITION BY branch ORDER BY date)),
+  f AS (SELECT branch, count(*) AS n_points, regr_slope(total, trend_idx) AS slope,
+          regr_intercept(total, trend_idx) AS intercept, max(trend_idx) AS last_idx,
+          arg_max(total, trend_idx) AS last_value, max(date) AS last_date,
+          sum(CASE WHEN rd <= least(n, 3) THEN least(n, 3) - rd + 1 END * total)
+            / sum(CASE WHEN rd <= least(n, 3) THEN least(n, 3) - rd + 1 END) AS wma,
+          min(least(n, 3)) AS wma_window, count(rate) AS n_rates, median(rate) AS med
+        FROM m GROUP BY branch),
+  f2 AS (SELECT *, CASE WHEN n_rates > 0 THEN least(greatest(med, -0.3), 0.5) ELSE 0.0 END AS growth_rate FROM f),
+  rs AS (SELECT x.branch, stddev_pop(x.total - CASE WHEN f2.n_points >= 2 THEN f2.intercept + f2.slope * x.trend_idx
+                                                 ELSE x.total END) AS s
+         FROM features x JOIN f2 ON f2.branch = x.branch GROUP BY x.branch)
+  SELECT f2.*, coalesce(rs.s, 0.0) AS residual_std FROM f2 LEFT JOIN rs ON rs.branch = f2.branch)"""
+
+
+def trend_at(idx: str) -> str:
+    return f"(CASE WHEN n_points >= 2 THEN intercept + slope * ({idx}) ELSE last_value END)"
+
+
+FORECAST_CTE = f"""fc AS (
+  WITH s AS (SELECT fit.*, h AS steps_ahead, CAST(last_date + to_months(h) AS DATE) AS d,
+               {clip0(trend_at('last_idx + h'))} AS ft, {clip0('wma * (1 + 0.02 * h)')} AS fw,
+               {clip0('last_value * pow(1 + growth_rate, h)')} AS fg
+             FROM fit CROSS JOIN generate_series(1, 3) t(h)),
+  e AS (SELECT *, 0.35 * ft + 0.4 * fw + 0.25 * fg AS f, 1.96 * sqrt(CAST(steps_ahead AS DOUBLE)) * residual_std AS ci FROM s)
+  SELECT branch, CAST(year(d) AS INTEGER) AS year, strftime(d, '%B') AS month, CAST(month(d) AS INTEGER) AS month_num,
+    d AS date, {rnd('f', 2)} AS forecast, {rnd(clip0('f - ci'), 2)} AS ci_lower, {rnd('f + ci', 2)} AS ci_upper,
+    {rnd('ft', 2)} AS forecast_trend, {rnd('fw', 2)} AS forecast_wma, {rnd('fg', 2)} AS forecast_growth,
+    {rnd('residual_std', 2)} AS residual_std, CAST(steps_ahead AS INTEGER) AS steps_ahead FROM e
+  UNION ALL
+  SELECT branch, year, month, month_num, date, {rnd('total', 2)}, {rnd('total', 2)}, {rnd('total', 2)},
+    NULL, NULL, NULL, NULL, 0 FROM features)"""
+
+FC_SUMMARY_CTE = f"""fc_summary AS (
+  WITH fut AS (SELECT * FROM fc WHERE steps_ahead > 0),
+  per AS (SELECT fut.branch,
+            max(CASE WHEN steps_ahead = 1 THEN forecast END) AS first_forecast,
+            max(CASE WHEN steps_ahead = 1 THEN ci_lower END) AS first_ci_lower,
+            max(CASE WHEN steps_ahead = 1 THEN ci_upper END) AS first_ci_upper,
+            sum(forecast) AS tot, avg(forecast) AS av FROM fut GROUP BY fut.branch),
+  p2 AS (SELECT per.*, coalesce(p.avg_monthly_revenue, 0.0) AS hist FROM per LEFT JOIN profile p ON p.branch = per.branch),
+  p3 AS (SELECT branch, first_forecast, first_ci_lower, first_ci_upper, {rnd('tot', 2)} AS horizon_total_forecast,
+            {rnd('av', 2)} AS avg_monthly_forecast, {rnd('hist', 2)} AS historical_avg_monthly,
+            {rnd('CASE WHEN hist > 0 THEN (av - hist) / hist END', 4)} AS forecast_vs_historical FROM p2),
+  bm AS (SELECT steps_ahead, sum(forecast) AS m FROM fut GROUP BY steps_ahead),
+  net AS (SELECT {rnd('sum(m)', 2)} AS network_horizon_total, {rnd('avg(m)', 2)} AS network_monthly_avg FROM bm),
+  best AS (SELECT first(branch ORDER BY coalesce(forecast_vs_historical, 0.0) DESC, branch) AS fastest_growing_branch,
+             max(coalesce(forecast_vs_historical, 0.0)) AS fastest_growth_rate FROM p3)
+  SELECT * FROM p3 CROSS JOIN net CROSS JOIN best)"""
+
+DEMAND_BASE = ("monthly_sales", "division_summary", "avg_sales", "customer_orders")
+
+
+def demand_with(*extra: str) -> str:
+    ctes = {"features": FEATURES_CTE, "profile": PROFILE_CTE, "fit": FIT_CTE, "fc": FORECAST_CTE,
+            "fc_summary": FC_SUMMARY_CTE}
+    order = ["features", "profile", "fit", "fc", "fc_summary"]
+    need = set(extra)
+    deps = {"fit": {"features"}, "fc": {"fit"}, "fc_summary": {"fc", "profile"}}
+    changed = True
+    while changed:
+        changed = False
+        for n in list(need):
+            for d in deps.get(n, ()):
+                if d not in need:
+                    need.add(d)
+                    changed = True
+    return with_(*DEMAND_BASE, extra=[ctes[n] for n in order if n in need])
+
+
+ORACLES.update({
+    "monthly_features": demand_with("features") + "SELECT * FROM features",
+    "branch_profile": demand_with("profile") + "SELECT * FROM profile",
+    "forecast_dataset": demand_with("features", "profile") + f"""
+SELECT f.branch, month, month_num, year, total, date, lag_1, lag_2, mom_growth, rolling_avg_2, rolling_avg_3,
+  month_share, trend_idx, month_of_year, total_revenue, num_months, avg_monthly_revenue, overall_growth,
+  avg_mom_growth, revenue_cv, delivery_share, table_share, takeaway_share, total_customers, avg_ticket_size,
+  delivery_customers, delivery_orders, avg_orders_per_delivery_customer, active_divisions,
+  (SELECT CAST(count(*) + 1 AS INTEGER) FROM profile q
+   WHERE q.total_revenue > p.total_revenue OR (q.total_revenue = p.total_revenue AND q.branch < p.branch))
+    AS branch_revenue_rank,
+  {rnd('CASE WHEN avg_monthly_revenue <> 0 THEN total / avg_monthly_revenue END', 6)} AS revenue_ratio
+FROM features f LEFT JOIN profile p ON p.branch = f.branch""",
+    "trend_fit": demand_with("fit") + f"""
+SELECT branch, n_points, {rnd('slope', 4)} AS slope, {rnd('intercept', 2)} AS intercept,
+  {rnd(clip0(trend_at('last_idx + 1')), 2)} AS next_trend FROM fit""",
+    "wma": demand_with("fit") + f"""
+SELECT branch, CAST(wma_window AS INTEGER) AS wma_window, {rnd('wma', 2)} AS wma,
+  {rnd(clip0('wma * 1.02'), 2)} AS next_wma FROM fit""",
+    "growth_rate": demand_with("fit") + f"""
+SELECT branch, n_rates, {rnd('growth_rate', 6)} AS growth_rate, last_value,
+  {rnd(clip0('last_value * (1 + growth_rate)'), 2)} AS next_growth FROM fit""",
+    "forecast": demand_with("fc") + "SELECT * FROM fc",
+    "forecast_summary": demand_with("fc_summary") + "SELECT * FROM fc_summary",
+})
