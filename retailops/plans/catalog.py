@@ -178,3 +178,60 @@ def q_forecast(spark, sf_dir):
 @register("forecast_summary")
 def q_forecast_summary(spark, sf_dir):
     return forecast_summary_of(Bindings(spark, sf_dir))
+
+
+# ------------------------------------------------------------ staffing
+from ..operators import staffing as stf  # noqa: E402
+
+
+def staff_profile_of(b: Bindings) -> DataFrame:
+    return stf.staffing_profile(b.attendance(), b.monthly_sales(), P.ATTENDANCE_MONTH)
+
+
+def shifts_of(b: Bindings) -> DataFrame:
+    return stf.shift_patterns(b.attendance())
+
+
+def recs_of(b: Bindings) -> DataFrame:
+    return stf.shift_recommendations(shifts_of(b), forecast_summary_of(b))
+
+
+def sched_of(b: Bindings) -> DataFrame:
+    return stf.schedule_guidelines(stf.daily_coverage(b.attendance()), shifts_of(b))
+
+
+@register("shift_patterns")
+def q_shift_patterns(spark, sf_dir):
+    return shifts_of(Bindings(spark, sf_dir))
+
+
+@register("staffing_profile")
+def q_staffing_profile(spark, sf_dir):
+    return staff_profile_of(Bindings(spark, sf_dir))
+
+
+@register("daily_coverage")
+def q_daily_coverage(spark, sf_dir):
+    return stf.daily_coverage(Bindings(spark, sf_dir).attendance())
+
+
+@register("shift_recommendations")
+def q_shift_recommendations(spark, sf_dir):
+    return recs_of(Bindings(spark, sf_dir))
+
+
+@register("schedule_guidelines")
+def q_schedule_guidelines(spark, sf_dir):
+    return sched_of(Bindings(spark, sf_dir))
+
+
+@register("hiring_action")
+def q_hiring_action(spark, sf_dir):
+    b = Bindings(spark, sf_dir)
+    return stf.hiring_action(staff_profile_of(b), forecast_summary_of(b))
+
+
+@register("staffing_summary")
+def q_staffing_summary(spark, sf_dir):
+    b = Bindings(spark, sf_dir)
+    return stf.staffing_summary(staff_profile_of(b), recs_of(b), sched_of(b), forecast_summary_of(b))

@@ -383,7 +383,7 @@ FC_SUMMARY_CTE = f"""fc_summary AS (
 DEMAND_BASE = ("monthly_sales", "division_summary", "avg_sales", "customer_orders")
 
 
-def demand_with(*extra: str) -> str:
+def demand_with(*extra: str, bindings: tuple[str, ...] = (), more: list[str] | None = None) -> str:
     ctes = {"features": FEATURES_CTE, "profile": PROFILE_CTE, "fit": FIT_CTE, "fc": FORECAST_CTE,
             "fc_summary": FC_SUMMARY_CTE}
     order = ["features", "profile", "fit", "fc", "fc_summary"]
@@ -397,7 +397,7 @@ def demand_with(*extra: str) -> str:
                 if d not in need:
                     need.add(d)
                     changed = True
-    return with_(*DEMAND_BASE, extra=[ctes[n] for n in order if n in need])
+    return with_(*DEMAND_BASE, *bindings, extra=[ctes[n] for n in order if n in need] + list(more or []))
 
 
 ORACLES.update({
@@ -425,3 +425,145 @@ SELECT branch, n_rates, {rnd('growth_rate', 6)} AS growth_rate, last_value,
     "forecast": demand_with("fc") + "SELECT * FROM fc",
     "forecast_summary": demand_with("fc_summary") + "SELECT * FROM fc_summary",
 })
+
+
+# ------------------------------------------------------------ staffing
+def shift_sql(h: str) -> str:
+    return (f"(CASE WHEN {h} >= 0 AND {h} < 6 THEN 'overnight' WHEN {h} >= 6 AND {h} < 12 THEN 'morning' "
+            f"WHEN {h} >= 12 AND {h} < 17 THEN 'afternoon' WHEN {h} >= 17 AND {h} < 22 THEN 'evening' "
+            f"WHEN {h} >= 22 AND {h} < 24 THEN 'late_night' END)")
+
+
+def ceil9_sql(x: str) -> str:
+    return f"CAST(ceil({rnd(x, 9)}) AS BIGINT)"
+
+
+SHIFTS_CTE = f"""shifts AS (
+  SELECT emp_id, emp_name, branch, CAST(punch_in AS DATE) AS date, strftime(punch_in, '%A') AS day_of_week,
+    CAST(isodow(punch_in) - 1 AS INTEGER) AS day_num, CAST(hour(punch_in) AS INTEGER) AS hour_in,
+    CAST(hour(punch_out) AS INTEGER) AS hour_out, {shift_sql('hour(punch_in)')} AS shift_type,
+    CAST(isodow(punch_in) IN (6, 7) AS INTEGER) AS is_weekend,
+    CAST(CAST(punch_out AS DATE) > CAST(punch_in AS DATE) AS INTEGER) AS crosses_midnight, work_duration_hours
+  FROM attendance)"""
+
+_LABS = ("morning", "afternoon", "evening", "overnight")
+STAFF_PROFILE_CTE = f"""staff_profile AS (
+  WITH a AS (SELECT *, {shift_sql('hour(punch_in)')} AS st, isodow(punch_in) - 1 AS dn,
+               work_duration_hours AS h FROM attendance WHERE branch IS NOT NULL),
+  g AS (SELECT branch, count(DISTINCT emp_id) AS ne, count(*) AS ts, sum(h) AS th, avg(h) AS ah, median(h) AS mh,
+          stddev_samp(h) AS sh, count(st) AS nst,
+          {", ".join(f"count(CASE WHEN st = '{x}' THEN 1 END) AS n_{x}" for x in _LABS)},
+          avg(CASE WHEN dn IN (5, 6) THEN 1.0 ELSE 0.0 END) AS we, count(DISTINCT CAST(punch_in AS DATE)) AS wd
+        FROM a GROUP BY branch),
+  pe AS (SELECT branch, avg(k) AS ak, min(k) AS mink, max(k) AS maxk
+         FROM (SELECT branch, emp_id, count(*) AS k FROM a GROUP BY 1, 2) GROUP BY branch),
+  rv AS (SELECT branch, sum(total) AS rev FROM monthly_sales WHERE month(date) = {P.ATTENDANCE_MONTH} GROUP BY branch),
+  j AS (SELECT g.*, pe.ak, pe.mink, pe.maxk, coalesce(rv.rev, 0.0) AS r FROM g JOIN pe ON pe.branch = g.branch
+        LEFT JOIN rv ON rv.branch = g.branch)
+  SELECT branch, CAST(ne AS BIGINT) AS num_employees, CAST(ts AS BIGINT) AS total_shifts,
+    {rnd('th', 2)} AS total_hours, {rnd('ah', 2)} AS avg_shift_hours, {rnd('mh', 2)} AS median_shift_hours,
+    {rnd('sh', 2)} AS std_shift_hours, {rnd('ak', 2)} AS avg_shifts_per_employee,
+    CAST(mink AS BIGINT) AS min_shifts_per_employee, CAST(maxk AS BIGINT) AS max_shifts_per_employee,
+    CAST(wd AS BIGINT) AS working_days, {rnd('CASE WHEN wd > 0 THEN ts / wd ELSE 0.0 END', 2)} AS avg_employees_per_day,
+    {rnd('we', 4)} AS weekend_share,
+    {", ".join(rnd(f"coalesce(CASE WHEN nst > 0 THEN n_{x} / nst ELSE 0.0 END, 0.0)", 4) + f" AS {x}_share" for x in _LABS)},
+    {rnd('r', 2)} AS month_revenue, {rnd('CASE WHEN th > 0 THEN r / th ELSE 0.0 END', 2)} AS revenue_per_hour,
+    {rnd('CASE WHEN ts > 0 THEN r / ts ELSE 0.0 END', 2)} AS revenue_per_shift,
+    {rnd('CASE WHEN ne > 0 THEN r / ne ELSE 0.0 END', 2)} AS revenue_per_employee
+  FROM j)"""
+
+DAILY_CTE = f"""daily AS (
+  SELECT branch, CAST(punch_in AS DATE) AS date, CAST(count(DISTINCT emp_id) AS BIGINT) AS employees_on_duty,
+    CAST(count(emp_id) AS BIGINT) AS total_shifts, {rnd('sum(work_duration_hours)', 2)} AS total_hours,
+    {rnd('avg(work_duration_hours)', 2)} AS avg_shift_hours, strftime(CAST(punch_in AS DATE), '%A') AS day_of_week,
+    CAST(isodow(CAST(punch_in AS DATE)) - 1 AS INTEGER) AS day_num,
+    CAST(isodow(CAST(punch_in AS DATE)) IN (6, 7) AS INTEGER) AS is_weekend,
+    {rnd("(epoch_us(max(punch_out)) - epoch_us(min(punch_in))) / 3.6e9", 2)} AS coverage_span_hours
+  FROM attendance WHERE branch IS NOT NULL GROUP BY branch, CAST(punch_in AS DATE))"""
+
+GROWTH_CTE = """growth AS (SELECT branch, coalesce(forecast_vs_historical, 0.0) AS growth FROM fc_summary)"""
+
+RECS_CTE = f"""recs AS (
+  WITH s AS (SELECT * FROM shifts WHERE branch IS NOT NULL),
+  tot AS (SELECT branch, count(*) AS t FROM s GROUP BY branch),
+  g AS (SELECT branch, shift_type, count(*) AS c, count(DISTINCT emp_id) AS e, avg(work_duration_hours) AS ah,
+          median(work_duration_hours) AS mh, count(DISTINCT date) AS days,
+          count(CASE WHEN is_weekend = 1 THEN 1 END) AS nwe, count(DISTINCT CASE WHEN is_weekend = 1 THEN date END) AS dwe,
+          count(CASE WHEN is_weekend = 0 THEN 1 END) AS nwd, count(DISTINCT CASE WHEN is_weekend = 0 THEN date END) AS dwd
+        FROM s WHERE shift_type IN ('morning', 'afternoon', 'evening', 'overnight') GROUP BY 1, 2),
+  j AS (SELECT g.*, tot.t, greatest(1 + coalesce(gr.growth, 0.0), 0.5) AS mult,
+          CASE WHEN days > 0 THEN c / days ELSE 0.0 END AS pd
+        FROM g JOIN tot ON tot.branch = g.branch LEFT JOIN growth gr ON gr.branch = g.branch)
+  SELECT branch, shift_type, CAST(c AS BIGINT) AS current_shift_count, {rnd('c / t', 4)} AS shift_share,
+    CAST(e AS BIGINT) AS employees_available, {rnd('ah', 2)} AS avg_hours_per_shift, {rnd('mh', 2)} AS median_hours_per_shift,
+    {rnd('pd', 2)} AS avg_staff_per_day, {rnd('nwd / greatest(dwd, 1)', 2)} AS weekday_avg_staff,
+    {rnd('nwe / greatest(dwe, 1)', 2)} AS weekend_avg_staff, {rnd('mult', 4)} AS demand_multiplier,
+    CAST(least({ceil9_sql('pd * mult')}, e + 3) AS BIGINT) AS recommended_staff_per_day,
+    {rnd('mh', 1)} AS recommended_shift_hours
+  FROM j)"""
+
+SCHED_CTE = f"""sched AS (
+  WITH d AS (SELECT branch, day_num, min(day_of_week) AS day_of_week, avg(employees_on_duty) AS ae,
+               avg(total_hours) AS ahrs, avg(coverage_span_hours) AS acov FROM daily GROUP BY 1, 2),
+  c AS (SELECT branch, day_num, shift_type, count(*) AS k FROM shifts WHERE shift_type IS NOT NULL GROUP BY 1, 2, 3),
+  pk AS (SELECT branch, day_num, first(shift_type ORDER BY k DESC, shift_type) AS peak FROM c GROUP BY 1, 2),
+  j AS (SELECT d.*, pk.peak, CASE WHEN d.day_num IN (5, 6)
+          THEN greatest({ceil9_sql('ae')}, {ceil9_sql('ae + 0.5')}) ELSE {ceil9_sql('ae')} END AS rec
+        FROM d LEFT JOIN pk ON pk.branch = d.branch AND pk.day_num = d.day_num)
+  SELECT branch, day_of_week, day_num, CAST(day_num IN (5, 6) AS INTEGER) AS is_weekend,
+    {rnd('ae', 2)} AS observed_avg_employees, {rnd('ahrs', 2)} AS observed_avg_total_hours,
+    {rnd('acov', 2)} AS observed_avg_coverage_span, coalesce(peak, 'afternoon') AS peak_shift_type,
+    CAST(rec AS BIGINT) AS recommended_employees,
+    CASE WHEN rec > 0 THEN {rnd('ahrs / rec', 1)} ELSE 8.0 END AS recommended_hours_per_employee
+  FROM j)"""
+
+HIRING_CTE = f"""hiring AS (
+  SELECT p.branch, p.num_employees, {rnd('coalesce(g.growth, 0.0)', 4)} AS growth,
+    CASE WHEN coalesce(g.growth, 0.0) > 0.3 THEN 'HIRE' WHEN coalesce(g.growth, 0.0) < -0.2 THEN 'OPTIMIZE'
+         ELSE 'MAINTAIN' END AS action,
+    CAST(CASE WHEN coalesce(g.growth, 0.0) > 0.3 THEN greatest(1, {ceil9_sql('p.num_employees * coalesce(g.growth, 0.0) * 0.5')})
+         ELSE 0 END AS BIGINT) AS suggested_additional,
+    CASE WHEN coalesce(g.growth, 0.0) > 0.3 THEN 'Demand projected to grow '
+           || CAST(CAST({rnd('coalesce(g.growth, 0.0) * 100', 0)} AS BIGINT) AS VARCHAR) || '%. Current staff may be insufficient.'
+         WHEN coalesce(g.growth, 0.0) < -0.2 THEN 'Demand projected to decline '
+           || CAST(CAST({rnd('abs(coalesce(g.growth, 0.0)) * 100', 0)} AS BIGINT) AS VARCHAR) || '%. Reduce overtime, not headcount.'
+         ELSE 'Demand is stable. Current staffing levels are adequate.' END AS reason
+  FROM staff_profile p LEFT JOIN growth g ON g.branch = p.branch)"""
+
+STAFF_SUMMARY_SQL = f"""
+, dom AS (SELECT branch, first(shift_type ORDER BY shift_share DESC,
+            CASE shift_type WHEN 'morning' THEN 0 WHEN 'afternoon' THEN 1 WHEN 'evening' THEN 2 WHEN 'overnight' THEN 3 ELSE 4 END) AS ds,
+            first(shift_share ORDER BY shift_share DESC,
+            CASE shift_type WHEN 'morning' THEN 0 WHEN 'afternoon' THEN 1 WHEN 'evening' THEN 2 WHEN 'overnight' THEN 3 ELSE 4 END) AS dss
+          FROM recs GROUP BY branch),
+wkm AS (SELECT branch, is_weekend, recommended_employees AS v, count(*) AS k FROM sched GROUP BY 1, 2, 3),
+wk AS (SELECT branch, first(v ORDER BY k DESC, v) FILTER (WHERE is_weekend = 0) AS wd,
+         first(v ORDER BY k DESC, v) FILTER (WHERE is_weekend = 1) AS we FROM wkm GROUP BY branch),
+pkd AS (SELECT branch, first(day_of_week ORDER BY observed_avg_total_hours DESC, day_num) AS peak_day FROM sched GROUP BY branch),
+net AS (SELECT CAST(sum(num_employees) AS BIGINT) AS network_total_employees,
+          {rnd('avg(revenue_per_employee)', 2)} AS network_avg_revenue_per_employee,
+          first(branch ORDER BY revenue_per_employee DESC, branch) AS most_efficient_branch FROM staff_profile)
+SELECT p.branch, p.num_employees, {rnd(rnd('p.avg_shift_hours', 2), 1)} AS avg_shift_hours,
+  {rnd(rnd('p.avg_employees_per_day', 2), 1)} AS avg_employees_per_day, p.revenue_per_hour, p.revenue_per_employee,
+  dom.ds AS dominant_shift, dom.dss AS dominant_shift_share,
+  CAST(coalesce(wk.wd, 0) AS BIGINT) AS weekday_recommended_employees,
+  CAST(coalesce(wk.we, 0) AS BIGINT) AS weekend_recommended_employees, pkd.peak_day,
+  h.action AS hiring_action, h.suggested_additional, net.*
+FROM staff_profile p LEFT JOIN dom ON dom.branch = p.branch LEFT JOIN wk ON wk.branch = p.branch
+  LEFT JOIN pkd ON pkd.branch = p.branch LEFT JOIN hiring h ON h.branch = p.branch CROSS JOIN net"""
+
+
+def staffing_with(*ctes: str) -> str:
+    return demand_with("fc_summary", bindings=("attendance",), more=list(ctes))
+
+
+ORACLES.update({
+    "shift_patterns": with_("attendance", extra=[SHIFTS_CTE]) + "SELECT * FROM shifts",
+    "staffing_profile": with_("monthly_sales", "attendance", extra=[STAFF_PROFILE_CTE]) + "SELECT * FROM staff_profile",
+    "daily_coverage": with_("attendance", extra=[DAILY_CTE]) + "SELECT * FROM daily",
+    "shift_recommendations": staffing_with(SHIFTS_CTE, GROWTH_CTE, RECS_CTE) + "SELECT * FROM recs",
+    "schedule_guidelines": with_("attendance", extra=[SHIFTS_CTE, DAILY_CTE, SCHED_CTE]) + "SELECT * FROM sched",
+    "hiring_action": staffing_with(STAFF_PROFILE_CTE, GROWTH_CTE, HIRING_CTE) + "SELECT * FROM hiring",
+    "staffing_summary": staffing_with(SHIFTS_CTE, DAILY_CTE, STAFF_PROFILE_CTE, GROWTH_CTE, RECS_CTE, SCHED_CTE,
+                                      HIRING_CTE) + STAFF_SUMMARY_SQL,
+})
