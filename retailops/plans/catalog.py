@@ -235,3 +235,80 @@ def q_hiring_action(spark, sf_dir):
 def q_staffing_summary(spark, sf_dir):
     b = Bindings(spark, sf_dir)
     return stf.staffing_summary(staff_profile_of(b), recs_of(b), sched_of(b), forecast_summary_of(b))
+
+
+# ------------------------------------------------------------ expansion
+from ..operators import expansion as exp  # noqa: E402
+
+
+def card_of(b: Bindings) -> DataFrame:
+    return exp.scorecard(b.monthly_sales(), b.division_summary(), b.avg_sales(), b.customer_orders(),
+                         b.tax_report(), b.attendance(), P.CATEGORY_DIVISIONS)
+
+
+def scored_of(b: Bindings) -> DataFrame:
+    return exp.composite_score(card_of(b))
+
+
+def expansion_parts(b: Bindings):
+    scored = scored_of(b)
+    fsum = forecast_summary_of(b)
+    bench = exp.benchmarks(scored)
+    health = exp.network_health(scored, fsum)
+    ideal = exp.ideal_profile(scored, bench)
+    risks = exp.risk_register(scored, fsum)
+    verd = exp.verdict(health, risks)
+    return scored, bench, health, ideal, risks, verd
+
+
+@register("scorecard")
+def q_scorecard(spark, sf_dir):
+    return card_of(Bindings(spark, sf_dir))
+
+
+@register("composite_score")
+def q_composite_score(spark, sf_dir):
+    return scored_of(Bindings(spark, sf_dir))
+
+
+@register("benchmarks")
+def q_benchmarks(spark, sf_dir):
+    return exp.benchmarks(scored_of(Bindings(spark, sf_dir)))
+
+
+@register("branch_comparison")
+def q_branch_comparison(spark, sf_dir):
+    return exp.branch_comparison(scored_of(Bindings(spark, sf_dir)))
+
+
+@register("network_health")
+def q_network_health(spark, sf_dir):
+    b = Bindings(spark, sf_dir)
+    return exp.network_health(scored_of(b), forecast_summary_of(b))
+
+
+@register("ideal_profile")
+def q_ideal_profile(spark, sf_dir):
+    return expansion_parts(Bindings(spark, sf_dir))[3]
+
+
+@register("risk_register")
+def q_risk_register(spark, sf_dir):
+    return expansion_parts(Bindings(spark, sf_dir))[4]
+
+
+@register("verdict")
+def q_verdict(spark, sf_dir):
+    return expansion_parts(Bindings(spark, sf_dir))[5]
+
+
+@register("assessment_table")
+def q_assessment_table(spark, sf_dir):
+    scored, bench, health, ideal, risks, verd = expansion_parts(Bindings(spark, sf_dir))
+    return exp.assessment_table(health, ideal, risks, verd)
+
+
+@register("expansion_summary")
+def q_expansion_summary(spark, sf_dir):
+    scored, bench, health, ideal, risks, verd = expansion_parts(Bindings(spark, sf_dir))
+    return exp.expansion_summary(scored, health, ideal, risks, verd)

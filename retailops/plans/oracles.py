@@ -567,3 +567,213 @@ ORACLES.update({
     "staffing_summary": staffing_with(SHIFTS_CTE, DAILY_CTE, STAFF_PROFILE_CTE, GROWTH_CTE, RECS_CTE, SCHED_CTE,
                                       HIRING_CTE) + STAFF_SUMMARY_SQL,
 })
+
+
+# ------------------------------------------------------------ expansion
+def num_text_sql(x: str, d: int = 2) -> str:
+    return f"CAST(CAST({rnd(x, d)} AS DECIMAL(38,{d})) AS VARCHAR)"
+
+
+def _shares(prefix: str = "") -> str:
+    tot = "(delivery + dine_in + take_away)"
+    return (f"CASE WHEN {tot} > 0 THEN delivery / {tot} ELSE 0.0 END AS ds, "
+            f"CASE WHEN {tot} > 0 THEN dine_in / {tot} ELSE 0.0 END AS tbs, "
+            f"CASE WHEN {tot} > 0 THEN take_away / {tot} ELSE 0.0 END AS tas")
+
+
+SCORECARD_CTE = f"""sc AS (
+  WITH m AS (SELECT branch, total, row_number() OVER (PARTITION BY branch ORDER BY date) AS ra,
+               row_number() OVER (PARTITION BY branch ORDER BY date DESC) AS rd FROM monthly_sales),
+  rv AS (SELECT branch, sum(total) AS tot, count(*) AS n, avg(CASE WHEN ra <= 2 THEN total END) AS e2,
+           avg(CASE WHEN rd <= 2 THEN total END) AS l2, max(CASE WHEN ra = 1 THEN total END) AS e1,
+           max(CASE WHEN rd = 1 THEN total END) AS l1, stddev_samp(total) AS sd, avg(total) AS mean FROM m GROUP BY branch),
+  rv2 AS (SELECT *, CASE WHEN n > 0 THEN tot / n ELSE 0.0 END AS av FROM rv),
+  rv3 AS (SELECT *, CASE WHEN n >= 4 THEN e2 WHEN n >= 2 THEN e1 ELSE av END AS early,
+            CASE WHEN n >= 4 THEN l2 WHEN n >= 2 THEN l1 ELSE av END AS late FROM rv2),
+  rv4 AS (SELECT branch, tot, av, CASE WHEN early > 0 THEN (late - early) / early ELSE 0.0 END AS mom,
+            CASE WHEN mean > 0 THEN sd / mean ELSE 1.0 END AS cv FROM rv3),
+  vt AS (SELECT branch, sum(vat) AS v FROM tax_report GROUP BY branch),
+  cu AS (SELECT branch, sum(num_customers) AS c, sum(sales) AS s, count(CASE WHEN num_customers > 0 THEN 1 END) AS chn
+         FROM avg_sales GROUP BY branch),
+  dl AS (SELECT branch, count(DISTINCT customer) AS dc, sum(num_orders) AS do_,
+           avg(CASE WHEN num_orders > 1 THEN 1.0 ELSE 0.0 END) AS rr FROM customer_orders GROUP BY branch),
+  st AS (SELECT branch, count(DISTINCT emp_id) AS ne, count(*) AS ts, avg(work_duration_hours) AS ash
+         FROM attendance GROUP BY branch),
+  ch AS (SELECT branch, {_shares()}, total AS items_total FROM division_summary WHERE division = 'ITEMS'),
+  bv AS (SELECT branch, sum(total) AS bev FROM division_summary WHERE division IN {in_list(P.CATEGORY_DIVISIONS)}
+         GROUP BY branch),
+  j AS (SELECT rv4.*, vt.v, coalesce(cu.c, 0) AS c, cu.s, cu.chn, dl.dc, dl.do_, dl.rr, coalesce(st.ne, 0) AS ne, st.ts,
+          st.ash, ch.ds, ch.tbs, ch.tas, ch.items_total, bv.bev
+        FROM rv4 LEFT JOIN vt ON vt.branch = rv4.branch LEFT JOIN cu ON cu.branch = rv4.branch
+        LEFT JOIN dl ON dl.branch = rv4.branch LEFT JOIN st ON st.branch = rv4.branch
+        LEFT JOIN ch ON ch.branch = rv4.branch LEFT JOIN bv ON bv.branch = rv4.branch)
+  SELECT branch, {rnd('tot', 2)} AS total_revenue, {rnd('av', 2)} AS avg_monthly_revenue, {rnd('mom', 4)} AS momentum,
+    {rnd('cv', 4)} AS revenue_cv, {rnd('coalesce(v, 0.0)', 2)} AS vat_contribution, CAST(c AS BIGINT) AS total_customers,
+    {rnd('coalesce(CASE WHEN c > 0 THEN s / c ELSE 0.0 END, 0.0)', 2)} AS avg_ticket_size,
+    {rnd('CASE WHEN c > 0 THEN tot / c ELSE 0.0 END', 2)} AS revenue_per_customer,
+    CAST(coalesce(chn, 0) AS BIGINT) AS channels_active, CAST(coalesce(dc, 0) AS BIGINT) AS delivery_customers,
+    CAST(coalesce(do_, 0) AS BIGINT) AS delivery_orders, {rnd('coalesce(rr, 0.0)', 4)} AS repeat_rate,
+    CAST(ne AS BIGINT) AS num_employees, CAST(coalesce(ts, 0) AS BIGINT) AS total_shifts,
+    {rnd('coalesce(ash, 0.0)', 2)} AS avg_shift_hours, {rnd('CASE WHEN ne > 0 THEN tot / ne ELSE 0.0 END', 2)} AS revenue_per_employee,
+    {rnd('coalesce(ds, 0.0)', 4)} AS delivery_share, {rnd('coalesce(tbs, 0.0)', 4)} AS table_share,
+    {rnd('coalesce(tas, 0.0)', 4)} AS takeaway_share,
+    {rnd('coalesce(CASE WHEN items_total > 0 THEN coalesce(bev, 0.0) / items_total ELSE 0.0 END, 0.0)', 4)} AS beverage_ratio
+  FROM j)"""
+
+_SC = {"score_revenue": ("avg_monthly_revenue", False), "score_growth": ("momentum", False),
+       "score_stability": ("revenue_cv", True), "score_customers": ("total_customers", False),
+       "score_ticket": ("avg_ticket_size", False), "score_efficiency": ("revenue_per_employee", False)}
+_W = {"score_revenue": 0.2, "score_growth": 0.25, "score_stability": 0.15, "score_customers": 0.15,
+      "score_ticket": 0.1, "score_efficiency": 0.15}
+
+
+def _mm(src: str) -> str:
+    return f"(CASE WHEN mx_{src} - mn_{src} > 0 THEN ({src} - mn_{src}) / (mx_{src} - mn_{src}) ELSE 0.0 END)"
+
+
+_srcs = sorted({v[0] for v in _SC.values()})
+SCORED_CTE = f"""scored AS (
+  WITH mm AS (SELECT {", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in _srcs)} FROM sc),
+  s AS (SELECT sc.*, {", ".join(("(1 - " + _mm(src) + ")" if inv else _mm(src)) + f" AS {k}" for k, (src, inv) in _SC.items())}
+        FROM sc CROSS JOIN mm)
+  SELECT * EXCLUDE ({", ".join(_SC)}), {", ".join(rnd(k, 6) + f" AS {k}" for k in _SC)},
+    {rnd(" + ".join(f"{k} * {w}" for k, w in _W.items()), 4)} AS composite_score FROM s)"""
+
+_BENCH_COLS = ["total_revenue", "avg_monthly_revenue", "momentum", "revenue_cv", "vat_contribution", "total_customers",
+               "avg_ticket_size", "revenue_per_customer", "channels_active", "delivery_customers", "delivery_orders",
+               "repeat_rate", "num_employees", "total_shifts", "avg_shift_hours", "revenue_per_employee",
+               "delivery_share", "table_share", "takeaway_share", "beverage_ratio", *_SC, "composite_score"]
+BENCH_CTE = f"""bench AS (
+  WITH l AS ({" UNION ALL ".join(f"SELECT branch, '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM scored" for c in _BENCH_COLS)})
+  SELECT metric, {rnd('avg(value)', 4)} AS mean, {rnd('median(value)', 4)} AS median, {rnd('min(value)', 4)} AS min,
+    {rnd('max(value)', 4)} AS max, {rnd('stddev_samp(value)', 4)} AS std,
+    first(branch ORDER BY value DESC, branch) FILTER (WHERE value IS NOT NULL) AS best_branch,
+    first(branch ORDER BY value ASC, branch) FILTER (WHERE value IS NOT NULL) AS worst_branch
+  FROM l GROUP BY metric)"""
+
+_ord = "ORDER BY composite_score DESC, branch"
+HEALTH_CTE = f"""health AS (
+  WITH h AS (SELECT count(CASE WHEN composite_score >= 0.5 THEN 1 END) AS strong_branches,
+               count(CASE WHEN composite_score < 0.5 THEN 1 END) AS weak_branches,
+               coalesce(string_agg(CASE WHEN composite_score >= 0.5 THEN branch END, ', ' {_ord}), '') AS strong_branch_names,
+               coalesce(string_agg(CASE WHEN composite_score < 0.5 THEN branch END, ', ' {_ord}), '') AS weak_branch_names,
+               {rnd('avg(composite_score)', 4)} AS avg_composite,
+               {rnd('max(total_revenue) / sum(total_revenue)', 4)} AS max_revenue_share, count(*) AS n FROM scored),
+  f AS (SELECT count(CASE WHEN coalesce(forecast_vs_historical, 0.0) > 0 THEN 1 END) AS branches_growing,
+               count(CASE WHEN coalesce(forecast_vs_historical, 0.0) < 0 THEN 1 END) AS branches_declining FROM fc_summary)
+  SELECT CAST(strong_branches AS BIGINT) AS strong_branches, CAST(weak_branches AS BIGINT) AS weak_branches,
+    strong_branch_names, weak_branch_names, avg_composite, max_revenue_share, max_revenue_share > 0.35 AS revenue_concentrated,
+    CAST(branches_growing AS BIGINT) AS branches_growing, CAST(branches_declining AS BIGINT) AS branches_declining,
+    {rnd('(strong_branches / n + (1 - weak_branches / n) + least(avg_composite / 0.7, 1.0) + branches_growing / greatest(n, 1)) / 4', 4)}
+      AS network_health_score
+  FROM h CROSS JOIN f)"""
+
+_IDEAL = [("avg_monthly_revenue", "Target monthly revenue (first year)"), ("total_customers", "Target customer base"),
+          ("avg_ticket_size", "Target average ticket size"), ("num_employees", "Recommended starting staff"),
+          ("avg_shift_hours", "Average shift length (hours)"), ("beverage_ratio", "Target beverage revenue share"),
+          ("repeat_rate", "Target customer repeat rate")]
+IDEAL_CTE = f"""ideal AS (
+  WITH r AS (SELECT *, row_number() OVER ({_ord}) AS rk FROM scored),
+  l AS ({" UNION ALL ".join(f"SELECT branch, rk, '{m}' AS metric, '{lab}' AS label, {i} AS metric_order, CAST({m} AS DOUBLE) AS value FROM r" for i, (m, lab) in enumerate(_IDEAL))}),
+  a AS (SELECT metric, label, metric_order, avg(value) FILTER (WHERE rk <= 2) AS top, avg(value) AS net FROM l GROUP BY 1, 2, 3),
+  c AS (SELECT avg(table_share) AS t, avg(takeaway_share) AS ta, avg(delivery_share) AS d,
+          string_agg(branch, ', ' ORDER BY rk) AS based_on FROM r WHERE rk <= 2)
+  SELECT a.metric, label, CAST(metric_order AS INTEGER) AS metric_order, {rnd('top', 2)} AS top_performer_avg,
+    {rnd('net', 2)} AS network_average, {rnd('coalesce(b.median, net)', 2)} AS benchmark_median,
+    {rnd('(top + coalesce(b.median, net)) / 2', 2)} AS recommended_target, based_on,
+    CASE WHEN t > 0.7 THEN 'TABLE (dine-in)' WHEN ta > 0.7 THEN 'TAKE AWAY' ELSE 'MIXED (table + takeaway)' END
+      AS recommended_channel_focus,
+    {rnd('t', 4)} AS channel_table, {rnd('ta', 4)} AS channel_takeaway, {rnd('d', 4)} AS channel_delivery
+  FROM a LEFT JOIN bench b ON b.metric = a.metric CROSS JOIN c)"""
+
+RISKS_CTE = f"""risks AS (
+  SELECT 1 AS risk_order, 'Underperforming existing branch' AS risk, 'HIGH' AS severity,
+    string_agg(branch, ', ' {_ord}) || ' has a composite score below 0.4. Expanding while an existing branch struggles may spread resources too thin.' AS detail,
+    'Stabilize ' || string_agg(branch, ', ' {_ord}) || ' before expanding, or consider relocating.' AS mitigation
+  FROM scored WHERE composite_score < 0.4 HAVING count(*) > 0
+  UNION ALL
+  SELECT 2, 'High revenue volatility', 'MEDIUM',
+    'Average revenue coefficient of variation is ' || {num_text_sql('cv', 2)} || '. Demand is unpredictable, making ROI projections uncertain.',
+    'Build conservative financial projections with wide margins.'
+  FROM (SELECT avg(revenue_cv) AS cv FROM scored) WHERE cv > 0.7
+  UNION ALL
+  SELECT 3, 'Short data history', 'MEDIUM',
+    'Only 4-5 months of sales data available. Seasonal patterns and long-term trends cannot be reliably estimated.',
+    'Collect 12+ months of data before committing major capital.'
+  UNION ALL
+  SELECT 4, 'Missing operational data', 'LOW',
+    'No attendance/staffing data for [' || string_agg('''' || branch || '''', ', ' {_ord}) || ']. Staffing benchmarks may be incomplete.',
+    'Ensure all branches track attendance before using staffing models.'
+  FROM scored WHERE num_employees = 0 HAVING count(*) > 0
+  UNION ALL
+  SELECT 5, 'Declining branch revenue', 'HIGH',
+    string_agg(branch, ', ' ORDER BY branch) || ' is forecasted to decline. Network-wide demand may not support a new location.',
+    'Investigate root cause of decline before expansion.'
+  FROM fc_summary WHERE coalesce(forecast_vs_historical, 0.0) < -0.1 HAVING count(*) > 0)"""
+
+VERDICT_CTE = """verdict AS (
+  WITH x AS (SELECT network_health_score AS s, (SELECT count(*) FROM risks WHERE severity = 'HIGH') AS n FROM health),
+  y AS (SELECT *, CASE WHEN s >= 0.7 AND n = 0 THEN 'GO' WHEN s >= 0.5 AND n <= 1 THEN 'CONDITIONAL GO'
+                  ELSE 'NOT RECOMMENDED' END AS verdict FROM x)
+  SELECT verdict, CASE verdict
+    WHEN 'GO' THEN 'The network is healthy with strong growth across branches. No high-severity risks identified. Expansion is recommended.'
+    WHEN 'CONDITIONAL GO' THEN 'The network shows moderate health with some risks. Expansion is feasible but should address identified risks first. Recommend a phased approach.'
+    ELSE 'The network has significant weaknesses or multiple high-severity risks. Focus on strengthening existing operations before expanding.' END AS rationale,
+    CAST(""" + rnd("s", 2) + """ AS VARCHAR) AS health_score, CAST(n AS VARCHAR) AS high_risks FROM y)"""
+
+ASSESS_SQL = f"""
+SELECT 1 AS row_order, 'Verdict' AS category, 'Expansion Recommendation' AS metric, verdict AS value, rationale AS detail FROM verdict
+UNION ALL SELECT 2, 'Network Health', 'Health Score', {num_text_sql('network_health_score', 4)},
+  CAST(strong_branches AS VARCHAR) || ' strong, ' || CAST(weak_branches AS VARCHAR) || ' weak branches' FROM health
+UNION ALL SELECT 3, 'Network Health', 'Growing Branches', CAST(branches_growing AS VARCHAR),
+  CAST(branches_declining AS VARCHAR) || ' declining' FROM health
+UNION ALL SELECT 10 + metric_order, 'Ideal Profile', label, {num_text_sql('recommended_target', 2)},
+  'Top performer avg: ' || {num_text_sql('top_performer_avg', 2)} || ', Network avg: ' || {num_text_sql('network_average', 2)} FROM ideal
+UNION ALL SELECT 30, 'Ideal Profile', 'Recommended Channel Focus', recommended_channel_focus,
+  '{{''table'': ' || {num_text_sql('channel_table', 4)} || ', ''takeaway'': ' || {num_text_sql('channel_takeaway', 4)}
+  || ', ''delivery'': ' || {num_text_sql('channel_delivery', 4)} || '}}' FROM ideal WHERE metric_order = 0
+UNION ALL SELECT 40 + risk_order, 'Risk', risk, severity, detail FROM risks"""
+
+EXP_SUMMARY_SQL = f"""
+, t AS (SELECT string_agg(metric || '=' || {num_text_sql('recommended_target', 2)}, '; ' ORDER BY metric_order) AS new_branch_targets,
+          min(recommended_channel_focus) AS recommended_channel_focus FROM ideal),
+tb AS (SELECT string_agg('''' || branch || '''', ', ' {_ord}) AS names FROM scored WHERE table_share > 0.9 AND takeaway_share < 0.05),
+best AS (SELECT branch AS model_to_replicate, composite_score AS model_composite,
+  concat_ws('; ', CASE WHEN score_growth > 0.8 THEN 'Strong growth momentum' END, CASE WHEN score_revenue > 0.8 THEN 'High revenue' END,
+    CASE WHEN score_efficiency > 0.8 THEN 'High operational efficiency' END,
+    CASE WHEN score_customers > 0.8 THEN 'Large customer base' END) AS model_key_strengths
+  FROM scored {_ord} LIMIT 1)
+SELECT v.verdict, v.rationale, h.network_health_score, h.strong_branch_names AS strong_branches,
+  h.weak_branch_names AS weak_branches, h.branches_growing, h.branches_declining, t.new_branch_targets,
+  t.recommended_channel_focus, (SELECT CAST(count(*) AS BIGINT) FROM risks WHERE severity = 'HIGH') AS high_risk_count,
+  CASE WHEN tb.names IS NOT NULL THEN 'Branches [' || tb.names || '] are 100% dine-in. A new location near these areas with a takeaway/delivery focus could capture unserved demand without cannibalizing existing sales.'
+       ELSE 'Consider areas with high foot traffic and limited existing coverage. A dine-in focused location aligns with the strongest branch profiles.' END AS location_insight,
+  best.*
+FROM verdict v CROSS JOIN health h CROSS JOIN t CROSS JOIN tb CROSS JOIN best"""
+
+
+def expansion_with(*ctes: str) -> str:
+    return demand_with("fc_summary", bindings=("tax_report", "attendance"), more=list(ctes))
+
+
+_EXP = [SCORECARD_CTE, SCORED_CTE]
+ORACLES.update({
+    "scorecard": expansion_with(SCORECARD_CTE) + "SELECT * FROM sc",
+    "composite_score": expansion_with(*_EXP) + "SELECT * FROM scored",
+    "benchmarks": expansion_with(*_EXP, BENCH_CTE) + "SELECT * FROM bench",
+    "branch_comparison": expansion_with(*_EXP) + f"""
+, r AS (SELECT *, row_number() OVER ({_ord}) AS rk FROM scored)
+SELECT a.branch AS branch_a, b.branch AS branch_b,
+  CAST({" + ".join(f"CAST(a.{s} > b.{s} AS INTEGER)" for s in _SC)} AS INTEGER) AS dimension_wins_a,
+  CAST({" + ".join(f"CAST(b.{s} > a.{s} AS INTEGER)" for s in _SC)} AS INTEGER) AS dimension_wins_b,
+  {rnd('a.composite_score', 4)} AS composite_a, {rnd('b.composite_score', 4)} AS composite_b,
+  {rnd('abs(a.composite_score - b.composite_score)', 4)} AS composite_gap,
+  CASE WHEN a.composite_score > b.composite_score THEN a.branch ELSE b.branch END AS stronger_branch
+FROM r a JOIN r b ON a.rk < b.rk""",
+    "network_health": expansion_with(*_EXP, HEALTH_CTE) + "SELECT * FROM health",
+    "ideal_profile": expansion_with(*_EXP, BENCH_CTE, IDEAL_CTE) + "SELECT * FROM ideal",
+    "risk_register": expansion_with(*_EXP, RISKS_CTE) + "SELECT * FROM risks",
+    "verdict": expansion_with(*_EXP, HEALTH_CTE, RISKS_CTE, VERDICT_CTE) + "SELECT * FROM verdict",
+    "assessment_table": expansion_with(*_EXP, BENCH_CTE, HEALTH_CTE, IDEAL_CTE, RISKS_CTE, VERDICT_CTE) + ASSESS_SQL,
+    "expansion_summary": expansion_with(*_EXP, BENCH_CTE, HEALTH_CTE, IDEAL_CTE, RISKS_CTE, VERDICT_CTE) + EXP_SUMMARY_SQL,
+})
