@@ -312,3 +312,63 @@ def q_assessment_table(spark, sf_dir):
 def q_expansion_summary(spark, sf_dir):
     scored, bench, health, ideal, risks, verd = expansion_parts(Bindings(spark, sf_dir))
     return exp.expansion_summary(scored, health, ideal, risks, verd)
+
+
+# ------------------------------------------------------------ category growth
+from ..operators import category as cat  # noqa: E402
+
+
+def items_c_of(b: Bindings) -> DataFrame:
+    return cat.classify_items(b.sales_by_item(), P.CATEGORY_RULES, P.CATEGORY_DIVISIONS)
+
+
+def cat_summary_of(b: Bindings) -> DataFrame:
+    return cat.category_summary(items_c_of(b), b.division_summary())
+
+
+def gaps_of(b: Bindings) -> DataFrame:
+    return cat.growth_gaps(items_c_of(b), cat_summary_of(b))
+
+
+def actions_of(b: Bindings) -> DataFrame:
+    return cat.strategy_actions(gaps_of(b), cat_summary_of(b))
+
+
+def opps_of(b: Bindings) -> DataFrame:
+    return cat.product_opportunities(cat.product_performance(items_c_of(b)))
+
+
+@register("classify_items")
+def q_classify_items(spark, sf_dir):
+    return items_c_of(Bindings(spark, sf_dir))
+
+
+@register("category_summary")
+def q_category_summary(spark, sf_dir):
+    return cat_summary_of(Bindings(spark, sf_dir))
+
+
+@register("product_performance")
+def q_product_performance(spark, sf_dir):
+    return cat.product_performance(items_c_of(Bindings(spark, sf_dir)))
+
+
+@register("growth_gaps")
+def q_growth_gaps(spark, sf_dir):
+    return gaps_of(Bindings(spark, sf_dir))
+
+
+@register("strategy_actions")
+def q_strategy_actions(spark, sf_dir):
+    return actions_of(Bindings(spark, sf_dir))
+
+
+@register("product_opportunities")
+def q_product_opportunities(spark, sf_dir):
+    return opps_of(Bindings(spark, sf_dir))
+
+
+@register("category_growth_summary")
+def q_category_growth_summary(spark, sf_dir):
+    b = Bindings(spark, sf_dir)
+    return cat.category_growth_summary(cat_summary_of(b), actions_of(b), opps_of(b))

@@ -777,3 +777,140 @@ FROM r a JOIN r b ON a.rk < b.rk""",
     "assessment_table": expansion_with(*_EXP, BENCH_CTE, HEALTH_CTE, IDEAL_CTE, RISKS_CTE, VERDICT_CTE) + ASSESS_SQL,
     "expansion_summary": expansion_with(*_EXP, BENCH_CTE, HEALTH_CTE, IDEAL_CTE, RISKS_CTE, VERDICT_CTE) + EXP_SUMMARY_SQL,
 })
+
+
+# ------------------------------------------------------------ category
+def classify_sql(desc: str = "description", division: str = "division") -> str:
+    parts = []
+    for cat, kws in P.CATEGORY_RULES:
+        cond = " OR ".join(f"contains(upper({desc}), {sq(k)})" for k in kws)
+        parts.append(f"WHEN {cond} THEN '{cat}'")
+    return (f"(CASE {' '.join(parts)} WHEN {division} IN {in_list(P.CATEGORY_DIVISIONS)} THEN 'other_beverage' "
+            f"ELSE 'non_beverage' END)")
+
+
+_FOCUS = "('coffee', 'milkshake', 'frappe')"
+ITEMS_C_CTE = f"""items_c AS (SELECT *, {classify_sql()} AS bev_category FROM sales_by_item)"""
+CAT_SUMMARY_CTE = f"""cat_summary AS (
+  WITH t AS (SELECT branch, description, qty, total_amount, bev_category AS category FROM items_c
+             UNION ALL SELECT branch, description, qty, total_amount, 'all_beverages' FROM items_c
+             WHERE bev_category <> 'non_beverage'),
+  a AS (SELECT branch, category, count(DISTINCT description) AS np, sum(qty) AS q, sum(total_amount) AS r FROM t
+        WHERE category IN ('coffee', 'milkshake', 'frappe', 'other_beverage', 'all_beverages') GROUP BY 1, 2),
+  sc AS (SELECT DISTINCT branch, c.category FROM items_c, (VALUES ('coffee'), ('milkshake'), ('frappe'),
+           ('other_beverage'), ('all_beverages')) c(category)),
+  isum AS (SELECT branch, sum(total_amount) AS s FROM items_c GROUP BY branch),
+  it AS (SELECT branch, total AS it FROM division_summary WHERE division = 'ITEMS'),
+  j AS (SELECT sc.branch, sc.category, coalesce(np, 0) AS np, coalesce(q, 0.0) AS q, coalesce(r, 0.0) AS r,
+          coalesce(it.it, isum.s) AS bt
+        FROM sc LEFT JOIN a ON a.branch = sc.branch AND a.category = sc.category
+        LEFT JOIN isum ON isum.branch = sc.branch LEFT JOIN it ON it.branch = sc.branch)
+  SELECT branch, category, CAST(np AS BIGINT) AS num_products, q AS total_qty, {rnd('r', 2)} AS total_revenue,
+    {rnd('CASE WHEN q > 0 THEN r / q ELSE 0.0 END', 2)} AS avg_unit_price,
+    {rnd('CASE WHEN bt > 0 THEN r / bt ELSE 0.0 END', 6)} AS revenue_share,
+    {rnd('CASE WHEN np > 0 THEN q / np ELSE 0.0 END', 2)} AS qty_per_product
+  FROM j)"""
+
+PERF_CTE = f"""perf AS (
+  WITH bev AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY branch ORDER BY total_amount DESC) AS INTEGER) AS branch_rank
+               FROM items_c WHERE bev_category IN {_FOCUS}),
+  net AS (SELECT description, sum(qty) AS network_qty, sum(total_amount) AS nr, count(DISTINCT branch) AS bs,
+            avg(qty) AS aq FROM bev GROUP BY description),
+  nb AS (SELECT count(DISTINCT branch) AS nb FROM items_c)
+  SELECT branch, bev.description, bev_category, division, grp, qty, total_amount, {rnd('unit_price', 6)} AS unit_price,
+    branch_rank, network_qty, {rnd('nr', 2)} AS network_revenue, CAST(bs AS BIGINT) AS branches_sold,
+    {rnd('bs / nb', 4)} AS branch_penetration,
+    {rnd('CASE WHEN aq > 0 THEN (qty - aq) / aq ELSE 0.0 END', 4)} AS qty_vs_network_avg
+  FROM bev LEFT JOIN net ON net.description = bev.description CROSS JOIN nb)"""
+
+GAPS_CTE = f"""gaps AS (
+  WITH cs AS (SELECT * FROM cat_summary WHERE category IN {_FOCUS}),
+  st AS (SELECT category, avg(revenue_share) AS avs, avg(total_qty) AS avq,
+           first(branch ORDER BY revenue_share DESC, branch) AS benchmark_branch, max(revenue_share) AS best
+         FROM cs GROUP BY category),
+  g AS (SELECT cs.*, avs, avq, benchmark_branch, best, avs - revenue_share AS sg, avq - total_qty AS qg
+        FROM cs JOIN st ON st.category = cs.category WHERE avs - revenue_share > 0 OR avq - total_qty > 0),
+  have AS (SELECT DISTINCT branch, bev_category AS category, description FROM items_c WHERE bev_category IN {_FOCUS}),
+  bi AS (SELECT h.category, h.description FROM have h JOIN st ON st.category = h.category AND h.branch = st.benchmark_branch),
+  miss AS (SELECT g.branch, g.category, bi.description FROM g JOIN bi ON bi.category = g.category
+           WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.branch = g.branch AND h.category = g.category
+                             AND h.description = bi.description)),
+  mc AS (SELECT branch, category, count(*) AS m, string_agg(description, '; ' ORDER BY description) AS ml
+         FROM miss GROUP BY 1, 2)
+  SELECT g.branch, g.category, {rnd('revenue_share', 6)} AS current_revenue_share, {rnd('avs', 6)} AS network_avg_share,
+    {rnd('best', 6)} AS best_branch_share, {rnd('sg', 6)} AS share_gap_vs_avg,
+    {rnd('best - revenue_share', 6)} AS share_gap_vs_best, total_qty AS current_qty, {rnd('avq', 2)} AS network_avg_qty,
+    {rnd('qg', 2)} AS qty_gap, benchmark_branch, CAST(coalesce(m, 0) AS BIGINT) AS missing_products,
+    coalesce(ml, '') AS missing_product_list
+  FROM g LEFT JOIN mc ON mc.branch = g.branch AND mc.category = g.category)"""
+
+_gap_units = f"CAST(CAST({rnd('qty_gap', 0)} AS BIGINT) AS VARCHAR)"
+ACTIONS_CTE = f"""actions AS (
+  WITH j AS (SELECT g.*, s.total_qty AS cq0, s.avg_unit_price AS ap,
+               CAST(row_number() OVER (ORDER BY share_gap_vs_best DESC, g.branch, g.category) AS INTEGER) AS priority
+             FROM gaps g LEFT JOIN cat_summary s ON s.branch = g.branch AND s.category = g.category)
+  SELECT priority, branch, category,
+    CASE WHEN missing_products > 0 AND qty_gap > 20 THEN 'INTRODUCE_AND_PROMOTE' WHEN missing_products > 0 THEN 'INTRODUCE'
+         WHEN qty_gap > 20 THEN 'PROMOTE' ELSE 'OPTIMIZE' END AS action_type,
+    CASE WHEN missing_products > 0 AND qty_gap > 20 THEN 'Add ' || CAST(missing_products AS VARCHAR) || ' missing ' || category
+           || ' products and run promotions to close the ' || {_gap_units} || '-unit gap vs ' || benchmark_branch || '.'
+         WHEN missing_products > 0 THEN 'Add ' || CAST(missing_products AS VARCHAR) || ' missing ' || category
+           || ' products from ' || benchmark_branch || '''s menu.'
+         WHEN qty_gap > 20 THEN 'Run targeted promotions on existing ' || category || ' products to close the '
+           || {_gap_units} || '-unit gap vs ' || benchmark_branch || '.'
+         ELSE 'Fine-tune ' || category || ' pricing and placement to close the small gap vs ' || benchmark_branch || '.'
+    END AS description,
+    current_revenue_share, {rnd('best_branch_share * 0.75', 6)} AS target_revenue_share, share_gap_vs_best,
+    coalesce(cq0, 0.0) AS current_qty, {rnd('coalesce(cq0, 0.0) + qty_gap * 0.75', 0)} AS target_qty,
+    {rnd('CASE WHEN qty_gap > 0 THEN qty_gap * 0.75 * coalesce(ap, 0.0) ELSE 0.0 END', 2)} AS estimated_revenue_uplift,
+    missing_products, benchmark_branch
+  FROM j)"""
+
+OPPS_CTE = f"""opps AS (
+  WITH cat AS (SELECT bev_category AS category, description AS product, avg(qty) AS aq,
+                 first(unit_price ORDER BY branch, division, unit_price) AS up FROM perf GROUP BY 1, 2),
+  br AS (SELECT DISTINCT branch FROM perf)
+  SELECT branch, bev_category AS category, description AS product, 'BOOST_EXISTING' AS opportunity_type,
+    qty AS current_qty, {rnd('network_qty / branches_sold', 1)} AS network_avg_qty,
+    {rnd('qty_vs_network_avg * 100', 1)} AS qty_gap_pct, {rnd('total_amount', 2)} AS current_revenue,
+    {rnd('unit_price', 2)} AS unit_price
+  FROM perf WHERE qty_vs_network_avg < -0.3
+  UNION ALL
+  SELECT br.branch, cat.category, cat.product, 'ADD_NEW', 0.0, {rnd('aq', 1)}, -100.0, 0.0, {rnd('up', 2)}
+  FROM br, cat WHERE NOT EXISTS (SELECT 1 FROM perf p WHERE p.branch = br.branch AND p.bev_category = cat.category
+                                 AND p.description = cat.product))"""
+
+CAT_GROWTH_SQL = f"""
+, ab AS (SELECT * FROM cat_summary WHERE category = 'all_beverages'),
+net AS (SELECT first(branch ORDER BY revenue_share DESC, branch) AS best_beverage_branch,
+          {rnd('max(revenue_share)', 4)} AS best_beverage_share,
+          first(branch ORDER BY revenue_share ASC, branch) AS worst_beverage_branch,
+          {rnd('min(revenue_share)', 4)} AS worst_beverage_share,
+          {rnd('avg(revenue_share)', 4)} AS network_avg_beverage_share FROM ab),
+tot AS (SELECT CAST(count(*) AS BIGINT) AS total_actions,
+          {rnd('coalesce(sum(estimated_revenue_uplift), 0.0)', 2)} AS total_estimated_uplift FROM actions),
+tot_o AS (SELECT CAST(count(*) AS BIGINT) AS total_product_opportunities FROM opps),
+per AS (SELECT branch, CAST(count(*) AS BIGINT) AS num_actions, {rnd('sum(estimated_revenue_uplift)', 2)} AS estimated_uplift,
+          arg_min(category, priority) AS top_priority_category, arg_min(action_type, priority) AS top_priority_action
+        FROM actions GROUP BY branch),
+po AS (SELECT branch, count(CASE WHEN opportunity_type = 'ADD_NEW' THEN 1 END) AS pa,
+          count(CASE WHEN opportunity_type = 'BOOST_EXISTING' THEN 1 END) AS pb FROM opps GROUP BY branch)
+SELECT per.branch, num_actions, estimated_uplift, CAST(coalesce(pa, 0) AS BIGINT) AS products_to_add,
+  CAST(coalesce(pb, 0) AS BIGINT) AS products_to_boost, top_priority_category, top_priority_action,
+  net.*, tot.total_actions, tot_o.total_product_opportunities, tot.total_estimated_uplift
+FROM per LEFT JOIN po ON po.branch = per.branch CROSS JOIN net CROSS JOIN tot CROSS JOIN tot_o"""
+
+
+def category_with(*ctes: str) -> str:
+    return with_("sales_lines", "sales_by_item", "division_summary", extra=[ITEMS_C_CTE, *ctes])
+
+
+ORACLES.update({
+    "classify_items": category_with() + "SELECT * FROM items_c",
+    "category_summary": category_with(CAT_SUMMARY_CTE) + "SELECT * FROM cat_summary",
+    "product_performance": category_with(PERF_CTE) + "SELECT * FROM perf",
+    "growth_gaps": category_with(CAT_SUMMARY_CTE, GAPS_CTE) + "SELECT * FROM gaps",
+    "strategy_actions": category_with(CAT_SUMMARY_CTE, GAPS_CTE, ACTIONS_CTE) + "SELECT * FROM actions",
+    "product_opportunities": category_with(PERF_CTE, OPPS_CTE) + "SELECT * FROM opps",
+    "category_growth_summary": category_with(CAT_SUMMARY_CTE, GAPS_CTE, ACTIONS_CTE, PERF_CTE, OPPS_CTE) + CAT_GROWTH_SQL,
+})
