@@ -372,3 +372,88 @@ def q_product_opportunities(spark, sf_dir):
 def q_category_growth_summary(spark, sf_dir):
     b = Bindings(spark, sf_dir)
     return cat.category_growth_summary(cat_summary_of(b), actions_of(b), opps_of(b))
+
+
+# ------------------------------------------------------------ report text (round trip)
+from ..operators import parsers as prs  # noqa: E402
+from ..sources import render as rnd_  # noqa: E402
+from ..sources import reports as rep  # noqa: E402
+
+
+def branch_names(b: Bindings) -> DataFrame:
+    return b.table("region").select(F.col("r_name").alias("branch"))
+
+
+@register("parse_tax_report")
+def q_parse_tax_report(spark, sf_dir):
+    return prs.parse_tax_report(rnd_.tax_report(Bindings(spark, sf_dir).tax_report()))
+
+
+@register("parse_monthly_sales")
+def q_parse_monthly_sales(spark, sf_dir):
+    return prs.parse_monthly_sales(rnd_.monthly_sales(Bindings(spark, sf_dir).monthly_sales()))
+
+
+@register("parse_avg_sales")
+def q_parse_avg_sales(spark, sf_dir):
+    b = Bindings(spark, sf_dir)
+    return prs.parse_avg_sales(rnd_.avg_sales(b.avg_sales()), branches=branch_names(b))
+
+
+@register("parse_attendance")
+def q_parse_attendance(spark, sf_dir):
+    return prs.parse_attendance(rnd_.attendance(Bindings(spark, sf_dir).attendance()))
+
+
+@register("parse_sales_by_item")
+def q_parse_sales_by_item(spark, sf_dir):
+    return prs.parse_sales_by_item(rnd_.sales_by_item(Bindings(spark, sf_dir).sales_by_item()))
+
+
+@register("parse_sales_by_customer")
+def q_parse_sales_by_customer(spark, sf_dir):
+    return prs.parse_sales_by_customer(rnd_.sales_by_customer(Bindings(spark, sf_dir).sales_lines()))
+
+
+@register("parse_customer_orders")
+def q_parse_customer_orders(spark, sf_dir):
+    b = Bindings(spark, sf_dir)
+    return prs.parse_customer_orders(rnd_.customer_orders(b.customer_orders()), branches=branch_names(b),
+                                     customer_re=r"^Customer#\d+")
+
+
+@register("parse_division_summary")
+def q_parse_division_summary(spark, sf_dir):
+    return prs.parse_division_summary(rnd_.division_summary(Bindings(spark, sf_dir).division_summary()))
+
+
+@register("noise_filter")
+def q_noise_filter(spark, sf_dir):
+    b = Bindings(spark, sf_dir)
+    lines = (rnd_.tax_report(b.tax_report()).withColumn("report_id", F.concat(F.lit("tax:"), "report_id"))
+             .unionByName(rnd_.monthly_sales(b.monthly_sales())
+                          .withColumn("report_id", F.concat(F.lit("monthly:"), "report_id"))))
+    noise = rep.is_noise("line") | rep.is_page_header("line")
+    return lines.groupBy("report_id").agg(F.count(F.when(~noise, 1)).alias("kept_lines"),
+                                          F.count(F.when(noise, 1)).alias("dropped_lines"))
+
+
+@register("report_lines")
+def q_report_lines(spark, sf_dir):
+    """SRC-1/SRC-3: rendered reports written as text files, read back in order."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/retailops-reports/{uuid.uuid4().hex}"
+    rep.write_report_text(rnd_.tax_report(Bindings(spark, sf_dir).tax_report()), path)
+    return rep.read_report_lines(spark, f"{path}/*/*.txt")
+
+
+@register("dataset_catalog")
+def q_dataset_catalog(spark, sf_dir):
+    from ..sources.tables import dataset_catalog
+    b = Bindings(spark, sf_dir)
+    return dataset_catalog({n: getattr(b, n)() for n in TIDY})
+
+
+TIDY = ["division_summary", "tax_report", "attendance", "sales_lines", "customer_orders", "sales_by_item",
+        "monthly_sales", "avg_sales"]

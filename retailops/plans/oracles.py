@@ -914,3 +914,42 @@ ORACLES.update({
     "product_opportunities": category_with(PERF_CTE, OPPS_CTE) + "SELECT * FROM opps",
     "category_growth_summary": category_with(CAT_SUMMARY_CTE, GAPS_CTE, ACTIONS_CTE, PERF_CTE, OPPS_CTE) + CAT_GROWTH_SQL,
 })
+
+
+# ------------------------------------------------------------ report round trips
+ORACLES.update({
+    "parse_tax_report": with_("tax_report") + "SELECT branch, vat, total_tax FROM tax_report",
+    "parse_monthly_sales": with_("monthly_sales") + "SELECT * FROM monthly_sales",
+    "parse_avg_sales": with_("avg_sales") + "SELECT * FROM avg_sales",
+    "parse_attendance": with_("attendance") + """
+SELECT CAST(emp_id AS VARCHAR) AS emp_id, emp_name, branch, date_trunc('second', punch_in) AS punch_in,
+  date_trunc('second', punch_out) AS punch_out, work_seconds / 3600.0 AS work_duration_hours FROM attendance""",
+    "parse_sales_by_item": with_("sales_by_item") + """
+SELECT branch, division, grp, description, qty, total_amount,
+  CASE WHEN qty > 0 THEN total_amount / qty ELSE 0.0 END AS unit_price FROM sales_by_item""",
+    "parse_sales_by_customer": with_("sales_lines") + f"""
+SELECT branch, customer, {rnd('qty', 2)} AS qty, description, {rnd('price', 2)} AS price, qty < 0 AS is_cancellation
+FROM sales_lines""",
+    "parse_customer_orders": with_("customer_orders") + """
+SELECT branch, customer, '' AS phone, first_order, last_order, total, num_orders FROM customer_orders""",
+    "parse_division_summary": with_("division_summary") + "SELECT * FROM division_summary",
+    "noise_filter": with_("tax_report", "monthly_sales") + """
+SELECT 'tax:' || branch AS report_id, CAST(6 AS BIGINT) AS kept_lines, CAST(3 AS BIGINT) AS dropped_lines FROM tax_report
+UNION ALL
+SELECT 'monthly:' || branch, CAST(6 + count(*) + count(DISTINCT year) AS BIGINT), CAST(3 AS BIGINT)
+FROM monthly_sales GROUP BY branch""",
+    "dataset_catalog": with_("division_summary", "tax_report", "attendance", "sales_lines", "customer_orders",
+                             "sales_by_item", "monthly_sales", "avg_sales") + " UNION ALL ".join(
+        f"SELECT '{n}' AS dataset, count(*) AS rows, CAST({k} AS BIGINT) AS columns, '{cols}' AS column_names FROM {n}"
+        for n, k, cols in [
+            ("division_summary", 6, "branch, division, delivery, dine_in, take_away, total"),
+            ("tax_report", 3, "branch, vat, total_tax"),
+            ("attendance", 7, "emp_id, emp_name, branch, punch_in, punch_out, work_seconds, work_duration_hours"),
+            ("sales_lines", 13, "branch, customer, order_id, order_ts, division, grp, item, description, qty, price, "
+                                "tax_rate, is_cancellation, channel"),
+            ("customer_orders", 6, "branch, customer, first_order, last_order, total, num_orders"),
+            ("sales_by_item", 7, "branch, division, grp, description, qty, total_amount, unit_price"),
+            ("monthly_sales", 6, "branch, month, month_num, year, total, date"),
+            ("avg_sales", 5, "branch, menu_channel, num_customers, sales, avg_per_customer"),
+        ]),
+})
