@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "rnd", "safe_div", "parse_number", "clean_text", "strip_description",
     "item_key", "word_set_key", "strip_numeric_prefix", "repair_quotes",
-    "parse_ts", "duration_hours", "shift_type", "ceil9", "col_or",
+    "parse_ts", "duration_hours", "shift_type", "ceil9", "col_or", "num_text",
     "NUMBER_RE", "SHIFT_BINS", "SHIFT_LABELS",
 ]
 
@@ -107,3 +107,8 @@ def shift_type(hour: Column | str) -> Column:
 def ceil9(c: Column | str) -> Column:
     """``ceil`` after rounding to 9 dp, so 2.0000000001 from float noise stays 2."""
     return F.ceil(rnd(c, 9)).cast("bigint")
+
+
+def num_text(c: Column | str, d: int = 2) -> Column:
+    """Number as text with ``d`` decimals, rounded half up through DECIMAL."""
+    return rnd(c, d).cast(f"decimal(38,{d})").cast("string")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import global_rank, minmax_scale
-from ..functions.scalars import item_key, rnd, word_set_key
+from ..functions.scalars import item_key, num_text, rnd, word_set_key
 
 # Modifier groups and description patterns of the reference
 # (groups compare against the upper-cased, trimmed item-meta description;
@@ -306,10 +306,11 @@ def combo_summary(two: DataFrame, three: DataFrame, by_branch: DataFrame,
     best = (by_branch.where(F.col("branch_rank") == 1)
             .agg(F.array_join(F.array_sort(F.collect_list(
                 F.concat_ws(": ", "branch", "combo_name"))), "; ").alias("top_combo_per_branch")))
-    lead = two.where(F.col("rank") == 1).select(
-        F.format_string(
-            "The strongest combo is '%s' with a lift of %.1fx (customers who buy %s are %.0fx more likely "
-            "to also buy %s). Recommend offering this as a bundled deal with ~%d%% discount.",
-            "combo_name", "lift", "antecedent", "lift", "consequent", "suggested_discount_pct").alias("key_insight"))
+    lead = two.where(F.col("rank") == 1).select(F.concat(
+        F.lit("The strongest combo is '"), F.col("combo_name"), F.lit("' with a lift of "), num_text("lift", 1),
+        F.lit("x (customers who buy "), F.col("antecedent"), F.lit(" are "), num_text("lift", 0),
+        F.lit("x more likely to also buy "), F.col("consequent"),
+        F.lit("). Recommend offering this as a bundled deal with ~"), F.col("suggested_discount_pct").cast("string"),
+        F.lit("% discount.")).alias("key_insight"))
     one = c2.crossJoin(c3).crossJoin(top5).crossJoin(top3).crossJoin(best)
     return one.join(lead, how="left")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import baskets as bsk
@@ -457,3 +457,104 @@ def q_dataset_catalog(spark, sf_dir):
 
 TIDY = ["division_summary", "tax_report", "attendance", "sales_lines", "customer_orders", "sales_by_item",
         "monthly_sales", "avg_sales"]
+
+
+# ------------------------------------------------------------ scalar functions over table text
+from ..functions import scalars as S  # noqa: E402
+
+
+@register("parse_number")
+def q_parse_number(spark, sf_dir):
+    li = Bindings(spark, sf_dir).table("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    t = F.format_number("l_extendedprice", 2)
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        S.parse_number(t).alias("plain"), S.parse_number(F.concat(F.lit(' "'), t, F.lit('" '))).alias("quoted"),
+        S.parse_number(F.concat(F.lit("-"), t)).alias("negative"), S.parse_number(F.lit("-")).alias("dash"),
+        S.parse_number(F.concat(F.lit("x"), t)).alias("junk"))
+
+
+@register("clean_text")
+def q_clean_text(spark, sf_dir):
+    p = Bindings(spark, sf_dir).table("part").select("p_partkey", "p_name")
+    messy = F.concat(F.lit('  "., '), F.replace(F.col("p_name"), F.lit(" "), F.lit("   ")), F.lit('.,"  '))
+    return p.select("p_partkey", S.clean_text(messy).alias("cleaned"),
+                    S.strip_description(F.concat(F.lit("  "), messy)).alias("stripped"))
+
+
+@register("item_key")
+def q_item_key(spark, sf_dir):
+    s = Bindings(spark, sf_dir).sales_lines().select("description").distinct()
+    return s.select("description", S.item_key(F.concat(F.lit(" "), F.lower("description"), F.lit(" ..,"))).alias("key"),
+                    S.item_key(F.concat(F.col("description"), F.lit(" ."))).alias("key_blank"))
+
+
+@register("word_set_key")
+def q_word_set_key(spark, sf_dir):
+    p = Bindings(spark, sf_dir).table("part").select("p_partkey", "p_name", "p_brand")
+    return p.select("p_partkey",
+                    S.word_set_key(F.concat_ws(" ", "p_brand", "p_name")).alias("ws"),
+                    S.word_set_key(F.concat_ws("  ", "p_name", "p_brand", "p_name")).alias("ws_swapped"))
+
+
+# ------------------------------------------------------------ answers
+from ..operators import answers as ans  # noqa: E402
+
+
+def nation_branches(b: Bindings) -> DataFrame:
+    """Link candidates in list order: longest names first (NATION_12 before NATION_1)."""
+    n = b.table("nation").select(F.col("n_name").alias("branch"), "n_nationkey")
+    w = Window.orderBy(F.desc(F.length("branch")), "n_nationkey")  # 25 rows by the schema
+    return n.select("branch", F.row_number().over(w).alias("list_pos"))
+
+
+def region_branches(b: Bindings) -> DataFrame:
+    r = b.table("region").select(F.col("r_name").alias("branch"))
+    return r.select("branch", F.row_number().over(Window.orderBy("branch")).alias("list_pos"))
+
+
+@register("route_questions")
+def q_route_questions(spark, sf_dir):
+    return ans.route_questions(Bindings(spark, sf_dir).questions())
+
+
+@register("extract_branch")
+def q_extract_branch(spark, sf_dir):
+    b = Bindings(spark, sf_dir)
+    return ans.extract_branch(b.questions(), nation_branches(b))
+
+
+def link_names(b: Bindings) -> DataFrame:
+    r = b.table("region").select("r_name")
+    n = b.table("nation").select("n_name")
+    return (r.select(F.lower("r_name").alias("name"))
+            .unionByName(r.select(F.concat("r_name", F.lit(" store")).alias("name")))
+            .unionByName(r.select(F.substring("r_name", 1, 3).alias("name")))
+            .unionByName(n.select(F.col("n_name").alias("name"))))
+
+
+@register("link_branch")
+def q_link_branch(spark, sf_dir):
+    b = Bindings(spark, sf_dir)
+    return ans.link_branch(link_names(b), region_branches(b))
+
+
+@register("branch_lookup")
+def q_branch_lookup(spark, sf_dir):
+    b = Bindings(spark, sf_dir)
+    req = b.table("region").select(F.lower("r_name").alias("name"))
+    return ans.branch_lookup(req, per_branch_pairs(b), 5)
+
+
+@register("full_summary")
+def q_full_summary(spark, sf_dir):
+    b = Bindings(spark, sf_dir)
+    scored, bench, health, ideal, risks, verd = expansion_parts(b)
+    staff = stf.staffing_summary(staff_profile_of(b), recs_of(b), sched_of(b), forecast_summary_of(b))
+    growth = cat.category_growth_summary(cat_summary_of(b), actions_of(b), opps_of(b))
+    return ans.full_summary(two_item(b), three_item(b), forecast_summary_of(b), verd, health, staff, growth)
+
+
+@register("branch_list")
+def q_branch_list(spark, sf_dir):
+    return ans.branch_list(forecast_summary_of(Bindings(spark, sf_dir)))

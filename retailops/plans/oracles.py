@@ -162,18 +162,18 @@ def rank_pairs_ctes() -> list[str]:
   PARTITION BY least(antecedent, consequent), greatest(antecedent, consequent)
   ORDER BY confidence DESC, antecedent) = 1)""",
         f"""priced AS (SELECT *, {price_of('antecedent')} + {price_of('consequent')} AS cp FROM dedup)""",
-        """mm AS (SELECT min(lift) a0, max(lift) a1, min(support) s0, max(support) s1,
+        """pair_mm AS (SELECT min(lift) a0, max(lift) a1, min(support) s0, max(support) s1,
   min(confidence) c0, max(confidence) c1 FROM priced)""",
-        f"""scored AS (SELECT p.*, {rnd('''0.45 * (CASE WHEN a1 - a0 > 0 THEN (lift - a0) / (a1 - a0) ELSE 0.0 END)
+        f"""pair_scored AS (SELECT p.*, {rnd('''0.45 * (CASE WHEN a1 - a0 > 0 THEN (lift - a0) / (a1 - a0) ELSE 0.0 END)
   + 0.3 * (CASE WHEN c1 - c0 > 0 THEN (confidence - c0) / (c1 - c0) ELSE 0.0 END)
   + 0.25 * (CASE WHEN s1 - s0 > 0 THEN (support - s0) / (s1 - s0) ELSE 0.0 END)''', 4)} AS combo_score
-  FROM priced p CROSS JOIN mm)""",
+  FROM priced p CROSS JOIN pair_mm)""",
         f"""two_item AS (SELECT antecedent || ' + ' || consequent AS combo_name, antecedent, consequent, support,
   confidence, lift, pair_count, {rnd('cp', 6)} AS combo_price, combo_score,
   {rnd('cp * pair_count', 2)} AS estimated_revenue,
   CAST(CASE WHEN lift > 10 THEN 5 WHEN lift > 5 THEN 10 WHEN lift > 2 THEN 15 ELSE 20 END AS INTEGER) AS suggested_discount_pct,
   CAST(row_number() OVER (ORDER BY combo_score DESC, antecedent, consequent) AS INTEGER) AS rank
-  FROM scored)""",
+  FROM pair_scored)""",
     ]
 
 
@@ -953,3 +953,113 @@ FROM monthly_sales GROUP BY branch""",
             ("avg_sales", 5, "branch, menu_channel, num_customers, sales, avg_per_customer"),
         ]),
 })
+
+
+# ------------------------------------------------------------ scalars over table text
+def clean_text_sql(x: str) -> str:
+    s = f"""trim(regexp_replace(trim({x}), '^"+|"+$', '', 'g'))"""
+    s = rf"regexp_replace({s}, '\s+', ' ', 'g')"
+    s = f"regexp_replace({s}, '[.,]+$', '')"
+    s = rf"regexp_replace({s}, '^[.,]+\s*', '')"
+    return f"trim({s})"
+
+
+def strip_description_sql(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+_MESSY = """('  "., ' || replace(p_name, ' ', '   ') || '.,"  ')"""
+CTE["questions"] = """questions AS (
+  SELECT o_orderkey AS question_id, CASE o_orderkey % 6
+    WHEN 0 THEN 'Which items should we bundle together in ' || n_name || '?'
+    WHEN 1 THEN 'Forecast demand for ' || n_name || ' next month'
+    WHEN 2 THEN 'Is it feasible to expand to a new location?'
+    WHEN 3 THEN 'How many staff per shift in ' || n_name || '?'
+    WHEN 4 THEN 'Which coffee or frappe should ' || n_name || ' add?'
+    ELSE 'Give me the overall picture' END AS question
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"""
+
+_KW = [("combo", ["combo", "bundle", "pair", "cross-sell", "upsell", "together"]),
+       ("demand", ["demand", "forecast", "predict", "sales projection", "next month", "q1"]),
+       ("expansion", ["expand", "new branch", "new location", "feasibility", "open"]),
+       ("staffing", ["staff", "employee", "shift", "schedule", "hire", "hiring", "workforce"]),
+       ("beverage", ["coffee", "milkshake", "frappe", "beverage", "drink", "growth strategy"])]
+ROUTE_SQL = with_("questions", extra=["""scores AS (""" + " UNION ALL ".join(
+    f"SELECT question_id, {' + '.join(f'CAST(contains(lower(question), {sq(k)}) AS INTEGER)' for k in kws)} AS score, "
+    f"{i} AS ord, '{t}' AS topic FROM questions" for i, (t, kws) in enumerate(_KW)) + ")"]) + """
+SELECT question_id, CAST(max(score) AS INTEGER) AS score,
+  CASE WHEN max(score) > 0 THEN first(topic ORDER BY score DESC, ord) ELSE 'full_summary' END AS topic
+FROM scores GROUP BY question_id"""
+
+NB_CTE = """nb AS (SELECT n_name AS branch, row_number() OVER (ORDER BY length(n_name) DESC, n_nationkey) AS list_pos
+  FROM nation)"""
+RB_CTE = """rb AS (SELECT r_name AS branch, row_number() OVER (ORDER BY r_name) AS list_pos FROM region)"""
+
+
+def _dedupe(ctes: list[str]) -> list[str]:
+    return list(dict.fromkeys(ctes))
+
+
+_ALL_BINDINGS = ("sales_lines", "sales_by_item", "monthly_sales", "division_summary", "avg_sales",
+                 "customer_orders", "tax_report", "attendance")
+_FULL_CTES = _dedupe(rank_pairs_ctes() + triples_ctes() + [FEATURES_CTE, PROFILE_CTE, FIT_CTE, FORECAST_CTE,
+                                                          FC_SUMMARY_CTE, SCORECARD_CTE, SCORED_CTE, BENCH_CTE,
+                                                          HEALTH_CTE, RISKS_CTE, VERDICT_CTE, STAFF_PROFILE_CTE,
+                                                          ITEMS_C_CTE, CAT_SUMMARY_CTE, GAPS_CTE, ACTIONS_CTE])
+FULL_SUMMARY_SQL = with_(*_ALL_BINDINGS, extra=_FULL_CTES) + f"""
+SELECT (SELECT combo_name FROM two_item WHERE rank = 1) AS top_combo,
+  (SELECT count(*) FROM two_item) + (SELECT count(*) FROM three_item) AS total_combos,
+  (SELECT min(network_horizon_total) FROM fc_summary) AS network_horizon_total,
+  (SELECT min(fastest_growing_branch) FROM fc_summary) AS fastest_growing,
+  (SELECT verdict FROM verdict) AS verdict, (SELECT network_health_score FROM health) AS health_score,
+  (SELECT CAST(sum(num_employees) AS BIGINT) FROM staff_profile) AS total_employees,
+  (SELECT first(branch ORDER BY revenue_per_employee DESC, branch) FROM staff_profile) AS most_efficient,
+  (SELECT first(branch ORDER BY revenue_share DESC, branch) FROM cat_summary WHERE category = 'all_beverages')
+    AS best_beverage_branch,
+  (SELECT {rnd('coalesce(sum(estimated_revenue_uplift), 0.0)', 2)} FROM actions) AS total_uplift"""
+
+_num1 = f"CAST(CAST({rnd('lift', 1)} AS DECIMAL(38,1)) AS VARCHAR)"
+_num0 = f"CAST(CAST({rnd('lift', 0)} AS DECIMAL(38,0)) AS VARCHAR)"
+COMBO_SUMMARY_SQL = with_("sales_lines", "sales_by_item", extra=_dedupe(
+    rank_pairs_ctes() + triples_ctes() + branch_pairs_ctes())) + f"""
+SELECT (SELECT count(*) FROM two_item) AS total_2item_combos, (SELECT count(*) FROM three_item) AS total_3item_combos,
+  (SELECT coalesce(string_agg(combo_name, '; ' ORDER BY rank), '') FROM two_item WHERE rank <= 5) AS top_5_combos,
+  (SELECT coalesce(string_agg(combo_name, '; ' ORDER BY rank), '') FROM three_item WHERE rank <= 3) AS top_3_triple_combos,
+  (SELECT coalesce(string_agg(branch || ': ' || combo_name, '; ' ORDER BY branch || ': ' || combo_name), '')
+     FROM by_branch WHERE branch_rank = 1) AS top_combo_per_branch,
+  (SELECT 'The strongest combo is ''' || combo_name || ''' with a lift of ' || {_num1} || 'x (customers who buy '
+     || antecedent || ' are ' || {_num0} || 'x more likely to also buy ' || consequent
+     || '). Recommend offering this as a bundled deal with ~' || CAST(suggested_discount_pct AS VARCHAR) || '% discount.'
+   FROM two_item WHERE rank = 1) AS key_insight"""
+
+ORACLES.update({
+    "parse_number": f"""SELECT l_orderkey, l_linenumber, {rnd('l_extendedprice', 2)} AS plain,
+  {rnd('l_extendedprice', 2)} AS quoted, -{rnd('l_extendedprice', 2)} AS negative, CAST(NULL AS DOUBLE) AS dash,
+  CAST(NULL AS DOUBLE) AS junk FROM lineitem""",
+    "clean_text": f"""SELECT p_partkey, {clean_text_sql(_MESSY)} AS cleaned,
+  {strip_description_sql("'  ' || " + _MESSY)} AS stripped FROM part""",
+    "item_key": with_("sales_lines") + f"""SELECT description,
+  {item_key("' ' || lower(description) || ' ..,'")} AS key, {item_key("description || ' .'")} AS key_blank
+FROM (SELECT DISTINCT description FROM sales_lines)""",
+    "word_set_key": f"""SELECT p_partkey, {word_set_key("p_brand || ' ' || p_name")} AS ws,
+  {word_set_key("p_name || '  ' || p_brand || '  ' || p_name")} AS ws_swapped FROM part""",
+    "route_questions": ROUTE_SQL,
+    "extract_branch": with_("questions", extra=[NB_CTE]) + """
+SELECT q.question_id, arg_min(nb.branch, nb.list_pos) AS branch
+FROM questions q LEFT JOIN nb ON contains(lower(q.question), lower(nb.branch)) GROUP BY q.question_id""",
+    "link_branch": "WITH " + RB_CTE + """,
+names AS (SELECT DISTINCT name FROM (SELECT lower(r_name) AS name FROM region UNION ALL
+  SELECT r_name || ' store' FROM region UNION ALL SELECT substr(r_name, 1, 3) FROM region UNION ALL
+  SELECT n_name FROM nation))
+SELECT name, arg_min(rb.branch, CAST(lower(trim(name)) <> lower(rb.branch) AS INTEGER) * 1000 + rb.list_pos) AS branch
+FROM names LEFT JOIN rb ON lower(trim(name)) = lower(rb.branch) OR contains(lower(trim(name)), lower(rb.branch))
+  OR contains(lower(rb.branch), lower(trim(name)))
+GROUP BY name""",
+    "branch_lookup": with_("sales_lines", "sales_by_item", extra=branch_pairs_ctes()) + """
+SELECT lower(r_name) AS name, bb.* FROM region JOIN by_branch bb ON lower(bb.branch) = lower(r_name)
+WHERE bb.branch_rank <= 5""",
+    "full_summary": FULL_SUMMARY_SQL,
+    "branch_list": demand_with("fc_summary") + """
+SELECT branch, horizon_total_forecast, forecast_vs_historical FROM fc_summary""",
+    "combo_summary": COMBO_SUMMARY_SQL,
+})
