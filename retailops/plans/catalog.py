@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import baskets as bsk
+from ..session import materialize
 from ..sources.bindings import Bindings
 from . import params as P
 
@@ -40,17 +41,17 @@ def brand_prices(b: Bindings) -> DataFrame:
     return bsk.price_table(b.sales_by_item(), P.BASKET_ITEM)
 
 
-def two_item(b: Bindings) -> DataFrame:
-    rules = bsk.association_rules(order_baskets(b), P.MIN_SUPPORT, P.MIN_CONFIDENCE)
+def two_item(b: Bindings, bk: DataFrame | None = None) -> DataFrame:
+    rules = bsk.association_rules(bk if bk is not None else order_baskets(b), P.MIN_SUPPORT, P.MIN_CONFIDENCE)
     return bsk.rank_pairs(rules, brand_prices(b))
 
 
-def three_item(b: Bindings) -> DataFrame:
-    return bsk.triples(order_baskets(b), brand_prices(b), P.TRIPLE_MIN_COUNT)
+def three_item(b: Bindings, bk: DataFrame | None = None) -> DataFrame:
+    return bsk.triples(bk if bk is not None else order_baskets(b), brand_prices(b), P.TRIPLE_MIN_COUNT)
 
 
-def per_branch_pairs(b: Bindings) -> DataFrame:
-    return bsk.branch_pairs(order_baskets(b), brand_prices(b), P.BRANCH_TOP_K)
+def per_branch_pairs(b: Bindings, bk: DataFrame | None = None) -> DataFrame:
+    return bsk.branch_pairs(bk if bk is not None else order_baskets(b), brand_prices(b), P.BRANCH_TOP_K)
 
 
 # ------------------------------------------------------------ baskets
@@ -116,7 +117,8 @@ def q_branch_pairs(spark, sf_dir):
 @register("combo_summary")
 def q_combo_summary(spark, sf_dir):
     b = Bindings(spark, sf_dir)
-    return bsk.combo_summary(two_item(b), three_item(b), per_branch_pairs(b))
+    bk = materialize(order_baskets(b))  # one basket table feeds the three rankings
+    return bsk.combo_summary(two_item(b, bk), three_item(b, bk), per_branch_pairs(b, bk))
 
 
 # ------------------------------------------------------------ demand
@@ -234,7 +236,12 @@ def q_hiring_action(spark, sf_dir):
 @register("staffing_summary")
 def q_staffing_summary(spark, sf_dir):
     b = Bindings(spark, sf_dir)
-    return stf.staffing_summary(staff_profile_of(b), recs_of(b), sched_of(b), forecast_summary_of(b))
+    fsum = materialize(forecast_summary_of(b))
+    prof = materialize(staff_profile_of(b))
+    shifts = shifts_of(b)
+    recs = stf.shift_recommendations(shifts, fsum)
+    sched = stf.schedule_guidelines(stf.daily_coverage(b.attendance()), shifts)
+    return stf.staffing_summary(prof, recs, sched, fsum)
 
 
 # ------------------------------------------------------------ expansion
@@ -251,8 +258,9 @@ def scored_of(b: Bindings) -> DataFrame:
 
 
 def expansion_parts(b: Bindings):
-    scored = scored_of(b)
-    fsum = forecast_summary_of(b)
+    # one row per branch each, read by several branches of the plan below
+    scored = materialize(scored_of(b))
+    fsum = materialize(forecast_summary_of(b))
     bench = exp.benchmarks(scored)
     health = exp.network_health(scored, fsum)
     ideal = exp.ideal_profile(scored, bench)
@@ -371,7 +379,10 @@ def q_product_opportunities(spark, sf_dir):
 @register("category_growth_summary")
 def q_category_growth_summary(spark, sf_dir):
     b = Bindings(spark, sf_dir)
-    return cat.category_growth_summary(cat_summary_of(b), actions_of(b), opps_of(b))
+    summary = materialize(cat_summary_of(b))
+    items = materialize(items_c_of(b))
+    actions = cat.strategy_actions(cat.growth_gaps(items, summary), summary)
+    return cat.category_growth_summary(summary, actions, cat.product_opportunities(cat.product_performance(items)))
 
 
 # ------------------------------------------------------------ report text (round trip)
@@ -550,9 +561,11 @@ def q_branch_lookup(spark, sf_dir):
 def q_full_summary(spark, sf_dir):
     b = Bindings(spark, sf_dir)
     scored, bench, health, ideal, risks, verd = expansion_parts(b)
-    staff = stf.staffing_summary(staff_profile_of(b), recs_of(b), sched_of(b), forecast_summary_of(b))
-    growth = cat.category_growth_summary(cat_summary_of(b), actions_of(b), opps_of(b))
-    return ans.full_summary(two_item(b), three_item(b), forecast_summary_of(b), verd, health, staff, growth)
+    staff = materialize(q_staffing_summary(spark, sf_dir))
+    growth = materialize(q_category_growth_summary(spark, sf_dir))
+    fsum = forecast_summary_of(b)
+    bk = materialize(order_baskets(b))
+    return ans.full_summary(two_item(b, bk), three_item(b, bk), fsum, verd, health, staff, growth)
 
 
 @register("branch_list")

@@ -50,3 +50,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local_dir = tempfile.mkdtemp(prefix="retailops-ckpt-")
     spark.sparkContext.setCheckpointDir(local_dir)
     return local_dir
+
+
+def materialize(df):
+    """Compute a small intermediate once and cut its lineage (reliable
+    checkpoint in the shared checkpoint folder).  Used where one result feeds
+    several branches of a plan, so the branches do not each recompute it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
