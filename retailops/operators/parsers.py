@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fill import carry_forward
-from ..functions.scalars import clean_text, parse_number, repair_quotes, strip_description, strip_numeric_prefix
+from ..functions.scalars import (clean_text, parse_number, repair_quotes, strip_description, strip_numeric_prefix,
+                                 try_ts_ntz)
 from ..sources.reports import PAGE_RE, PRINT_DATE_RE, drop_noise
 
 # A comma outside double quotes (CSV field separator).
@@ -135,7 +136,7 @@ def _hms_hours(c: Column) -> Column:
 def _punch(date: Column, time: Column) -> Column:
     ok = (F.trim(date) != "") & (F.trim(time) != "")
     txt = F.concat(F.trim(date), F.lit(" "), F.regexp_replace(F.trim(time), r"\.", ":"))
-    return F.when(ok, F.try_to_timestamp(txt, F.lit("dd-MMM-yy HH:mm:ss")))
+    return F.when(ok, try_ts_ntz(txt, "dd-MMM-yy HH:mm:ss"))
 
 
 def parse_attendance(lines: DataFrame) -> DataFrame:
@@ -212,11 +213,11 @@ def parse_customer_orders(lines: DataFrame, branches=None, customer_re: str = OR
     rest = F.slice("f", second + 2, F.greatest(F.size("f"), F.lit(1)))
     nums = F.filter(F.transform(F.filter(rest, lambda x: F.trim(x) != ""), lambda x: parse_number(x)),
                     lambda x: x.isNotNull())
-    ts = F.lit("yyyy-MM-dd HH:mm:")
+    ts = "yyyy-MM-dd HH:mm:"
     return d.select(
         "branch", c0.alias("customer"), F.trim(fld(2)).alias("phone"),
-        F.when(two, F.try_to_timestamp(F.trim(F.get(F.col("f"), F.get(idx, 0))), ts)).alias("first_order"),
-        F.when(two, F.try_to_timestamp(F.trim(F.get(F.col("f"), second)), ts)).alias("last_order"),
+        F.when(two, try_ts_ntz(F.trim(F.get(F.col("f"), F.get(idx, 0))), ts)).alias("first_order"),
+        F.when(two, try_ts_ntz(F.trim(F.get(F.col("f"), second)), ts)).alias("last_order"),
         F.coalesce(F.when(two, F.get(nums, 0)), F.lit(0.0)).alias("total"),
         F.coalesce(F.when(two & (F.size(nums) >= 2), F.get(nums, 1).cast("bigint")), F.lit(0)).cast("bigint")
         .alias("num_orders"))
