@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +14,25 @@ from retailops.session import ensure_checkpoint_dir
 
 #: White space of the word definition ``[^\x20\x09-\x0D]+``.
 SPACE = r"[\x20\x09-\x0D]+"
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to Python workers that cannot import it from their own path (once per application)."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp()  # the driver serves the file from here while it runs
+    with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(f"{folder}/{root.name}.zip")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
