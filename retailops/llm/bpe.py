@@ -30,7 +30,7 @@ from .common import text_blocks, text_or_empty
 from .pretokens import PATTERN, PairTable, Pieces, ragged, sums, words_of
 
 MAX_RANK_FILE = 32 << 20
-BLOCK = 8 << 20
+BLOCK = 5 << 20
 
 
 def read_ranks(path: str) -> bytes:

@@ -29,7 +29,7 @@ class Pieces:
     """
 
     def __init__(self, add: Callable[[list[str]], None], reset: Callable[[], None],
-                 limit: int = 400_000, limit_chars: int = 32_000_000):
+                 limit: int = 250_000, limit_chars: int = 16_000_000):
         self.add, self.reset, self.limit, self.limit_chars = add, reset, limit, limit_chars
         self.ids: dict = {}
         self.unsafe: set[int] = set()
