@@ -1,35 +1,38 @@
 """Distributed global ranking and whole-table scaling.
 
-``global_rank`` numbers rows 1..N in a total order without funnelling the table
-through one task: the sort range-partitions the rows, each partition numbers
-its own rows, and a per-partition count (one row per partition) is turned into
-offsets and broadcast back.
+``global_rank`` numbers rows 1..N in a total order without funnelling the table through one task.  Rows are grouped by
+values that lead the order (``lead``); rows per group are counted and summed into offsets over the small group table,
+and rows are numbered inside their group.  A group is a pure function of the row, so recomputation, partition
+coalescing or a lost executor cannot move a row to another group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOW_BITS = (1 << 33) - 1
-
-
-def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """Add a 1-based ``name`` column following ``order`` (give a total order:
-    metric first, natural keys last)."""
-    s = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
-    s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
-        "_loc", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1)
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: bounded by the partition count, not the data
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(
-            Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = s.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
-    return out.withColumn(name, (F.col("_off") + F.col("_loc")).cast("int")).drop(
-        "_mid", "_pid", "_loc", "_off")
+
+def global_rank(df: DataFrame, order: Sequence[Column], name: str, lead: Sequence[tuple[Column, bool]]) -> DataFrame:
+    """Add a 1-based ``name`` column following ``order`` (a total order: metric first, natural keys last).
+
+    ``lead``: (expression, descending) pairs that never disagree with ``order``: its first keys, or coarser versions of
+    them (a prefix of a name, a rounded number).  Choose them so that a group stays small where the first key has many
+    ties; the group table, one row per distinct lead, is the only thing a single task sorts.
+    """
+    keys = [f"_lead{i}" for i in range(len(lead))]
+    rows = df.select("*", *[c.alias(k) for k, (c, _) in zip(keys, lead)])
+    along = [F.desc(k) if down else F.asc(k) for k, (_, down) in zip(keys, lead)]
+    before = Window.orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
+        *[F.col(k).alias(f"{k}_g") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    ranked = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}_g")) for k in keys])
+    return ranked.join(groups, same).withColumn(name, (F.col("_off") + F.col("_in")).cast("int")).drop(
+        *keys, *[f"{k}_g" for k in keys], "_off", "_in")
 
 
 def minmax_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_norm",

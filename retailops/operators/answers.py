@@ -1,13 +1,13 @@
 """Question answering, re-aimed as batch operators over a table of questions.
 
 Routing is a sum of keyword ``contains`` tests per topic and a struct max.
-Branch extraction and linking join the questions to a branch list that is
-broadcast (a dimension table: the branch list, not the facts).
+Branch extraction and linking are projections over the branch list, one
+ordered array in a one-row frame; nothing is shuffled for them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Topic keywords of the reference (topic order breaks ties).
@@ -18,7 +18,6 @@ QUERY_KEYWORDS = [
     ("staffing", ["staff", "employee", "shift", "schedule", "hire", "hiring", "workforce"]),
     ("beverage", ["coffee", "milkshake", "frappe", "beverage", "drink", "growth strategy"]),
 ]
-TOP_N_RANGE = (1, 20)
 
 
 def route_questions(questions: DataFrame, keywords=QUERY_KEYWORDS, text: str = "question") -> DataFrame:
@@ -32,35 +31,36 @@ def route_questions(questions: DataFrame, keywords=QUERY_KEYWORDS, text: str = "
                             F.when(best["score"] > 0, best["topic"]).otherwise("full_summary").alias("topic"))
 
 
+def _listed(branches: DataFrame) -> DataFrame:
+    """The branch list as one ordered array in a one-row frame: (position, name, lower-case name) each.
+
+    It is a dimension that a person keeps (branch names), so one row can hold it; facts are never gathered like this.
+    """
+    one = F.struct(F.col("list_pos").alias("p"), F.col("branch").alias("b"), F.lower("branch").alias("l"))
+    return F.broadcast(branches.agg(F.array_sort(F.collect_list(one)).alias("_list")))
+
+
 def extract_branch(questions: DataFrame, branches: DataFrame, text: str = "question") -> DataFrame:
     """SRV-2: first listed branch (column ``branch``, order ``list_pos``) contained in the text."""
-    b = F.broadcast(branches.select("branch", "list_pos"))
-    j = questions.select("question_id", F.lower(F.col(text)).alias("_q")).join(
-        b, F.col("_q").contains(F.lower("branch")), "left")
-    return j.groupBy("question_id").agg(F.min_by("branch", "list_pos").alias("branch"))
+    q = F.lower(F.col(text))
+    return questions.crossJoin(_listed(branches)).select(
+        "question_id", F.get(F.filter("_list", lambda x: F.contains(q, x["l"])), 0)["b"].alias("branch"))
 
 
 def link_branch(names: DataFrame, candidates: DataFrame, name: str = "name") -> DataFrame:
     """SRV-3: case-insensitive exact match, else containment either way; first candidate wins."""
-    c = F.broadcast(candidates.select(F.col("branch").alias("candidate"), "list_pos"))
     n = F.lower(F.trim(F.col(name)))
-    cl = F.lower(F.col("candidate"))
-    j = names.select(name).distinct().join(c, (n == cl) | n.contains(cl) | cl.contains(n), "left")
-    key = F.struct((n != cl).cast("int"), F.col("list_pos"))
-    return j.groupBy(name).agg(F.min_by("candidate", F.when(F.col("candidate").isNotNull(), key)).alias("branch"))
-
-
-def clamp_top_n(n: int) -> int:
-    lo, hi = TOP_N_RANGE
-    return max(lo, min(hi, int(n)))
+    exact = F.filter("_list", lambda x: x["l"] == n)
+    near = F.filter("_list", lambda x: F.contains(n, x["l"]) | F.contains(x["l"], n))
+    return names.select(name).distinct().crossJoin(_listed(candidates)).select(
+        name, F.coalesce(F.get(exact, 0)["b"], F.get(near, 0)["b"]).alias("branch"))
 
 
 def branch_lookup(requests: DataFrame, by_branch: DataFrame, top_n: int = 5) -> DataFrame:
-    """SRV-4 (combo topic): top-n branch combos for each requested branch name
-    (case-insensitive exact match, as the reference's combo getter)."""
-    n = clamp_top_n(top_n)
+    """SRV-4 (combo topic): top-n branch combos for each requested branch name (case-insensitive exact match, as the
+    reference's combo getter).  ``by_branch`` must hold as many ranks as are asked for."""
     r = requests.select(F.col("name"), F.lower(F.trim("name")).alias("_k"))
-    t = by_branch.where(F.col("branch_rank") <= n).withColumn("_k", F.lower("branch"))
+    t = by_branch.where(F.col("branch_rank") <= top_n).withColumn("_k", F.lower("branch"))
     return r.join(t, "_k").drop("_k")
 
 

@@ -20,15 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.ranking import global_rank, minmax_scale
 from ..functions.scalars import item_key, num_text, rnd, word_set_key
 
-# Modifier groups and description patterns of the reference
-# (groups compare against the upper-cased, trimmed item-meta description;
-# patterns are searched in the raw description, (?i) where case-insensitive).
-MODIFIER_GROUPS = [
-    "Free Dressing", "Free Whipped Cream", "Free Chimney Cake Spreads", "Free Conut Spreads",
-    "FREE CHIMNEY TOP", "FREE CONUT TOP", "FREE MINI TOP", "FREE MINI SPREAD",
-    "CHIMNEY CAKE OPTIONS", "OPTIONS ICE CREAM", "MARSHMALLOW OPTIONS", "MILK OPTIONS",
-    "DRINK TYPE", "coffee type", "free dip", "TEA FLAVORS", "Holders",
-]
+# Description patterns of modifiers, searched in the raw description ((?i) where case-insensitive).
+# Modifier groups are the caller's own menu and have no default.
 MODIFIER_PATTERNS = [
     r"^\[.*\]$",
     r"(?i)DELIVERY CHARGE",
@@ -58,7 +51,7 @@ def cancellation_split(lines: DataFrame, qty_col: str = "qty") -> DataFrame:
         F.count(F.lit(1)).alias("lines"), rnd(F.sum(qty_col), 2).alias("qty"))
 
 
-def modifier_keys(item_meta: DataFrame, groups: Sequence[str] = MODIFIER_GROUPS,
+def modifier_keys(item_meta: DataFrame, groups: Sequence[str] = (),
                   group_col: str = "grp", desc_col: str = "description") -> DataFrame:
     """Distinct upper/trimmed descriptions of items in a modifier group."""
     return (item_meta.where(F.col(group_col).isin(list(groups)))
@@ -66,7 +59,7 @@ def modifier_keys(item_meta: DataFrame, groups: Sequence[str] = MODIFIER_GROUPS,
 
 
 def drop_modifiers(lines: DataFrame, item_meta: DataFrame | None,
-                   groups: Sequence[str] = MODIFIER_GROUPS,
+                   groups: Sequence[str] = (),
                    patterns: Sequence[str] = MODIFIER_PATTERNS,
                    desc_col: str = "description", group_col: str = "grp") -> DataFrame:
     """FIL-6: anti-join against the modifier set, then one OR-ed pattern test."""
@@ -83,7 +76,7 @@ def drop_modifiers(lines: DataFrame, item_meta: DataFrame | None,
 # ---------------------------------------------------------------- baskets
 def baskets(lines: DataFrame, keys: Sequence[str] = ("branch", "customer"),
             item_col: str = "description", item_meta: DataFrame | None = None,
-            groups: Sequence[str] = MODIFIER_GROUPS, patterns: Sequence[str] = MODIFIER_PATTERNS,
+            groups: Sequence[str] = (), patterns: Sequence[str] = MODIFIER_PATTERNS,
             desc_col: str = "description", min_size: int = 2) -> DataFrame:
     """BSK-1: (keys..., items ARRAY<STRING> sorted distinct, basket_size)."""
     keys = list(keys)
@@ -98,17 +91,20 @@ def baskets(lines: DataFrame, keys: Sequence[str] = ("branch", "customer"),
     return b.where(F.col("basket_size") >= min_size)
 
 
-_PAIRS = ("inline(flatten(transform(items, (a, i) -> transform("
-          "slice(items, i + 2, greatest(size(items), 1)), b -> struct(a AS item_a, b AS item_b)))))")
-_TRIPLES = ("inline(flatten(transform(items, (a, i) -> flatten(transform("
-            "slice(items, i + 2, greatest(size(items), 1)), (b, j) -> transform("
-            "slice(items, i + j + 3, greatest(size(items), 1)), "
-            "c -> struct(a AS item_1, b AS item_2, c AS item_3)))))))")
-
-
 def basket_pairs(b: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Every unordered pair (item_a < item_b) of every basket, one row each."""
-    return b.select(*extra, F.expr(_PAIRS))
+    first = b.select(*extra, "items", F.posexplode("items").alias("_i", "item_a"))
+    return first.select(*extra, "item_a", F.explode(F.expr("slice(items, _i + 2, size(items))")).alias("item_b"))
+
+
+def basket_triples(b: DataFrame) -> DataFrame:
+    """Every combination item_1 < item_2 < item_3 of every basket, one row each.
+
+    Each generator streams its rows; what it holds at once is one basket's items, never its combinations.
+    """
+    first = b.select("items", F.posexplode("items").alias("_i", "item_1"))
+    second = first.select("items", "_i", "item_1", F.posexplode(F.expr("slice(items, _i + 2, size(items))")).alias("_j", "item_2"))
+    return second.select("item_1", "item_2", F.explode(F.expr("slice(items, _i + _j + 3, size(items))")).alias("item_3"))
 
 
 def basket_count(b: DataFrame) -> DataFrame:
@@ -246,13 +242,14 @@ def rank_pairs(rules: DataFrame, prices: DataFrame,
         rnd("combo_price", 6).alias("combo_price"), "combo_score",
         rnd(F.col("combo_price") * F.col("pair_count"), 2).alias("estimated_revenue"),
         discount_ladder(F.col("lift")).alias("suggested_discount_pct"))
-    return global_rank(d, [F.desc("combo_score"), F.asc("antecedent"), F.asc("consequent")], "rank")
+    return global_rank(d, [F.desc("combo_score"), F.asc("antecedent"), F.asc("consequent")], "rank",
+                       lead=[(F.col("combo_score"), True), (F.substring("antecedent", 1, 4), False)])
 
 
 def triples(b: DataFrame, prices: DataFrame, min_count: int = 2) -> DataFrame:
     """BSK-7: sorted 3-item combinations seen in at least ``min_count`` baskets."""
     n = F.broadcast(basket_count(b))
-    t = (b.where(F.col("basket_size") >= 3).select(F.expr(_TRIPLES))
+    t = (b.where(F.col("basket_size") >= 3).transform(basket_triples)
          .groupBy("item_1", "item_2", "item_3").agg(F.count(F.lit(1)).alias("co_occurrence"))
          .where(F.col("co_occurrence") >= min_count))
     for i in (1, 2, 3):
@@ -266,7 +263,8 @@ def triples(b: DataFrame, prices: DataFrame, min_count: int = 2) -> DataFrame:
         rnd(price, 2).alias("combo_price"),
         rnd(price * F.col("co_occurrence"), 2).alias("estimated_revenue"),
         F.when(F.col("co_occurrence") >= 5, 10).otherwise(15).cast("int").alias("suggested_discount_pct"))
-    return global_rank(t, [F.desc("co_occurrence"), F.asc("item_1"), F.asc("item_2"), F.asc("item_3")], "rank")
+    return global_rank(t, [F.desc("co_occurrence"), F.asc("item_1"), F.asc("item_2"), F.asc("item_3")], "rank",
+                       lead=[(F.col("co_occurrence"), True), (F.col("item_1"), False), (F.substring("item_2", 1, 4), False)])
 
 
 def branch_pairs(b: DataFrame, prices: DataFrame, k: int = 10, branch_col: str = "branch") -> DataFrame:

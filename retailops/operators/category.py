@@ -131,7 +131,8 @@ def growth_gaps(items: DataFrame, summary: DataFrame) -> DataFrame:
 def strategy_actions(gaps: DataFrame, summary: DataFrame) -> DataFrame:
     s = summary.select("branch", "category", F.col("total_qty").alias("_cq"), F.col("avg_unit_price").alias("_ap"))
     j = gaps.join(s, ["branch", "category"], "left")
-    j = global_rank(j, [F.desc("share_gap_vs_best"), F.asc("branch"), F.asc("category")], "priority")
+    j = global_rank(j, [F.desc("share_gap_vs_best"), F.asc("branch"), F.asc("category")], "priority",
+                    [(F.col("share_gap_vs_best"), True), (F.col("branch"), False)])
     qg, m = F.col("qty_gap"), F.col("missing_products")
     gap_units = rnd(qg, 0).cast("bigint").cast("string")
     action = (F.when((m > 0) & (qg > PROMOTE_QTY_GAP), "INTRODUCE_AND_PROMOTE").when(m > 0, "INTRODUCE")

@@ -100,7 +100,7 @@ def branch_profile(monthly: DataFrame, division: DataFrame, avg_sales: DataFrame
 # ---------------------------------------------------------------- DEM-3
 def forecast_dataset(features: DataFrame, profile: DataFrame) -> DataFrame:
     rank = global_rank(profile.select("branch", "total_revenue"),
-                       [F.desc("total_revenue"), F.asc("branch")], "branch_revenue_rank")
+                       [F.desc("total_revenue"), F.asc("branch")], "branch_revenue_rank", [(F.col("total_revenue"), True)])
     j = features.join(profile, "branch", "left").join(rank.drop("total_revenue"), "branch", "left")
     j = j.withColumn("revenue_ratio", rnd(F.try_divide(F.col("total"), F.col("avg_monthly_revenue")), 6))
     return j.drop("cumulative_total", "peak_month")

@@ -35,7 +35,6 @@ ATT_HEADER_RE = r"(?i)PUNCH\s+IN|PUNCH\s+OUT|Work Duration"
 DIVISION_HEADER_RE = r"(?i)^,*\s*(DELIVERY|TABLE|TAKE\s*AWAY|TOTAL)"
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
           "November", "December"]
-KNOWN_BRANCHES = ["Conut - Tyre", "Conut", "Conut Jnah", "Main Street Coffee"]
 
 
 def _unquote(f: Column) -> Column:
@@ -66,7 +65,9 @@ def col0() -> Column:
 
 
 def _branch_list(branches) -> DataFrame | list[str]:
-    return branches if branches is not None else KNOWN_BRANCHES
+    if branches is None:
+        raise ValueError("this report names branches without a mark: give their list")
+    return branches
 
 
 def _known(d: DataFrame, c: Column, branches) -> DataFrame:

@@ -50,13 +50,13 @@ CTE = {
     "sales_by_item": f"""sales_by_item AS (
   SELECT branch, division, grp, description, sum(qty) AS qty, {rnd("sum(price)", 2)} AS total_amount,
          {rnd("sum(price)", 2)} / sum(qty) AS unit_price
-  FROM sales_lines WHERE NOT is_cancellation AND order_ts >= TIMESTAMP '1997-03-01' AND order_ts < TIMESTAMP '1997-04-01'
+  FROM sales_lines WHERE NOT is_cancellation
   GROUP BY branch, division, grp, description)""",
     "monthly_sales": f"""monthly_sales AS (
   SELECT branch, strftime(d, '%B') AS month, CAST(month(d) AS INTEGER) AS month_num, CAST(year(d) AS INTEGER) AS year,
          total, d AS date
   FROM (SELECT branch, CAST(date_trunc('month', order_ts) AS DATE) AS d, {rnd("sum(total)", 2)} AS total
-        FROM order_facts WHERE order_ts < TIMESTAMP '2001-08-01' GROUP BY 1, 2))""",
+        FROM order_facts GROUP BY 1, 2))""",
     "division_summary": f"""division_summary AS (
   SELECT branch, coalesce(division, 'ITEMS') AS division,
          {rnd("sum(CASE WHEN channel = 'delivery' THEN price ELSE 0 END)", 2)} AS delivery,
@@ -76,9 +76,9 @@ CTE = {
   FROM sales_lines WHERE NOT is_cancellation GROUP BY branch)""",
     "attendance": f"""attendance AS (
   SELECT user_id AS emp_id, 'P' || CAST(user_id AS VARCHAR) AS emp_name, r_name AS branch, ts AS punch_in,
-         ts + to_seconds(CAST(floor(least(value, 120) * 360) AS BIGINT)) AS punch_out,
-         CAST(floor(least(value, 120) * 360) AS BIGINT) AS work_seconds,
-         floor(least(value, 120) * 360) / 3600 AS work_duration_hours
+         ts + to_seconds(CAST(floor(value * 360) AS BIGINT)) AS punch_out,
+         CAST(floor(value * 360) AS BIGINT) AS work_seconds,
+         floor(value * 360) / 3600 AS work_duration_hours
   FROM events JOIN region ON r_regionkey = user_id % 5)""",
 }
 DEPS = {

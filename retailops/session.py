@@ -37,8 +37,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; a private folder is only
-    created when nothing is configured (local tests).
+    ``spark.checkpoint.dir`` is read from the session.  A private folder is made only where nothing is configured
+    and driver and tasks are one local process; on a cluster a missing setting is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -47,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
         return conf_dir
+    if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     local_dir = tempfile.mkdtemp(prefix="retailops-ckpt-")
     spark.sparkContext.setCheckpointDir(local_dir)
     return local_dir

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 # Shapes of the non-data lines of the exports.
 BANNER = "Retail Group HQ"
-FOOTER = 'REP_S_00194,"Copyright © 2026 Omega Software, Inc.",,,,www.omegapos.com,'
+FOOTER = 'REP_S_00001,"Copyright © 2024 Vendor",,,,www.vendor.com,'
 PRINT_DATE = "30-Jan-26"
 
 

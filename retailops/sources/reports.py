@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 COPYRIGHT_RE = r"(?i)Copyright\s*©"
 PAGE_RE = r"(?i)Page\s+\d+\s+of"
 REPORT_ID_RE = r"(?i)^REP_S_\d+"
-VENDOR_URL_RE = r"(?i)www\.omegapos\.com"
+VENDOR_URL_RE = r"(?i)\bwww\.[\w-]+\.com\b"
 PRINT_DATE_RE = r"^\d{2}-\w{3}-\d{2}"
 
 
@@ -29,7 +29,7 @@ def read_report_lines(spark: SparkSession, path: str) -> DataFrame:
 def is_noise(line: str = "line") -> F.Column:
     """FIL-1: blank, copyright, leading report id, vendor URL."""
     t = F.trim(F.col(line))
-    return ((F.coalesce(t, F.lit("")) == "") | t.rlike(COPYRIGHT_RE) | t.rlike(REPORT_ID_RE)
+    return (~F.coalesce(t.rlike(r"\S"), F.lit(False)) | t.rlike(COPYRIGHT_RE) | t.rlike(REPORT_ID_RE)
             | t.rlike(VENDOR_URL_RE))
 
 

@@ -49,7 +49,34 @@ def test_price_lookup_word_set(spark):
 
 
 def test_global_rank_is_dense_and_ordered(spark):
-    df = spark.range(0, 5000).withColumn("v", (F.col("id") * 7919) % 1000)
-    r = global_rank(df.repartition(7), [F.desc("v"), F.asc("id")], "rk").orderBy("rk").collect()
+    df = spark.range(0, 5000).withColumn("v", F.when(F.col("id") % 50 > 0, (F.col("id") * 7919) % 1000))
+    r = global_rank(df.repartition(7), [F.desc("v"), F.asc("id")], "rk", [(F.col("v"), True)]).orderBy("rk").collect()
     assert [x.rk for x in r] == list(range(1, 5001))
-    assert all((a.v, -a.id) >= (b.v, -b.id) for a, b in zip(r, r[1:]))
+    assert all((a.v if a.v is not None else -1, -a.id) >= (b.v if b.v is not None else -1, -b.id) for a, b in zip(r, r[1:]))
+
+
+def test_global_rank_keeps_every_row_with_many_partitions(spark):
+    """2,000,000 rows, 200 shuffle partitions, default adaptive execution, wide and narrow use, heavy ties."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        n = 2_000_000
+        df = spark.range(n).select("id", (F.col("id") % 3).alias("v"), F.format_string("%08d", F.col("id")).alias("name"),
+                                   F.repeat(F.lit("w"), 60).alias("wide"))
+        order = [F.desc("v"), F.asc("name")]
+        lead = [(F.col("v"), True), (F.substring("name", 1, 5), False)]
+        r = global_rank(df, order, "rk", lead)
+        for x in (r, r.select("rk")):
+            s = x.agg(F.count("*").alias("n"), F.count_distinct("rk").alias("d"), F.min("rk").alias("a"), F.max("rk").alias("b")).first()
+            assert tuple(s) == (n, n, 1, n)
+        assert [x.v for x in r.filter("rk in (1, 666666, 666667, 2000000)").orderBy("rk").collect()] == [2, 2, 1, 0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_large_basket_streams_its_pairs(spark):
+    df = spark.range(2000).select(F.lit("c").alias("customer"), F.format_string("i%04d", F.col("id")).alias("item"))
+    bk = df.groupBy("customer").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    assert B.basket_pairs(bk).count() == 2000 * 1999 // 2
+    small = bk.select(F.slice("items", 1, 40).alias("items"))
+    assert B.basket_triples(small).distinct().count() == 40 * 39 * 38 // 6
