@@ -7,7 +7,8 @@ standard errors of the sketch) the distinct sites are counted exactly.  Lines on
 from every document; the other lines stay as they are.  A document that would lose more than ``most`` of its characters
 is not a host of boilerplate but a copy of a whole text that spread; it is left as it is, for near-dedup to settle.
 
-Scale.  Only hashes and sketches are exchanged for the decision.  Removals come back as line numbers per document, which
+Scale.  Only hashes and sketches are exchanged for the decision.  The lines found are broadcast only up to
+``MAX_BROADCAST``, counted first; so the places of a hot line need not meet in one task.  Removals come back as line numbers per document, which
 are bounded by the lines of that document, and meet the text in one exchange under a key of the row.
 
 Defined results: NULL text stays NULL and has no lines; empty or white lines and lines under ``least`` characters are
@@ -25,6 +26,7 @@ from .common import row_key, stored
 LG = 8  # 256 registers
 ERROR = 1.04 / 2 ** (LG / 2)
 BAND = 4.0
+MAX_BROADCAST = 1 << 20  # line hashes, 8 bytes each
 EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
@@ -40,13 +42,18 @@ def occurrences(docs: DataFrame, least: int, text_col: str = "text", site_col: s
     return df.filter(F.length("raw") >= least).select("key", "site", "at", F.xxhash64("raw").alias("line"))
 
 
+def small(lines: DataFrame) -> DataFrame:
+    """A stored table of line hashes, with a broadcast hint if it is small; else adaptive execution joins it."""
+    return F.broadcast(lines) if lines.count() <= MAX_BROADCAST else lines
+
+
 def boilerplate(seen: DataFrame, sites: int) -> DataFrame:
     """(line) of the lines on at least ``sites`` sites."""
     sketches = seen.groupBy("line").agg(F.hll_sketch_agg("site", LG).alias("s"), F.count("*").alias("n"))
     spread = sketches.filter(F.col("n") >= sites).select("line", F.hll_sketch_estimate("s").alias("about"))
     spread = stored(spread.filter(F.col("about") >= sites * (1 - BAND * ERROR)))
     sure = F.col("about") > sites * (1 + BAND * ERROR)
-    close = spread.filter(~sure).select("line")
+    close = small(spread.filter(~sure).select("line"))
     exact = seen.join(close, "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(
         F.count("*").alias("n")).filter(F.col("n") >= sites).select("line")
     return spread.filter(sure).select("line").union(exact)
@@ -56,7 +63,7 @@ def clean(docs: DataFrame, sites: int = 8, least: int = 20, most: float = 0.6, t
           site_col: str = "source") -> DataFrame:
     """(row, text, n_lines, n_removed): the rows as a struct, with the text that is left."""
     seen = stored(occurrences(docs, least, text_col, site_col))
-    gone = seen.join(boilerplate(seen, sites), "line", "left_semi").select("key", "at").distinct().groupBy("key").agg(
+    gone = seen.join(small(stored(boilerplate(seen, sites))), "line", "left_semi").select("key", "at").distinct().groupBy("key").agg(
         F.collect_list("at").alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), row_key(text_col, site_col).alias("key"))
     rows = rows.join(gone.hint("shuffle_hash"), "key", "left").select(
