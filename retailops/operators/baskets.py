@@ -301,6 +301,15 @@ def combo_summary(two: DataFrame, three: DataFrame, by_branch: DataFrame,
     c3 = three.agg(F.count(F.lit(1)).alias("total_3item_combos"))
     top5 = joined(two, top_pairs, F.col("combo_name")).withColumnRenamed("v", "top_5_combos")
     top3 = joined(three, top_triples, F.col("combo_name")).withColumnRenamed("v", "top_3_triple_combos")
+    rule = F.concat_ws(", ", F.concat(F.lit("lift "), num_text("lift", 4)),
+                       F.concat(F.lit("confidence "), num_text("confidence", 4)),
+                       F.concat(F.lit("support "), num_text("support", 4)),
+                       F.concat(F.lit("price "), num_text("combo_price", 2)),
+                       F.concat(F.lit("discount "), F.col("suggested_discount_pct").cast("string")))
+    seen = F.concat_ws(", ", F.concat(F.lit("seen "), F.col("co_occurrence").cast("string")),
+                       F.concat(F.lit("price "), num_text("combo_price", 2)))
+    rules5 = joined(two, top_pairs, rule).withColumnRenamed("v", "top_5_rules")
+    seen3 = joined(three, top_triples, seen).withColumnRenamed("v", "top_3_triple_figures")
     best = (by_branch.where(F.col("branch_rank") == 1)
             .agg(F.array_join(F.array_sort(F.collect_list(
                 F.concat_ws(": ", "branch", "combo_name"))), "; ").alias("top_combo_per_branch")))
@@ -310,5 +319,5 @@ def combo_summary(two: DataFrame, three: DataFrame, by_branch: DataFrame,
         F.lit("x more likely to also buy "), F.col("consequent"),
         F.lit("). Recommend offering this as a bundled deal with ~"), F.col("suggested_discount_pct").cast("string"),
         F.lit("% discount.")).alias("key_insight"))
-    one = c2.crossJoin(c3).crossJoin(top5).crossJoin(top3).crossJoin(best)
+    one = c2.crossJoin(c3).crossJoin(top5).crossJoin(rules5).crossJoin(top3).crossJoin(seen3).crossJoin(best)
     return one.join(lead, how="left")

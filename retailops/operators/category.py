@@ -194,7 +194,7 @@ def category_growth_summary(summary: DataFrame, actions: DataFrame, opps: DataFr
     tot_o = opps.agg(F.count(F.lit(1)).alias("total_product_opportunities"))
     per = actions.groupBy("branch").agg(
         F.count(F.lit(1)).alias("num_actions"), rnd(F.sum("estimated_revenue_uplift"), 2).alias("estimated_uplift"),
-        F.min_by(F.struct("category", "action_type"), "priority").alias("_top"))
+        F.min_by(F.struct("category", "action_type", "description"), "priority").alias("_top"))
     po = opps.groupBy("branch").agg(
         F.count(F.when(F.col("opportunity_type") == "ADD_NEW", 1)).alias("products_to_add"),
         F.count(F.when(F.col("opportunity_type") == "BOOST_EXISTING", 1)).alias("products_to_boost"))
@@ -204,6 +204,7 @@ def category_growth_summary(summary: DataFrame, actions: DataFrame, opps: DataFr
         F.coalesce("products_to_add", F.lit(0)).cast("bigint").alias("products_to_add"),
         F.coalesce("products_to_boost", F.lit(0)).cast("bigint").alias("products_to_boost"),
         F.col("_top.category").alias("top_priority_category"), F.col("_top.action_type").alias("top_priority_action"),
+        F.col("_top.description").alias("top_priority_description"),
         "best_beverage_branch", "best_beverage_share", "worst_beverage_branch", "worst_beverage_share",
         "network_avg_beverage_share", F.col("total_actions").cast("bigint").alias("total_actions"),
         F.col("total_product_opportunities").cast("bigint").alias("total_product_opportunities"),

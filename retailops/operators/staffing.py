@@ -188,7 +188,7 @@ def staffing_summary(profile: DataFrame, recs: DataFrame, sched: DataFrame, fsum
         F.mode(F.when(F.col("is_weekend") == 1, F.col("recommended_employees")), True).alias("_we"),
         F.min_by("day_of_week", F.struct(-F.col("observed_avg_total_hours"), F.col("day_num"))).alias("peak_day"))
     hire = hiring_action(profile, fsum).select("branch", F.col("action").alias("hiring_action"),
-                                               "suggested_additional")
+                                               "suggested_additional", F.col("reason").alias("hiring_reason"))
     net = profile.agg(
         F.sum("num_employees").cast("bigint").alias("network_total_employees"),
         rnd(F.avg("revenue_per_employee"), 2).alias("network_avg_revenue_per_employee"),
@@ -202,5 +202,5 @@ def staffing_summary(profile: DataFrame, recs: DataFrame, sched: DataFrame, fsum
         F.col("_d.shift_type").alias("dominant_shift"), F.col("_d.shift_share").alias("dominant_shift_share"),
         F.coalesce("_wd", F.lit(0)).cast("bigint").alias("weekday_recommended_employees"),
         F.coalesce("_we", F.lit(0)).cast("bigint").alias("weekend_recommended_employees"),
-        "peak_day", "hiring_action", "suggested_additional",
+        "peak_day", "hiring_action", "suggested_additional", "hiring_reason",
         "network_total_employees", "network_avg_revenue_per_employee", "most_efficient_branch")

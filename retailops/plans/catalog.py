@@ -235,8 +235,11 @@ def q_hiring_action(spark, sf_dir):
 
 @register("staffing_summary")
 def q_staffing_summary(spark, sf_dir):
-    b = Bindings(spark, sf_dir)
-    fsum = materialize(forecast_summary_of(b))
+    return staffing_summary_of(Bindings(spark, sf_dir))
+
+
+def staffing_summary_of(b: Bindings, fsum: DataFrame | None = None) -> DataFrame:
+    fsum = fsum if fsum is not None else materialize(forecast_summary_of(b))
     prof = materialize(staff_profile_of(b))
     shifts = shifts_of(b)
     recs = stf.shift_recommendations(shifts, fsum)
@@ -249,22 +252,23 @@ from ..operators import expansion as exp  # noqa: E402
 
 
 def card_of(b: Bindings) -> DataFrame:
-    return exp.scorecard(b.monthly_sales(), b.division_summary(), b.avg_sales(), b.customer_orders(),
-                         b.tax_report(), b.attendance(), P.CATEGORY_DIVISIONS)
+    sums = materialize(b.sales_rollup())  # branch x division x channel, feeds divisions and tax
+    return exp.scorecard(b.monthly_sales(), b.division_summary(sums), b.avg_sales(), b.customer_orders(),
+                         b.tax_report(sums), b.attendance(), P.CATEGORY_DIVISIONS)
 
 
 def scored_of(b: Bindings) -> DataFrame:
     return exp.composite_score(card_of(b))
 
 
-def expansion_parts(b: Bindings):
+def expansion_parts(b: Bindings, fsum: DataFrame | None = None):
     # one row per branch each, read by several branches of the plan below
     scored = materialize(scored_of(b))
-    fsum = materialize(forecast_summary_of(b))
+    fsum = fsum if fsum is not None else materialize(forecast_summary_of(b))
     bench = exp.benchmarks(scored)
     health = exp.network_health(scored, fsum)
     ideal = exp.ideal_profile(scored, bench)
-    risks = exp.risk_register(scored, fsum)
+    risks = materialize(exp.risk_register(scored, fsum, exp.shortest_history(b.monthly_sales())))
     verd = exp.verdict(health, risks)
     return scored, bench, health, ideal, risks, verd
 
@@ -297,7 +301,8 @@ def q_network_health(spark, sf_dir):
 
 @register("ideal_profile")
 def q_ideal_profile(spark, sf_dir):
-    return expansion_parts(Bindings(spark, sf_dir))[3]
+    scored = materialize(scored_of(Bindings(spark, sf_dir)))
+    return exp.ideal_profile(scored, exp.benchmarks(scored))
 
 
 @register("risk_register")
@@ -334,12 +339,15 @@ def cat_summary_of(b: Bindings) -> DataFrame:
     return cat.category_summary(items_c_of(b), b.division_summary())
 
 
-def gaps_of(b: Bindings) -> DataFrame:
-    return cat.growth_gaps(items_c_of(b), cat_summary_of(b))
+def category_parts(b: Bindings):
+    """(items, summary): read by several branches of the plans below, so each is computed once."""
+    items = materialize(items_c_of(b))
+    return items, materialize(cat.category_summary(items, b.division_summary()))
 
 
-def actions_of(b: Bindings) -> DataFrame:
-    return cat.strategy_actions(gaps_of(b), cat_summary_of(b))
+def actions_of(items: DataFrame, summary: DataFrame) -> DataFrame:
+    # a row per branch and category, ranked over two passes
+    return cat.strategy_actions(materialize(cat.growth_gaps(items, summary)), summary)
 
 
 def opps_of(b: Bindings) -> DataFrame:
@@ -363,12 +371,12 @@ def q_product_performance(spark, sf_dir):
 
 @register("growth_gaps")
 def q_growth_gaps(spark, sf_dir):
-    return gaps_of(Bindings(spark, sf_dir))
+    return cat.growth_gaps(*category_parts(Bindings(spark, sf_dir)))
 
 
 @register("strategy_actions")
 def q_strategy_actions(spark, sf_dir):
-    return actions_of(Bindings(spark, sf_dir))
+    return actions_of(*category_parts(Bindings(spark, sf_dir)))
 
 
 @register("product_opportunities")
@@ -378,10 +386,11 @@ def q_product_opportunities(spark, sf_dir):
 
 @register("category_growth_summary")
 def q_category_growth_summary(spark, sf_dir):
-    b = Bindings(spark, sf_dir)
-    summary = materialize(cat_summary_of(b))
-    items = materialize(items_c_of(b))
-    actions = cat.strategy_actions(cat.growth_gaps(items, summary), summary)
+    return growth_summary_of(*category_parts(Bindings(spark, sf_dir)))
+
+
+def growth_summary_of(items: DataFrame, summary: DataFrame) -> DataFrame:
+    actions = materialize(actions_of(items, summary))
     return cat.category_growth_summary(summary, actions, cat.product_opportunities(cat.product_performance(items)))
 
 
@@ -560,10 +569,10 @@ def q_branch_lookup(spark, sf_dir):
 @register("full_summary")
 def q_full_summary(spark, sf_dir):
     b = Bindings(spark, sf_dir)
-    scored, bench, health, ideal, risks, verd = expansion_parts(b)
-    staff = materialize(q_staffing_summary(spark, sf_dir))
-    growth = materialize(q_category_growth_summary(spark, sf_dir))
-    fsum = forecast_summary_of(b)
+    fsum = materialize(forecast_summary_of(b))
+    scored, bench, health, ideal, risks, verd = expansion_parts(b, fsum)
+    staff = materialize(staffing_summary_of(b, fsum))
+    growth = materialize(growth_summary_of(*category_parts(b)))
     bk = materialize(order_baskets(b))
     return ans.full_summary(two_item(b, bk), three_item(b, bk), fsum, verd, health, staff, growth)
 

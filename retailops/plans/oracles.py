@@ -548,7 +548,7 @@ SELECT p.branch, p.num_employees, {rnd(rnd('p.avg_shift_hours', 2), 1)} AS avg_s
   dom.ds AS dominant_shift, dom.dss AS dominant_shift_share,
   CAST(coalesce(wk.wd, 0) AS BIGINT) AS weekday_recommended_employees,
   CAST(coalesce(wk.we, 0) AS BIGINT) AS weekend_recommended_employees, pkd.peak_day,
-  h.action AS hiring_action, h.suggested_additional, net.*
+  h.action AS hiring_action, h.suggested_additional, h.reason AS hiring_reason, net.*
 FROM staff_profile p LEFT JOIN dom ON dom.branch = p.branch LEFT JOIN wk ON wk.branch = p.branch
   LEFT JOIN pkd ON pkd.branch = p.branch LEFT JOIN hiring h ON h.branch = p.branch CROSS JOIN net"""
 
@@ -698,8 +698,10 @@ RISKS_CTE = f"""risks AS (
   FROM (SELECT avg(revenue_cv) AS cv FROM scored) WHERE cv > 0.7
   UNION ALL
   SELECT 3, 'Short data history', 'MEDIUM',
-    'Only 4-5 months of sales data available. Seasonal patterns and long-term trends cannot be reliably estimated.',
-    'Collect 12+ months of data before committing major capital.'
+    'The shortest branch history has ' || CAST(n AS VARCHAR)
+      || ' months of sales. Seasons and long-term trends cannot be told apart.',
+    'Gather 12 months of sales before committing major capital.'
+  FROM (SELECT min(k) AS n FROM (SELECT count(*) AS k FROM monthly_sales GROUP BY branch)) WHERE n < 12
   UNION ALL
   SELECT 4, 'Missing operational data', 'LOW',
     'No attendance/staffing data for [' || string_agg('''' || branch || '''', ', ' {_ord}) || ']. Staffing benchmarks may be incomplete.',
@@ -736,7 +738,8 @@ UNION ALL SELECT 40 + risk_order, 'Risk', risk, severity, detail FROM risks"""
 
 EXP_SUMMARY_SQL = f"""
 , t AS (SELECT string_agg(metric || '=' || {num_text_sql('recommended_target', 2)}, '; ' ORDER BY metric_order) AS new_branch_targets,
-          min(recommended_channel_focus) AS recommended_channel_focus FROM ideal),
+          min(recommended_channel_focus) AS recommended_channel_focus, min(channel_table) AS channel_table,
+          min(channel_takeaway) AS channel_takeaway, min(channel_delivery) AS channel_delivery FROM ideal),
 tb AS (SELECT string_agg('''' || branch || '''', ', ' {_ord}) AS names FROM scored WHERE table_share > 0.9 AND takeaway_share < 0.05),
 best AS (SELECT branch AS model_to_replicate, composite_score AS model_composite,
   concat_ws('; ', CASE WHEN score_growth > 0.8 THEN 'Strong growth momentum' END, CASE WHEN score_revenue > 0.8 THEN 'High revenue' END,
@@ -745,7 +748,9 @@ best AS (SELECT branch AS model_to_replicate, composite_score AS model_composite
   FROM scored {_ord} LIMIT 1)
 SELECT v.verdict, v.rationale, h.network_health_score, h.strong_branch_names AS strong_branches,
   h.weak_branch_names AS weak_branches, h.branches_growing, h.branches_declining, t.new_branch_targets,
-  t.recommended_channel_focus, (SELECT CAST(count(*) AS BIGINT) FROM risks WHERE severity = 'HIGH') AS high_risk_count,
+  t.recommended_channel_focus, t.channel_table, t.channel_takeaway, t.channel_delivery,
+  (SELECT coalesce(string_agg(risk || ' [' || severity || ']: ' || mitigation, '; ' ORDER BY risk_order), '') FROM risks)
+    AS risks, (SELECT CAST(count(*) AS BIGINT) FROM risks WHERE severity = 'HIGH') AS high_risk_count,
   CASE WHEN tb.names IS NOT NULL THEN 'Branches [' || tb.names || '] are 100% dine-in. A new location near these areas with a takeaway/delivery focus could capture unserved demand without cannibalizing existing sales.'
        ELSE 'Consider areas with high foot traffic and limited existing coverage. A dine-in focused location aligns with the strongest branch profiles.' END AS location_insight,
   best.*
@@ -891,12 +896,14 @@ tot AS (SELECT CAST(count(*) AS BIGINT) AS total_actions,
           {rnd('coalesce(sum(estimated_revenue_uplift), 0.0)', 2)} AS total_estimated_uplift FROM actions),
 tot_o AS (SELECT CAST(count(*) AS BIGINT) AS total_product_opportunities FROM opps),
 per AS (SELECT branch, CAST(count(*) AS BIGINT) AS num_actions, {rnd('sum(estimated_revenue_uplift)', 2)} AS estimated_uplift,
-          arg_min(category, priority) AS top_priority_category, arg_min(action_type, priority) AS top_priority_action
+          arg_min(category, priority) AS top_priority_category, arg_min(action_type, priority) AS top_priority_action,
+          arg_min(description, priority) AS top_priority_description
         FROM actions GROUP BY branch),
 po AS (SELECT branch, count(CASE WHEN opportunity_type = 'ADD_NEW' THEN 1 END) AS pa,
           count(CASE WHEN opportunity_type = 'BOOST_EXISTING' THEN 1 END) AS pb FROM opps GROUP BY branch)
 SELECT per.branch, num_actions, estimated_uplift, CAST(coalesce(pa, 0) AS BIGINT) AS products_to_add,
   CAST(coalesce(pb, 0) AS BIGINT) AS products_to_boost, top_priority_category, top_priority_action,
+  top_priority_description,
   net.*, tot.total_actions, tot_o.total_product_opportunities, tot.total_estimated_uplift
 FROM per LEFT JOIN po ON po.branch = per.branch CROSS JOIN net CROSS JOIN tot CROSS JOIN tot_o"""
 
@@ -1025,6 +1032,13 @@ COMBO_SUMMARY_SQL = with_("sales_lines", "sales_by_item", extra=_dedupe(
 SELECT (SELECT count(*) FROM two_item) AS total_2item_combos, (SELECT count(*) FROM three_item) AS total_3item_combos,
   (SELECT coalesce(string_agg(combo_name, '; ' ORDER BY rank), '') FROM two_item WHERE rank <= 5) AS top_5_combos,
   (SELECT coalesce(string_agg(combo_name, '; ' ORDER BY rank), '') FROM three_item WHERE rank <= 3) AS top_3_triple_combos,
+  (SELECT coalesce(string_agg('lift ' || {num_text_sql('lift', 4)} || ', confidence ' || {num_text_sql('confidence', 4)}
+     || ', support ' || {num_text_sql('support', 4)} || coalesce(', price ' || {num_text_sql('combo_price', 2)}, '')
+     || ', discount ' || CAST(suggested_discount_pct AS VARCHAR), '; ' ORDER BY rank), '')
+   FROM two_item WHERE rank <= 5) AS top_5_rules,
+  (SELECT coalesce(string_agg('seen ' || CAST(co_occurrence AS VARCHAR)
+     || coalesce(', price ' || {num_text_sql('combo_price', 2)}, ''), '; ' ORDER BY rank), '')
+   FROM three_item WHERE rank <= 3) AS top_3_triple_figures,
   (SELECT coalesce(string_agg(branch || ': ' || combo_name, '; ' ORDER BY branch || ': ' || combo_name), '')
      FROM by_branch WHERE branch_rank = 1) AS top_combo_per_branch,
   (SELECT 'The strongest combo is ''' || combo_name || ''' with a lift of ' || {_num1} || 'x (customers who buy '

@@ -96,8 +96,14 @@ class Bindings:
                         F.month("date").alias("month_num"), F.year("date").alias("year"),
                         "total", "date")
 
-    def division_summary(self) -> DataFrame:
+    def sales_rollup(self) -> DataFrame:
+        """Sums per branch, division and channel: the one pass over the sales lines behind divisions and tax."""
         s = self.sales_lines().where(~F.col("is_cancellation"))
+        return s.groupBy("branch", "division", "channel").agg(
+            F.sum("price").alias("price"), F.sum(F.col("price") * F.col("tax_rate")).alias("tax"))
+
+    def division_summary(self, sums: DataFrame | None = None) -> DataFrame:
+        s = sums if sums is not None else self.sales_rollup()
 
         def ch(name):
             return rnd(F.sum(F.when(F.col("channel") == name, F.col("price")).otherwise(0.0)), 2)
@@ -120,9 +126,10 @@ class Bindings:
             F.min("order_ts").alias("first_order"), F.max("order_ts").alias("last_order"),
             rnd(F.sum("total"), 2).alias("total"), F.count(F.lit(1)).alias("num_orders"))
 
-    def tax_report(self) -> DataFrame:
-        s = self.sales_lines().where(~F.col("is_cancellation"))
-        v = rnd(rnd(F.sum(F.col("price") * F.col("tax_rate")), 4), 2)  # exact 4-dp value first
+    def tax_report(self, sums: DataFrame | None = None) -> DataFrame:
+        s = sums if sums is not None else self.sales_lines().where(~F.col("is_cancellation")).select(
+            "branch", (F.col("price") * F.col("tax_rate")).alias("tax"))
+        v = rnd(rnd(F.sum("tax"), 4), 2)  # exact 4-dp value first
         return s.groupBy("branch").agg(v.alias("vat"), v.alias("total_tax"))
 
     def attendance(self) -> DataFrame:
