@@ -7,6 +7,8 @@ ordered array in a one-row frame; nothing is shuffled for them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,61 @@ def branch_lookup(requests: DataFrame, by_branch: DataFrame, top_n: int = 5) ->
     return r.join(t, "_k").drop("_k")
 
 
+def topic_lookup(requests: DataFrame, table: DataFrame, candidates: DataFrame, name: str = "name") -> DataFrame:
+    """SRV-4 (demand, staffing and beverage topics): the row of ``table`` for each requested name, linked as in
+    ``link_branch``; ``found`` is false, and the row empty, where the name fits no branch."""
+    linked = link_branch(requests, candidates, name)
+    return linked.join(table, "branch", "left").withColumn("found", F.col("branch").isNotNull())
+
+
+def headlines(two: DataFrame, by_branch: DataFrame, fsum: DataFrame, verd: DataFrame, health: DataFrame,
+              staff: DataFrame, growth: DataFrame) -> DataFrame:
+    """(topic, branch, headline, figure): one row per topic and branch, and one with NULL branch for the network."""
+    def rows(df: DataFrame, topic: str, headline, figure: str, branch=None) -> DataFrame:
+        return df.select(F.lit(topic).alias("topic"),
+                         (F.lit(None).cast("string") if branch is None else F.col(branch)).alias("branch"),
+                         headline.alias("headline"), F.col(figure).cast("double").alias("figure"))
+
+    def network(df: DataFrame, headline: str, figure: str) -> DataFrame:  # the same value in every row
+        return df.agg(F.first(headline).alias(headline), F.first(figure).alias(figure))
+
+    verdict = verd.select("verdict").crossJoin(health.select("network_health_score"))
+    total = verd.select("verdict").crossJoin(fsum.agg(F.first("network_horizon_total").alias("network_horizon_total")))
+    growing = F.when(F.col("forecast_vs_historical") > 0, "growing").when(
+        F.col("forecast_vs_historical") < 0, "declining").otherwise("stable")
+    parts = [
+        rows(by_branch.where("branch_rank = 1"), "combo", F.col("combo_name"), "co_purchase_count", "branch"),
+        rows(two.where("rank = 1"), "combo", F.col("combo_name"), "lift"),
+        rows(fsum, "demand", growing, "horizon_total_forecast", "branch"),
+        rows(network(fsum, "fastest_growing_branch", "network_horizon_total"), "demand",
+             F.col("fastest_growing_branch"), "network_horizon_total"),
+        rows(verdict, "expansion", F.col("verdict"), "network_health_score"),
+        rows(staff, "staffing", F.col("hiring_action"), "suggested_additional", "branch"),
+        rows(network(staff, "most_efficient_branch", "network_total_employees"), "staffing",
+             F.col("most_efficient_branch"), "network_total_employees"),
+        rows(growth, "beverage", F.concat_ws(" ", "top_priority_action", "top_priority_category"), "estimated_uplift", "branch"),
+        rows(network(growth, "best_beverage_branch", "total_estimated_uplift"), "beverage",
+             F.col("best_beverage_branch"), "total_estimated_uplift"),
+        rows(total, "full_summary", F.col("verdict"), "network_horizon_total")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def answer_questions(questions: DataFrame, places: DataFrame, home: DataFrame, table: DataFrame) -> DataFrame:
+    """Route every question, find the place it names, and answer with the headline of its topic and branch.
+
+    ``home`` maps places to branches (a dimension).  Expansion and the full summary are about the network, whatever place
+    is named; other topics answer for the branch if one is named.  ``table`` has a row per topic and branch, so the join
+    is left to adaptive execution; the topic and branch of a question are projections.
+    """
+    routed = route_questions(questions).select("question_id", "topic")
+    placed = extract_branch(questions, places).withColumnRenamed("branch", "place").join(home, "place", "left")
+    about = placed.join(routed, "question_id").select(
+        "question_id", "topic", F.when(~F.col("topic").isin("expansion", "full_summary"), F.col("branch")).alias("branch"))
+    t = table.select(F.col("topic").alias("_t"), F.col("branch").alias("_b"), "headline", "figure")
+    return about.join(t, (F.col("topic") == F.col("_t")) & F.col("branch").eqNullSafe(F.col("_b")), "left").select(
+        "question_id", "topic", "branch", "headline", "figure")
+
+
 def full_summary(two: DataFrame, three: DataFrame, fsum: DataFrame, verd: DataFrame, health: DataFrame,
                  staff: DataFrame, growth: DataFrame) -> DataFrame:
     """SRV-5: one row of headline values of the five objectives."""

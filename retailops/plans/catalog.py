@@ -7,6 +7,7 @@ parameters of ``params``; the operator itself is a plain DataFrame function.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -449,10 +450,11 @@ def q_parse_division_summary(spark, sf_dir):
 
 @register("noise_filter")
 def q_noise_filter(spark, sf_dir):
+    """FIL-1/FIL-2 over the reports of all eight kinds; line numbers are not used, so none are computed."""
     b = Bindings(spark, sf_dir)
-    lines = (rnd_.tax_report(b.tax_report()).withColumn("report_id", F.concat(F.lit("tax:"), "report_id"))
-             .unionByName(rnd_.monthly_sales(b.monthly_sales())
-                          .withColumn("report_id", F.concat(F.lit("monthly:"), "report_id"))))
+    lines = reduce(DataFrame.unionByName, [
+        getattr(rnd_, printer)(getattr(b, table)()).select(F.concat(F.lit(f"{kind}:"), "report_id").alias("report_id"), "line")
+        for kind, printer, table in REPORT_KINDS])
     noise = rep.is_noise("line") | rep.is_page_header("line")
     return lines.groupBy("report_id").agg(F.count(F.when(~noise, 1)).alias("kept_lines"),
                                           F.count(F.when(noise, 1)).alias("dropped_lines"))
@@ -460,14 +462,31 @@ def q_noise_filter(spark, sf_dir):
 
 @register("report_lines")
 def q_report_lines(spark, sf_dir):
-    """SRC-1/SRC-3: rendered reports written as text files, read back in order."""
+    """SRC-1/SRC-3: the lines of all document texts written as reports (one per language), read back in order."""
     import uuid
     from ..session import ensure_checkpoint_dir
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/retailops-reports/{uuid.uuid4().hex}"
-    rep.write_report_text(rnd_.tax_report(Bindings(spark, sf_dir).tax_report()), path)
+    rep.write_report_text(text_lines(Bindings(spark, sf_dir)).withColumnRenamed("lang", "report_id"), path, ("doc_id", "at"))
     return rep.read_report_lines(spark, f"{path}/*/*.txt")
 
 
+def text_lines(b: Bindings) -> DataFrame:
+    """(doc_id, lang, at, line) for every line of every document text; NULL texts have none."""
+    return b.table("documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+
+
+@register("document_lines")
+def q_document_lines(spark, sf_dir):
+    """FIL-1, FIL-2, SCL-1 and SCL-2 over every line of the document texts, summed per document."""
+    d = text_lines(Bindings(spark, sf_dir))
+    noise = rep.is_noise("line") | rep.is_page_header("line")
+    number = S.parse_number(F.regexp_extract("line", r"(\d[\d,]*(\.\d+)?)", 1))
+    return d.groupBy("doc_id").agg(
+        F.count(F.when(~noise, 1)).alias("kept_lines"), F.count(F.when(noise, 1)).alias("dropped_lines"),
+        F.sum(F.when(~noise, F.length(S.clean_text("line")))).alias("clean_chars"),
+        F.count(F.when(~noise, number)).alias("numbers"))
+
+
 @register("dataset_catalog")
 def q_dataset_catalog(spark, sf_dir):
     from ..sources.tables import dataset_catalog
@@ -475,6 +494,11 @@ def q_dataset_catalog(spark, sf_dir):
     return dataset_catalog({n: getattr(b, n)() for n in TIDY})
 
 
+#: kind, printer, tidy table
+REPORT_KINDS = [("tax", "tax_report", "tax_report"), ("monthly", "monthly_sales", "monthly_sales"),
+                ("avg", "avg_sales", "avg_sales"), ("attendance", "attendance", "attendance"),
+                ("items", "sales_by_item", "sales_by_item"), ("customers", "sales_by_customer", "sales_lines"),
+                ("orders", "customer_orders", "customer_orders"), ("divisions", "division_summary", "division_summary")]
 TIDY = ["division_summary", "tax_report", "attendance", "sales_lines", "customer_orders", "sales_by_item",
         "monthly_sales", "avg_sales"]
 
@@ -566,6 +590,42 @@ def q_branch_lookup(spark, sf_dir):
     return ans.branch_lookup(req, per_branch_pairs(b), 5)
 
 
+def topic_lookup(b: Bindings, table: DataFrame) -> DataFrame:
+    return ans.topic_lookup(link_names(b), table, region_branches(b))
+
+
+@register("demand_lookup")
+def q_demand_lookup(spark, sf_dir):
+    b = Bindings(spark, sf_dir)
+    return topic_lookup(b, forecast_summary_of(b))
+
+
+@register("staffing_lookup")
+def q_staffing_lookup(spark, sf_dir):
+    b = Bindings(spark, sf_dir)
+    return topic_lookup(b, staffing_summary_of(b))
+
+
+@register("beverage_lookup")
+def q_beverage_lookup(spark, sf_dir):
+    b = Bindings(spark, sf_dir)
+    return topic_lookup(b, growth_summary_of(*category_parts(b)))
+
+
+def headlines_of(b: Bindings) -> DataFrame:
+    fsum = materialize(forecast_summary_of(b))
+    health, verd = (expansion_parts(b, fsum)[i] for i in (2, 5))
+    return ans.headlines(two_item(b), per_branch_pairs(b), fsum, verd, health, staffing_summary_of(b, fsum),
+                         growth_summary_of(*category_parts(b)))
+
+
+@register("answer_questions")
+def q_answer_questions(spark, sf_dir):
+    b = Bindings(spark, sf_dir)
+    home = b.geo().select(F.col("n_name").alias("place"), "branch")  # a nation belongs to one region, the branch
+    return ans.answer_questions(b.questions(), nation_branches(b), home, materialize(headlines_of(b)))
+
+
 @register("full_summary")
 def q_full_summary(spark, sf_dir):
     b = Bindings(spark, sf_dir)

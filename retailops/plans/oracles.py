@@ -924,6 +924,17 @@ ORACLES.update({
 
 
 # ------------------------------------------------------------ report round trips
+def clean_text_sql(x: str) -> str:
+    s = f"""trim(regexp_replace(trim({x}), '^"+|"+$', '', 'g'))"""
+    s = rf"regexp_replace({s}, '\s+', ' ', 'g')"
+    s = f"regexp_replace({s}, '[.,]+$', '')"
+    s = rf"regexp_replace({s}, '^[.,]+\s*', '')"
+    return f"trim({s})"
+
+
+TEXT_LINES = """WITH text_lines AS (
+  SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth
+  FROM documents WHERE text IS NOT NULL)"""
 ORACLES.update({
     "parse_tax_report": with_("tax_report") + "SELECT branch, vat, total_tax FROM tax_report",
     "parse_monthly_sales": with_("monthly_sales") + "SELECT * FROM monthly_sales",
@@ -940,11 +951,30 @@ FROM sales_lines""",
     "parse_customer_orders": with_("customer_orders") + """
 SELECT branch, customer, '' AS phone, first_order, last_order, total, num_orders FROM customer_orders""",
     "parse_division_summary": with_("division_summary") + "SELECT * FROM division_summary",
-    "noise_filter": with_("tax_report", "monthly_sales") + """
+    "noise_filter": with_("tax_report", "monthly_sales", "avg_sales", "attendance", "sales_by_item", "sales_lines",
+                          "customer_orders", "division_summary") + """
 SELECT 'tax:' || branch AS report_id, CAST(6 AS BIGINT) AS kept_lines, CAST(3 AS BIGINT) AS dropped_lines FROM tax_report
 UNION ALL
 SELECT 'monthly:' || branch, CAST(6 + count(*) + count(DISTINCT year) AS BIGINT), CAST(3 AS BIGINT)
-FROM monthly_sales GROUP BY branch""",
+FROM monthly_sales GROUP BY branch
+UNION ALL SELECT 'avg:' || branch, 7 + count(*), 3 FROM avg_sales GROUP BY branch
+UNION ALL SELECT 'attendance:' || branch, 4 + 3 * count(DISTINCT emp_id) + count(*), 3 FROM attendance GROUP BY branch
+UNION ALL SELECT 'items:' || branch, 6 + 2 * count(DISTINCT division) + 2 * count(DISTINCT (division, grp)) + count(*), 3
+FROM sales_by_item GROUP BY branch
+UNION ALL SELECT 'customers:' || branch, 5 + 2 * count(DISTINCT customer) + count(*), 3 FROM sales_lines GROUP BY branch
+UNION ALL SELECT 'orders:' || branch, 5 + count(*), 3 FROM customer_orders GROUP BY branch
+UNION ALL SELECT 'divisions:' || branch, 4 + count(*), 3 FROM division_summary GROUP BY branch""",
+    "report_lines": TEXT_LINES + """
+SELECT lang AS report_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id, nth) - 1 AS pos, replace(line, chr(13), ' ') AS line
+FROM text_lines""",
+    "document_lines": TEXT_LINES + rf"""
+, x AS (SELECT doc_id, regexp_matches(line, '(?i)Page\s+\d+\s+of') OR NOT regexp_matches(trim(line), '\S')
+    OR regexp_matches(trim(line), '(?i)Copyright\s*©') OR regexp_matches(trim(line), '(?i)^REP_S_\d+')
+    OR regexp_matches(trim(line), '(?i)\bwww\.[\w-]+\.com\b') AS noise,
+  length({clean_text_sql("line")}) AS n, regexp_matches(line, '\d') AS number FROM text_lines)
+SELECT doc_id, count(*) FILTER (WHERE NOT noise) AS kept_lines, count(*) FILTER (WHERE noise) AS dropped_lines,
+  CAST(sum(n) FILTER (WHERE NOT noise) AS BIGINT) AS clean_chars, count(*) FILTER (WHERE NOT noise AND number) AS numbers
+FROM x GROUP BY doc_id""",
     "dataset_catalog": with_("division_summary", "tax_report", "attendance", "sales_lines", "customer_orders",
                              "sales_by_item", "monthly_sales", "avg_sales") + " UNION ALL ".join(
         f"SELECT '{n}' AS dataset, count(*) AS rows, CAST({k} AS BIGINT) AS columns, '{cols}' AS column_names FROM {n}"
@@ -963,14 +993,6 @@ FROM monthly_sales GROUP BY branch""",
 
 
 # ------------------------------------------------------------ scalars over table text
-def clean_text_sql(x: str) -> str:
-    s = f"""trim(regexp_replace(trim({x}), '^"+|"+$', '', 'g'))"""
-    s = rf"regexp_replace({s}, '\s+', ' ', 'g')"
-    s = f"regexp_replace({s}, '[.,]+$', '')"
-    s = rf"regexp_replace({s}, '^[.,]+\s*', '')"
-    return f"trim({s})"
-
-
 def strip_description_sql(x: str) -> str:
     return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
 
@@ -1077,3 +1099,57 @@ WHERE bb.branch_rank <= 5""",
 SELECT branch, horizon_total_forecast, forecast_vs_historical FROM fc_summary""",
     "combo_summary": COMBO_SUMMARY_SQL,
 })
+
+
+# ------------------------------------------------------------ answers per topic
+LINKED_CTE = """names AS (SELECT DISTINCT name FROM (SELECT lower(r_name) AS name FROM region UNION ALL
+  SELECT r_name || ' store' FROM region UNION ALL SELECT substr(r_name, 1, 3) FROM region UNION ALL
+  SELECT n_name FROM nation)),
+linked AS (SELECT name, arg_min(rb.branch, CAST(lower(trim(name)) <> lower(rb.branch) AS INTEGER) * 1000 + rb.list_pos)
+    AS branch
+  FROM names LEFT JOIN rb ON lower(trim(name)) = lower(rb.branch) OR contains(lower(trim(name)), lower(rb.branch))
+    OR contains(lower(rb.branch), lower(trim(name))) GROUP BY name)"""
+_STAFF_CTES = (SHIFTS_CTE, DAILY_CTE, STAFF_PROFILE_CTE, GROWTH_CTE, RECS_CTE, SCHED_CTE, HIRING_CTE)
+_GROWTH_CTES = (CAT_SUMMARY_CTE, GAPS_CTE, ACTIONS_CTE, PERF_CTE, OPPS_CTE)
+
+
+def as_cte(name: str, sql: str) -> str:
+    """A summary (helper CTEs after a leading comma, then its SELECT) as one CTE."""
+    return f"{name} AS (WITH {sql.strip().lstrip(',').strip()})"
+
+
+def lookup_sql(table: str) -> str:
+    return f"SELECT l.name, l.branch IS NOT NULL AS found, l.branch, t.* EXCLUDE (branch) FROM linked l LEFT JOIN {table} t ON t.branch = l.branch"
+
+
+STAFF_SUM_CTE, GROWTH_SUM_CTE = as_cte("staff_sum", STAFF_SUMMARY_SQL), as_cte("growth_sum", CAT_GROWTH_SQL)
+PLACES_CTE = """places AS (SELECT q.question_id, arg_min(nb.branch, nb.list_pos) AS place
+  FROM questions q LEFT JOIN nb ON contains(lower(q.question), lower(nb.branch)) GROUP BY q.question_id)"""
+HEADLINES_CTE = """headlines AS (
+  SELECT 'combo' AS topic, branch, combo_name AS headline, CAST(co_purchase_count AS DOUBLE) AS figure
+    FROM by_branch WHERE branch_rank = 1
+  UNION ALL SELECT 'combo', NULL, combo_name, lift FROM two_item WHERE rank = 1
+  UNION ALL SELECT 'demand', branch, CASE WHEN forecast_vs_historical > 0 THEN 'growing'
+    WHEN forecast_vs_historical < 0 THEN 'declining' ELSE 'stable' END, horizon_total_forecast FROM fc_summary
+  UNION ALL SELECT 'demand', NULL, min(fastest_growing_branch), min(network_horizon_total) FROM fc_summary
+  UNION ALL SELECT 'expansion', NULL, v.verdict, h.network_health_score FROM verdict v CROSS JOIN health h
+  UNION ALL SELECT 'staffing', branch, hiring_action, suggested_additional FROM staff_sum
+  UNION ALL SELECT 'staffing', NULL, min(most_efficient_branch), min(network_total_employees) FROM staff_sum
+  UNION ALL SELECT 'beverage', branch, top_priority_action || ' ' || top_priority_category, estimated_uplift FROM growth_sum
+  UNION ALL SELECT 'beverage', NULL, min(best_beverage_branch), min(total_estimated_uplift) FROM growth_sum
+  UNION ALL SELECT 'full_summary', NULL, (SELECT v.verdict FROM verdict v), min(network_horizon_total) FROM fc_summary)"""
+_ANSWER_CTES = _dedupe(_FULL_CTES + branch_pairs_ctes() + [*_STAFF_CTES, *_GROWTH_CTES, STAFF_SUM_CTE, GROWTH_SUM_CTE,
+                                                           HEADLINES_CTE, NB_CTE, PLACES_CTE,
+                                                           f"routed AS ({ROUTE_SQL})"])
+ORACLES.update({
+    "demand_lookup": demand_with("fc_summary", more=[RB_CTE, LINKED_CTE]) + lookup_sql("fc_summary"),
+    "staffing_lookup": staffing_with(*_STAFF_CTES, STAFF_SUM_CTE, RB_CTE, LINKED_CTE) + lookup_sql("staff_sum"),
+    "beverage_lookup": category_with(*_GROWTH_CTES, GROWTH_SUM_CTE, RB_CTE, LINKED_CTE) + lookup_sql("growth_sum"),
+    "answer_questions": with_(*_ALL_BINDINGS, "questions", extra=_ANSWER_CTES) + """
+, about AS (SELECT p.question_id, r.topic,
+    CASE WHEN r.topic NOT IN ('expansion', 'full_summary') THEN g.r_name END AS branch
+  FROM places p JOIN routed r ON r.question_id = p.question_id
+  LEFT JOIN (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) g ON g.n_name = p.place)
+SELECT a.question_id, a.topic, a.branch, h.headline, h.figure
+FROM about a LEFT JOIN headlines h ON h.topic = a.topic AND h.branch IS NOT DISTINCT FROM a.branch""",
+})

@@ -1,13 +1,14 @@
 """Report text: read lines in order, drop noise, write text.
 
-A report file is read whole (``wholetext``) so that line order survives the
-read; many reports are read in parallel, one file per task.  A single report
-is a paginated print-out (tens of pages), so whole-file reads stay small.
+Files are read line by line and may be split: lines are numbered inside a
+split, and the line counts of the earlier splits of a report (one row per
+split) are added.  Order inside a split is the reader's own, so numbers do
+not depend on which task or attempt reads it, and no window exceeds a split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Noise lines of the point-of-sale export (case-insensitive).
@@ -19,11 +20,30 @@ PRINT_DATE_RE = r"^\d{2}-\w{3}-\d{2}"
 
 
 def read_report_lines(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-1: (report_id, pos, line) for every line of every file under ``path``."""
-    raw = spark.read.text(path, wholetext=True)
-    raw = raw.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("report_id"),
-                     F.make_valid_utf8("value").alias("value"))
-    return raw.select("report_id", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    """SRC-1: (report_id, pos, line) for every line of every file under ``path``; ``pos`` counts from 0.
+
+    The report is the folder ``report_id=...`` the file lies in (its files follow each other by name), else the file
+    name without its ending.
+    """
+    file = F.col("_metadata.file_path")
+    folder = F.regexp_extract(file, r"/report_id=([^/]+)/", 1)
+    name = F.regexp_extract(file, r"([^/]+?)(\.[^./]*)?$", 1)
+    raw = spark.read.text(path).select(
+        F.when(folder != "", _unescaped(_unescaped(folder))).otherwise(_unescaped(name)).alias("report_id"),
+        file.alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
+        F.monotonically_increasing_id().alias("_id"), F.make_valid_utf8("value").alias("line"))
+    split = ["report_id", "_file", "_at"]
+    before = Window.partitionBy("report_id").orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = raw.groupBy(*split).agg(F.count(F.lit(1)).alias("_n")).select(
+        *split, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*split).orderBy("_id"))
+    return raw.withColumn("_k", inside).join(counts, split).select(
+        "report_id", (F.col("_before") + F.col("_k") - 1).alias("pos"), "line")
+
+
+def _unescaped(c: Column) -> Column:
+    """Percent signs of a path decoded; a plus stays a plus."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
 def is_noise(line: str = "line") -> F.Column:
@@ -45,7 +65,12 @@ def drop_noise(lines: DataFrame, pages: bool = True) -> DataFrame:
     return lines.where(~cond)
 
 
-def write_report_text(lines: DataFrame, path: str) -> None:
-    """Write one text file per report (sink for rendered reports)."""
-    (lines.repartition("report_id").sortWithinPartitions("report_id", "pos")
-     .select("report_id", "line").write.mode("overwrite").partitionBy("report_id").text(path))
+def write_report_text(lines: DataFrame, path: str, order: tuple[str, ...] = ("pos",)) -> None:
+    """Write reports as text, a folder per report whose files follow each other by name.
+
+    The sort is by range, so a long report spreads over many tasks.  The id is never NULL, so that the writer keeps
+    the order as it is; line ends inside a line become blanks.
+    """
+    (lines.select(F.coalesce("report_id", F.lit("unnamed")).alias("report_id"), *order,
+                  F.translate(F.coalesce("line", F.lit("")), "\r\n", "  ").alias("line"))
+     .sort("report_id", *order).select("report_id", "line").write.mode("overwrite").partitionBy("report_id").text(path))
