@@ -14,7 +14,8 @@ in separate tasks, so no task holds a hot shard.  A shard's own links leave it a
 and tree at most, never a row per pair.
 
 Components.  Alternating large-star and small-star rounds over the stored links, until nothing changes.  Links,
-components and fingerprints stay in Spark tables; only counts reach the driver.
+components and fingerprints stay in Spark tables; only counts reach the driver.  Rows are counted per fingerprint before
+they meet their component, and those of a hot fingerprint or component are dealt in parts (``join_spread``).
 
 Defined results: NULL and empty texts have no words, so they are linked to each other; a NULL doc_id is ignored when the
 smallest is taken, and a component with no id at all has NULL; repeated rows each give a row; an empty table gives an
@@ -35,6 +36,7 @@ from .common import row_key, stored, text_blocks, text_or_empty
 
 SEED = 42
 HOT = 2000
+PART_ROWS, PARTS = 1000, 100_000  # a key with more rows than that, or than one row in PARTS of all, is dealt in parts
 PAIRS = 1 << 20  # (query, node) pairs looked at together
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -233,29 +235,46 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """(id, key, fp, root) per document: documents of one component share ``root``."""
-    marked = stored(fingerprints(docs, words, id_col, text_col))
-    nodes = marked.select("fp").distinct()
-    roots = components(links(nodes, radius))
-    return marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "id", "key", "fp", F.coalesce("root", "fp").alias("root"))
+def join_spread(rows: DataFrame, lookup: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """``rows`` (a stored table) with the columns of ``lookup`` (one row per key); a hot key is dealt over many tasks.
+
+    ``sizes`` (key, n) counts the rows of each key.  Keys over the limit are cut into parts of that many rows, and their
+    one row of ``lookup`` goes to every part.  At most ``PARTS`` keys can pass the limit, so they are broadcast.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    limit = max(PART_ROWS, total // PARTS)
+    hot = F.broadcast(sizes.filter(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    # any part gives the same row; the draw is seeded and ``rows`` is stored, so a repeated task draws alike
+    left = rows.join(hot, key, "left").withColumn("part", F.floor(F.rand(SEED) * parts)).drop("parts")
+    right = lookup.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return left.join(right, [key, "part"]).drop("part")
+
+
+def groups(marked: DataFrame, radius: int = 3) -> DataFrame:
+    """(fp, n, id, first, root) per fingerprint of ``marked`` (id, key, fp): its rows, their smallest id, their first row
+    as (no id, id, key), and the root that all fingerprints of a component share."""
+    nodes = stored(marked.groupBy("fp").agg(
+        F.count("*").alias("n"), F.min("id").alias("id"),
+        F.min(F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col("key"))).alias("first")))
+    roots = components(links(nodes.select("fp"), radius))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def component_ids(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) per document."""
-    found = near_duplicates(docs, words, radius, id_col, text_col)
+    marked = stored(fingerprints(docs, words, id_col, text_col).select("id", "key", "fp"))
+    found = stored(groups(marked, radius).select("fp", "n", "id", "root"))
     least = found.groupBy("root").agg(F.min("id").alias("component_id"))
-    return found.join(least, "root").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = join_spread(found.select("root", "fp"), least, "root", found.groupBy("root").agg(F.count("*").alias("n")))
+    rows = join_spread(marked.select("id", "fp"), named.select("fp", "component_id"), "fp", found.select("fp", "n"))
+    return rows.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest id (without ids: the smallest key)."""
-    found = near_duplicates(docs, words, radius, id_col, text_col)
-    least = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col("key"))).alias("s"))
-    keep = least.select(F.col("s.key").alias("key"))
+    found = groups(stored(fingerprints(docs, words, id_col, text_col)), radius)
+    keep = found.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
     rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"))
     return rows.join(keep.hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"]).select("row.*")

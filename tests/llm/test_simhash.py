@@ -99,3 +99,19 @@ def test_links_connect_what_brute_force_connects(spark, hot):
         want.setdefault(g, set()).add(f)
         got.setdefault(roots.get(f, f), set()).add(f)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_hot_groups_are_dealt_in_parts(spark, monkeypatch):
+    """A third of all rows hold one text, another part near copies of it: every row still gets its component once."""
+    monkeypatch.setattr(M, "PART_ROWS", 5)
+    base = " ".join(f"word{i}" for i in range(400))
+    rows = [(i, base if i % 3 == 0 else f"{base} tail{i % 40}" if i % 3 == 1 else f"text {i * i} of its own {i}") for i in range(300)]
+    rows += [(None, base)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = [plain_fingerprint(t) for _, t in rows]
+    least = {}
+    for (i, _), g in zip(rows, roots := plain_groups(fps)):
+        least[g] = i if g not in least else min(least[g], i) if i is not None else least[g]
+    assert max(roots.count(g) for g in least) > 100
+    want = sorted((str(i), f"{f:016x}", str(least[g])) for (i, _), f, g in zip(rows, fps, roots))
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in M.component_ids(docs).collect()) == want
