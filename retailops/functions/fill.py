@@ -1,6 +1,7 @@
 """Forward fill ("carry the latest header down") in bounded-size windows.
 
-A report's lines are cut into chunks of ``chunk_rows`` consecutive positions.
+A report's lines are cut into chunks: a column ``chunk`` of the lines that
+never disagrees with their order, else ``chunk_rows`` consecutive positions.
 Inside a chunk, ``last(x, ignorenulls)`` over a running frame fills values;
 the value entering each chunk comes from a small table with one row per
 chunk (the last non-null value of every earlier chunk).  No window partition
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 def carry_forward(df: DataFrame, cols: Sequence[str], key: str = "report_id", order: str = "pos",
                   chunk_rows: int = 1 << 16) -> DataFrame:
     cols = list(cols)
-    d = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_rows)))
+    d = df.withColumn("_chunk", F.col("chunk") if "chunk" in df.columns else F.floor(F.col(order) / F.lit(chunk_rows)))
     per_chunk = d.groupBy(key, "_chunk").agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_last_{c}") for c in cols])
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

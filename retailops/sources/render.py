@@ -1,8 +1,9 @@
 """Render tidy tables back into point-of-sale report text (round-trip fixtures).
 
 One report per branch.  Each line type is a DataFrame with sort keys
-(s1..s4) and the text; their union is numbered per report (``pos``).  Money is
-printed with thousands separators and quoted, as in the exports.
+(s1..s4) and the text; the keys are the line's place (``pos``), and a ``chunk``
+of lines shares their leading part, so no task orders a whole report.  Money
+is printed with thousands separators and quoted, as in the exports.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 BANNER = "Retail Group HQ"
 FOOTER = 'REP_S_00001,"Copyright © 2024 Vendor",,,,www.vendor.com,'
 PRINT_DATE = "30-Jan-26"
+CHUNK_CHARS = 12  # of the last sort key: 100 order numbers, or ten hours of punches
 
 
 def money(c: Column | str) -> Column:
@@ -35,10 +37,9 @@ def quoted(c: Column | str) -> Column:
 
 def part(df: DataFrame, s1: int, line: Column, s2: Column | None = None, s3: Column | None = None,
          s4: Column | None = None) -> DataFrame:
-    e = F.lit("")
-    return df.select(F.col("report_id"), F.lit(s1).alias("s1"), (s2 if s2 is not None else e).cast("string").alias("s2"),
-                     (s3 if s3 is not None else e).cast("string").alias("s3"),
-                     (s4 if s4 is not None else e).cast("string").alias("s4"), line.alias("line"))
+    keys = [F.lit("") if c is None else F.coalesce(c.cast("string"), F.lit("")) for c in (s2, s3, s4)]
+    return df.select("report_id", F.lit(s1).alias("s1"), *[c.alias(f"s{i}") for i, c in enumerate(keys, 2)],
+                     line.alias("line"))
 
 
 def static(reports: DataFrame, s1: int, text: str) -> DataFrame:
@@ -46,9 +47,10 @@ def static(reports: DataFrame, s1: int, text: str) -> DataFrame:
 
 
 def assemble(parts: list[DataFrame]) -> DataFrame:
+    """(report_id, pos, chunk, line): ``pos`` orders the lines of a report, ``chunk`` never disagrees with it."""
     u = reduce(DataFrame.unionByName, parts)
-    w = Window.partitionBy("report_id").orderBy("s1", "s2", "s3", "s4", "line")
-    return u.select("report_id", F.row_number().over(w).cast("bigint").alias("pos"), "line")
+    chunk = F.concat_ws("\0", F.lpad(F.col("s1").cast("string"), 3, "0"), "s2", "s3", F.left("s4", F.lit(CHUNK_CHARS)))
+    return u.select("report_id", F.struct("s1", "s2", "s3", "s4", "line").alias("pos"), chunk.alias("chunk"), "line")
 
 
 def _reports(df: DataFrame) -> DataFrame:

@@ -146,3 +146,11 @@ def test_carry_forward_across_chunks(spark):
     got = {(r.report_id, r.pos): r.h for r in carry_forward(df, ["h"], chunk_rows=3).collect()}
     assert all(got[("a", i)] == f"h{i - i % 7}" for i in range(50))
     assert got[("b", 0)] is None and got[("b", 1)] == "x"
+
+
+def test_carry_forward_along_sort_keys(spark):
+    """Lines placed by their sort keys, chunks by a leading part of them: no line numbers are needed."""
+    rows = [(r, (a, b), f"{a:03}", f"{r}{a}" if b == 0 and a % 3 == 0 else None) for r in "xy" for a in range(20) for b in range(4)]
+    df = spark.createDataFrame(rows, "report_id string, pos struct<a:int,b:int>, chunk string, h string").repartition(7)
+    got = {(r.report_id, *r.pos): r.h for r in carry_forward(df, ["h"]).collect()}
+    assert got == {(r, a, b): f"{r}{a - a % 3}" for r in "xy" for a in range(20) for b in range(4)}
