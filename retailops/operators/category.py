@@ -191,14 +191,27 @@ def category_growth_summary(summary: DataFrame, actions: DataFrame, opps: DataFr
         rnd(F.avg("revenue_share"), 4).alias("network_avg_beverage_share"))
     tot = actions.agg(F.count(F.lit(1)).alias("total_actions"),
                       rnd(F.coalesce(F.sum("estimated_revenue_uplift"), F.lit(0.0)), 2).alias("total_estimated_uplift"))
-    tot_o = opps.agg(F.count(F.lit(1)).alias("total_product_opportunities"))
+    tot_o = opps.agg(F.count(F.lit(1)).alias("total_product_opportunities"),
+                     F.count_distinct(F.when(F.col("opportunity_type") == "ADD_NEW", F.col("product"))).alias("new_products"))
+
+    def percent(share):
+        return rnd(share * 100, 1).cast("decimal(9,1)").cast("string")
+
+    gap = F.concat("branch", F.lit(": "), "category", F.lit(" earns "), percent(F.col("current_revenue_share")),
+                   F.lit("% of revenue, against "), percent(F.col("current_revenue_share") + F.col("share_gap_vs_best")),
+                   F.lit("% at "), "benchmark_branch", F.lit("."))
+    widest = actions.agg(F.max(F.when(F.col("priority") == 1, gap)).alias("_gap"))
     per = actions.groupBy("branch").agg(
         F.count(F.lit(1)).alias("num_actions"), rnd(F.sum("estimated_revenue_uplift"), 2).alias("estimated_uplift"),
         F.min_by(F.struct("category", "action_type", "description"), "priority").alias("_top"))
     po = opps.groupBy("branch").agg(
         F.count(F.when(F.col("opportunity_type") == "ADD_NEW", 1)).alias("products_to_add"),
         F.count(F.when(F.col("opportunity_type") == "BOOST_EXISTING", 1)).alias("products_to_boost"))
-    j = per.join(po, "branch", "left").crossJoin(F.broadcast(net)).crossJoin(tot).crossJoin(tot_o)
+    j = per.join(po, "branch", "left").crossJoin(F.broadcast(net)).crossJoin(tot).crossJoin(tot_o).crossJoin(widest)
+    leader = F.concat("best_beverage_branch", F.lit(" leads with "), percent(F.col("best_beverage_share")),
+                      F.lit("% of its revenue from beverages."))
+    menu = F.when(F.col("new_products") > 0, F.concat(
+        F.col("new_products").cast("string"), F.lit(" products are missing from some branch's menu.")))
     return j.select(
         "branch", F.col("num_actions").cast("bigint").alias("num_actions"), "estimated_uplift",
         F.coalesce("products_to_add", F.lit(0)).cast("bigint").alias("products_to_add"),
@@ -208,4 +221,4 @@ def category_growth_summary(summary: DataFrame, actions: DataFrame, opps: DataFr
         "best_beverage_branch", "best_beverage_share", "worst_beverage_branch", "worst_beverage_share",
         "network_avg_beverage_share", F.col("total_actions").cast("bigint").alias("total_actions"),
         F.col("total_product_opportunities").cast("bigint").alias("total_product_opportunities"),
-        "total_estimated_uplift")
+        "total_estimated_uplift", F.concat_ws(" ", "_gap", leader, menu).alias("key_insights"))

@@ -183,6 +183,11 @@ def staffing_summary(profile: DataFrame, recs: DataFrame, sched: DataFrame, fsum
     dom = recs.groupBy("branch").agg(
         F.min_by(F.struct("shift_type", "shift_share"),
                  F.struct(-F.col("shift_share"), _order_index("shift_type", SHIFT_ORDER))).alias("_d"))
+    # at most one entry per kind of shift
+    entry = F.format_string("%s: %s staff of %s h, demand x %s", "shift_type", "recommended_staff_per_day",
+                            F.col("recommended_shift_hours").cast("decimal(12,1)"), F.col("demand_multiplier").cast("decimal(12,4)"))
+    per_shift = recs.groupBy("branch").agg(F.array_sort(F.collect_list(
+        F.struct(_order_index("shift_type", SHIFT_ORDER).alias("i"), entry.alias("x")))).alias("_recs"))
     wk = sched.groupBy("branch").agg(
         F.mode(F.when(F.col("is_weekend") == 0, F.col("recommended_employees")), True).alias("_wd"),
         F.mode(F.when(F.col("is_weekend") == 1, F.col("recommended_employees")), True).alias("_we"),
@@ -193,14 +198,16 @@ def staffing_summary(profile: DataFrame, recs: DataFrame, sched: DataFrame, fsum
         F.sum("num_employees").cast("bigint").alias("network_total_employees"),
         rnd(F.avg("revenue_per_employee"), 2).alias("network_avg_revenue_per_employee"),
         F.min_by("branch", F.struct(-F.col("revenue_per_employee"), F.col("branch"))).alias("most_efficient_branch"))
-    j = (profile.join(dom, "branch", "left").join(wk, "branch", "left").join(hire, "branch", "left")
+    j = (profile.join(dom, "branch", "left").join(per_shift, "branch", "left").join(wk, "branch", "left").join(hire, "branch", "left")
          .crossJoin(F.broadcast(net)))
     return j.select(
         "branch", "num_employees", rnd(rnd("avg_shift_hours", 2), 1).alias("avg_shift_hours"),
         rnd(rnd("avg_employees_per_day", 2), 1).alias("avg_employees_per_day"),
         "revenue_per_hour", "revenue_per_employee",
         F.col("_d.shift_type").alias("dominant_shift"), F.col("_d.shift_share").alias("dominant_shift_share"),
+        F.coalesce(F.array_join(F.col("_recs.x"), "; "), F.lit("")).alias("shift_recommendations"),
         F.coalesce("_wd", F.lit(0)).cast("bigint").alias("weekday_recommended_employees"),
         F.coalesce("_we", F.lit(0)).cast("bigint").alias("weekend_recommended_employees"),
         "peak_day", "hiring_action", "suggested_additional", "hiring_reason",
-        "network_total_employees", "network_avg_revenue_per_employee", "most_efficient_branch")
+        "network_total_employees", "network_avg_revenue_per_employee", "most_efficient_branch",
+        F.concat("most_efficient_branch", F.lit(" earns the most per employee: compare its shifts with the others'.")).alias("key_finding"))

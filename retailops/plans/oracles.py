@@ -536,6 +536,10 @@ STAFF_SUMMARY_SQL = f"""
             first(shift_share ORDER BY shift_share DESC,
             CASE shift_type WHEN 'morning' THEN 0 WHEN 'afternoon' THEN 1 WHEN 'evening' THEN 2 WHEN 'overnight' THEN 3 ELSE 4 END) AS dss
           FROM recs GROUP BY branch),
+rec_text AS (SELECT branch, string_agg(shift_type || ': ' || recommended_staff_per_day || ' staff of '
+              || CAST(recommended_shift_hours AS DECIMAL(12, 1)) || ' h, demand x ' || CAST(demand_multiplier AS DECIMAL(12, 4)), '; '
+              ORDER BY CASE shift_type WHEN 'morning' THEN 0 WHEN 'afternoon' THEN 1 WHEN 'evening' THEN 2 ELSE 3 END) AS rt
+             FROM recs GROUP BY branch),
 wkm AS (SELECT branch, is_weekend, recommended_employees AS v, count(*) AS k FROM sched GROUP BY 1, 2, 3),
 wk AS (SELECT branch, first(v ORDER BY k DESC, v) FILTER (WHERE is_weekend = 0) AS wd,
          first(v ORDER BY k DESC, v) FILTER (WHERE is_weekend = 1) AS we FROM wkm GROUP BY branch),
@@ -545,11 +549,12 @@ net AS (SELECT CAST(sum(num_employees) AS BIGINT) AS network_total_employees,
           first(branch ORDER BY revenue_per_employee DESC, branch) AS most_efficient_branch FROM staff_profile)
 SELECT p.branch, p.num_employees, {rnd(rnd('p.avg_shift_hours', 2), 1)} AS avg_shift_hours,
   {rnd(rnd('p.avg_employees_per_day', 2), 1)} AS avg_employees_per_day, p.revenue_per_hour, p.revenue_per_employee,
-  dom.ds AS dominant_shift, dom.dss AS dominant_shift_share,
+  dom.ds AS dominant_shift, dom.dss AS dominant_shift_share, coalesce(rec_text.rt, '') AS shift_recommendations,
   CAST(coalesce(wk.wd, 0) AS BIGINT) AS weekday_recommended_employees,
   CAST(coalesce(wk.we, 0) AS BIGINT) AS weekend_recommended_employees, pkd.peak_day,
-  h.action AS hiring_action, h.suggested_additional, h.reason AS hiring_reason, net.*
-FROM staff_profile p LEFT JOIN dom ON dom.branch = p.branch LEFT JOIN wk ON wk.branch = p.branch
+  h.action AS hiring_action, h.suggested_additional, h.reason AS hiring_reason, net.*,
+  net.most_efficient_branch || ' earns the most per employee: compare its shifts with the others''.' AS key_finding
+FROM staff_profile p LEFT JOIN dom ON dom.branch = p.branch LEFT JOIN rec_text ON rec_text.branch = p.branch LEFT JOIN wk ON wk.branch = p.branch
   LEFT JOIN pkd ON pkd.branch = p.branch LEFT JOIN hiring h ON h.branch = p.branch CROSS JOIN net"""
 
 
@@ -894,7 +899,12 @@ net AS (SELECT first(branch ORDER BY revenue_share DESC, branch) AS best_beverag
           {rnd('avg(revenue_share)', 4)} AS network_avg_beverage_share FROM ab),
 tot AS (SELECT CAST(count(*) AS BIGINT) AS total_actions,
           {rnd('coalesce(sum(estimated_revenue_uplift), 0.0)', 2)} AS total_estimated_uplift FROM actions),
-tot_o AS (SELECT CAST(count(*) AS BIGINT) AS total_product_opportunities FROM opps),
+tot_o AS (SELECT CAST(count(*) AS BIGINT) AS total_product_opportunities,
+            count(DISTINCT CASE WHEN opportunity_type = 'ADD_NEW' THEN product END) AS new_products FROM opps),
+widest AS (SELECT max(CASE WHEN priority = 1 THEN branch || ': ' || category || ' earns '
+             || CAST({rnd('current_revenue_share * 100', 1)} AS DECIMAL(9, 1)) || '% of revenue, against '
+             || CAST({rnd('(current_revenue_share + share_gap_vs_best) * 100', 1)} AS DECIMAL(9, 1)) || '% at '
+             || benchmark_branch || '.' END) AS gap FROM actions),
 per AS (SELECT branch, CAST(count(*) AS BIGINT) AS num_actions, {rnd('sum(estimated_revenue_uplift)', 2)} AS estimated_uplift,
           arg_min(category, priority) AS top_priority_category, arg_min(action_type, priority) AS top_priority_action,
           arg_min(description, priority) AS top_priority_description
@@ -904,8 +914,11 @@ po AS (SELECT branch, count(CASE WHEN opportunity_type = 'ADD_NEW' THEN 1 END) A
 SELECT per.branch, num_actions, estimated_uplift, CAST(coalesce(pa, 0) AS BIGINT) AS products_to_add,
   CAST(coalesce(pb, 0) AS BIGINT) AS products_to_boost, top_priority_category, top_priority_action,
   top_priority_description,
-  net.*, tot.total_actions, tot_o.total_product_opportunities, tot.total_estimated_uplift
-FROM per LEFT JOIN po ON po.branch = per.branch CROSS JOIN net CROSS JOIN tot CROSS JOIN tot_o"""
+  net.*, tot.total_actions, tot_o.total_product_opportunities, tot.total_estimated_uplift,
+  concat_ws(' ', widest.gap, best_beverage_branch || ' leads with ' || CAST({rnd('best_beverage_share * 100', 1)} AS DECIMAL(9, 1))
+    || '% of its revenue from beverages.',
+    CASE WHEN new_products > 0 THEN new_products || ' products are missing from some branch''s menu.' END) AS key_insights
+FROM per LEFT JOIN po ON po.branch = per.branch CROSS JOIN net CROSS JOIN tot CROSS JOIN tot_o CROSS JOIN widest"""
 
 
 def category_with(*ctes: str) -> str:
