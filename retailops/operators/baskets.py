@@ -116,11 +116,6 @@ def pair_counts(b: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("co_purchase_count"))
 
 
-def item_counts(b: DataFrame) -> DataFrame:
-    return b.select(F.explode("items").alias("item")).groupBy("item").agg(
-        F.count(F.lit(1)).alias("item_count"))
-
-
 def copurchase_pairs(b: DataFrame) -> DataFrame:
     """BSK-2: pair counts and support = count / number of baskets (unrounded)."""
     n = F.broadcast(basket_count(b))
@@ -129,11 +124,28 @@ def copurchase_pairs(b: DataFrame) -> DataFrame:
         (F.col("co_purchase_count") / F.col("n_baskets")).alias("support"))
 
 
+def basket_counts(b: DataFrame) -> DataFrame:
+    """(item_a, item_b, n, heads) in one pass over the baskets: pair counts; with NULL ``item_b`` the item's own count,
+    where ``heads`` counts the baskets that the item stands first in (their sum is the number of baskets)."""
+    first = b.select("items", F.posexplode("items").alias("_i", "item_a"))
+    rows = first.select("_i", "item_a", F.explode(F.expr(
+        "concat(array(cast(null as string)), slice(items, _i + 2, size(items)))")).alias("item_b"))
+    return rows.groupBy("item_a", "item_b").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("item_b").isNull() & (F.col("_i") == 0), 1)).alias("heads"))
+
+
 def association_rules(b: DataFrame, min_support: float = MIN_SUPPORT,
                       min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """BSK-3: A -> B in both directions, thresholds on unrounded values."""
-    n = F.broadcast(basket_count(b))
-    freq = pair_counts(b).crossJoin(n).where(
+    return rules_of_counts(basket_counts(b), min_support, min_confidence)
+
+
+def rules_of_counts(counts: DataFrame, min_support: float = MIN_SUPPORT,
+                    min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """BSK-3 over ``basket_counts``, which callers store: it is read for pairs, items and the number of baskets."""
+    items = counts.where(F.col("item_b").isNull())
+    n = F.broadcast(items.agg(F.sum("heads").alias("n_baskets")))
+    freq = counts.where(F.col("item_b").isNotNull()).withColumnRenamed("n", "co_purchase_count").crossJoin(n).where(
         F.col("co_purchase_count") / F.col("n_baskets") >= min_support)
     # the two directions come from one row each: a generator, not a union/shuffle
     directed = freq.select(
@@ -141,7 +153,7 @@ def association_rules(b: DataFrame, min_support: float = MIN_SUPPORT,
         F.inline(F.array(
             F.struct(F.col("item_a").alias("antecedent"), F.col("item_b").alias("consequent")),
             F.struct(F.col("item_b").alias("antecedent"), F.col("item_a").alias("consequent")))))
-    ic = item_counts(b)
+    ic = items.select(F.col("item_a").alias("item"), F.col("n").alias("item_count"))
     r = (directed
          .join(ic.select(F.col("item").alias("antecedent"), F.col("item_count").alias("antecedent_count")),
                "antecedent")
@@ -246,16 +258,25 @@ def rank_pairs(rules: DataFrame, prices: DataFrame,
                        lead=[(F.col("combo_score"), True), (F.substring("antecedent", 1, 4), False)])
 
 
-def triples(b: DataFrame, prices: DataFrame, min_count: int = 2) -> DataFrame:
-    """BSK-7: sorted 3-item combinations seen in at least ``min_count`` baskets."""
-    n = F.broadcast(basket_count(b))
+def triple_counts(b: DataFrame, min_count: int = 2) -> DataFrame:
+    """(item_1, item_2, item_3, co_occurrence, n_baskets) of the combinations in at least ``min_count`` baskets."""
     t = (b.where(F.col("basket_size") >= 3).transform(basket_triples)
          .groupBy("item_1", "item_2", "item_3").agg(F.count(F.lit(1)).alias("co_occurrence"))
          .where(F.col("co_occurrence") >= min_count))
+    return t.crossJoin(F.broadcast(basket_count(b)))
+
+
+def triples(b: DataFrame, prices: DataFrame, min_count: int = 2) -> DataFrame:
+    """BSK-7: sorted 3-item combinations seen in at least ``min_count`` baskets."""
+    return rank_triples(triple_counts(b, min_count), prices)
+
+
+def rank_triples(t: DataFrame, prices: DataFrame) -> DataFrame:
+    """BSK-7 over ``triple_counts``, which callers store: ranking reads it twice."""
     for i in (1, 2, 3):
         t = attach_price(t, f"item_{i}", prices, f"_p{i}")
     price = F.col("_p1") + F.col("_p2") + F.col("_p3")
-    t = t.crossJoin(n).select(
+    t = t.select(
         "item_1", "item_2", "item_3",
         F.concat_ws(" + ", "item_1", "item_2", "item_3").alias("combo_name"),
         "co_occurrence",

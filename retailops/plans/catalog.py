@@ -39,20 +39,22 @@ def lifetime_baskets(b: Bindings) -> DataFrame:
 
 
 def brand_prices(b: Bindings) -> DataFrame:
-    return bsk.price_table(b.sales_by_item(), P.BASKET_ITEM)
+    return materialize(bsk.price_table(b.sales_by_item(), P.BASKET_ITEM))  # a row per item, looked up per name column
 
 
-def two_item(b: Bindings, bk: DataFrame | None = None) -> DataFrame:
-    rules = bsk.association_rules(bk if bk is not None else order_baskets(b), P.MIN_SUPPORT, P.MIN_CONFIDENCE)
-    return bsk.rank_pairs(rules, brand_prices(b))
+def two_item(b: Bindings, prices: DataFrame | None = None) -> DataFrame:
+    counts = materialize(bsk.basket_counts(order_baskets(b)))
+    rules = materialize(bsk.rules_of_counts(counts, P.MIN_SUPPORT, P.MIN_CONFIDENCE))
+    return bsk.rank_pairs(rules, prices if prices is not None else brand_prices(b))
 
 
-def three_item(b: Bindings, bk: DataFrame | None = None) -> DataFrame:
-    return bsk.triples(bk if bk is not None else order_baskets(b), brand_prices(b), P.TRIPLE_MIN_COUNT)
+def three_item(b: Bindings, prices: DataFrame | None = None) -> DataFrame:
+    counts = materialize(bsk.triple_counts(order_baskets(b), P.TRIPLE_MIN_COUNT))
+    return bsk.rank_triples(counts, prices if prices is not None else brand_prices(b))
 
 
-def per_branch_pairs(b: Bindings, bk: DataFrame | None = None) -> DataFrame:
-    return bsk.branch_pairs(bk if bk is not None else order_baskets(b), brand_prices(b), P.BRANCH_TOP_K)
+def per_branch_pairs(b: Bindings, prices: DataFrame | None = None) -> DataFrame:
+    return bsk.branch_pairs(order_baskets(b), prices if prices is not None else brand_prices(b), P.BRANCH_TOP_K)
 
 
 # ------------------------------------------------------------ baskets
@@ -118,8 +120,9 @@ def q_branch_pairs(spark, sf_dir):
 @register("combo_summary")
 def q_combo_summary(spark, sf_dir):
     b = Bindings(spark, sf_dir)
-    bk = materialize(order_baskets(b))  # one basket table feeds the three rankings
-    return bsk.combo_summary(two_item(b, bk), three_item(b, bk), per_branch_pairs(b, bk))
+    prices = brand_prices(b)
+    two, three = materialize(two_item(b, prices)), materialize(three_item(b, prices))  # each read for its count and its top
+    return bsk.combo_summary(two, three, per_branch_pairs(b, prices))
 
 
 # ------------------------------------------------------------ demand
@@ -615,8 +618,10 @@ def q_beverage_lookup(spark, sf_dir):
 def headlines_of(b: Bindings) -> DataFrame:
     fsum = materialize(forecast_summary_of(b))
     health, verd = (expansion_parts(b, fsum)[i] for i in (2, 5))
-    return ans.headlines(two_item(b), per_branch_pairs(b), fsum, verd, health, staffing_summary_of(b, fsum),
-                         growth_summary_of(*category_parts(b)))
+    prices = brand_prices(b)
+    staff = materialize(staffing_summary_of(b, fsum))  # read per branch and for the network, as the next one
+    growth = materialize(growth_summary_of(*category_parts(b)))
+    return ans.headlines(two_item(b, prices), per_branch_pairs(b, prices), fsum, verd, health, staff, growth)
 
 
 @register("answer_questions")
@@ -633,8 +638,8 @@ def q_full_summary(spark, sf_dir):
     scored, bench, health, ideal, risks, verd = expansion_parts(b, fsum)
     staff = materialize(staffing_summary_of(b, fsum))
     growth = materialize(growth_summary_of(*category_parts(b)))
-    bk = materialize(order_baskets(b))
-    return ans.full_summary(two_item(b, bk), three_item(b, bk), fsum, verd, health, staff, growth)
+    prices = brand_prices(b)
+    return ans.full_summary(two_item(b, prices), three_item(b, prices), fsum, verd, health, staff, growth)
 
 
 @register("branch_list")
