@@ -244,6 +244,18 @@ def test_copies_of_a_whole_text_stay(spark):
     assert {r.text for r in L.clean(docs).collect()} == {text}
 
 
+def test_pipeline_takes_boilerplate_out_of_short_pages(spark):
+    head, foot = "welcome to the network of all our shops", "all rights reserved by the network of shops"
+    copy = "\n".join(f"sentence {i} of a document that was copied everywhere" for i in range(9))
+    rows = [(i, f"{head}\npage {i}\n{foot}", f"s{i}") for i in range(20)] + [(50 + i, copy, f"s{i}") for i in range(20)]
+    rows += [(90, head, "s1"), (91, f"{copy}\none line more", "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' as lang", "9L as n_chars")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, SF).collect()}
+    assert all(got[i] == (f"page {i}", len(f"page {i}")) for i in range(20))
+    assert all(got[50 + i] == (copy, 9) for i in range(20))
+    assert got[90] == ("", 0) and got[91] == ("one line more", 13)
+
+
 def test_line_dedup_odd(spark):
     assert L.report(odd_documents(spark)).count() == odd_documents(spark).count()
     assert L.report(empty_documents(spark)).count() == 0
