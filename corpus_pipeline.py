@@ -33,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that spread over many sites go, but for copies of a spread text; ``n_chars`` follows the text where it changes."""
-    done = line_dedup.clean(docs.select(*COLUMNS), most=None)
+    done = line_dedup.clean(docs.select(*COLUMNS), least=1, most=None)
     return done.select(
         "row.doc_id", "text", "row.lang", "row.source",
         F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars"))

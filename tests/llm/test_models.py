@@ -256,6 +256,15 @@ def test_pipeline_takes_boilerplate_out_of_short_pages(spark):
     assert got[90] == ("", 0) and got[91] == ("one line more", 13)
 
 
+def test_pipeline_takes_short_lines_out(spark):
+    rows = [(i, f"Les.\n\npage {i} with some words of its own\n \n Les. ", f"s{i}") for i in range(8)]
+    rows += [(20 + i, f"seven\nanother page {i} with its own words", f"s{i}") for i in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' as lang", "9L as n_chars")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, SF).collect()}
+    assert all(got[i] == f"\npage {i} with some words of its own\n " for i in range(8))
+    assert all(got[20 + i] == rows[8 + i][1] for i in range(7))
+
+
 def test_line_dedup_odd(spark):
     assert L.report(odd_documents(spark)).count() == odd_documents(spark).count()
     assert L.report(empty_documents(spark)).count() == 0
