@@ -105,6 +105,24 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
 
 
+def test_toxicity_keeps_all_terms_and_counts_all_documents(spark):
+    rnd = random.Random(5)
+    letters = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    rows = [(i, " ".join(["zz" + letters(i), "bad" if i % 2 else "fine"] + [rnd.choice(["uu", "vv", "ww"])] * (i % 4))) for i in range(60)]
+    rows += [(100 + i, "uu") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    ix = X.fit(docs, labels, fold=9)
+    want = set().union(*(X.words(t) for _, t in rows))
+    assert set(ix.vocabulary.terms) == want and len(ix.ids) == 60
+    a = {w: sum(w in X.words(t) for i, t in rows if i < 60 and i % 2) for w in want}
+    b = {w: sum(w in X.words(t) for i, t in rows if i < 60 and not i % 2) for w in want}
+    df = {w: sum(w in X.words(t) for _, t in rows) for w in want}
+    for w, i in ix.vocabulary.terms.items():
+        chi = 60 * (a[w] * (30 - b[w]) - b[w] * (30 - a[w])) ** 2 / ((a[w] + b[w]) * max(60 - a[w] - b[w], 1) * 900)
+        assert np.isclose(ix.idf[i], (np.log(101 / (df[w] + 1)) + 1) * X.tells(np.array([chi]))[0])
+
+
 def test_toxicity_odd(spark):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 17)], "doc_id long, quality int, toxic int")
     docs = odd_documents(spark)
