@@ -6,6 +6,9 @@ lemma a place with at most k edits shares at least m - q + 1 - k * q of the item
 apart.  Shared q-grams are counted in overlapping bands of diagonals (each band overlaps the next by half, so k + 1
 neighbouring diagonals lie in one band); bands under the bound are dropped, and the others are verified by a banded
 alignment of the whole item.  k is lowered where the bound would not be positive; items shorter than q must occur exactly.
+A document may also hold only a part of an item, as when a line of it is gone: stretches of ``STRETCH`` bytes of each longer
+item, one every half length, are looked for by the same bound and alignment, and an item is found if the stretches found in
+the document cover at least ``PART`` of its bytes.  Items of at most ``STRETCH`` bytes have no stretches.
 
 Scale.  Documents stay where they are: each task scans its texts in blocks against the items.  The benchmark travels in
 blocks of at most ``ITEM_BYTES``; a larger benchmark takes one pass of the same scan per block.  Nothing is shuffled.
@@ -26,6 +29,7 @@ from .common import text_blocks
 from .pretokens import ragged
 
 Q, RATE = 12, 0.06
+STRETCH, PART = 48, 0.5
 ITEM_BYTES = 4 << 20
 BITS = 22
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -69,8 +73,18 @@ def aligned(item: np.ndarray, window: np.ndarray, most: int) -> bool:
 
 
 class Items:
-    def __init__(self, rows: list[tuple[int, str]], rate: float = RATE):
-        folded = [(i, f) for i, t in rows if (f := fold(t or ""))]
+    """Items to be found whole and, with ``part``, by stretches that cover this share of their bytes."""
+
+    def __init__(self, rows: list[tuple[int, str | bytes]], rate: float = RATE, part: float | None = None):
+        folded = [(i, f) for i, t in rows if (f := t if isinstance(t, bytes) else fold(t or ""))]
+        self.part, self.places = part, []
+        if part is not None:
+            for n, (_, f) in enumerate(folded):
+                if len(f) > STRETCH:
+                    last = len(f) - STRETCH
+                    self.places += [(n, p) for p in sorted({*range(0, last, STRETCH // 2), last})]
+            self.sizes = [(i, len(f)) for i, f in folded]
+            self.stretches = Items([(j, folded[n][1][p:p + STRETCH]) for j, (n, p) in enumerate(self.places)], rate)
         self.short = [(i, f) for i, f in folded if len(f) < Q]
         self.long = [(i, f) for i, f in folded if len(f) >= Q]
         m = np.array([len(f) for _, f in self.long], np.int64)
@@ -90,6 +104,21 @@ class Items:
     def find(self, texts: list[str]) -> list[list[int]]:
         """Item ids found in each text."""
         folded = [fold(t) for t in texts]
+        found = self._find(folded)
+        if self.places:
+            found = [sorted({*whole, *self._covered(held)}) for whole, held in zip(found, self.stretches._find(folded))]
+        return found
+
+    def _covered(self, held: list[int]) -> list[int]:
+        """Ids of the items of which the held stretches (in order of item and place) cover enough."""
+        covered: dict[int, int] = {}
+        reach: dict[int, int] = {}
+        for n, p in (self.places[j] for j in held):
+            covered[n] = covered.get(n, 0) + p + STRETCH - max(p, reach.get(n, 0))
+            reach[n] = p + STRETCH
+        return [self.sizes[n][0] for n, c in covered.items() if c >= self.part * self.sizes[n][1]]
+
+    def _find(self, folded: list[bytes]) -> list[list[int]]:
         found: list[set[int]] = [{i for i, f in self.short if f in t} for t in folded]
         if len(self.hash):
             data = b"\0".join(folded)  # no item holds a zero byte, so nothing matches across texts
@@ -152,7 +181,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", found_co
 
 def _scan(rows, rate, text_col):
     def run(batches):
-        items = Items(rows, rate)
+        items = Items(rows, rate, PART)
         for batch in batches:
             at, last = batch.schema.get_field_index(text_col), batch.num_columns - 1
             for start, stop, texts in text_blocks(batch, at, 2 << 20):

@@ -201,6 +201,21 @@ def test_decontamination(spark, monkeypatch):
     assert {r.doc_id: list(r.item_ids) for r in D.report(documents(spark, SF), bench).collect()} == whole
 
 
+def test_items_with_a_line_gone_are_found(spark):
+    rnd = random.Random(21)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 8))) for _ in range(400)]
+    prose = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    items = {i: [prose(12) for _ in range(5)] for i in range(12)}
+    bench = spark.createDataFrame([(i, "\n".join(x)) for i, x in items.items()], "item_id long, text string")
+    rows = [(i, "\n".join([prose(30), *x[:2], *x[3:], prose(30)])) for i, x in items.items()]
+    rows += [(100 + i, "\n".join([prose(30), x[1], prose(30)])) for i, x in items.items()]
+    rows += [(200, prose(3000)), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: list(r.item_ids) for r in D.report(docs, bench).collect()}
+    assert got == {i: [i] if i < 100 else [] for i, _ in rows}
+    assert sorted(r.doc_id for r in D.keep_clean(docs, bench).collect()) == [i for i, _ in rows if i >= 100]
+
+
 def test_decontamination_odd(spark):
     docs = odd_documents(spark)
     bench = spark.createDataFrame([(1, "no id here"), (None, "one"), (3, None), (4, "")], "item_id long, text string")
