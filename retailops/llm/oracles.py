@@ -17,3 +17,36 @@ select doc_id, coalesce(n, 0)::bigint as n_lines, (case when cut then g else 0 e
        md5(coalesce(case when cut then new else text end, '')) as left_md5
 from final
 """
+
+#: crc32 of the bytes of a string of code points below 2048, as a DuckDB expression over the table ``crc(t)``.
+CRC_TABLE = """crc as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+    case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from range(256) r(i))"""
+
+
+def crc32(text: str) -> str:
+    codes = (f"flatten(list_transform(string_split({text}, ''), lambda ch: case when unicode(ch) < 128 then [unicode(ch)::bigint] "
+             "else [192 + (unicode(ch) >> 6)::bigint, 128 + (unicode(ch) & 63)::bigint] end))")
+    return f"xor(list_reduce([4294967295] || {codes}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+ORACLES["op11_spelling_variants"] = rf"""
+with recursive {CRC_TABLE},
+runs as (select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as run from documents),
+counted as (select id, run, count(*) as n from runs where length(run) >= 5 group by all),
+hashed as (select run, n, {crc32("id || ':' || run")} as h from counted, crc),
+altered as (select case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n
+            from hashed),
+v as materialized (select word, sum(n)::bigint as n from altered where length(word) >= 5 group by word having sum(n) >= 3),
+dels as materialized (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as s
+                      from (select word, n, unnest(range(1, length(word) + 1))::int as i from v)),
+near as (select d.word, v.word as other, v.n as other_n from dels d join v on v.word = d.s
+         union select v.word, d.word, d.n from dels d join v on v.word = d.s
+         union select a.word, b.word, b.n from dels a join dels b on a.i = b.i and a.s = b.s and a.word <> b.word),
+best as (select word, count(*) as n_near, min(struct_pack(n := -other_n, w := other)) as b from near group by word),
+formed as materialized (select word, v.n, coalesce(n_near, 0)::bigint as n_near, case when -b.n >= 2 * v.n then b.w end as form,
+                               case when -b.n >= 2 * v.n then -b.n end as form_n from v left join best using (word)),
+walk(word, reached, form) as (select word, word, form from formed
+         union all select w.word, w.form, f.form from walk w join formed f on f.word = w.form)
+select f.word, f.form, w.reached as root, f.n, f.n_near, f.form_n from formed f join walk w on w.word = f.word and w.form is null
+"""
