@@ -50,3 +50,41 @@ walk(word, reached, form) as (select word, word, form from formed
          union all select w.word, w.form, f.form from walk w join formed f on f.word = w.form)
 select f.word, f.form, w.reached as root, f.n, f.n_near, f.form_n from formed f join walk w on w.word = f.word and w.form is null
 """
+
+
+def merkle_levels(leaf: str, proof: str, tag: str, levels: int) -> str:
+    """CTEs that build a tree of ``levels`` levels over ``leaf`` (s, n, i, d) and carry ``proof`` (k, s, n, pos, path, cur) up through it."""
+    out = []
+    for h in range(1, levels + 1):
+        nodes, walk = (leaf, proof) if h == 1 else (f"{tag}{h - 1}", f"{tag}p{h - 1}")
+        out.append(f"""{tag}r{h} as (select s, n, i // 3 as i, list(d order by i) as ds from {nodes} group by s, n, i // 3),
+{tag}{h} as materialized (select s, (n + 2) // 3 as n, i, case when n > 1 then sha256(array_to_string(ds, '')) else ds[1] end as d from {tag}r{h}),
+{tag}p{h} as materialized (select k, p.s, (p.n + 2) // 3 as n, pos // 3 as pos,
+  path || case when p.n > 1 then array_to_string(ds[1:pos % 3], '') || array_to_string(ds[pos % 3 + 2:], '') else '' end as path,
+  case when p.n > 1 then sha256(array_to_string(ds[1:pos % 3], '') || cur || array_to_string(ds[pos % 3 + 2:], '')) else cur end as cur
+  from {walk} p join {tag}r{h} r on r.s = p.s and r.i = p.pos // 3)""")
+    return ",\n".join(out)
+
+
+#: Levels that the SQL of the manifest writes out: up to 3 ** 10 documents a source and 3 ** 6 sources.
+SOURCE_LEVELS, TOP_LEVELS = 10, 6
+_ENCODED = [f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{}")]
+_LEAF = "sha256(" + " || ".join(_ENCODED) + ")"
+
+ORACLES["op12_merkle_manifest"] = rf"""
+with {CRC_TABLE},
+base as (select *, coalesce({crc32("doc_id::varchar")}, 0) % 2 = 0 as hit from documents, crc),
+leaves as (select coalesce('=' || source, '') as s, doc_id, {_LEAF.replace("{}", "text")} as leaf,
+                  case when hit then {_LEAF.replace("{}", "replace(text, chr(10), '')")} else {_LEAF.replace("{}", "text")} end as tampered from base),
+placed as materialized (select *, row_number() over () as k, row_number() over (partition by s order by doc_id nulls first, leaf) - 1 as i,
+                               count(*) over (partition by s) as n from leaves),
+a0 as (select s, n, i, leaf as d from placed),
+ap0 as (select k, s, n, i as pos, '' as path, tampered as cur from placed),
+{merkle_levels("a0", "ap0", "a", SOURCE_LEVELS)},
+sub as materialized (select s, d, row_number() over (order by s) - 1 as i, count(*) over () as n from a{SOURCE_LEVELS}),
+b0 as (select 0 as s, n, i, d from sub),
+bp0 as (select k, 0 as s, sub.n, sub.i as pos, path, cur from ap{SOURCE_LEVELS} p join sub on sub.s = p.s),
+{merkle_levels("b0", "bp0", "b", TOP_LEVELS)}
+select doc_id, leaf, sub.d as subroot, r.d as root, sha256(p.path) as proof_sha256, p.cur as folded_root, p.cur = r.d as verified
+from placed join bp{TOP_LEVELS} p using (k) join sub on sub.s = placed.s cross join b{TOP_LEVELS} r
+"""

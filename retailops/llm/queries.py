@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, line_dedup, quality_cnn, quality_rules, secrets, shards, simhash, spelling, token_counts, toxicity
+from . import (bpe, decontam, line_dedup, merkle, minhash, quality_cnn, quality_rules, secrets, shards, simhash, spelling,
+               token_counts, toxicity)
 from .common import documents
 from .oracles import ORACLES
 
@@ -31,4 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": lambda s, d: decontam.report(documents(s, d), table(s, d, "benchmark")),
     "op10_shards": lambda s, d: shards.shuffle_shards(documents(s, d)),
     "op11_spelling_variants": lambda s, d: spelling.variants(documents(s, d)),
+    "op12_merkle_manifest": lambda s, d: merkle.report(documents(s, d)),
+    "op13_minhash": lambda s, d: minhash.groups(documents(s, d)),
 }
