@@ -5,7 +5,9 @@ item key and grouped once into a sorted distinct item array per basket; that
 ``groupBy`` has a map-side partial aggregate, so a hot basket key is combined
 before the shuffle.  Pairs and triples are generated *inside* each basket row
 with array higher-order functions (no self-join, no shuffle); only the pair /
-triple counts are shuffled, again with partial aggregation.  Item and pair
+triple counts are shuffled, again with partial aggregation.  For pairs, a basket
+of more than ``BLOCK_ITEMS`` items is held in blocks, and every two of its
+blocks meet in a task of their own.  Item and pair
 count tables are bounded by the catalogue (distinct items), not by the number
 of lines, so AQE is free to broadcast them at runtime.
 """
@@ -32,6 +34,9 @@ MODIFIER_PATTERNS = [
     r"(?i)FULL FAT MILK$",
     r"(?i)^WATER$",
 ]
+#: Items in one block of a large basket: two blocks that meet give at most some 25 million pairs to one task.
+BLOCK_ITEMS = 5000
+PARTS = 64  # parts in which the items of one basket meet its size
 # Rule thresholds, combo-score weights, discount ladder.
 MIN_SUPPORT = 0.02
 MIN_CONFIDENCE = 0.1
@@ -74,29 +79,83 @@ def drop_modifiers(lines: DataFrame, item_meta: DataFrame | None,
 
 
 # ---------------------------------------------------------------- baskets
+def basket_lines(lines: DataFrame, keys: Sequence[str], item_col: str = "description", item_meta: DataFrame | None = None,
+                 groups: Sequence[str] = (), patterns: Sequence[str] = MODIFIER_PATTERNS,
+                 desc_col: str = "description") -> DataFrame:
+    """(keys..., item) of the lines that count: no cancellations, modifiers, empty items or NULL keys."""
+    kept = drop_modifiers(lines.where(~F.col("is_cancellation")), item_meta, groups, patterns, desc_col)
+    kept = kept.select(*keys, item_key(item_col).alias("item")).where(F.col("item").isNotNull() & (F.col("item") != ""))
+    for k in keys:  # pandas groupby drops null keys
+        kept = kept.where(F.col(k).isNotNull())
+    return kept
+
+
 def baskets(lines: DataFrame, keys: Sequence[str] = ("branch", "customer"),
             item_col: str = "description", item_meta: DataFrame | None = None,
             groups: Sequence[str] = (), patterns: Sequence[str] = MODIFIER_PATTERNS,
             desc_col: str = "description", min_size: int = 2) -> DataFrame:
     """BSK-1: (keys..., items ARRAY<STRING> sorted distinct, basket_size)."""
-    keys = list(keys)
-    kept = lines.where(~F.col("is_cancellation"))
-    kept = drop_modifiers(kept, item_meta, groups, patterns, desc_col)
-    kept = kept.select(*keys, item_key(item_col).alias("item")).where(
-        F.col("item").isNotNull() & (F.col("item") != ""))
-    for k in keys:  # pandas groupby drops null keys
-        kept = kept.where(F.col(k).isNotNull())
+    kept = basket_lines(lines, list(keys), item_col, item_meta, groups, patterns, desc_col)
     b = kept.groupBy(*keys).agg(F.array_sort(F.collect_set("item")).alias("items"))
     b = b.withColumn("basket_size", F.size("items"))
     return b.where(F.col("basket_size") >= min_size)
 
 
-def basket_pairs(b: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Every unordered pair (item_a < item_b) of every basket, one row each."""
+def basket_blocks(kept: DataFrame, keys: Sequence[str], min_size: int = 2, block: int | None = None) -> DataFrame:
+    """BSK-1 for baskets of any size: (keys..., items, basket_size, blocks, blk, lead) of ``basket_lines``.
+
+    A basket of more than ``block`` items is cut into ``blocks`` rows of about that many items, by item hash, so that no row,
+    buffer or task holds it whole.  ``lead`` marks the one block of each basket that holds its first item.
+    """
+    keys, block = list(keys), block or BLOCK_ITEMS
+    items = kept.distinct()  # dealt by basket and item
+    sizes = items.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("_size"), F.min("item").alias("_first"))
+    large = sizes.where(F.col("_size") > block).withColumn("blocks", F.ceil(F.col("_size") / block).cast("int"))
+    # the items of a large basket meet its size in parts: dealt by item too, its one row copied to each part
+    large = large.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    placed = items.withColumn("_part", F.pmod(F.xxhash64("item"), F.lit(PARTS)).cast("int")).join(large, [*keys, "_part"], "left")
+    placed = placed.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = placed.withColumn("blk", F.pmod(F.xxhash64("item"), "blocks").cast("int")).groupBy(*keys, "blocks", "blk").agg(
+        F.array_sort(F.collect_list("item")).alias("items"), F.max("_size").alias("_size"), F.max("_first").alias("_first"))
+    return cut.select(*keys, "items", F.coalesce("_size", F.size("items")).alias("basket_size"), "blocks", "blk",
+                      ((F.col("blocks") == 1) | F.array_contains("items", F.col("_first"))).alias("lead")).where(
+        F.col("basket_size") >= min_size)
+
+
+def in_blocks(b: DataFrame) -> DataFrame:
+    """Baskets held whole (``baskets``) in the form of ``basket_blocks``."""
+    return b if "blocks" in b.columns else b.select("*", F.lit(1).alias("blocks"), F.lit(0).alias("blk"), F.lit(True).alias("lead"))
+
+
+def block_keys(b: DataFrame) -> list[str]:
+    return [c for c in b.columns if c not in ("items", "basket_size", "blocks", "blk", "lead")]
+
+
+def pairs_inside(b: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Every unordered pair (item_a < item_b) of every row of ``b``, one row each."""
     first = b.select(*extra, "items", F.posexplode("items").alias("_i", "item_a"))
     return first.select(*extra, "item_a", F.explode(F.expr("slice(items, _i + 2, size(items))")).alias("item_b"))
 
 
+def pairs_across(b: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Every pair of items in two blocks of one basket; each two blocks meet in a task of their own."""
+    keys = block_keys(b)
+    dealt = b.where(F.col("blocks") > 1).select(
+        *keys, "blk", "items", F.explode(F.expr("sequence(0, blocks - 1)")).alias("_o")).where(F.col("_o") != F.col("blk"))
+    side = F.struct("blk", "items")
+    met = dealt.groupBy(*keys, F.least("blk", "_o").alias("_lo"), F.greatest("blk", "_o").alias("_hi")).agg(
+        F.min(side).alias("_x"), F.max(side).alias("_y")).where(F.col("_x.blk") != F.col("_y.blk"))  # a block may be empty
+    left = met.select(*extra, F.col("_y.items").alias("_ys"), F.explode("_x.items").alias("_a"))
+    both = left.select(*extra, "_a", F.explode("_ys").alias("_b"))
+    return both.select(*extra, F.least("_a", "_b").alias("item_a"), F.greatest("_a", "_b").alias("item_b"))
+
+
+def basket_pairs(b: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Every unordered pair (item_a < item_b) of every basket, held whole or in blocks, one row each."""
+    inside = pairs_inside(b, extra)
+    return inside.unionByName(pairs_across(b, extra)) if "blocks" in b.columns else inside
+
+
 def basket_triples(b: DataFrame) -> DataFrame:
     """Every combination item_1 < item_2 < item_3 of every basket, one row each.
 
@@ -108,7 +167,7 @@ def basket_triples(b: DataFrame) -> DataFrame:
 
 
 def basket_count(b: DataFrame) -> DataFrame:
-    return b.agg(F.count(F.lit(1)).alias("n_baskets"))
+    return in_blocks(b).agg(F.count(F.when(F.col("lead"), 1)).alias("n_baskets"))
 
 
 def pair_counts(b: DataFrame) -> DataFrame:
@@ -127,11 +186,14 @@ def copurchase_pairs(b: DataFrame) -> DataFrame:
 def basket_counts(b: DataFrame) -> DataFrame:
     """(item_a, item_b, n, heads) in one pass over the baskets: pair counts; with NULL ``item_b`` the item's own count,
     where ``heads`` counts the baskets that the item stands first in (their sum is the number of baskets)."""
-    first = b.select("items", F.posexplode("items").alias("_i", "item_a"))
-    rows = first.select("_i", "item_a", F.explode(F.expr(
+    first = in_blocks(b).select("items", "lead", F.posexplode("items").alias("_i", "item_a"))
+    # the first item of the leading block is the first of the basket
+    rows = first.select((F.col("lead") & (F.col("_i") == 0)).alias("_head"), "item_a", F.explode(F.expr(
         "concat(array(cast(null as string)), slice(items, _i + 2, size(items)))")).alias("item_b"))
+    if "blocks" in b.columns:
+        rows = rows.unionByName(pairs_across(b).withColumn("_head", F.lit(False)))
     return rows.groupBy("item_a", "item_b").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("item_b").isNull() & (F.col("_i") == 0), 1)).alias("heads"))
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("item_b").isNull() & F.col("_head"), 1)).alias("heads"))
 
 
 def association_rules(b: DataFrame, min_support: float = MIN_SUPPORT,
@@ -293,7 +355,7 @@ def branch_pairs(b: DataFrame, prices: DataFrame, k: int = 10, branch_col: str =
 
     ``row_number() <= k`` is planned as a WindowGroupLimit, so each map task
     keeps only its local top-k per branch before the (few-keyed) shuffle."""
-    nb = b.groupBy(branch_col).agg(F.count(F.lit(1)).alias("_nb"))
+    nb = in_blocks(b).groupBy(branch_col).agg(F.count(F.when(F.col("lead"), 1)).alias("_nb"))
     pc = basket_pairs(b, [branch_col]).groupBy(branch_col, "item_a", "item_b").agg(
         F.count(F.lit(1)).alias("co_purchase_count"))
     w = Window.partitionBy(branch_col).orderBy(F.desc("co_purchase_count"), "item_a", "item_b")

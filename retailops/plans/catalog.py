@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import baskets as bsk
+from ..operators import itemsets as its
 from ..session import materialize
 from ..sources.bindings import Bindings
 from . import params as P
@@ -28,14 +29,20 @@ def register(name: str):
 
 
 # ------------------------------------------------------------ shared pieces
+# Baskets hold no cancelled lines, so every item of a modifier group that a line names is a sold one: the catalogue's
+# groups serve as well as those of the sales, without a second pass over the lines.
 def order_baskets(b: Bindings) -> DataFrame:
-    return bsk.baskets(b.sales_lines(), P.BASKET_KEYS, P.BASKET_ITEM, b.sales_by_item(),
-                       P.MOD_GROUPS, P.MOD_PATTERNS)
+    return bsk.baskets(b.sales_lines(), P.BASKET_KEYS, P.BASKET_ITEM, b.item_groups(), P.MOD_GROUPS, P.MOD_PATTERNS)
 
 
 def lifetime_baskets(b: Bindings) -> DataFrame:
-    return bsk.baskets(b.sales_lines(), P.LIFETIME_KEYS, P.LIFETIME_ITEM, b.sales_by_item(),
-                       P.MOD_GROUPS, P.MOD_PATTERNS)
+    return bsk.baskets(b.sales_lines(), P.LIFETIME_KEYS, P.LIFETIME_ITEM, b.item_groups(), P.MOD_GROUPS, P.MOD_PATTERNS)
+
+
+def basket_blocks(b: Bindings, keys, item_col: str) -> DataFrame:
+    """Baskets of any size, for pairs: a large one is cut into blocks."""
+    kept = bsk.basket_lines(b.sales_lines(), keys, item_col, b.item_groups(), P.MOD_GROUPS, P.MOD_PATTERNS)
+    return bsk.basket_blocks(kept, keys)
 
 
 def brand_prices(b: Bindings) -> DataFrame:
@@ -66,12 +73,18 @@ def q_baskets(spark, sf_dir):
 
 @register("copurchase_pairs")
 def q_copurchase_pairs(spark, sf_dir):
-    return bsk.copurchase_pairs(lifetime_baskets(Bindings(spark, sf_dir)))
+    return bsk.copurchase_pairs(basket_blocks(Bindings(spark, sf_dir), P.LIFETIME_KEYS, P.LIFETIME_ITEM))
 
 
 @register("association_rules")
 def q_association_rules(spark, sf_dir):
-    return bsk.association_rules(order_baskets(Bindings(spark, sf_dir)), P.MIN_SUPPORT, P.MIN_CONFIDENCE)
+    return bsk.association_rules(basket_blocks(Bindings(spark, sf_dir), P.BASKET_KEYS, P.BASKET_ITEM), P.MIN_SUPPORT, P.MIN_CONFIDENCE)
+
+
+@register("itemset_rules")
+def q_itemset_rules(spark, sf_dir):
+    """BSK-3 with antecedents of one to three items."""
+    return its.multi_item_rules(order_baskets(Bindings(spark, sf_dir)), P.BASKET_KEYS, P.ITEMSET_MIN_SUPPORT, P.ITEMSET_MIN_CONFIDENCE)
 
 
 @register("item_affinity")

@@ -223,6 +223,29 @@ def _sql_rules() -> str:
                  extra=basket_ctes(P.BASKET_KEYS, P.BASKET_ITEM) + rules_ctes()) + "SELECT * FROM rules"
 
 
+def _sql_itemset_rules() -> str:
+    k = P.BASKET_KEYS
+
+    def joined(size: int) -> str:
+        names = [f"t{i}" for i in range(size)]
+        joins = " ".join(f"JOIN b_items {t} ON " + " AND ".join(f"{t}.{c} = {p}.{c}" for c in k) + f" AND {p}.item < {t}.item"
+                         for p, t in zip(names, names[1:]))
+        items = ", ".join(f"{t}.item" for t in names)
+        return f"SELECT [{items}] AS items, {size} AS size, count(*) AS n FROM b_items t0 {joins} GROUP BY 1"
+
+    sets = "\n  UNION ALL ".join(joined(size) for size in range(1, 5))
+    return with_("sales_lines", "sales_by_item", extra=basket_ctes(k, P.BASKET_ITEM) + [
+        f"sets AS MATERIALIZED (SELECT s.* FROM ({sets}) s CROSS JOIN b_n WHERE s.n / n_baskets >= {P.ITEMSET_MIN_SUPPORT})",
+        """r AS (SELECT list_filter(items, lambda x: x <> consequent) AS a, consequent, n
+  FROM (SELECT items, n, unnest(items) AS consequent FROM sets WHERE size >= 2))"""]) + f"""
+SELECT array_to_string(r.a, ' + ') AS antecedent, r.consequent, CAST(len(r.a) AS INTEGER) AS antecedent_size,
+  {rnd('r.n / n_baskets', 4)} AS support, {rnd('r.n / x.n', 4)} AS confidence,
+  {rnd('(r.n / x.n) / (y.n / n_baskets)', 4)} AS lift,
+  r.n AS itemset_count, x.n AS antecedent_count, y.n AS consequent_count
+FROM r JOIN sets x ON x.items = r.a JOIN sets y ON y.items = [r.consequent] CROSS JOIN b_n
+WHERE r.n / x.n >= {P.ITEMSET_MIN_CONFIDENCE}"""
+
+
 def _sql_affinity() -> str:
     return with_("sales_lines", "sales_by_item", extra=basket_ctes(P.BASKET_KEYS, P.BASKET_ITEM) + [
         "st AS (SELECT item, count(*) AS basket_appearances, " + rnd("avg(basket_size)", 2)
@@ -270,6 +293,7 @@ ORACLES: dict[str, str] = {
     "baskets": _sql_baskets(),
     "copurchase_pairs": _sql_copurchase(),
     "association_rules": _sql_rules(),
+    "itemset_rules": _sql_itemset_rules(),
     "item_affinity": _sql_affinity(),
     "cancellation_split": _sql_cancellation(),
     "modifier_antijoin": _sql_modifier(),

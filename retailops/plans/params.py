@@ -7,6 +7,8 @@ LIFETIME_KEYS = ["branch", "customer"]       # the reference's basket: a custome
 LIFETIME_ITEM = "item"
 MIN_SUPPORT = 0.014
 MIN_CONFIDENCE = 0.11
+ITEMSET_MIN_SUPPORT = 0.0006
+ITEMSET_MIN_CONFIDENCE = 0.12
 MOD_GROUPS = ["Brand#1", "Brand#2"]
 MOD_PATTERNS = [r"^new\s", r"anvil$"]
 CATEGORY_RULES = [("coffee", ["RING", "BOLT"]), ("milkshake", ["GEAR"]), ("frappe", ["GIZMO"])]

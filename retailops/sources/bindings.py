@@ -70,6 +70,10 @@ class Bindings:
                          .when(F.col("o_orderstatus") == "O", "table")
                          .otherwise("take_away").alias("channel")))
 
+    def item_groups(self) -> DataFrame:
+        """(grp, description) of every item of the catalogue."""
+        return self.table("part").select(F.col("p_brand").alias("grp"), F.concat_ws(" ", "p_brand", "p_name").alias("description"))
+
     def order_facts(self) -> DataFrame:
         o = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate",
                                         "o_totalprice", "o_orderstatus")

@@ -80,3 +80,52 @@ def test_large_basket_streams_its_pairs(spark):
     assert B.basket_pairs(bk).count() == 2000 * 1999 // 2
     small = bk.select(F.slice("items", 1, 40).alias("items"))
     assert B.basket_triples(small).distinct().count() == 40 * 39 * 38 // 6
+
+
+def test_itemsets_and_rules_equal_brute_force(spark):
+    """All sets of up to four items, a hot item that is in every basket, ties, repeated and single-item baskets."""
+    import random
+    from itertools import combinations
+
+    from retailops.operators import itemsets as I
+    rng = random.Random(4)
+    held = [["hot"] + sorted(rng.sample("abcdefgh", rng.randint(0, 6))) for _ in range(150)] + [["hot", "a", "b", "c", "d"]] * 20
+    df = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(held)], "id int, items array<string>")
+    counts = {}
+    for x in held:
+        for k in range(1, 5):
+            for c in combinations(sorted(x), k):
+                counts[c] = counts.get(c, 0) + 1
+    want = {c: n for c, n in counts.items() if n >= 18}
+    got = {tuple(r["items"]): r.n for r in I.frequent_itemsets(df, ["id"], 18).collect()}
+    assert got == want and max(map(len, want)) == 4
+    rules = I.multi_item_rules(df, ["id"], 18 / len(held), 0.3).collect()
+    found = {(r.antecedent, r.consequent): (r.itemset_count, r.antecedent_count, r.consequent_count) for r in rules}
+    assert found == {(" + ".join(x for x in c if x != y), y): (n, want[tuple(x for x in c if x != y)], want[(y,)])
+                     for c, n in want.items() if len(c) > 1 for y in c if n / want[tuple(x for x in c if x != y)] >= 0.3}
+    assert not I.multi_item_rules(df.limit(0), ["id"], 0.1, 0.1).count()
+
+
+def test_large_baskets_in_blocks(spark):
+    """Blocks give the pairs, counts, rules and affinities of whole baskets, and no block exceeds its bound by much."""
+    rows = [("N", "big", f"i{i:03d}", 1.0) for i in range(60)] * 2 + [("S", "c", f"i{i:03d}", 1.0) for i in range(0, 60, 7)]
+    rows += [("S", "d", "i003", 1.0), ("S", "e", "i001", 1.0), ("S", "e", "i002", 1.0), ("S", None, "i001", 1.0)]
+    kept = B.basket_lines(lines(spark, rows), ["branch", "customer"])
+    whole = B.baskets(lines(spark, rows), ["branch", "customer"])
+    for block in (5, 9, 1000):
+        cut = B.basket_blocks(kept, ["branch", "customer"], block=block)
+        assert cut.agg(F.max(F.size("items"))).first()[0] <= max(3 * block, 3) and cut.where("lead").count() == 3
+        assert B.basket_count(cut).first()[0] == 3
+        for of in (B.copurchase_pairs, lambda b: B.basket_counts(b), lambda b: B.association_rules(b, 0.1, 0.1), B.item_affinity):
+            assert sorted(map(str, of(cut).collect())) == sorted(map(str, of(whole).collect()))
+        assert sorted(map(str, B.basket_pairs(cut, ["branch"]).collect())) == sorted(map(str, B.basket_pairs(whole, ["branch"]).collect()))
+
+
+def test_a_basket_of_200000_items(spark):
+    """The basket is dealt in blocks; its pairs are counted without ever being held (some of its block pairs here)."""
+    df = spark.range(200_000).select(F.lit("N").alias("branch"), F.lit("x").alias("customer"), F.concat(F.lit("item"), "id").alias("item"))
+    cut = B.basket_blocks(df, ["branch", "customer"])
+    assert cut.agg(F.sum(F.size("items")), F.max(F.size("items")) < 6000, F.count("*")).first()[:] == (200_000, True, 40)
+    two = cut.where("blk < 2")
+    sizes = [r[0] for r in two.select(F.size("items")).collect()]
+    assert B.pairs_across(two).count() == sizes[0] * sizes[1]
