@@ -10,16 +10,19 @@ draws for every document (optimal densification), so that it agrees between two
 similarity, however small they are.  ``rows`` bins make a band, and documents that agree on a band share a bucket.  With 32 bands of 5
 rows a pair at similarity 0.8 shares none with probability 3e-6 (0.672 ** 32), a closer pair more rarely still.
 
-Candidates.  Equal sets are one node.  A bucket makes a star: every member is paired with its smallest member only, so edges never exceed
-nodes times bands.  All star edges are confirmed on the full sets.  A star loses a pair of which neither is the centre, when the
-centre is not like both; that can only be where a bucket is left with members of more than one component.  The nodes of those
-open buckets are joined exactly: by prefix filter (of two sets at similarity t one shares a shingle of the rarest
-``n - ceil(t * n) + 1`` of the other), with sizes and positions bounding the intersection, and only across components.  Those pairs
-are confirmed as well, so every link that any bucket offers is kept.
+Candidates.  Equal sets are one node.  A bucket makes a star: every member is paired with its centre only, so edges never exceed
+nodes times bands.  The centre is the member that meets most others over all its buckets, as the text that copies were made
+from does.  Star edges are confirmed on the full sets.  A star loses a pair of which neither is the centre, when the centre is
+not like both; that can only be where a bucket is left with members of more than one component.  Members of such
+open buckets are compared across components by their odd sketches: bit i of a sketch is the parity of the shingles that hash to
+i, so two sketches never differ in more bits than the sets in shingles, which bounds the intersection from above.
+Only pairs within the bound leave the comparison, and they are confirmed as well, so every link that any bucket offers is kept.
+The same bound spares star edges that cannot be links the full comparison.
 
 Scale.  Texts are read twice: for the signatures, and, of candidates only, for the full sets, which travel once per edge.
-Smallest members and counts are aggregated before buckets meet their members; hot buckets, hubs and groups of copies are
-dealt in parts (``join_spread``).  Links, sets and components stay in stored tables.
+Members are counted per bucket before they meet, and hot buckets, centres and groups of copies are dealt in parts
+(``join_spread``); in an open bucket every two parts of ``PART`` members are compared in a task of their own.  Links, sets
+and components stay in stored tables.
 
 Exactness.  Set sizes are exact.  Between documents shingles are compared by 64-bit hashes, sets by a 128-bit digest.
 
@@ -38,13 +41,15 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_key, stored, text_blocks, text_or_empty
 from .simhash import components, join_spread
 
 SEED = 13
+SKETCH = 16  # 64-bit words of an odd sketch; a power of two
+PART = 500  # members of an open bucket in one part
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
 
 
@@ -129,22 +134,30 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str,
     return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, key long, cls binary, n long, bands array<long>")
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """``SKETCH`` words of 64 bits: bit i is the parity of the hashes whose low bits are i."""
+    at = np.bincount((hashes & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(at.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of the wanted nodes (node, cls, key): their texts are read again."""
+    """(node, shingles, sketch) of the wanted nodes (node, cls, key): their texts are read again."""
 
     def run(batches):
         for batch in batches:
             for _, _, texts in text_blocks(batch, 0, 2 << 20):
                 sets = shingle_sets(texts, words)
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+                sketches = pa.array(np.concatenate([odd_sketch(s) for s in sets]))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([digest(s) for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["cls", "shingles"])
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * SKETCH, pa.int32()), sketches)], ["cls", "shingles", "sketch"])
 
     texts = docs.select(row_key(id_col, text_col).alias("key"), text_or_empty(text_col).alias("text"))
     texts = texts.join(wanted.select("key").distinct().hint("shuffle_hash"), "key", "left_semi").select("text")
-    sets = texts.mapInArrow(run, "cls binary, shingles array<long>")
-    return sets.dropDuplicates(["cls"]).join(wanted.select("cls", "node"), "cls").select("node", "shingles")
+    sets = texts.mapInArrow(run, "cls binary, shingles array<long>, sketch array<long>")
+    return sets.dropDuplicates(["cls"]).join(wanted.select("cls", "node"), "cls").select("node", "shingles", "sketch")
 
 
 def alike(x: Column, y: Column, both: Column, percent: int) -> Column:
@@ -152,59 +165,70 @@ def alike(x: Column, y: Column, both: Column, percent: int) -> Column:
     return 100 * both >= percent * (x + y - both)
 
 
+def can_be_alike(a: str, b: str, percent: int) -> Column:
+    """Whether two sets can be alike by their sizes and sketches (columns n_a, sketch_a, n_b, sketch_b)."""
+    x, y = F.col(f"n_{a}"), F.col(f"n_{b}")
+    differ = sum((F.bit_count(F.col(f"sketch_{a}")[i].bitwiseXOR(F.col(f"sketch_{b}")[i])) for i in range(SKETCH)), F.lit(0))
+    return alike(x, y, F.least(x, y), percent) & alike(x, y, (x + y - differ) / 2, percent)
+
+
+def facts(sets: DataFrame, side: str) -> DataFrame:
+    return sets.select(F.col("node").alias(side), F.size("shingles").cast("long").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+
+
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) whose full sets are alike."""
     member = sets.select(F.col("node").alias("a"), F.col("shingles").alias("mine"))
-    hub = sets.select(F.col("node").alias("b"), F.col("shingles").alias("theirs"))
+    centre = sets.select(F.col("node").alias("b"), F.col("shingles").alias("theirs"))
     edges = stored(edges)
-    met = join_spread(edges, hub, "b", edges.groupBy("b").agg(F.count("*").alias("n"))).join(member, "a")
+    sizes = edges.groupBy("b").agg(F.count("*").alias("n"))
+    met = join_spread(edges, centre.join(sizes.select("b"), "b", "left_semi"), "b", sizes).join(member, "a")
     both = F.size(F.array_intersect("mine", "theirs"))
     return met.filter(alike(F.size("mine"), F.size("theirs"), both, percent)).select("a", "b")
 
 
-def stars(members: DataFrame, hubs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(bucket, a, b, n, hub_n): every member a of a bucket of two or more with its smallest member b; b itself included."""
-    centre = hubs.select("bucket", F.col("hub.node").alias("b"), F.col("hub.n").alias("hub_n"))
-    return join_spread(members, centre, "bucket", sizes).select("bucket", F.col("node").alias("a"), "b", "n", "hub_n")
-
+def open_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) with a > b: pairs of members (bucket, node) of one bucket but different components that can be alike.
 
-def open_nodes(stars_: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(node, root) of the members of buckets (with their sizes: bucket, n) that hold more than one component."""
-    labels = stars_.select("bucket", F.col("a").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ``sizes`` (bucket, n) counts the members.  Parts of ``PART`` members meet pair by pair, so no task holds a hot bucket.
+    """
+    labels = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     labels = stored(labels)
     several = labels.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    return join_spread(labels, several, "bucket", sizes).select("node", "root").distinct()
-
-
-def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with a > b, of different roots: every pair of ``nodes`` (node, root) that can be alike, by prefix filter."""
-    held = stored(nodes.join(sets, "node").select("node", "root", F.size("shingles").cast("long").alias("n"), "shingles"))
-    token = held.select("node", "root", "n", F.explode("shingles").alias("token"))
-    counts = token.groupBy("token").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))  # within one document's set
-    least = F.expr(f"(n * {percent} + 99) div 100")  # the intersection of any pair alike
-    prefix = token.join(counts, "token").withColumn("place", place).filter(F.col("place") <= F.col("n") - least + 1)
-    prefix = stored(prefix.filter("df > 1").select("token", "node", "root", "n", "place"))
-    x, y = (prefix.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "place")]) for side in "ab")
-    met = x.join(y, "token").filter((F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")))
-    # shingles shared up to this one, and after it
-    most = F.least("place_a", "place_b") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    return met.filter(alike(F.col("n_a"), F.col("n_b"), most, percent)).select(
-        F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    several = stored(several.join(sizes, "bucket").select("bucket", "n", F.ceil(F.col("n") / PART).cast("int").alias("cut")))
+    held = join_spread(labels, several.select("bucket", "cut"), "bucket", several.select("bucket", "n"))
+    own = F.pmod(F.xxhash64("node"), F.col("cut")).cast("int")
+    dealt = held.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, cut - 1)")))
+    dealt = dealt.select("bucket", "node", "root", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    known = stored(dealt.join(sets.select("node", F.size("shingles").cast("long").alias("n"), "sketch"), "node"))
+    at = ["bucket", "low", "high"]
+    x, y = (known.select(*at, *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "own", "n", "sketch")]) for side in "ab")
+    new = (F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (
+        (F.col("x.low") == F.col("x.high")) | (F.col("own_a") != F.col("own_b"))) & can_be_alike("a", "b", percent)
+    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+    return x.alias("x").join(y.alias("y"), same & new).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def star_edges(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b): every member a of a bucket (bucket, node; n members) with its centre b, which meets most others in all."""
+    met = join_spread(members, sizes, "bucket", sizes)
+    score = met.groupBy("node").agg(F.sum("n").alias("score"))
+    known = stored(members.join(score, "node"))
+    centre = known.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("c")).select("bucket", F.col("c.node").alias("b"))
+    return join_spread(known, centre, "bucket", sizes).filter("node != b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b) with a > b: links that connect all classes (node, cls, key, n, bands; a stored table) that a bucket shows to be alike."""
-    members = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    hubs = stored(members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("n")).filter("n > 1"))
-    sizes = hubs.select("bucket", "n")
-    met = stored(stars(members, hubs, sizes))
-    wanted = stored(met.select(F.col("a").alias("node")).distinct().join(classes.select("node", "cls", "key"), "node"))
-    sets = stored(full_sets(docs, wanted, words, id_col, text_col))
-    close = alike(F.col("n"), F.col("hub_n"), F.least("n", "hub_n"), percent)
-    found = stored(confirmed(met.filter(F.col("a") != F.col("b")).filter(close).select("a", "b").distinct(), sets, percent))
-    open_ = stored(open_nodes(met, components(found), sizes))
-    return found.union(confirmed(prefix_pairs(open_, sets, percent), sets, percent))
+    """(a, b): links that connect all classes (node, cls, key, n, bands; a stored table) that a bucket shows to be alike."""
+    all_ = classes.select("node", F.explode("bands").alias("bucket"))
+    sizes = stored(all_.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    members = stored(join_spread(all_, sizes.select("bucket"), "bucket", sizes).select("bucket", "node"))
+    wanted = members.select("node").distinct().join(classes.select("node", "cls", "key"), "node")
+    sets = stored(full_sets(docs, stored(wanted), words, id_col, text_col))
+    edges = star_edges(members, sizes).join(facts(sets, "a"), "a").join(facts(sets, "b"), "b").filter(can_be_alike("a", "b", percent))
+    found = stored(confirmed(edges.select("a", "b"), sets, percent))
+    more = open_pairs(members, components(found), sets, sizes, percent)
+    return found.union(confirmed(more, sets, percent))
 
 
 def groups(docs: DataFrame, words: int = 2, percent: int = 80, bands: int = 32, rows: int = 5, id_col: str = "doc_id",

@@ -92,33 +92,42 @@ def test_links_around_the_bound_chains_and_short_texts(spark):
     assert rows_of(M.groups(docs)) == plain([(int(i), t) for i, t in rows])
 
 
-def test_open_buckets_are_joined_exactly(spark):
-    """A bucket whose smallest member is like no other: the star confirms nothing, and the exact join finds the link."""
+def set_table(spark, sets):
+    return spark.createDataFrame([(i, [int(x) for x in s.view(np.int64)], M.odd_sketch(s).tolist()) for i, s in sets],
+                                 "node long, shingles array<long>, sketch array<long>")
+
+
+def test_open_buckets_are_compared_across_components(spark):
+    """A bucket whose centre is like no other: the star confirms nothing, and the open pairs hold the link."""
     sets = {1: range(0, 100), 2: range(50, 150), 3: range(52, 152), 4: range(400, 500)}
-    held = spark.createDataFrame([(n, [int(M.mixed(np.uint64([x]))[0]) >> 1 for x in s]) for n, s in sets.items()], "node long, shingles array<long>")
-    stars = spark.createDataFrame([(9, 1, 1), (9, 2, 1), (9, 3, 1), (8, 4, 4)], "bucket long, a long, b long")
+    held = set_table(spark, [(n, np.unique(M.mixed(np.array(x, np.uint64)))) for n, x in sets.items()])
+    members = spark.createDataFrame([(9, 1), (9, 2), (9, 3), (8, 4), (8, 1)], "bucket long, node long")
+    sizes = members.groupBy("bucket").agg(M.F.count("*").alias("n"))
     none = spark.createDataFrame([], "node long, root long")
-    sizes = spark.createDataFrame([(9, 3), (8, 1)], "bucket long, n long")
-    open_ = M.open_nodes(stars, none, sizes)
-    assert sorted(r.node for r in open_.collect()) == [1, 2, 3]
-    found = M.confirmed(M.prefix_pairs(open_, held, 80), held, 80).collect()
+    found = M.confirmed(M.open_pairs(members, none, held, sizes, 80), held, 80).collect()
     assert [(r.a, r.b) for r in found] == [(3, 2)]
+    joined = spark.createDataFrame([(2, 2), (3, 2)], "node long, root long")
+    assert M.open_pairs(members, joined, held, sizes, 80).count() == 0
 
 
-@pytest.mark.parametrize("percent", [80, 55])
-def test_prefix_pairs_lose_nothing(spark, percent):
+@pytest.mark.parametrize("percent, part", [(80, 500), (80, 7), (55, 7)])
+def test_open_pairs_lose_nothing(spark, monkeypatch, percent, part):
+    """One bucket of many unlinked members, cut into parts or not: every pair that is alike is offered."""
+    monkeypatch.setattr(M, "PART", part)
     rng = np.random.default_rng(8)
-    texts = families(rng, [30, 30], 30) + families(rng, [10] * 5, 7)
-    held = M.shingle_sets(texts)
-    df = spark.createDataFrame([(i, i, [int(x) for x in s.view(np.int64)]) for i, s in enumerate(held)], "node long, root long, shingles array<long>")
-    got = {(r.a, r.b) for r in M.prefix_pairs(df.select("node", "root"), df.select("node", "shingles"), percent).collect()}
+    held = M.shingle_sets(families(rng, [30, 30], 30) + families(rng, [10] * 5, 7) + families(rng, [6], 3000))
+    members = spark.createDataFrame([(1, i) for i in range(len(held))], "bucket long, node long")
+    sizes = spark.createDataFrame([(1, len(held))], "bucket long, n long")
+    none = spark.createDataFrame([], "node long, root long")
+    pairs_ = M.open_pairs(members, none, set_table(spark, enumerate(held)), sizes, percent).collect()
+    got = {(r.a, r.b) for r in pairs_}
     want = set()
     for i, x in enumerate(held):
         for j in range(i):
             both = len(np.intersect1d(x, held[j]))
             if 100 * both >= percent * (len(x) + len(held[j]) - both):
                 want.add((i, j))
-    assert want and want <= got
+    assert want and want <= got and len(got) == len(pairs_) < len(held) ** 2 / 4
 
 
 def test_hot_groups(spark, monkeypatch):
