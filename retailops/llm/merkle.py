@@ -193,15 +193,15 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, extra: Sequence[Co
     leaves = numbered(cut, counts.join(names, "branch"), "branch", ["doc_id", "leaf"]).drop("branch")
     store, subroots = build(leaves.select("tree", "n", "rank", F.col("leaf").alias("digest")))
     trees = leaves.filter("rank = 0").select("tree", "trees")
-    subroots = stored(subroots.join(trees, "tree"))
-    top_store, root = build(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("trees").alias("n"), F.col("tree").alias("rank"), "digest"))
+    subroots = stored(subroots.join(trees, "tree").withColumn("top", F.lit(0).cast("long")))  # one tree of subroots, number 0
+    top_store, root = build(subroots.select(F.col("top").alias("tree"), F.col("trees").alias("n"), F.col("tree").alias("rank"), "digest"))
     return {"leaves": leaves, "store": store, "top_store": top_store, "subroots": subroots, "root": root}
 
 
 def proofs(made: dict[str, DataFrame | None], asked: DataFrame, payload: Sequence[str]) -> DataFrame:
     """(tree, rank, digest, path, subroot, root, *payload) of asked leaves (tree, n, rank, *payload) of a manifest."""
     none = F.array().cast("array<binary>").alias("path")
-    top = made["subroots"].select(F.lit(0).cast("long").alias("tree"), F.col("trees").alias("n"), F.col("tree").alias("rank"),
+    top = made["subroots"].select(F.col("top").alias("tree"), F.col("trees").alias("n"), F.col("tree").alias("rank"),
                                   F.col("n").alias("leaves"))
     subs = stored(descend(made["top_store"], made["root"].select("tree", "n", "digest", none), top, ["leaves"]))
     starts = subs.select(F.col("rank").alias("tree"), F.col("leaves").alias("n"), "digest", "path")
