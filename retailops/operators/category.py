@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import global_rank
+from ..functions.ranking import dense_rank_by, global_rank
 from ..functions.scalars import rnd, safe_div
 
 # The reference's keyword lists (first match wins, in this
@@ -82,8 +82,7 @@ def category_summary(items: DataFrame, division: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- CAT-3
 def product_performance(items: DataFrame) -> DataFrame:
     bev = items.where(F.col("bev_category").isin(FOCUS_CATEGORIES))
-    w = Window.partitionBy("branch").orderBy(F.desc("total_amount"))
-    bev = bev.withColumn("branch_rank", F.dense_rank().over(w).cast("int"))
+    bev = dense_rank_by(bev, "branch", "total_amount", "branch_rank")
     net = bev.groupBy("description").agg(
         F.sum("qty").alias("network_qty"), F.sum("total_amount").alias("_nr"),
         F.count_distinct("branch").alias("branches_sold"), F.avg("qty").alias("_aq"))

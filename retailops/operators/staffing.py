@@ -1,16 +1,17 @@
 """Staffing: shift patterns, branch profile, daily coverage, recommendations.
 
 Per-row calendar fields are projections; every profile is a ``groupBy`` over
-branch (x shift / x day) with map-side partial aggregation.  Exact medians
-and modes keep a value->count buffer per group, bounded by the number of
-distinct values (hours are whole seconds), not by the number of shifts.
+branch (x shift / x day) with map-side partial aggregation.  Exact medians come
+from counts per value range (``functions.ranges``), so no buffer holds the
+values of a branch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranges import exact_medians
 from ..functions.scalars import ceil9, rnd, safe_div, shift_type
 
 # Shift types that get recommendations (late_night has none but
@@ -56,7 +57,7 @@ def staffing_profile(att: DataFrame, monthly: DataFrame, month: int = 12) -> Dat
     g = a.groupBy("branch").agg(
         F.count_distinct("emp_id").alias("num_employees"),
         F.count(F.lit(1)).alias("total_shifts"),
-        F.sum(hrs).alias("_th"), F.avg(hrs).alias("_ah"), F.median(hrs).alias("_mh"),
+        F.sum(hrs).alias("_th"), F.avg(hrs).alias("_ah"),
         F.stddev_samp(hrs).alias("_sh"),
         F.count(st).alias("_nst"),
         *[F.count(F.when(st == lab, 1)).alias(f"_n_{lab}") for lab in ("morning", "afternoon", "evening", "overnight")],
@@ -66,7 +67,8 @@ def staffing_profile(att: DataFrame, monthly: DataFrame, month: int = 12) -> Dat
         F.avg("_k").alias("_ak"), F.min("_k").alias("_mink"), F.max("_k").alias("_maxk"))
     rev = (monthly.where(F.month("date") == month).groupBy("branch")
            .agg(F.sum("total").alias("_rev")))
-    j = g.join(per_emp, "branch").join(rev, "branch", "left")
+    mid = exact_medians(a, ["branch"], "work_duration_hours", "_mh")
+    j = g.join(per_emp, "branch").join(mid, "branch", "left").join(rev, "branch", "left")
     r = F.coalesce(F.col("_rev"), F.lit(0.0))
     return j.select(
         "branch", F.col("num_employees").cast("bigint").alias("num_employees"),
@@ -117,11 +119,12 @@ def shift_recommendations(shifts: DataFrame, fsum: DataFrame) -> DataFrame:
     g = s.where(F.col("shift_type").isin(SHIFT_ORDER)).groupBy("branch", "shift_type").agg(
         F.count(F.lit(1)).alias("current_shift_count"),
         F.count_distinct("emp_id").alias("employees_available"),
-        F.avg("work_duration_hours").alias("_ah"), F.median("work_duration_hours").alias("_mh"),
+        F.avg("work_duration_hours").alias("_ah"),
         F.count_distinct("date").alias("_days"),
         F.count(F.when(we, 1)).alias("_nwe"), F.count_distinct(F.when(we, F.col("date"))).alias("_dwe"),
         F.count(F.when(~we, 1)).alias("_nwd"), F.count_distinct(F.when(~we, F.col("date"))).alias("_dwd"))
-    j = g.join(tot, "branch").join(F.broadcast(_growth(fsum)), "branch", "left")
+    mid = exact_medians(s.where(F.col("shift_type").isin(SHIFT_ORDER)), ["branch", "shift_type"], "work_duration_hours", "_mh")
+    j = g.join(mid, ["branch", "shift_type"], "left").join(tot, "branch").join(_growth(fsum), "branch", "left")
     mult = F.greatest(1 + F.coalesce(F.col("growth"), F.lit(0.0)), F.lit(MULTIPLIER_FLOOR))
     per_day = safe_div("current_shift_count", "_days")
     rec = F.least(ceil9(per_day * mult), F.col("employees_available") + EXTRA_STAFF_CAP)
@@ -164,7 +167,7 @@ def schedule_guidelines(daily: DataFrame, shifts: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- STF-6
 def hiring_action(profile: DataFrame, fsum: DataFrame) -> DataFrame:
-    j = profile.select("branch", "num_employees").join(F.broadcast(_growth(fsum)), "branch", "left")
+    j = profile.select("branch", "num_employees").join(_growth(fsum), "branch", "left")
     g = F.coalesce(F.col("growth"), F.lit(0.0))
     action = F.when(g > HIRE_ABOVE, "HIRE").when(g < OPTIMIZE_BELOW, "OPTIMIZE").otherwise("MAINTAIN")
     extra = F.when(g > HIRE_ABOVE, F.greatest(F.lit(1), ceil9(F.col("num_employees") * g * HIRE_FACTOR))) \
