@@ -557,6 +557,39 @@ def q_word_set_key(spark, sf_dir):
                     S.word_set_key(F.concat_ws("  ", "p_name", "p_brand", "p_name")).alias("ws_swapped"))
 
 
+# ------------------------------------------------------------ stored results
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources.store import ResultStore, fingerprint  # noqa: E402
+
+#: Results that lookups, answers and summaries read; each is computed once per state of the input files.
+RESULTS: dict[str, Callable[[Bindings], DataFrame]] = {
+    "forecast_summary": lambda b: forecast_summary_of(b),
+    "composite_score": lambda b: scored_of(b),
+    "risk_register": lambda b: exp.risk_register(result(b, "composite_score"), result(b, "forecast_summary"),
+                                                 exp.shortest_history(b.monthly_sales())),
+    "network_health": lambda b: exp.network_health(result(b, "composite_score"), result(b, "forecast_summary")),
+    "verdict": lambda b: exp.verdict(result(b, "network_health"), result(b, "risk_register")),
+    "staffing_summary": lambda b: staffing_summary_of(b, result(b, "forecast_summary")),
+    "category_growth_summary": lambda b: growth_summary_of(*category_parts(b)),
+    "prices": lambda b: bsk.price_table(b.sales_by_item(), P.BASKET_ITEM),
+    "rank_pairs": lambda b: two_item(b, result(b, "prices")),
+    "triples": lambda b: three_item(b, result(b, "prices")),
+    "branch_pairs": lambda b: per_branch_pairs(b, result(b, "prices")),
+    "headlines": lambda b: ans.headlines(*[result(b, n) for n in (
+        "rank_pairs", "branch_pairs", "forecast_summary", "verdict", "network_health", "staffing_summary", "category_growth_summary")]),
+}
+SUMMARIES = {"verdict", "network_health"}  # documents of one row
+SOURCES = ["region", "nation", "customer", "part", "orders", "lineitem", "events"]
+
+
+def result(b: Bindings, name: str) -> DataFrame:
+    if not hasattr(b, "store"):
+        state = fingerprint(b.spark, [f"{b.sf_dir}/{t}.parquet" for t in SOURCES])
+        params = {k: v for k, v in vars(P).items() if k.isupper()}
+        b.store = ResultStore(b.spark, f"{ensure_checkpoint_dir(b.spark)}/retailops-results", state, params)
+    return b.store.get(name, lambda: RESULTS[name](b), name in SUMMARIES)
+
+
 # ------------------------------------------------------------ answers
 from ..operators import answers as ans  # noqa: E402
 
@@ -603,7 +636,7 @@ def q_link_branch(spark, sf_dir):
 def q_branch_lookup(spark, sf_dir):
     b = Bindings(spark, sf_dir)
     req = b.table("region").select(F.lower("r_name").alias("name"))
-    return ans.branch_lookup(req, per_branch_pairs(b), 5)
+    return ans.branch_lookup(req, result(b, "branch_pairs"), 5)
 
 
 def topic_lookup(b: Bindings, table: DataFrame) -> DataFrame:
@@ -613,48 +646,35 @@ def topic_lookup(b: Bindings, table: DataFrame) -> DataFrame:
 @register("demand_lookup")
 def q_demand_lookup(spark, sf_dir):
     b = Bindings(spark, sf_dir)
-    return topic_lookup(b, forecast_summary_of(b))
+    return topic_lookup(b, result(b, "forecast_summary"))
 
 
 @register("staffing_lookup")
 def q_staffing_lookup(spark, sf_dir):
     b = Bindings(spark, sf_dir)
-    return topic_lookup(b, staffing_summary_of(b))
+    return topic_lookup(b, result(b, "staffing_summary"))
 
 
 @register("beverage_lookup")
 def q_beverage_lookup(spark, sf_dir):
     b = Bindings(spark, sf_dir)
-    return topic_lookup(b, growth_summary_of(*category_parts(b)))
-
-
-def headlines_of(b: Bindings) -> DataFrame:
-    fsum = materialize(forecast_summary_of(b))
-    health, verd = (expansion_parts(b, fsum)[i] for i in (2, 5))
-    prices = brand_prices(b)
-    staff = materialize(staffing_summary_of(b, fsum))  # read per branch and for the network, as the next one
-    growth = materialize(growth_summary_of(*category_parts(b)))
-    return ans.headlines(two_item(b, prices), per_branch_pairs(b, prices), fsum, verd, health, staff, growth)
+    return topic_lookup(b, result(b, "category_growth_summary"))
 
 
 @register("answer_questions")
 def q_answer_questions(spark, sf_dir):
     b = Bindings(spark, sf_dir)
     home = b.geo().select(F.col("n_name").alias("place"), "branch")  # a nation belongs to one region, the branch
-    return ans.answer_questions(b.questions(), nation_branches(b), home, materialize(headlines_of(b)))
+    return ans.answer_questions(b.questions(), nation_branches(b), home, result(b, "headlines"))
 
 
 @register("full_summary")
 def q_full_summary(spark, sf_dir):
     b = Bindings(spark, sf_dir)
-    fsum = materialize(forecast_summary_of(b))
-    scored, bench, health, ideal, risks, verd = expansion_parts(b, fsum)
-    staff = materialize(staffing_summary_of(b, fsum))
-    growth = materialize(growth_summary_of(*category_parts(b)))
-    prices = brand_prices(b)
-    return ans.full_summary(two_item(b, prices), three_item(b, prices), fsum, verd, health, staff, growth)
+    return ans.full_summary(*[result(b, n) for n in (
+        "rank_pairs", "triples", "forecast_summary", "verdict", "network_health", "staffing_summary", "category_growth_summary")])
 
 
 @register("branch_list")
 def q_branch_list(spark, sf_dir):
-    return ans.branch_list(forecast_summary_of(Bindings(spark, sf_dir)))
+    return ans.branch_list(result(Bindings(spark, sf_dir), "forecast_summary"))
