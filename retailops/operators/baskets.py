@@ -397,10 +397,8 @@ def combo_summary(two: DataFrame, three: DataFrame, by_branch: DataFrame,
             .agg(F.array_join(F.array_sort(F.collect_list(
                 F.concat_ws(": ", "branch", "combo_name"))), "; ").alias("top_combo_per_branch")))
     lead = two.where(F.col("rank") == 1).select(F.concat(
-        F.lit("The strongest combo is '"), F.col("combo_name"), F.lit("' with a lift of "), num_text("lift", 1),
-        F.lit("x (customers who buy "), F.col("antecedent"), F.lit(" are "), num_text("lift", 0),
-        F.lit("x more likely to also buy "), F.col("consequent"),
-        F.lit("). Recommend offering this as a bundled deal with ~"), F.col("suggested_discount_pct").cast("string"),
-        F.lit("% discount.")).alias("key_insight"))
+        F.col("combo_name"), F.lit(" ranks first (lift "), num_text("lift", 1), F.lit("): baskets with "), F.col("antecedent"),
+        F.lit(" hold "), F.col("consequent"), F.lit(" "), num_text("lift", 0), F.lit(" times as often as all baskets do. Bundle at "),
+        F.col("suggested_discount_pct").cast("string"), F.lit("% off.")).alias("key_insight"))
     one = c2.crossJoin(c3).crossJoin(top5).crossJoin(rules5).crossJoin(top3).crossJoin(seen3).crossJoin(best)
     return one.join(lead, how="left")

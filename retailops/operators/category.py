@@ -4,14 +4,14 @@ Classification is a ``when`` chain of keyword ``contains`` tests.  Summaries
 are one ``groupBy`` per (branch, category) in which each beverage row also
 emits an ``all_beverages`` copy (a generator, not a second scan).  Set
 differences between branches are ``left_anti`` joins; lists of missing
-products are bounded by the category's catalogue.
+products show the first ``LISTED``, and all come as rows from ``missing_products``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import dense_rank_by, global_rank
@@ -31,6 +31,8 @@ FOCUS_CATEGORIES = ["coffee", "milkshake", "frappe"]
 TARGET_FRACTION = 0.75
 PROMOTE_QTY_GAP = 20
 BOOST_BELOW = -0.3
+#: Names that a list of missing products shows.
+LISTED = 50
 
 
 def classify(desc: str = "description", division: str = "division",
@@ -98,24 +100,38 @@ def product_performance(items: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- CAT-4
-def growth_gaps(items: DataFrame, summary: DataFrame) -> DataFrame:
+def _gaps(items: DataFrame, summary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gaps, missing): branch and category pairs under the average, and the products that the benchmark branch sells and they lack."""
     cs = summary.where(F.col("category").isin(FOCUS_CATEGORIES))
     stats = cs.groupBy("category").agg(
         F.avg("revenue_share").alias("_avs"), F.avg("total_qty").alias("_avq"),
         F.min_by("branch", F.struct(-F.col("revenue_share"), F.col("branch"))).alias("benchmark_branch"),
         F.max("revenue_share").alias("_best"))
-    g = cs.join(F.broadcast(stats), "category")
+    g = cs.join(F.broadcast(stats), "category")  # a row per focus category
     g = g.withColumn("_sg", F.col("_avs") - F.col("revenue_share")).withColumn("_qg", F.col("_avq") - F.col("total_qty"))
     g = g.where((F.col("_sg") > 0) | (F.col("_qg") > 0))
     have = (items.where(F.col("bev_category").isin(FOCUS_CATEGORIES))
             .select("branch", F.col("bev_category").alias("category"), "description").distinct())
     best_items = (have.join(F.broadcast(stats.select("category", "benchmark_branch")), "category")
                   .where(F.col("branch") == F.col("benchmark_branch")).select("category", "description"))
-    cand = g.select("branch", "category").join(best_items, "category")
-    missing = cand.join(have, ["branch", "category", "description"], "left_anti")
-    mc = missing.groupBy("branch", "category").agg(
-        F.count(F.lit(1)).alias("_m"),
+    cand = g.select("branch", "category", "benchmark_branch").join(best_items, "category")
+    return g, cand.join(have, ["branch", "category", "description"], "left_anti")
+
+
+def missing_products(items: DataFrame, summary: DataFrame) -> DataFrame:
+    """CAT-4, a row per missing product: (branch, category, description, benchmark_branch)."""
+    return _gaps(items, summary)[1].select("branch", "category", "description", "benchmark_branch")
+
+
+def growth_gaps(items: DataFrame, summary: DataFrame, names: int = LISTED) -> DataFrame:
+    """CAT-4.  ``missing_product_list`` has the first ``names`` missing products by name; ``missing_products`` gives all as rows."""
+    g, missing = _gaps(items, summary)
+    count = missing.groupBy("branch", "category").agg(F.count(F.lit(1)).alias("_m"))
+    # each task keeps its first names only, and a list has at most ``names``
+    first = missing.withColumn("_rn", F.row_number().over(Window.partitionBy("branch", "category").orderBy("description")))
+    listed = first.where(F.col("_rn") <= names).groupBy("branch", "category").agg(
         F.array_join(F.array_sort(F.collect_list("description")), "; ").alias("_ml"))
+    mc = count.join(listed, ["branch", "category"], "left")
     j = g.join(mc, ["branch", "category"], "left")
     return j.select(
         "branch", "category", rnd("revenue_share", 6).alias("current_revenue_share"),
@@ -136,16 +152,12 @@ def strategy_actions(gaps: DataFrame, summary: DataFrame) -> DataFrame:
     gap_units = rnd(qg, 0).cast("bigint").cast("string")
     action = (F.when((m > 0) & (qg > PROMOTE_QTY_GAP), "INTRODUCE_AND_PROMOTE").when(m > 0, "INTRODUCE")
               .when(qg > PROMOTE_QTY_GAP, "PROMOTE").otherwise("OPTIMIZE"))
-    text = (F.when((m > 0) & (qg > PROMOTE_QTY_GAP), F.concat(
-        F.lit("Add "), m.cast("string"), F.lit(" missing "), F.col("category"), F.lit(" products and run promotions to close the "),
-        gap_units, F.lit("-unit gap vs "), F.col("benchmark_branch"), F.lit(".")))
-        .when(m > 0, F.concat(F.lit("Add "), m.cast("string"), F.lit(" missing "), F.col("category"),
-                              F.lit(" products from "), F.col("benchmark_branch"), F.lit("'s menu.")))
-        .when(qg > PROMOTE_QTY_GAP, F.concat(
-            F.lit("Run targeted promotions on existing "), F.col("category"), F.lit(" products to close the "),
-            gap_units, F.lit("-unit gap vs "), F.col("benchmark_branch"), F.lit(".")))
-        .otherwise(F.concat(F.lit("Fine-tune "), F.col("category"), F.lit(" pricing and placement to close the small gap vs "),
-                            F.col("benchmark_branch"), F.lit("."))))
+    lacks = F.concat(F.col("benchmark_branch"), F.lit(" sells "), m.cast("string"), F.lit(" kinds of "), F.col("category"),
+                     F.lit(" that this branch lacks"))
+    has = F.concat(F.lit("All kinds of "), F.col("category"), F.lit(" that "), F.col("benchmark_branch"), F.lit(" sells are here"))
+    under = F.concat(F.lit("; the branch is "), gap_units, F.lit(" units under the average."))
+    text = (F.when((m > 0) & (qg > PROMOTE_QTY_GAP), F.concat(lacks, under)).when(m > 0, F.concat(lacks, F.lit(".")))
+            .when(qg > PROMOTE_QTY_GAP, F.concat(has, under)).otherwise(F.concat(has, F.lit(", near the average quantity."))))
     cq = F.coalesce("_cq", F.lit(0.0))
     return j.select(
         "priority", "branch", "category", action.alias("action_type"), text.alias("description"),

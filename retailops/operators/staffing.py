@@ -173,10 +173,10 @@ def hiring_action(profile: DataFrame, fsum: DataFrame) -> DataFrame:
     extra = F.when(g > HIRE_ABOVE, F.greatest(F.lit(1), ceil9(F.col("num_employees") * g * HIRE_FACTOR))) \
         .otherwise(F.lit(0))
     reason = (F.when(g > HIRE_ABOVE, F.format_string(
-        "Demand projected to grow %s%%. Current staff may be insufficient.", rnd(g * 100, 0).cast("bigint")))
+        "The forecast is %s%% over the average month: more hands are needed.", rnd(g * 100, 0).cast("bigint")))
         .when(g < OPTIMIZE_BELOW, F.format_string(
-            "Demand projected to decline %s%%. Reduce overtime, not headcount.", rnd(F.abs(g) * 100, 0).cast("bigint")))
-        .otherwise(F.lit("Demand is stable. Current staffing levels are adequate.")))
+            "The forecast is %s%% under the average month: cut extra hours, keep the staff.", rnd(F.abs(g) * 100, 0).cast("bigint")))
+        .otherwise(F.lit("The forecast is near the average month: no change.")))
     return j.select("branch", "num_employees", rnd(g, 4).alias("growth"), action.alias("action"),
                     extra.cast("bigint").alias("suggested_additional"), reason.alias("reason"))
 

@@ -391,6 +391,11 @@ def q_growth_gaps(spark, sf_dir):
     return cat.growth_gaps(*category_parts(Bindings(spark, sf_dir)))
 
 
+@register("missing_products")
+def q_missing_products(spark, sf_dir):
+    return cat.missing_products(*category_parts(Bindings(spark, sf_dir)))
+
+
 @register("strategy_actions")
 def q_strategy_actions(spark, sf_dir):
     return actions_of(*category_parts(Bindings(spark, sf_dir)))

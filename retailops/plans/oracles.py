@@ -8,6 +8,7 @@ outputs go through the same decimal rounding as the Spark side.
 from __future__ import annotations
 
 from . import params as P
+from ..operators.category import LISTED
 
 
 def rnd(x: str, n: int) -> str:
@@ -547,11 +548,11 @@ HIRING_CTE = f"""hiring AS (
          ELSE 'MAINTAIN' END AS action,
     CAST(CASE WHEN coalesce(g.growth, 0.0) > 0.3 THEN greatest(1, {ceil9_sql('p.num_employees * coalesce(g.growth, 0.0) * 0.5')})
          ELSE 0 END AS BIGINT) AS suggested_additional,
-    CASE WHEN coalesce(g.growth, 0.0) > 0.3 THEN 'Demand projected to grow '
-           || CAST(CAST({rnd('coalesce(g.growth, 0.0) * 100', 0)} AS BIGINT) AS VARCHAR) || '%. Current staff may be insufficient.'
-         WHEN coalesce(g.growth, 0.0) < -0.2 THEN 'Demand projected to decline '
-           || CAST(CAST({rnd('abs(coalesce(g.growth, 0.0)) * 100', 0)} AS BIGINT) AS VARCHAR) || '%. Reduce overtime, not headcount.'
-         ELSE 'Demand is stable. Current staffing levels are adequate.' END AS reason
+    CASE WHEN coalesce(g.growth, 0.0) > 0.3 THEN 'The forecast is '
+           || CAST(CAST({rnd('coalesce(g.growth, 0.0) * 100', 0)} AS BIGINT) AS VARCHAR) || '% over the average month: more hands are needed.'
+         WHEN coalesce(g.growth, 0.0) < -0.2 THEN 'The forecast is '
+           || CAST(CAST({rnd('abs(coalesce(g.growth, 0.0)) * 100', 0)} AS BIGINT) AS VARCHAR) || '% under the average month: cut extra hours, keep the staff.'
+         ELSE 'The forecast is near the average month: no change.' END AS reason
   FROM staff_profile p LEFT JOIN growth g ON g.branch = p.branch)"""
 
 STAFF_SUMMARY_SQL = f"""
@@ -717,13 +718,13 @@ IDEAL_CTE = f"""ideal AS (
 
 RISKS_CTE = f"""risks AS (
   SELECT 1 AS risk_order, 'Underperforming existing branch' AS risk, 'HIGH' AS severity,
-    string_agg(branch, ', ' {_ord}) || ' has a composite score below 0.4. Expanding while an existing branch struggles may spread resources too thin.' AS detail,
-    'Stabilize ' || string_agg(branch, ', ' {_ord}) || ' before expanding, or consider relocating.' AS mitigation
+    string_agg(branch, ', ' {_ord}) || ' scores under 0.4 overall.' AS detail,
+    'First bring to 0.4: ' || string_agg(branch, ', ' {_ord}) AS mitigation
   FROM scored WHERE composite_score < 0.4 HAVING count(*) > 0
   UNION ALL
   SELECT 2, 'High revenue volatility', 'MEDIUM',
-    'Average revenue coefficient of variation is ' || {num_text_sql('cv', 2)} || '. Demand is unpredictable, making ROI projections uncertain.',
-    'Build conservative financial projections with wide margins.'
+    'A month''s revenue is off its branch''s mean by a share of ' || {num_text_sql('cv', 2)} || ' on average.',
+    'Plan with the lower ends of the forecast intervals.'
   FROM (SELECT avg(revenue_cv) AS cv FROM scored) WHERE cv > 0.7
   UNION ALL
   SELECT 3, 'Short data history', 'MEDIUM',
@@ -733,13 +734,13 @@ RISKS_CTE = f"""risks AS (
   FROM (SELECT min(k) AS n FROM (SELECT count(*) AS k FROM monthly_sales GROUP BY branch)) WHERE n < 12
   UNION ALL
   SELECT 4, 'Missing operational data', 'LOW',
-    'No attendance/staffing data for [' || string_agg('''' || branch || '''', ', ' {_ord}) || ']. Staffing benchmarks may be incomplete.',
-    'Ensure all branches track attendance before using staffing models.'
+    'The punch table has no rows for [' || string_agg('''' || branch || '''', ', ' {_ord}) || '].',
+    'Leave these out of staffing figures until punches are recorded.'
   FROM scored WHERE num_employees = 0 HAVING count(*) > 0
   UNION ALL
   SELECT 5, 'Declining branch revenue', 'HIGH',
-    string_agg(branch, ', ' ORDER BY branch) || ' is forecasted to decline. Network-wide demand may not support a new location.',
-    'Investigate root cause of decline before expansion.'
+    'The forecast is over 10% under the average month of ' || string_agg(branch, ', ' ORDER BY branch) || '.',
+    'Find out what these branches lost.'
   FROM fc_summary WHERE coalesce(forecast_vs_historical, 0.0) < -0.1 HAVING count(*) > 0)"""
 
 VERDICT_CTE = """verdict AS (
@@ -780,8 +781,8 @@ SELECT v.verdict, v.rationale, h.network_health_score, h.strong_branch_names AS
   t.recommended_channel_focus, t.channel_table, t.channel_takeaway, t.channel_delivery,
   (SELECT coalesce(string_agg(risk || ' [' || severity || ']: ' || mitigation, '; ' ORDER BY risk_order), '') FROM risks)
     AS risks, (SELECT CAST(count(*) AS BIGINT) FROM risks WHERE severity = 'HIGH') AS high_risk_count,
-  CASE WHEN tb.names IS NOT NULL THEN 'Branches [' || tb.names || '] are 100% dine-in. A new location near these areas with a takeaway/delivery focus could capture unserved demand without cannibalizing existing sales.'
-       ELSE 'Consider areas with high foot traffic and limited existing coverage. A dine-in focused location aligns with the strongest branch profiles.' END AS location_insight,
+  CASE WHEN tb.names IS NOT NULL THEN 'Over 90% table sales and under 5% take-away at [' || tb.names || '].'
+       ELSE 'Take-away reaches 5% or table sales stay under 90% everywhere.' END AS location_insight,
   best.*
 FROM verdict v CROSS JOIN health h CROSS JOIN t CROSS JOIN tb CROSS JOIN best"""
 
@@ -857,8 +858,7 @@ PERF_CTE = f"""perf AS (
     {rnd('CASE WHEN aq > 0 THEN (qty - aq) / aq ELSE 0.0 END', 4)} AS qty_vs_network_avg
   FROM bev LEFT JOIN net ON net.description = bev.description CROSS JOIN nb)"""
 
-GAPS_CTE = f"""gaps AS (
-  WITH cs AS (SELECT * FROM cat_summary WHERE category IN {_FOCUS}),
+GAP_PARTS = f"""cs AS (SELECT * FROM cat_summary WHERE category IN {_FOCUS}),
   st AS (SELECT category, avg(revenue_share) AS avs, avg(total_qty) AS avq,
            first(branch ORDER BY revenue_share DESC, branch) AS benchmark_branch, max(revenue_share) AS best
          FROM cs GROUP BY category),
@@ -866,10 +866,13 @@ GAPS_CTE = f"""gaps AS (
         FROM cs JOIN st ON st.category = cs.category WHERE avs - revenue_share > 0 OR avq - total_qty > 0),
   have AS (SELECT DISTINCT branch, bev_category AS category, description FROM items_c WHERE bev_category IN {_FOCUS}),
   bi AS (SELECT h.category, h.description FROM have h JOIN st ON st.category = h.category AND h.branch = st.benchmark_branch),
-  miss AS (SELECT g.branch, g.category, bi.description FROM g JOIN bi ON bi.category = g.category
+  miss AS (SELECT g.branch, g.category, bi.description, g.benchmark_branch FROM g JOIN bi ON bi.category = g.category
            WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.branch = g.branch AND h.category = g.category
-                             AND h.description = bi.description)),
-  mc AS (SELECT branch, category, count(*) AS m, string_agg(description, '; ' ORDER BY description) AS ml
+                             AND h.description = bi.description))"""
+
+GAPS_CTE = f"""gaps AS (
+  WITH {GAP_PARTS},
+  mc AS (SELECT branch, category, count(*) AS m, array_to_string(list(description ORDER BY description)[1:{LISTED}], '; ') AS ml
          FROM miss GROUP BY 1, 2)
   SELECT g.branch, g.category, {rnd('revenue_share', 6)} AS current_revenue_share, {rnd('avs', 6)} AS network_avg_share,
     {rnd('best', 6)} AS best_branch_share, {rnd('sg', 6)} AS share_gap_vs_avg,
@@ -886,13 +889,13 @@ ACTIONS_CTE = f"""actions AS (
   SELECT priority, branch, category,
     CASE WHEN missing_products > 0 AND qty_gap > 20 THEN 'INTRODUCE_AND_PROMOTE' WHEN missing_products > 0 THEN 'INTRODUCE'
          WHEN qty_gap > 20 THEN 'PROMOTE' ELSE 'OPTIMIZE' END AS action_type,
-    CASE WHEN missing_products > 0 AND qty_gap > 20 THEN 'Add ' || CAST(missing_products AS VARCHAR) || ' missing ' || category
-           || ' products and run promotions to close the ' || {_gap_units} || '-unit gap vs ' || benchmark_branch || '.'
-         WHEN missing_products > 0 THEN 'Add ' || CAST(missing_products AS VARCHAR) || ' missing ' || category
-           || ' products from ' || benchmark_branch || '''s menu.'
-         WHEN qty_gap > 20 THEN 'Run targeted promotions on existing ' || category || ' products to close the '
-           || {_gap_units} || '-unit gap vs ' || benchmark_branch || '.'
-         ELSE 'Fine-tune ' || category || ' pricing and placement to close the small gap vs ' || benchmark_branch || '.'
+    CASE WHEN missing_products > 0 AND qty_gap > 20 THEN benchmark_branch || ' sells ' || CAST(missing_products AS VARCHAR) || ' kinds of '
+           || category || ' that this branch lacks; the branch is ' || {_gap_units} || ' units under the average.'
+         WHEN missing_products > 0 THEN benchmark_branch || ' sells ' || CAST(missing_products AS VARCHAR) || ' kinds of '
+           || category || ' that this branch lacks.'
+         WHEN qty_gap > 20 THEN 'All kinds of ' || category || ' that ' || benchmark_branch || ' sells are here; the branch is '
+           || {_gap_units} || ' units under the average.'
+         ELSE 'All kinds of ' || category || ' that ' || benchmark_branch || ' sells are here, near the average quantity.'
     END AS description,
     current_revenue_share, {rnd('best_branch_share * 0.75', 6)} AS target_revenue_share, share_gap_vs_best,
     coalesce(cq0, 0.0) AS current_qty, {rnd('coalesce(cq0, 0.0) + qty_gap * 0.75', 0)} AS target_qty,
@@ -954,6 +957,7 @@ ORACLES.update({
     "category_summary": category_with(CAT_SUMMARY_CTE) + "SELECT * FROM cat_summary",
     "product_performance": category_with(PERF_CTE) + "SELECT * FROM perf",
     "growth_gaps": category_with(CAT_SUMMARY_CTE, GAPS_CTE) + "SELECT * FROM gaps",
+    "missing_products": category_with(CAT_SUMMARY_CTE, GAP_PARTS) + "SELECT * FROM miss",
     "strategy_actions": category_with(CAT_SUMMARY_CTE, GAPS_CTE, ACTIONS_CTE) + "SELECT * FROM actions",
     "product_opportunities": category_with(PERF_CTE, OPPS_CTE) + "SELECT * FROM opps",
     "category_growth_summary": category_with(CAT_SUMMARY_CTE, GAPS_CTE, ACTIONS_CTE, PERF_CTE, OPPS_CTE) + CAT_GROWTH_SQL,
@@ -1100,9 +1104,8 @@ SELECT (SELECT count(*) FROM two_item) AS total_2item_combos, (SELECT count(*) F
    FROM three_item WHERE rank <= 3) AS top_3_triple_figures,
   (SELECT coalesce(string_agg(branch || ': ' || combo_name, '; ' ORDER BY branch || ': ' || combo_name), '')
      FROM by_branch WHERE branch_rank = 1) AS top_combo_per_branch,
-  (SELECT 'The strongest combo is ''' || combo_name || ''' with a lift of ' || {_num1} || 'x (customers who buy '
-     || antecedent || ' are ' || {_num0} || 'x more likely to also buy ' || consequent
-     || '). Recommend offering this as a bundled deal with ~' || CAST(suggested_discount_pct AS VARCHAR) || '% discount.'
+  (SELECT combo_name || ' ranks first (lift ' || {_num1} || '): baskets with ' || antecedent || ' hold ' || consequent || ' '
+     || {_num0} || ' times as often as all baskets do. Bundle at ' || CAST(suggested_discount_pct AS VARCHAR) || '% off.'
    FROM two_item WHERE rank = 1) AS key_insight"""
 
 ORACLES.update({
