@@ -21,7 +21,7 @@ The same bound spares star edges that cannot be links the full comparison.
 
 Scale.  Texts are read twice: for the signatures, and, of candidates only, for the full sets, which travel once per edge.
 Members are counted per bucket before they meet, and hot buckets, centres and groups of copies are dealt in parts
-(``join_spread``); in an open bucket every two parts of ``PART`` members are compared in a task of their own.  Links, sets
+(``join_spread``); the members of an open bucket are compared in parts of ``PART``.  Links, sets
 and components stay in stored tables.
 
 Exactness.  Set sizes are exact.  Between documents shingles are compared by 64-bit hashes, sets by a 128-bit digest.
@@ -48,7 +48,7 @@ from .common import row_key, stored, text_blocks, text_or_empty
 from .simhash import components, join_spread
 
 SEED = 13
-SKETCH = 16  # 64-bit words of an odd sketch; a power of two
+SKETCH = 8  # 64-bit words of an odd sketch; a power of two
 PART = 500  # members of an open bucket in one part
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
 
@@ -187,26 +187,27 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.filter(alike(F.size("mine"), F.size("theirs"), both, percent)).select("a", "b")
 
 
-def open_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def open_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) with a > b: pairs of members (bucket, node) of one bucket but different components that can be alike.
 
-    ``sizes`` (bucket, n) counts the members.  Parts of ``PART`` members meet pair by pair, so no task holds a hot bucket.
+    Members of a bucket's largest component need not meet each other: the others,
+    mostly few, are sent to every part of ``PART`` members, and meet all members there, so no task holds a hot bucket.
     """
     labels = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     labels = stored(labels)
-    several = labels.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    several = stored(several.join(sizes, "bucket").select("bucket", "n", F.ceil(F.col("n") / PART).cast("int").alias("cut")))
-    held = join_spread(labels, several.select("bucket", "cut"), "bucket", several.select("bucket", "n"))
-    own = F.pmod(F.xxhash64("node"), F.col("cut")).cast("int")
-    dealt = held.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, cut - 1)")))
-    dealt = dealt.select("bucket", "node", "root", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    known = stored(dealt.join(sets.select("node", F.size("shingles").cast("long").alias("n"), "sketch"), "node"))
-    at = ["bucket", "low", "high"]
-    x, y = (known.select(*at, *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "own", "n", "sketch")]) for side in "ab")
-    new = (F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (
-        (F.col("x.low") == F.col("x.high")) | (F.col("own_a") != F.col("own_b"))) & can_be_alike("a", "b", percent)
-    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
-    return x.alias("x").join(y.alias("y"), same & new).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    by_root = labels.groupBy("bucket", "root").agg(F.count("*").alias("held"))
+    several = by_root.groupBy("bucket").agg(F.max(F.struct("held", "root")).alias("most"), F.count("*").alias("roots"), F.sum("held").alias("n"))
+    several = stored(several.filter("roots > 1").select("bucket", "n", F.col("most.root").alias("largest"), F.ceil(F.col("n") / PART).cast("int").alias("cut")))
+    held = join_spread(labels, several.drop("n"), "bucket", several.select("bucket", "n"))
+    all_ = held.join(sets.select("node", F.size("shingles").cast("long").alias("n"), "sketch"), "node")
+    all_ = stored(all_.select("bucket", "node", "root", "n", "sketch", "cut", (F.col("root") != F.col("largest")).alias("apart")))
+    part = F.pmod(F.xxhash64("node"), F.col("cut")).cast("int")
+    named = lambda df, side: df.select("bucket", "part", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "sketch", "apart")])
+    x = named(all_.filter("apart").withColumn("part", F.explode(F.expr("sequence(0, cut - 1)"))), "a")
+    y = named(all_.withColumn("part", part), "b")
+    met = x.join(y, ["bucket", "part"]).filter(
+        (F.col("root_a") != F.col("root_b")) & (~F.col("apart_b") | (F.col("node_a") > F.col("node_b"))) & can_be_alike("a", "b", percent))
+    return met.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
 
 
 def star_edges(members: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -227,7 +228,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_col:
     sets = stored(full_sets(docs, stored(wanted), words, id_col, text_col))
     edges = star_edges(members, sizes).join(facts(sets, "a"), "a").join(facts(sets, "b"), "b").filter(can_be_alike("a", "b", percent))
     found = stored(confirmed(edges.select("a", "b"), sets, percent))
-    more = open_pairs(members, components(found), sets, sizes, percent)
+    more = open_pairs(members, components(found), sets, percent)
     return found.union(confirmed(more, sets, percent))
 
 
