@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 FAN = 3
-LEVELS = 5  # levels in one page: at most FAN ** LEVELS digests at its foot
+LEVELS = 4  # levels in one page: at most FAN ** LEVELS digests at its foot
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+TRIED = "tree long, start binary, proof binary, folded binary"
 RECORDS = "array<struct<digest:binary,children:array<binary>>>"
 
 
@@ -61,6 +62,24 @@ def height(n: int) -> int:
     return h
 
 
+def each(batch: pa.RecordBatch):
+    """The rows of a batch as dicts, one at a time: a page is some thousand objects."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
+def folded_up(path: Sequence[bytes], node: bytes, places: Sequence[tuple[int, int]]) -> bytes:
+    """The root that ``node`` gives with the siblings of its path, at its (rank, leaves) in its tree and then in the trees above."""
+    at = 0
+    for place, size in places:
+        while size > 1:
+            digit = place % FAN
+            others = min(FAN, size - (place - digit)) - 1
+            node = parent([*path[at:at + digit], node, *path[at + digit:at + others]])
+            at, place, size = at + others, place // FAN, -(-size // FAN)
+    return node
+
+
 def in_ranges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``rows`` (a stored table) cut into ranges of ``keys``, NULL first; equal keys are spread by a drawn number.  Stored, with ``range`` and ``draw``."""
     cut = rows.withColumn("draw", F.rand(7)).repartitionByRange(*keys, "draw")
@@ -92,7 +111,7 @@ def pages(nodes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
+            for r in each(batch):
                 level, top, records = [x["digest"] for x in r["foot"]], min(r["base"] + LEVELS, height(r["n"])), {}
                 for _ in range(r["base"], top):
                     groups = [level[i:i + FAN] for i in range(0, len(level), FAN)]
@@ -126,9 +145,34 @@ def build(leaves: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     return stored(store.groupBy("digest").agg(F.first("records").alias("records"))), stored(tops.select("tree", "n", "digest"))
 
 
-def descend(store: DataFrame | None, starts: DataFrame, asked: DataFrame, payload: Sequence[str]) -> DataFrame:
+def tests(kind, tested: str, tree, n, start, paths, requests) -> pa.RecordBatch:
+    """What the paths say of the tested digests: (tree, start, proof, folded, request)."""
+    folded = [folded_up(p, q[tested], ((q["rank"], size), (t, q["trees"]))) for p, q, size, t in zip(paths, requests, n, tree)]
+    return pa.RecordBatch.from_arrays([
+        pa.array(tree, pa.int64()), pa.array(start, pa.binary()), pa.array([parent(p) for p in paths], pa.binary()),
+        pa.array(folded, pa.binary()), pa.array(requests, kind)], ["tree", "start", "proof", "folded", "request"])
+
+
+def tested_lone(rest: DataFrame, payload: Sequence[str], tested: str) -> DataFrame:
+    """(tree, rank, start, proof, folded, *payload) of leaves that are their tree's only node."""
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            tree, start, path, request = ([r[c] for r in rows] for c in ("tree", "start", "path", "request"))
+            yield tests(batch.schema.field("request").type, tested, tree, [1] * len(rows), start, path, request)
+
+    rows = rest.select("tree", "start", "path", F.struct("rank", *payload).alias("request"))
+    told = rows.mapInArrow(run, f"{TRIED}, request {rows.schema['request'].dataType.simpleString()}")
+    return told.select("tree", "request.rank", "start", "proof", "folded", *[f"request.{c}" for c in payload])
+
+
+def descend(store: DataFrame | None, starts: DataFrame, asked: DataFrame, payload: Sequence[str], tested: str = "") -> DataFrame:
     """(tree, rank, start, digest, path, *payload) of the asked leaves: their digest, and the proof path from the leaf up.
 
+    With ``tested``, a column of the payload (which also has ``trees``), (tree, rank, start, proof, folded, *payload) instead: the hash of
+    the path, and the root that the digest in that column gives with it.
+
     ``starts``: (tree, n, digest, path), a tree's last node and the path above it, from the leaf up; ``asked``: (tree, n, rank,
     *payload), distinct ranks.  A page is brought to the requests that pass it by a join on its digest.
     """
@@ -150,7 +194,7 @@ def descend(store: DataFrame | None, starts: DataFrame, asked: DataFrame, payloa
         def run(batches, base=base):
             for batch in batches:
                 kind = batch.schema.field("requests").type.value_type
-                for r in batch.to_pylist():
+                for r in each(batch):
                     records = {x["digest"]: x["children"] for x in r["records"]}
                     ends, paths = [], []
                     for request in r["requests"]:
@@ -163,6 +207,9 @@ def descend(store: DataFrame | None, starts: DataFrame, asked: DataFrame, payloa
                         ends.append(node)
                         paths.append([x for s in reversed(segments) for x in s])
                     many = len(ends)
+                    if tested and not base:
+                        yield tests(kind, tested, [r["tree"]] * many, [r["n"]] * many, [r["start"]] * many, paths, r["requests"])
+                        continue
                     yield pa.RecordBatch.from_arrays([
                         pa.array([r["tree"]] * many, pa.int64()), pa.array([r["n"]] * many, pa.int64()),
                         pa.array([r["start"]] * many, pa.binary()), pa.array(ends, pa.binary()),
@@ -170,15 +217,18 @@ def descend(store: DataFrame | None, starts: DataFrame, asked: DataFrame, payloa
                         ["tree", "n", "start", "digest", "path", "request"])
 
         request = met.schema["requests"].dataType.elementType.simpleString()
+        tried = f"{TRIED}, request {request}"
         went = met.select("tree", "n", "start", "digest", "path", "records", "requests").mapInArrow(
-            run, f"tree long, n long, start binary, digest binary, path array<binary>, request {request}")
+            run, tried if tested and not base else f"tree long, n long, start binary, digest binary, path array<binary>, request {request}")
         if not base:
-            lone = state.filter("n = 1").drop("n", "at").join(asked.filter("n = 1"), "tree")
-            went = went.select("tree", "request.rank", "start", "digest", "path", *[f"request.{c}" for c in payload])
-            return went.union(lone.select(*out, *payload))
+            rest = state.filter("n = 1").drop("n", "at").join(asked.filter("n = 1"), "tree")
+            one = tested_lone(rest, payload, tested) if tested else rest.select(*out, *payload)
+            shown = ["proof", "folded"] if tested else ["digest", "path"]
+            return went.select("tree", "request.rank", "start", *shown, *[f"request.{c}" for c in payload]).union(one)
         state = stored(went.select("tree", "n", F.col("request.rank").alias("at"), "start", "digest", "path").union(
             state.filter(F.col("n") <= FAN ** base)))
-    return state.drop("n", "at").join(asked, "tree").select(*out, *payload)
+    rest = state.drop("n", "at").join(asked, "tree")  # no tree has two nodes
+    return tested_lone(rest, payload, tested) if tested else rest.select(*out, *payload)
 
 
 def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, extra: Sequence[Column] = ()) -> dict[str, DataFrame | None]:
@@ -198,44 +248,19 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, extra: Sequence[Co
     return {"leaves": leaves, "store": store, "top_store": top_store, "subroots": subroots, "root": root}
 
 
-def proofs(made: dict[str, DataFrame | None], asked: DataFrame, payload: Sequence[str]) -> DataFrame:
-    """(tree, rank, digest, path, subroot, root, *payload) of asked leaves (tree, n, rank, *payload) of a manifest."""
+def proofs(made: dict[str, DataFrame | None], asked: DataFrame, payload: Sequence[str], tested: str = "") -> DataFrame:
+    """(tree, rank, digest, path, subroot, root, *payload) of asked leaves (tree, n, rank, *payload) of a manifest, or, with
+    ``tested``, their ``proof`` and ``folded`` root (``descend``) in place of digest and path."""
     none = F.array().cast("array<binary>").alias("path")
     top = made["subroots"].select(F.col("top").alias("tree"), F.col("trees").alias("n"), F.col("tree").alias("rank"),
                                   F.col("n").alias("leaves"))
     subs = stored(descend(made["top_store"], made["root"].select("tree", "n", "digest", none), top, ["leaves"]))
     starts = subs.select(F.col("rank").alias("tree"), F.col("leaves").alias("n"), "digest", "path")
     root = made["root"].select("digest").first()  # one row
-    found = descend(made["store"], starts, asked, payload).withColumnRenamed("start", "subroot")
+    found = descend(made["store"], starts, asked, payload, tested).withColumnRenamed("start", "subroot")
     return found.withColumn("root", F.lit(bytes(root[0]) if root else None).cast("binary"))
 
 
-def folded(rows: DataFrame, tampered: str) -> DataFrame:
-    """``rows`` (tree, trees, rank, n, path, ...) with ``proof`` (hash of the path) and ``folded``, the root that ``tampered`` gives there."""
-
-    def run(batches):
-        for batch in batches:
-            names = batch.schema.names
-            path, start, rank, n, tree, trees = (batch.column(names.index(c)).to_pylist()
-                                                 for c in ("path", tampered, "rank", "n", "tree", "trees"))
-            proof, out = [], []
-            for siblings, node, *places in zip(path, start, rank, n, tree, trees):
-                proof.append(parent(siblings))
-                at = 0
-                for place, size in (places[:2], places[2:]):
-                    while size > 1:
-                        digit = place % FAN
-                        others = min(FAN, size - (place - digit)) - 1
-                        node = parent([*siblings[at:at + digit], node, *siblings[at + digit:at + others]])
-                        at, place, size = at + others, place // FAN, -(-size // FAN)
-                out.append(node)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(proof, pa.binary()), pa.array(out, pa.binary())],
-                                             [*names, "proof", "folded"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, proof binary, folded binary")
-
-
 def report(docs: DataFrame, every: int = 2) -> DataFrame:
     """Leaves, roots and proofs of all documents, checked against a copy in which, where ``every`` divides the crc32 of the doc_id,
     the line feeds of the text are gone."""
@@ -244,7 +269,7 @@ def report(docs: DataFrame, every: int = 2) -> DataFrame:
                        for f in FIELDS])
     made = manifest(docs, extra=[changed.alias("tampered")])
     payload = ["doc_id", "leaf", "tampered", "n", "trees"]
-    found = folded(proofs(made, made["leaves"], payload), "tampered")
+    found = proofs(made, made["leaves"], payload, "tampered")
     text = [F.lower(F.hex(c)).alias(a) for c, a in (("leaf", "leaf"), ("subroot", "subroot"), ("root", "root"), ("proof", "proof_sha256"),
                                                     ("folded", "folded_root"))]
     return found.select("doc_id", *text, (F.col("folded") == F.col("root")).alias("verified"))
