@@ -2,16 +2,22 @@
 
 Routing is a sum of keyword ``contains`` tests per topic and a struct max.
 Branch extraction and linking are projections over the branch list, one
-ordered array in a one-row frame; nothing is shuffled for them.
+ordered array in a one-row frame, while the list is counted to be at most
+``LISTED`` names.  A longer list is an inverted index: every name stands under
+its rarest run of ``GRAM`` characters, a text asks for all of its runs, and what
+they share is verified, so only texts and names that may match ever meet.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+LISTED = 1000  # names in one array
+GRAM = 4
+
 # Topic keywords of the reference (topic order breaks ties).
 QUERY_KEYWORDS = [
     ("combo", ["combo", "bundle", "pair", "cross-sell", "upsell", "together"]),
@@ -34,28 +40,68 @@ def route_questions(questions: DataFrame, keywords=QUERY_KEYWORDS, text: str = "
 
 
 def _listed(branches: DataFrame) -> DataFrame:
-    """The branch list as one ordered array in a one-row frame: (position, name, lower-case name) each.
-
-    It is a dimension that a person keeps (branch names), so one row can hold it; facts are never gathered like this.
-    """
+    """The branch list as one ordered array in a one-row frame: (position, name, lower-case name) each; at most ``LISTED`` names."""
     one = F.struct(F.col("list_pos").alias("p"), F.col("branch").alias("b"), F.lower("branch").alias("l"))
     return F.broadcast(branches.agg(F.array_sort(F.collect_list(one)).alias("_list")))
 
 
+def _short(branches: DataFrame) -> bool:
+    return branches.limit(LISTED + 1).count() <= LISTED
+
+
+def _all_grams(text: str) -> Column:
+    """Every run of 1 to ``GRAM`` characters of a text, and the empty one: whatever a text contains has its own gram among them."""
+    sizes = [F.expr(f"if(length({text}) >= {n}, transform(sequence(1, length({text}) - {n - 1}), i -> substring({text}, i, {n})), array())")
+             for n in range(1, GRAM + 1)]
+    return F.array_distinct(F.concat(F.array(F.lit("")), *sizes))
+
+
+def _own_gram(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``gram``: of each distinct text its rarest run of ``GRAM`` characters; a shorter text is its own."""
+    t = df.select(text).distinct()
+    runs = F.expr(f"if(length({text}) > {GRAM}, transform(sequence(1, length({text}) - {GRAM - 1}), i -> substring({text}, i, {GRAM})), array({text}))")
+    held = t.select(text, F.explode(F.array_distinct(runs)).alias("gram"))
+    often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    best = held.join(often, "gram").groupBy(text).agg(F.min(F.struct("_n", "gram")).alias("_g"))
+    return df.join(best.select(text, F.col("_g.gram").alias("gram")), text)
+
+
+def _names(branches: DataFrame) -> DataFrame:
+    return branches.where(F.col("branch").isNotNull()).select(F.col("branch").alias("_b"), F.lower("branch").alias("_l"), F.col("list_pos").alias("_p"))
+
+
+def _contained(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(_q, _b, _l, _p): the names that a text ``_q`` contains, through the inverted index of the names' rarest grams."""
+    met = texts.select("_q", F.explode(_all_grams("_q")).alias("gram")).join(_own_gram(names, "_l"), "gram")
+    return met.where(F.contains("_q", "_l")).select("_q", "_b", "_l", "_p")
+
+
 def extract_branch(questions: DataFrame, branches: DataFrame, text: str = "question") -> DataFrame:
     """SRV-2: first listed branch (column ``branch``, order ``list_pos``) contained in the text."""
     q = F.lower(F.col(text))
-    return questions.crossJoin(_listed(branches)).select(
-        "question_id", F.get(F.filter("_list", lambda x: F.contains(q, x["l"])), 0)["b"].alias("branch"))
+    if _short(branches):
+        return questions.crossJoin(_listed(branches)).select(
+            "question_id", F.get(F.filter("_list", lambda x: F.contains(q, x["l"])), 0)["b"].alias("branch"))
+    asked = questions.select("question_id", q.alias("_q"))
+    found = _contained(asked.select("_q").where(F.col("_q").isNotNull()).distinct(), _names(branches))
+    first = found.groupBy("_q").agg(F.min_by("_b", F.struct("_p", "_b")).alias("branch"))
+    return asked.join(first, "_q", "left").select("question_id", "branch")
 
 
 def link_branch(names: DataFrame, candidates: DataFrame, name: str = "name") -> DataFrame:
     """SRV-3: case-insensitive exact match, else containment either way; first candidate wins."""
     n = F.lower(F.trim(F.col(name)))
-    exact = F.filter("_list", lambda x: x["l"] == n)
-    near = F.filter("_list", lambda x: F.contains(n, x["l"]) | F.contains(x["l"], n))
-    return names.select(name).distinct().crossJoin(_listed(candidates)).select(
-        name, F.coalesce(F.get(exact, 0)["b"], F.get(near, 0)["b"]).alias("branch"))
+    if _short(candidates):
+        exact = F.filter("_list", lambda x: x["l"] == n)
+        near = F.filter("_list", lambda x: F.contains(n, x["l"]) | F.contains(x["l"], n))
+        return names.select(name).distinct().crossJoin(_listed(candidates)).select(
+            name, F.coalesce(F.get(exact, 0)["b"], F.get(near, 0)["b"]).alias("branch"))
+    asked = names.select(name).distinct().withColumn("_q", n)
+    texts, listed = asked.select("_q").where(F.col("_q").isNotNull()).distinct(), _names(candidates)
+    holds = listed.select("*", F.explode(_all_grams("_l")).alias("gram")).join(_own_gram(texts, "_q"), "gram")
+    found = _contained(texts, listed).unionByName(holds.where(F.contains("_l", "_q")).select("_q", "_b", "_l", "_p"))
+    first = found.groupBy("_q").agg(F.min_by("_b", F.struct(F.col("_l") != F.col("_q"), "_p", "_b")).alias("branch"))
+    return asked.join(first, "_q", "left").select(name, "branch")
 
 
 def branch_lookup(requests: DataFrame, by_branch: DataFrame, top_n: int = 5) -> DataFrame:

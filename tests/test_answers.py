@@ -43,3 +43,33 @@ def test_short_history_is_a_risk_only_when_short(spark):
         risks = X.risk_register(scored, fsum, history).collect()
         assert [r["risk"] for r in risks] == want
         assert all(" 4 months" in r["detail"] for r in risks)
+
+
+def test_long_name_lists_give_the_same_links(spark, monkeypatch):
+    """The index of grams against the array: short, empty, repeated and nested names, NULL and odd texts."""
+    import random
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcé ") for _ in range(rng.randint(1, 9))) for _ in range(150)] + ["North", "North East", "north", "x", "", "ab"]
+    names = spark.createDataFrame([(w, i) for i, w in enumerate(words)] + [(None, 900)], "branch string, list_pos int")
+    texts = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 30))) for _ in range(120)] + [" NORTH east ", "Xx", "", "a", None, None]
+    texts += [w.upper() for w in words[:20]] + [w[1:-1] for w in words[:20]]
+    for some in (names, names.where("length(branch) > 2")):
+        q = spark.createDataFrame(list(enumerate(texts)), "question_id int, question string")
+        n = q.selectExpr("question as name")
+        monkeypatch.setattr(A, "LISTED", 10_000)
+        want = [sorted(map(str, of.collect())) for of in (A.extract_branch(q, some), A.link_branch(n, some))]
+        monkeypatch.setattr(A, "LISTED", 3)
+        assert [sorted(map(str, of.collect())) for of in (A.extract_branch(q, some), A.link_branch(n, some))] == want
+
+
+def test_a_hundred_thousand_names(spark):
+    """No array holds the names: every question finds the one it names, and the plan hints no broadcast."""
+    names = spark.range(100_000).selectExpr("concat('place ', hex(id * 7919 + 1000000), ' end') as branch", "cast(id as int) as list_pos")
+    q = spark.range(0, 100_000, 37).selectExpr("id as question_id", "concat('Staff for PLACE ', hex(id * 7919 + 1000000), ' End next week?') as question")
+    got = A.extract_branch(q, names)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint" not in got._jdf.queryExecution().optimizedPlan().toString()
+    wrong = got.where("branch is null or branch <> concat('place ', hex(question_id * 7919 + 1000000), ' end')")
+    assert got.count() == q.count() and wrong.count() == 0
+    linked = A.link_branch(q.selectExpr("question as name").limit(50), names)
+    assert linked.where("branch is null").count() == 0
