@@ -48,9 +48,10 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"sk_live_[0-9A-Za-z]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 MAX_WAYS, MAX_CLASS = 64, 8
+SUMMED = 256  # lengths added up in one array
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
@@ -122,29 +123,39 @@ def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]]) ->
     return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))  # at most one entry per rule
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """Array of (kind, start, end) of the rule's leftmost matches that do not overlap.
+def steps(text: Column, rule: Rule) -> Column:
+    """Lengths (w: whole, g: gap, h: the counted group) of the steps through a text.
 
     Each step matches the text before a match and the match itself, or the rest of the text, so lengths add up to
-    positions.
+    positions.  Matches are the leftmost ones that do not overlap.
     """
     walk = F.lit(rf"(?s)(.*?)(?:{rule.pattern}|\z)")
-    whole, gap = F.regexp_extract_all(text, walk, F.lit(0)), F.regexp_extract_all(text, walk, F.lit(1))
-    held = F.regexp_extract_all(text, walk, F.lit(rule.group + 1)) if rule.group else whole
-    steps = F.arrays_zip(whole.alias("whole"), gap.alias("gap"), held.alias("held"))
-    kind = f"struct<kind:string,start:int,end:int,ok:boolean>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("found"))
+    size = lambda group: F.transform(F.regexp_extract_all(text, walk, F.lit(group)), F.length)
+    found = F.arrays_zip(size(0).alias("w"), size(1).alias("g"), size(rule.group + 1 if rule.group else 0).alias("h"))
+    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast("array<struct<w:int,g:int,h:int>>"))
 
-    def step(acc, x):
-        begin, end = acc["at"] + F.length(x["gap"]), acc["at"] + F.length(x["whole"])
-        ok = (end > begin) & (F.length(x["held"]) >= rule.least)
-        one = F.struct(F.lit(rule.kind).alias("kind"), begin.alias("start"), end.alias("end"), ok.alias("ok"))
-        return F.struct(end.alias("at"), F.when(ok, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(steps, start, step, lambda acc: acc["found"])
-    found = F.transform(found, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+def _sums(lengths: Column) -> Column:
+    """0 and the running sums of an array; it grows in each step, so only short arrays are summed this way."""
+    return F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+
+def block_sums(lengths: Column) -> Column:
+    """``_sums`` of every ``SUMMED`` lengths."""
+    last = F.floor((F.size(lengths) - 1) / F.lit(SUMMED)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(lengths, b * SUMMED + 1, SUMMED))
+    return F.transform(cut, _sums)
+
+
+def spans(found: Column, sums: Column, rule: Rule) -> Column:
+    """Array of (kind, start, end) of the rule's matches from its steps and the sums of their blocks: linear in the steps."""
+    before = _sums(F.transform(sums, lambda x: F.element_at(x, -1)))
+    begin = F.flatten(F.transform(F.arrays_zip(sums.alias("x"), F.slice(before, F.lit(1), F.size(sums)).alias("b")), lambda z: F.transform(
+        F.slice(z["x"], F.lit(1), F.size(z["x"]) - 1), lambda v: v + z["b"])))
+    all_ = F.arrays_zip(begin.alias("at"), found.alias("s"))
+    kept = F.filter(all_, lambda z: (z["s"]["w"] > z["s"]["g"]) & (z["s"]["h"] >= rule.least))
+    return F.transform(kept, lambda z: F.struct(F.lit(rule.kind).alias("kind"), (z["at"] + z["s"]["g"]).alias("start"),
+                                                (z["at"] + z["s"]["w"]).alias("end")))
 
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,13 +166,13 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "
         .withColumn("key", row_key("id", "text"))
     postings = trigram_index(texts.select("key", "text"), sorted(set().union(*(t for q in asked.values() for t in q))))
     met = texts.join(candidates(postings, asked).hint("shuffle_hash"), "key", "left")
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    cols = []
-    for r in rules:
-        found = spans(F.col("text"), r)
-        cols.append((F.when(F.array_contains("kinds", r.kind), found).otherwise(none) if r.kind in asked else found)
-                    .alias(f"spans_{r.kind}"))
-    return met.select(F.col("id").alias(id_col), "text", *cols)
+    none = F.array().cast("array<struct<w:int,g:int,h:int>>")
+    met = met.select("id", "text", *[
+        (F.when(F.array_contains("kinds", r.kind), steps(F.col("text"), r)).otherwise(none) if r.kind in asked else steps(F.col("text"), r))
+        .alias(f"steps_{r.kind}") for r in rules])
+    met = met.select("*", *[block_sums(F.col(f"steps_{r.kind}.w")).alias(f"sums_{r.kind}") for r in rules])
+    return met.select(F.col("id").alias(id_col), "text", *[
+        spans(F.col(f"steps_{r.kind}"), F.col(f"sums_{r.kind}"), r).alias(f"spans_{r.kind}") for r in rules])
 
 
 def _joined(rules: tuple[Rule, ...]) -> Column:

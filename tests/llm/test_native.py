@@ -43,6 +43,24 @@ def test_secrets(spark, make):
     assert make is not odd_documents or any(w[5] for w in want)
 
 
+def test_long_runs_and_dense_spans_are_linear(spark):
+    """1 MB of a rule's beginning, and 64,000 spans in one text: each well under the time that a square would take."""
+    import time
+    docs = spark.createDataFrame([(1, "eyJ" * 350_000)], "doc_id long, text string")
+    dense = spark.createDataFrame([(2, "token=abcdefgh " * 64_000)], "doc_id long, text string")
+    S.report(docs.selectExpr("doc_id", "substring(text, 1, 9) as text")).collect()  # compiled
+    for df, n in ((docs, 0), (dense, 64_000)):
+        start = time.time()
+        assert S.report(df).first().n_assign == n
+        assert time.time() - start < 30
+
+
+def test_jwt_is_found_at_word_starts(spark):
+    part = "eyJ" + "a" * 12
+    docs = spark.createDataFrame([(1, f"x {part}.{part}.{part} {part}.{part}")], "doc_id long, text string")
+    assert [tuple(x) for x in S.find(docs).first().spans_jwt] == [("jwt", 2, 49)]
+
+
 def test_secrets_empty(spark):
     assert S.report(empty_documents(spark)).count() == 0
 
