@@ -4,17 +4,16 @@ Method.  A line (trimmed of ASCII white space) is known by its hash.  Per line h
 sites (column ``source``) of its documents; sketches merge by aggregation, so a line that a third of all rows hold still
 sends one small sketch per task.  A sketch count well over or under ``sites`` decides; for lines near it (``BAND``
 standard errors of the sketch) the distinct sites are counted exactly.  Lines on at least ``sites`` sites are removed
-from every document; the other lines stay as they are.  A document that would lose more than ``most`` of its characters
-is left as it is.  With ``most`` None no share of characters decides: a document stays whole only if its whole text (its
-trimmed lines in order) is itself on at least ``sites`` sites, counted by the same sketches; near-dedup settles such copies.
+from every document; the other lines stay as they are.  A document stays whole if its whole text (its trimmed lines in
+order) is itself on at least ``sites`` sites, counted by the same sketches; near-dedup settles such copies.
 
 Scale.  Only hashes and sketches are exchanged for the decision.  The lines found are broadcast only up to
 ``MAX_BROADCAST``, counted first; so the places of a hot line need not meet in one task.  Removals come back as line numbers per document, which
 are bounded by the lines of that document, and meet the text in one exchange under a key of the row.
 
-Defined results: NULL text stays NULL and has no lines; empty or white lines and lines under ``least`` characters are
-never removed; a NULL source is a site of its own; repeated rows are changed alike and all returned; with ``most`` None a
-text of spread lines only that is no spread copy becomes empty; an empty table gives an empty table; other columns are passed through untouched.
+Defined results: NULL text stays NULL and has no lines; empty or white lines are never removed; a NULL source is a site of
+its own; repeated rows are changed alike and all returned; a text of spread lines only that is no spread copy becomes
+empty; an empty table gives an empty table; other columns are passed through untouched.
 """
 
 from __future__ import annotations
@@ -36,15 +35,12 @@ def _lines(text: str = "text") -> Column:
     return F.split(F.col(text), "\n")
 
 
-def occurrences(docs: DataFrame, least: int, text_col: str = "text", site_col: str = "source",
-                whole: bool = False) -> DataFrame:
-    """(key, site, at, line): the hash of each line long enough, with its place; if ``whole``, also that of each text."""
+def occurrences(docs: DataFrame, least: int, text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """(key, site, at, line): the hash of each line of ``least`` characters or more, with its place, and that of each whole text."""
     place = [row_key(text_col, site_col).alias("key"), F.xxhash64(site_col).alias("site")]
     df = docs.select(*place, F.posexplode(_lines(text_col)).alias("at", "raw"))
     df = df.withColumn("raw", F.regexp_replace("raw", EDGES, ""))
     df = df.filter(F.length("raw") >= least).select("key", "site", "at", F.xxhash64("raw").alias("line"))
-    if not whole:
-        return df
     trimmed = F.transform(_lines(text_col), lambda x: F.regexp_replace(x, EDGES, ""))
     return df.union(docs.filter(F.col(text_col).isNotNull()).select(
         *place, F.lit(WHOLE), F.xxhash64(F.lit("whole text"), F.array_join(trimmed, "\n"))))
@@ -67,10 +63,10 @@ def boilerplate(seen: DataFrame, sites: int) -> DataFrame:
     return spread.filter(sure).select("line").union(exact)
 
 
-def clean(docs: DataFrame, sites: int = 8, least: int = 20, most: float | None = 0.6, text_col: str = "text",
+def clean(docs: DataFrame, sites: int = 8, least: int = 1, most: None = None, text_col: str = "text",
           site_col: str = "source") -> DataFrame:
     """(row, text, n_lines, n_removed): the rows as a struct, with the text that is left."""
-    seen = stored(occurrences(docs, least, text_col, site_col, most is None))
+    seen = stored(occurrences(docs, least, text_col, site_col))
     gone = seen.join(small(stored(boilerplate(seen, sites))), "line", "left_semi").select("key", "at").distinct().groupBy("key").agg(
         F.collect_list("at").alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), row_key(text_col, site_col).alias("key"))
@@ -78,8 +74,7 @@ def clean(docs: DataFrame, sites: int = 8, least: int = 20, most: float | None =
         "row", "gone", F.col("row")[text_col].alias("old"), F.split(F.col("row")[text_col], "\n").alias("lines"))
     new = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n")
     rows = rows.withColumn("new", F.when(F.col("gone").isNotNull(), new))
-    host = ~F.array_contains("gone", WHOLE) if most is None else F.length("new") >= (1 - most) * F.length("old")
-    rows = rows.withColumn("cut", F.coalesce(host, F.lit(False)))
+    rows = rows.withColumn("cut", F.coalesce(~F.array_contains("gone", WHOLE), F.lit(False)))
     return rows.select(
         "row", F.when(F.col("cut"), F.col("new")).otherwise(F.col("old")).alias("text"),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),

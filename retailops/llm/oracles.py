@@ -6,12 +6,14 @@ ORACLES["op4_line_dedup"] = r"""
 with d as (select row_number() over () as r, * from documents),
 lines as (select r, source, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as pos from d),
 trimmed as (select *, regexp_replace(regexp_replace(raw, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') as line from lines),
-wide as (select line from trimmed where length(line) >= 20 group by line having count(distinct coalesce(source, chr(0))) >= 8),
+wide as (select line from trimmed where length(line) >= 1 group by line having count(distinct coalesce(source, chr(0))) >= 8),
+texts as (select r, any_value(source) as source, string_agg(line, chr(10) order by pos) as whole from trimmed group by r),
+copies as (select whole from texts group by whole having count(distinct coalesce(source, chr(0))) >= 8),
 marked as (select r, pos, raw, line in (select line from wide) as gone from trimmed),
 left_ as (select r, count(*) as n, count(*) filter (gone) as g, coalesce(string_agg(raw, chr(10) order by pos) filter (not gone), '') as new
           from marked group by r),
-final as (select d.doc_id, n, coalesce(g > 0 and length(new) >= (1 - 0.6) * length(text), false) as cut, g, new, text
-          from d left join left_ using (r))
+final as (select d.doc_id, n, coalesce(g > 0 and whole not in (select whole from copies), false) as cut, g, new, text
+          from d left join left_ using (r) left join texts using (r))
 select doc_id, coalesce(n, 0)::bigint as n_lines, (case when cut then g else 0 end)::bigint as n_removed,
        length(coalesce(case when cut then new else text end, ''))::bigint as left_chars,
        md5(coalesce(case when cut then new else text end, '')) as left_md5
