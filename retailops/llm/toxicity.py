@@ -1,10 +1,12 @@
 """Toxicity by nearest labelled examples.
 
 Method.  Texts are TF-IDF vectors over all words and word beginnings of the examples; no term is dropped, and each is weighted
-by how well it tells the labels apart (``tells`` of the chi-square on the examples).  IDF counts all documents.  Examples
-stand in an inverted index whose posting lists are cut into blocks of ``BLOCK`` examples, with the largest weight of the term
-in each.  For a text, the block maxima bound the cosine of every example of a block; the ``FIRST`` blocks with the highest
-bounds are scored exactly, then all others whose bound reaches the ``k``-th best cosine.  So the ``k`` nearest are exact.
+by how well it tells the labels apart (``tells`` of the chi-square on the examples).  IDF counts all documents.  The ``k`` nearest by
+cosine are exact.  Terms that stand in more than ``DENSE`` of the examples are rows of a matrix, and one product scores a
+batch of texts on them.  The other terms stand in an inverted index whose posting lists are cut into blocks of ``BLOCK``
+examples, with the largest weight of the term in each.  What the product gives is a lower bound of each cosine, so its ``k``-th
+best is one of the ``k``-th best cosine; the block maxima give the most that the lists can add to the examples of a block,
+and only blocks that reach the bound are scored.
 Their votes, weighted by the squared cosine and smoothed by the share of toxic examples, give the score; the nearest are
 returned as evidence.  A text without any term of the examples stands with the examples that have none, and gets their
 smoothed share of toxic ones.
@@ -13,19 +15,23 @@ Training.  At most ``sample`` rows of each label that are not held out; their te
 tasks, bounded by the texts of the sample.  One more pass over all documents counts in how many of them each of these terms
 stands; each task sends one count per term.
 
-Scoring reads whole texts in each task; nothing is shuffled.
+Scoring reads whole texts in each task; nothing is shuffled.  Distinct words of a batch of texts are resolved once, and a
+Python worker keeps the index from one task to the next.
 
 Defined results: NULL and empty texts have no words; a NULL doc_id is not held out (crc32 of nothing is 0); without labels
 of both kinds the score is their share, or 0.5; equal cosines at rank ``k`` go to the smaller example number; repeated rows
-each give a row; other columns are not read.
+each give a row; an empty table gives an empty table; one id with several labels or texts is trained with the least label
+and its least text; a text longer than a batch is a batch of its own; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import uuid
+from collections import Counter, defaultdict
 from functools import cached_property
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +44,9 @@ from .pretokens import ragged
 from .quality_cnn import held_out, labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 64
-FIRST = 4  # blocks scored before the bounds are asked
+BLOCK = 32
+DENSE = 0.03  # share of the examples
+ROWS = 256  # texts in one product
 CACHE = 300_000
 
 
@@ -60,7 +67,7 @@ def words(text: str) -> Counter:
 
 
 class Terms:
-    """A numbered vocabulary, and the counts of a text over it."""
+    """A numbered vocabulary, and the counts of texts over it."""
 
     def __init__(self, words: list[str]):
         self.terms = {w: i for i, w in enumerate(words)}
@@ -69,39 +76,69 @@ class Terms:
             plain, mark, level = w.partition("#")
             if mark and plain in self.terms:
                 self.level[LEVELS.index(int(level)), self.terms[plain]] = i
-        self.seen: dict[str, np.ndarray] = {}
-
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers, counts) of the terms of a text; what a run of non-space characters holds is looked up once."""
-        seen, known = self.seen, self.terms
-        if len(seen) > CACHE:
-            seen.clear()
-        found = []
-        for piece in text.lower().split():
+        self.seen: dict[str, list[int]] = {}
+
+    def resolve(self, piece: str) -> list[int]:
+        """Numbers of the terms that a run of non-space characters holds."""
+        known = self.terms
+        if piece.isalpha():  # one word
+            held = [known.get(piece)] + [known.get(piece[:n] + "*") for n in STEMS if len(piece) >= n]
+        else:
+            held = [known.get(w) for w in terms(piece)]
+        return [i for i in held if i is not None]
+
+    def batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(numbers, counts) of the terms of each text; what a run of non-space characters holds is looked up once."""
+        number = defaultdict(count().__next__)
+        runs = [np.fromiter(map(number.__getitem__, t.lower().split()), np.int64) for t in texts]
+        if len(self.seen) > CACHE:
+            self.seen.clear()
+        seen, found = self.seen, []
+        for piece in number:
             held = seen.get(piece)
             if held is None:
-                held = seen[piece] = np.array([known[w] for w in terms(piece) if w in known], np.int32)
-            if len(held):
-                found.append(held)
-        if not found:
+                held = seen[piece] = self.resolve(piece)
+            found.append(held)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int64, int(size.sum()))
+        start = np.cumsum(size) - size
+        return [self.summed(run, start, size, flat) for run in runs]
+
+    def summed(self, run: np.ndarray, start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        run = run[size[run] > 0]
+        if not len(run):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        t, n = np.unique(np.concatenate(found), return_counts=True)
-        all_t, all_n = [t.astype(np.int64)], [n]
+        t, n = np.unique(flat[ragged(start[run], size[run])], return_counts=True)
+        all_t, all_n = [t], [n]
         for x, numbers in zip(LEVELS, self.level):
             more = np.flatnonzero(n >= x)
             more = more[numbers[t[more]] >= 0]
-            all_t.append(numbers[t[more]])
+            all_t.append(numbers[t[more]].astype(np.int64))
             all_n.append(n[more] - x + 1)
         t, n = np.concatenate(all_t), np.concatenate(all_n)
         order = np.argsort(t)
         return t[order], n[order]
 
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return self.batch([text])[0]
+
+
+_KEPT: dict[str, object] = {}  # what a Python worker keeps between tasks: one vocabulary and one index
+
+
+def kept(kind: str, tag: str, make):
+    held = _KEPT.get(kind)
+    if held is None or held[0] != tag:
+        held = _KEPT[kind] = tag, make()
+    return held[1]
+
 
 class Index:
     """Examples as a block-max inverted index."""
 
     def __init__(self, vocabulary: list[tuple[str, float]], examples: list, k: int = 25):
         """vocabulary: (term, weight); examples: (id, label, counts), the counts as a dict by term or as (numbers, counts)."""
+        self.tag = uuid.uuid4().hex
         self.names = [w for w, _ in vocabulary]
         self.idf = np.array([x for _, x in vocabulary], np.float64)
         self.k = k
@@ -128,7 +165,7 @@ class Index:
 
     def __getstate__(self) -> dict:
         """What a task cannot derive; the rest is derived where it is used, so that little travels."""
-        derived = ("vocabulary", "value", "cells", "names")
+        derived = ("vocabulary", "value", "cells", "names", "often", "dense")
         return {k: v for k, v in self.__dict__.items() if k not in derived} | {"joined": "\n".join(self.names)}
 
     def __setstate__(self, state: dict) -> None:
@@ -144,15 +181,33 @@ class Index:
         """Weight of each posting in the unit vector of its example."""
         return (1 + np.log(self.count, dtype=np.float64)) * np.repeat(self.idf, np.diff(self.lists)) / self.norm[self.example]
 
+    @cached_property
+    def often(self) -> np.ndarray:
+        """Whether a term stands in more than ``DENSE`` of the examples."""
+        return np.diff(self.lists) > DENSE * len(self.ids)
+
+    @cached_property
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each such term, and the matrix of these terms and all examples."""
+        row = np.cumsum(self.often) - 1
+        matrix = np.zeros((int(self.often.sum()), len(self.ids)))
+        term = np.repeat(np.arange(len(self.idf)), np.diff(self.lists))
+        at = self.often[term]
+        matrix[row[term[at]], self.example[at]] = self.value[at]
+        return row, matrix
+
     @cached_property
     def cells(self) -> tuple[np.ndarray, ...]:
-        """Cells of each term, and start, size, block and largest weight of each; a cell is the part of a list in one block."""
-        term, block = np.repeat(np.arange(len(self.idf)), np.diff(self.lists)), self.example // BLOCK
+        """Cells of each other term, and start, size, block and largest weight of each; a cell is the part of a list in one block."""
+        term = np.repeat(np.arange(len(self.idf)), np.diff(self.lists))
+        block = self.example.astype(np.int64) // BLOCK
         if not len(term):
             return np.zeros(len(self.idf) + 1, np.int64), *[np.empty(0, np.int64)] * 3, np.empty(0)
         at = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])))
-        return (np.searchsorted(term[at], np.arange(len(self.idf) + 1)), at, np.diff(np.append(at, len(term))),
-                block[at].astype(np.int64), np.maximum.reduceat(self.value, at))
+        size, most = np.diff(np.append(at, len(term))), np.maximum.reduceat(self.value, at)
+        use = ~self.often[term[at]]
+        at, size, most = at[use], size[use], most[use]
+        return np.searchsorted(term[at], np.arange(len(self.idf) + 1)), at, size, block[at], most
 
     @property
     def at(self) -> list[np.ndarray]:
@@ -170,41 +225,56 @@ class Index:
         x = (1 + np.log(n)) * self.idf[t]
         return t, x / math.sqrt(float(x @ x)) if len(t) else x
 
-    def nearest(self, t: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """(example numbers, cosines, blocks scored) of the k nearest with a cosine over 0, nearest first."""
-        first, cell_at, cell_size, cell_block, cell_most = self.cells
-        n_cells = first[t + 1] - first[t]
-        cells = ragged(first[t], n_cells)
+    def products(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Cosines of unit vectors with all examples on the terms that stand in many, in one product."""
+        row, matrix = self.dense
+        x = np.zeros((len(vectors), len(matrix)))
+        for i, (t, w) in enumerate(vectors):
+            at = self.often[t]
+            x[i, row[t[at]]] = w[at]
+        return x @ matrix
+
+    def nearest(self, t: np.ndarray, x: np.ndarray, partial: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """(example numbers, cosines, blocks scored) of the k nearest with a cosine over 0, nearest first.
+
+        ``partial``: the row of ``products`` for this text.
+        """
+        c = self.products([(t, x)])[0] if partial is None else partial
+        rare = ~self.often[t]
+        t, x = t[rare], x[rare]
+        cell_first, cell_at, cell_size, cell_block, cell_most = self.cells
+        n_cells = cell_first[t + 1] - cell_first[t]
+        cells = ragged(cell_first[t], n_cells)
         w, block = np.repeat(x, n_cells), cell_block[cells]
-        bound = np.bincount(block, w * cell_most[cells], self.blocks) * (1 + 1e-9)
-        order = np.argsort(-bound, kind="stable")
-        best_n, best_c, scored = np.empty(0, np.int64), np.empty(0), 0
-        for some in (order[:FIRST], order[FIRST:]):  # the first blocks give a k-th best cosine, the others must reach it
-            some = some[bound[some] > 0 if len(best_c) < self.k else bound[some] >= best_c[-1]]
-            if not len(some):
-                break
-            scored += len(some)
-            if 2 * len(some) > self.blocks:  # whole posting lists are read faster than most of their cells
-                starts, size, each = self.lists[t], self.lists[t + 1] - self.lists[t], x
-                best_n, best_c = best_n[:0], best_c[:0]
-            else:
-                chosen = np.zeros(self.blocks, bool)
-                chosen[some] = True
-                part = np.flatnonzero(chosen[block])
-                starts, size, each = cell_at[cells[part]], cell_size[cells[part]], w[part]
-            post = ragged(starts, size)
-            c = np.bincount(self.example[post], np.repeat(each, size) * self.value[post], len(self.ids))
-            hit = np.flatnonzero(c > 0)
-            n, c = np.concatenate((best_n, hit)), np.concatenate((best_c, c[hit]))
-            top = np.lexsort((n, -c))[:self.k]
-            best_n, best_c = n[top], c[top]
-        return best_n, best_c, scored
+        most = np.maximum.reduceat(c, np.arange(0, len(c), BLOCK)) + np.bincount(block, w * cell_most[cells], self.blocks)
+        least = np.partition(c, -self.k)[-self.k] if len(c) > self.k else 0.0
+        chosen = (most * (1 + 1e-9) >= least) & (most > 0)
+        part = np.flatnonzero(chosen[block])
+        size = cell_size[cells[part]]
+        post = ragged(cell_at[cells[part]], size)
+        c = c + np.bincount(self.example[post], np.repeat(w[part], size) * self.value[post], len(c))
+        c = np.where(np.repeat(chosen, BLOCK)[:len(c)], c.round(12), 0)  # equal cosines stay equal however they were summed
+        least = np.partition(c, -self.k)[-self.k] if len(c) > self.k else 0.0
+        n = np.flatnonzero((c >= least) & (c > 0))
+        n = n[np.lexsort((n, -c[n]))][:self.k]
+        return n, c[n], int(chosen.sum())
+
+    def scores(self, texts: list[str]) -> list[tuple[float, list[int], list[float]]]:
+        """(score, ids of the nearest, their cosines) per text."""
+        counts = self.vocabulary.batch(texts)
+        known = [i for i, (t, _) in enumerate(counts) if len(t) and self.blocks]
+        out: list = [(self.share_empty, [], [])] * len(texts)
+        for i in range(0, len(known), ROWS):
+            some = known[i:i + ROWS]
+            vectors = [self.unit(*counts[j]) for j in some]
+            for j, (t, x), partial in zip(some, vectors, self.products(vectors)):
+                out[j] = self.vote(*self.nearest(t, x, partial)[:2])
+        return out
 
     def score(self, text: str) -> tuple[float, list[int], list[float]]:
-        t, c = self.vocabulary.counts(text)
-        if not len(t) or not self.blocks:
-            return self.share_empty, [], []
-        n, cos, _ = self.nearest(*self.unit(t, c))
+        return self.scores([text])[0]
+
+    def vote(self, n: np.ndarray, cos: np.ndarray) -> tuple[float, list[int], list[float]]:
         w = cos ** 2
         s = (float(w @ self.labels[n]) + 0.2 * self.share) / (float(w.sum()) + 0.2)
         return s, self.ids[n[:3]].tolist(), [round(float(v), 6) for v in cos[:3]]
@@ -213,16 +283,16 @@ class Index:
 def frequencies(docs: DataFrame, names: list[str]) -> tuple[int, np.ndarray]:
     """Rows of ``docs``, and in how many of them each term stands; a task sends one count per term it met."""
 
-    joined = "\n".join(names)
+    joined, tag = "\n".join(names), uuid.uuid4().hex
 
     def run(batches):
-        vocabulary, rows = Terms(joined.split("\n")), 0
+        vocabulary, rows = kept("vocabulary", tag, lambda: Terms(joined.split("\n"))), 0
         met = np.zeros(len(vocabulary.terms), np.int64)
         for batch in batches:
             rows += batch.num_rows
-            for _, _, texts in text_blocks(batch, 0, 4 << 20):
-                for text in texts:
-                    met[vocabulary.counts(text)[0]] += 1
+            for _, _, texts in text_blocks(batch, 0, 2 << 20):
+                for t, _ in vocabulary.batch(texts):
+                    met[t] += 1
         at = np.flatnonzero(met)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(met[at], rows))], ["term", "n"])
 
@@ -249,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, k: int = 25, fol
                     pa.ListArray.from_arrays(ends, pa.array([n for c in found for n in c.values()], pa.int32()))],
                     ["id", "y", "words", "counts"])
 
-    held = rows.mapInArrow(run, "id long, y int, words array<string>, counts array<int>").dropDuplicates(["id"])
+    held = rows.mapInArrow(run, "id long, y int, words array<string>, counts array<int>")
     held = held.toArrow().sort_by("id").combine_chunks()  # at most 2 * ``sample`` rows
     ids, y = held["id"].to_pylist(), held["y"].to_numpy()
     n1, n0 = int(y.sum()), int((1 - y).sum())
@@ -286,9 +356,10 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     """(id, score, evidence, cosines) per document: the ids of the nearest examples and how near they are."""
 
     def run(batches):
+        held = kept("index", index.tag, lambda: index)
         for batch in batches:
-            for start, stop, texts in text_blocks(batch, 1, 4 << 20):
-                got = [index.score(t) for t in texts]
+            for start, stop, texts in text_blocks(batch, 1, 2 << 20):
+                got = held.scores(texts)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(start, stop - start), pa.array([g[0] for g in got], pa.float64()),
                     pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
