@@ -5,27 +5,30 @@ Learned filters (one weight per offset, byte and filter) slide over each chunk a
 averaged and maximised over the document, and one logistic unit combines both into a probability.
 
 Training.  Labels come only from rows that are not held out, at most ``sample`` rows of each label (those with the
-smallest hash of doc_id) and ``PARTS`` stretches of each text, so what reaches the driver has a fixed bound.  Gradients go
-through the pooling to the windows that won.  Nothing but the text is an input of the score.
+smallest hash of doc_id) with whole texts, and of those only as many as hold ``MAX_BYTES`` together, so what reaches the
+driver has a fixed bound.  Gradients go through the pooling to the windows that won.  Nothing but the text is an input of
+the score.
 
 Scoring.  Each task scores whole texts in blocks; the model is about 140 kB.  Nothing is shuffled.
 
 Defined results: NULL and empty texts are one blank chunk and get that score; a NULL doc_id is held out (its text is taken
-as empty); without labels of both kinds the score is their share, or 0.5; repeated rows each give a row; other columns
-are not read.
+as empty); without labels of both kinds the score is their share, or 0.5; repeated rows each give a row; one id with several
+labels or texts is trained with the least label and its least text; a text longer than a block is a block of its own; an
+empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_blocks, text_or_empty
 
 HOP, WIDTH, STRIDE, FILTERS = 128, 8, 2, 16
-PARTS, PART_CHARS = 8, 512
+MAX_BYTES = 32 << 20  # of all training texts together: they stand in the driver
+STEP_BYTES = 1 << 20  # of texts whose gradients are taken at once
 PER_HOP = HOP // STRIDE
 
 
@@ -100,13 +103,25 @@ class Network:
             order = rng.permutation(len(texts))
             for i in range(0, len(order), batch):
                 which, t = order[i:i + batch], t + 1
-                grads = self.gradients([texts[j] for j in which], labels[which], share)
+                grads = self.mean_gradients([texts[j] for j in which], labels[which], share)
                 for p, g, a, b in zip(params, grads, m, v):
                     a += 0.1 * (g - a)
                     b += 0.001 * (g * g - b)
                     p -= rate * (1 - t / (steps + 1)) * (a / (1 - 0.9 ** t)) / (np.sqrt(b / (1 - 0.999 ** t)) + 1e-8)
         return self
 
+    def mean_gradients(self, texts: list[bytes], labels: np.ndarray, share: float):
+        """``gradients`` of a batch, taken over parts of ``STEP_BYTES`` of text, so that long texts need no more memory."""
+        total, at = None, 0
+        while at < len(texts):
+            stop, size = at + 1, len(texts[at])
+            while stop < len(texts) and size + len(texts[stop]) <= STEP_BYTES:
+                size += len(texts[stop])
+                stop += 1
+            part = [g * np.float32((stop - at) / len(texts)) for g in self.gradients(texts[at:stop], labels[at:stop], share)]
+            total, at = part if total is None else [a + b for a, b in zip(total, part)], stop
+        return total
+
     def gradients(self, texts: list[bytes], labels: np.ndarray, share: float):
         data, hops = layout([x or b" " for x in texts])
         n = int(hops.sum())
@@ -142,24 +157,26 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, folds: int, fold: int) -> DataFrame:
-    """(id, text, y): at most ``sample`` rows of each label that are not held out, those with the smallest hash of the id."""
+    """(id, text, y): at most ``sample`` ids of each label that are not held out, those with the smallest hash of the id, one row each.
+
+    An id with several labels has the least of them, and one with several texts the least in byte order, so a repeated run
+    trains on the same rows.
+    """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold))
-    known = known.select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id", F.lit("sample")), "doc_id"]
     chosen = known.filter("y = 0").orderBy(*order).limit(sample).union(known.filter("y = 1").orderBy(*order).limit(sample))
     chosen = F.broadcast(chosen)  # at most 2 * sample ids
-    return docs.select("doc_id", text_or_empty().alias("text")).join(chosen, "doc_id").select(
-        F.col("doc_id").alias("id"), "text", "y")
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(chosen, "doc_id")
+    return rows.groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Network:
-    n = F.length("text")
-    step = F.greatest(F.lit(0.0), (n - PART_CHARS) / (PARTS - 1))
-    parts = F.when(n <= PARTS * PART_CHARS, F.col("text")).otherwise(F.concat_ws("", *[
-        F.substring(F.col("text"), F.floor(step * i).cast("int") + 1, F.lit(PART_CHARS)) for i in range(PARTS)]))
-    rows = labelled_sample(docs, labels, "quality", sample, 5, 0).select("id", "y", parts.alias("text")) \
-        .dropDuplicates(["id"]).collect()
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, max_bytes: int | None = None) -> Network:
+    """Trained on whole texts: at most ``sample`` rows of each label and ``max_bytes`` of text in all, by the hash of the id."""
+    rows = labelled_sample(docs, labels, "quality", sample, 5, 0).withColumn("size", F.octet_length("text").cast("long"))
+    order = Window.orderBy(F.xxhash64("id", F.lit("sample")), "id")  # at most 2 * sample rows
+    rows = rows.withColumn("held", F.sum("size").over(order)).filter(F.col("held") <= (max_bytes or MAX_BYTES)).select("id", "text", "y").collect()
     rows.sort(key=lambda r: r["id"])
     return Network().train([r["text"].encode("utf-8", "surrogatepass") for r in rows], np.array([r["y"] for r in rows], np.float32))
 

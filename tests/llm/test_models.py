@@ -77,6 +77,53 @@ def test_quality_odd(spark):
     assert N.keep(docs, labels.limit(0)).collect() == docs.collect()
 
 
+def plain_probability(net, text):
+    """The score of one text by plain loops: every window of every chunk."""
+    data = b"\0" * N.WIDTH + (text or b" ")
+    hops = -(-len(data) // N.HOP)
+    data = data.ljust(hops * N.HOP, b"\0") + b"\0" * N.WIDTH
+    top = []
+    for h in range(hops):
+        windows = [sum(net.filters[k][data[i + k]] for k in range(N.WIDTH)) for i in range(h * N.HOP, (h + 1) * N.HOP, N.STRIDE)]
+        top.append(np.max(windows, axis=0))
+    chunks = [np.maximum(np.maximum(top[h], top[min(h + 1, hops - 1)]) + net.bias, 0) for h in range(hops)]
+    z = float(np.concatenate((np.mean(chunks, axis=0), np.max(chunks, axis=0))) @ net.out + net.shift[0])
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_equal_plain_convolution():
+    net = N.Network(5)
+    texts = [b"", b"a", b"some words " * 30, bytes(range(256)) * 9, "é\U0001d11e".encode() * 100]
+    assert np.allclose(net.score(texts), [plain_probability(net, t) for t in texts], atol=1e-5)
+
+
+def test_training_in_parts_equals_training_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, n, dtype=np.uint8).tobytes() for n in (9000, 3, 400, 5000, 20)]
+    y = np.array([1, 0, 0, 1, 0], np.float32)
+    whole = N.Network(3).gradients(texts, y, 0.4)
+    monkeypatch.setattr(N, "STEP_BYTES", 5000)
+    for a, b in zip(whole, N.Network(3).mean_gradients(texts, y, 0.4)):
+        assert np.allclose(a, b, atol=1e-5)
+
+
+def test_training_rows_are_whole_and_defined(spark):
+    """A clashing label and a repeated id always give the same row; a long text is not cut; the byte bound takes whole rows."""
+    long = "word " * 9000
+    docs = spark.createDataFrame([(1, "b text"), (1, "a text"), (2, long), (3, "x"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (4, 1)], "doc_id long, quality int")
+    rows = {r.id: (r.text, r.y) for r in N.labelled_sample(docs, labels, "quality", 10, 5, 9).collect()}
+    assert rows == {1: ("a text", 0), 2: (long, 0), 3: ("x", 1), 4: ("", 1)}
+    seen = []
+    train = N.Network.train
+    N.Network.train = lambda self, texts, y: seen.append(texts) or train(self, texts, y)
+    try:
+        N.fit(docs, labels), N.fit(docs, labels, max_bytes=100)
+    finally:
+        N.Network.train = train
+    assert max(map(len, seen[0])) == len(long) and sum(map(len, seen[1])) <= 100
+
+
 # -- toxicity ------------------------------------------------------------------------------------------------------
 def test_nearest_are_exact():
     rnd = random.Random(7)
@@ -123,6 +170,41 @@ def test_toxicity_keeps_all_terms_and_counts_all_documents(spark):
         assert np.isclose(ix.idf[i], (np.log(101 / (df[w] + 1)) + 1) * X.tells(np.array([chi]))[0])
 
 
+def test_scores_equal_a_full_cosine_matrix(spark):
+    """Votes and scores of real documents, whatever is dense, in lists or pruned, against all cosines."""
+    docs = documents(spark, SF.replace("0.001", "0.01"))
+    ix = X.fit(docs, table(spark, "labels", SF.replace("0.001", "0.01")))
+    term = np.repeat(np.arange(len(ix.idf)), np.diff(ix.lists))
+    rows = [r for r in X.score(docs, ix).collect()]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    pruned = 0
+    for r in rows[::7]:
+        c = X.words(texts[r.doc_id] or "")
+        x = np.zeros(len(ix.idf))
+        for w, n in c.items():
+            if w in ix.vocabulary.terms:
+                x[ix.vocabulary.terms[w]] = (1 + np.log(n)) * ix.idf[ix.vocabulary.terms[w]]
+        if not x.any():
+            assert r.score == ix.share_empty
+            continue
+        cos = np.bincount(ix.example, (x / np.linalg.norm(x))[term] * ix.value, len(ix.ids)).round(12)
+        best = [i for i in np.lexsort((np.arange(len(cos)), -cos))[:ix.k] if cos[i] > 0]
+        w = cos[best] ** 2
+        assert np.isclose(r.score, (w @ ix.labels[best] + 0.2 * ix.share) / (w.sum() + 0.2), atol=1e-9)
+        assert np.allclose(r.cosines, cos[best[:3]], atol=1e-6)
+        t = np.flatnonzero(x)
+        pruned += ix.nearest(t, x[t] / np.linalg.norm(x))[2] < ix.blocks
+    assert pruned and 0 < ix.often.sum() < len(ix.idf)
+
+
+def test_terms_of_a_batch_equal_counted_words():
+    texts = ["It's a Word, a word; WORDS² x1y _z_ ½", "", "déjà déjà déjà 中文 ſ K İi ß", "word " * 12 + "abc-def ghi"]
+    names = sorted(set().union(*map(X.words, texts[::2])))
+    terms = X.Terms(names)
+    for text, (t, n) in zip(texts, terms.batch(texts)):
+        assert {names[i]: c for i, c in zip(t.tolist(), n.tolist())} == {w: c for w, c in X.words(text).items() if w in terms.terms}
+
+
 def test_toxicity_odd(spark):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 17)], "doc_id long, quality int, toxic int")
     docs = odd_documents(spark)
@@ -228,21 +310,23 @@ def test_decontamination_odd(spark):
 
 
 # -- line dedup ----------------------------------------------------------------------------------------------------
-def plain_clean(rows, sites, least, most=0.6):
+def plain_clean(rows, sites):
     trim = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x)
-    spread = defaultdict(set)
+    whole = lambda t: tuple(trim(x) for x in t.split("\n"))
+    spread, copies = defaultdict(set), defaultdict(set)
     for text, source in rows:
-        for x in (text or "").split("\n"):
-            spread[trim(x)].add(source)
+        if text is not None:
+            copies[whole(text)].add(source)
+            for x in whole(text):
+                spread[x].add(source)
     out = []
     for text, source in rows:
-        if text is None:
-            out.append((None, 0))
+        if text is None or len(copies[whole(text)]) >= sites:
+            out.append((text, 0))
             continue
         parts = text.split("\n")
-        left = [x for x in parts if not (len(trim(x)) >= least and len(spread[trim(x)]) >= sites)]
-        new = "\n".join(left)
-        out.append((new, len(parts) - len(left)) if len(left) < len(parts) and len(new) >= (1 - most) * len(text) else (text, 0))
+        left = [x for x in parts if not trim(x) or len(spread[trim(x)]) < sites]
+        out.append(("\n".join(left), len(parts) - len(left)))
     return out
 
 
@@ -255,11 +339,11 @@ def test_line_dedup(spark):
         lines = own + [rnd.choice(["", "  ", "\t"]) + s for i, s in enumerate(shared) if rnd.random() < 0.04 * i]
         rnd.shuffle(lines)
         rows.append((n, rnd.choice([None, "\n".join(lines)]) if n % 50 == 0 else "\n".join(lines), f"s{rnd.randrange(12)}" if n % 7 else None))
-    rows += rows[:20]
+    rows += rows[:20] + [(400 + n, "Les.\n" + shared[n % 3], f"s{n}") for n in range(9)] + [(500 + n, f"{shared[11]}\n ok \n", f"s{n}") for n in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as line", "2 as key", "3 as gone")
     for sites in (4, 8, 12):
         got = sorted((str(r.row.doc_id), str(r.text), r.n_removed) for r in L.clean(docs, sites).collect())
-        want = plain_clean([(t, s) for _, t, s in rows], sites, 20)
+        want = plain_clean([(t, s) for _, t, s in rows], sites)
         assert got == sorted((str(i), str(t), n) for (i, _, _), (t, n) in zip(rows, want))
         assert any(n for *_, n in got)
 
@@ -305,23 +389,32 @@ def test_line_dedup_odd(spark):
 
 # -- pipeline ------------------------------------------------------------------------------------------------------
 def test_pipeline_follows_its_stages(spark):
-    docs = documents(spark, SF)
+    sf = SF.replace("0.001", "0.01")  # large enough that lines of all lengths and short pages are cleaned
+    docs = documents(spark, sf)
     rows = docs.collect()
-    network = N.fit(docs, table(spark, "labels"))
+    network = N.fit(docs, table(spark, "labels", sf))
     rows = [r for r, s in zip(rows, network.score([(r.text or "").encode() for r in rows])) if s >= 0.3]
-    texts = [t for t, _ in plain_clean([(r.text, r.source) for r in rows], 8, 20)]
+    texts = [t for t, _ in plain_clean([(r.text, r.source) for r in rows], 8)]
+    assert any(len(t) < 0.4 * len(r.text) for t, r in zip(texts, rows))
     from .test_simhash import plain_fingerprint, plain_groups
     groups = plain_groups([plain_fingerprint(t) for t in texts])
     first = {}
     for n in sorted(range(len(rows)), key=lambda n: rows[n].doc_id):
         first.setdefault(groups[n], n)
-    items = D.Items([(r.item_id, r.text) for r in table(spark, "benchmark").collect()])
+    items = D.Items([(r.item_id, r.text) for r in table(spark, "benchmark", sf).collect()])
     left = [n for n in first.values() if not items.find([texts[n]])[0]]
-    got = sorted((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF).collect())
+    got = sorted((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf).collect())
     assert got == sorted((rows[n].doc_id, hashlib.sha256(texts[n].encode()).hexdigest()) for n in left)
     assert 0 < len(got) < docs.count()
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        df = table(spark, name)
+        (df.limit(0) if name == "documents" else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_stages_keep_the_columns(spark):
     docs = odd_documents(spark).withColumn("n_chars", documents(spark, SF).schema and __import__("pyspark").sql.functions.lit(1))
     for name, stage in corpus_pipeline.STAGES[:-1]:
