@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the columns of
 ``documents``.  ``run`` writes each stage's rows as Parquet into the shared checkpoint folder and reads them again, so a
-lost executor never costs more than the stage that runs.  Defined results for nulls, empty texts, repeated rows and extra
+lost executor never costs more than the stage that runs.  A stage's rows are deleted once the next stage's are written, so
+at most two copies of the corpus are held.  Defined results for nulls, empty texts, repeated rows and extra
 columns are those of the operators.
 """
 
@@ -33,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that spread over many sites go, but for copies of a spread text; ``n_chars`` follows the text where it changes."""
-    done = line_dedup.clean(docs.select(*COLUMNS), least=1, most=None)
+    done = line_dedup.clean(docs.select(*COLUMNS))
     return done.select(
         "row.doc_id", "text", "row.lang", "row.source",
         F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars"))
@@ -64,9 +65,16 @@ STAGES = [("quality", quality), ("line dedup", lines), ("near-dedup", near_dupli
 ORACLE_SQL = None
 
 
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = _table(spark, sf_dir, "documents"), f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for n, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
+        if n:
+            _drop(spark, f"{folder}/{n - 1}")
     return docs
