@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "rnd", "safe_div", "parse_number", "clean_text", "strip_description",
     "item_key", "word_set_key", "strip_numeric_prefix", "repair_quotes",
-    "parse_ts", "try_ts_ntz", "duration_hours", "shift_type", "ceil9", "col_or", "num_text",
+    "try_ts_ntz", "duration_hours", "shift_type", "ceil9", "col_or", "num_text",
     "NUMBER_RE", "SHIFT_BINS", "SHIFT_LABELS",
 ]
 
@@ -88,11 +88,6 @@ def try_ts_ntz(c: Column | str, pattern: str) -> Column:
     return F.when(F.try_to_timestamp(c, F.lit(pattern)).isNotNull(), F.to_timestamp_ntz(c, F.lit(pattern)))
 
 
-def parse_ts(c: Column | str, *patterns: str) -> Column:
-    """First pattern that parses wins; unparseable text is NULL (never raises)."""
-    return F.coalesce(*[try_ts_ntz(c, p) for p in patterns])
-
-
 def duration_hours(c: Column | str) -> Column:
     """``H:M:S`` (dots allowed) -> hours; anything else -> NULL."""
     parts = F.split(F.regexp_replace(F.trim(col_or(c)), r"\.", ":"), ":")

@@ -8,6 +8,8 @@ branch and the fitted models are ordinary aggregates (``regr_slope``,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,14 @@ WMA_DRIFT = 0.02
 GROWTH_CLAMP = (-0.3, 0.5)
 
 
+def tagged_union(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Rows of several sources in one table, by ``branch``: a column that a source lacks is NULL in its rows.
+
+    The first source says which branches there are; rows of others without a branch belong to none.
+    """
+    return reduce(lambda a, b: a.unionByName(b.where(F.col("branch").isNotNull()), allowMissingColumns=True), others, first)
+
+
 def _by_date(branch: str = "branch"):
     return Window.partitionBy(branch).orderBy("date")
 
@@ -63,27 +73,32 @@ def branch_profile(monthly: DataFrame, division: DataFrame, avg_sales: DataFrame
                    orders: DataFrame) -> DataFrame:
     w = _by_date()
     m = monthly.withColumn("_pct", F.try_divide(F.col("total"), F.lag("total", 1).over(w)) - 1)
-    g = m.groupBy("branch").agg(
-        F.sum("total").alias("_tot"), F.count(F.lit(1)).alias("num_months"),
+    # one aggregate over all sources: see tagged_union
+    items = channel_shares(division)
+    facts = tagged_union(
+        m.select("branch", F.lit(1).alias("m_row"), "date", "month", "total", "_pct"),
+        items.select("branch", "delivery_share", "table_share", "takeaway_share"),
+        avg_sales.select("branch", F.col("num_customers").alias("c_customers"), F.col("sales").alias("c_sales")),
+        orders.select("branch", F.col("customer").alias("o_customer"), F.col("num_orders").alias("o_orders")),
+        division.where(F.col("total") > 0).select("branch", F.lit(1).alias("d_row")))
+    mine = F.col("m_row") == 1
+    g = facts.groupBy("branch").agg(
+        F.sum("total").alias("_tot"), F.count("m_row").alias("num_months"),
         F.min_by("total", "date").alias("_first"), F.max_by("total", "date").alias("_last"),
         F.avg("_pct").alias("_mom"), F.stddev_samp("total").alias("_std"), F.avg("total").alias("_mean"),
-        F.min_by("month", F.struct(-F.col("total"), F.col("date"))).alias("peak_month"))
+        F.min_by("month", F.when(mine, F.struct(-F.col("total"), F.col("date")))).alias("peak_month"),
+        *[F.max(c).alias(c) for c in ("delivery_share", "table_share", "takeaway_share")],
+        F.sum("c_customers").alias("_c"), F.sum("c_sales").alias("_s"), F.count_distinct("o_customer").alias("_dc"),
+        F.sum("o_orders").alias("_do"), F.count("d_row").alias("_ad")).where(F.col("num_months") > 0)
     n = F.col("num_months")
-    g = g.select(
-        "branch", rnd("_tot", 2).alias("total_revenue"), n.cast("bigint").alias("num_months"),
+    j = g.select(
+        "branch", "delivery_share", "table_share", "takeaway_share", "_c", "_s", "_dc", "_do", "_ad", rnd("_tot", 2).alias("total_revenue"), n.cast("bigint").alias("num_months"),
         rnd(safe_div("_tot", n), 2).alias("avg_monthly_revenue"),
         rnd(F.when(n >= 2, safe_div(F.col("_last") - F.col("_first"), "_first")).otherwise(0.0), 4)
         .alias("overall_growth"),
         rnd(F.when(n >= 2, F.col("_mom")).otherwise(0.0), 4).alias("avg_mom_growth"),
         rnd(F.when(F.col("_mean") > 0, F.col("_std") / F.col("_mean")).otherwise(0.0), 4).alias("revenue_cv"),
         "peak_month")
-    ch = channel_shares(division).drop("items_total")
-    cust = avg_sales.groupBy("branch").agg(F.sum("num_customers").alias("_c"), F.sum("sales").alias("_s"))
-    dlv = orders.groupBy("branch").agg(F.count_distinct("customer").alias("_dc"),
-                                       F.sum("num_orders").alias("_do"))
-    act = division.where(F.col("total") > 0).groupBy("branch").agg(F.count(F.lit(1)).alias("_ad"))
-    j = g.join(ch, "branch", "left").join(cust, "branch", "left").join(dlv, "branch", "left") \
-        .join(act, "branch", "left")
     z = F.lit(0)
     return j.select(
         "branch", "total_revenue", "num_months", "avg_monthly_revenue", "overall_growth", "avg_mom_growth",

@@ -74,7 +74,7 @@ def _known(d: DataFrame, c: Column, branches) -> DataFrame:
     """Flag ``_kb`` = c is a known branch (list literal, or a small branch table)."""
     if isinstance(branches, DataFrame):
         kb = branches.select(F.col(branches.columns[0]).alias("_kbname")).distinct()
-        d = d.withColumn("_c0", c).join(F.broadcast(kb), F.col("_c0") == F.col("_kbname"), "left")
+        d = d.withColumn("_c0", c).join(kb, F.col("_c0") == F.col("_kbname"), "left")
         return d.withColumn("_kb", F.col("_kbname").isNotNull()).drop("_kbname", "_c0")
     return d.withColumn("_kb", c.isin(list(branches)))
 
