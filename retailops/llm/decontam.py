@@ -7,7 +7,7 @@ apart.  Shared q-grams are counted in overlapping bands of diagonals (each band
 neighbouring diagonals lie in one band); bands under the bound are dropped, and the others are verified by a banded
 alignment of the whole item.  k is lowered where the bound would not be positive; items shorter than q must occur exactly.
 A document may also hold only a part of an item, as when a line of it is gone: stretches of ``STRETCH`` bytes of each longer
-item, one every half length, are looked for by the same bound and alignment, and an item is found if the stretches found in
+item, one every ``STEP`` bytes, are looked for by the same bound and alignment, and an item is found if the stretches found in
 the document cover at least ``PART`` of its bytes.  Items of at most ``STRETCH`` bytes have no stretches.
 
 Scale.  Documents stay where they are: each task scans its texts in blocks against the items.  The benchmark travels in
@@ -29,7 +29,7 @@ from .common import text_blocks
 from .pretokens import ragged
 
 Q, RATE = 12, 0.06
-STRETCH, PART = 48, 0.5
+STRETCH, STEP, PART = 48, 12, 0.5
 ITEM_BYTES = 4 << 20
 BITS = 22
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -82,7 +82,7 @@ class Items:
             for n, (_, f) in enumerate(folded):
                 if len(f) > STRETCH:
                     last = len(f) - STRETCH
-                    self.places += [(n, p) for p in sorted({*range(0, last, STRETCH // 2), last})]
+                    self.places += [(n, p) for p in sorted({*range(0, last, STEP), last})]
             self.sizes = [(i, len(f)) for i, f in folded]
             self.stretches = Items([(j, folded[n][1][p:p + STRETCH]) for j, (n, p) in enumerate(self.places)], rate)
         self.short = [(i, f) for i, f in folded if len(f) < Q]

@@ -309,6 +309,27 @@ def test_decontamination_odd(spark):
     assert D.report(docs, bench.limit(0)).filter("n_items > 0").count() == 0
 
 
+def test_items_with_a_fifth_gone_are_found(spark):
+    """Recall by the share of an item that is left, in clean documents that are flagged by nothing else."""
+    rows = [(r.item_id, r.text) for r in table(spark, "benchmark").collect()]
+    texts = [r.text or "" for r in documents(spark, SF).collect()]
+    items, rng = D.Items(rows, part=D.PART), random.Random(1)
+    clean = [t for t, f in zip(texts, items.find(texts)) if not f]
+    recall = {}
+    for left in (1.0, 0.9, 0.8):
+        planted, want = [], []
+        for i, text in rows:
+            w, host = text.split(" "), rng.choice(clean)
+            gone = int(len(w) * (1 - left))
+            at = rng.randrange(len(w) - gone + 1)
+            planted.append(" ".join([host[:len(host) // 2], *w[:at], *w[at + gone:], host[len(host) // 2:]]))
+            want.append(i)
+        got = items.find(planted)
+        recall[left] = sum(i in g for i, g in zip(want, got)) / len(want)
+        assert sum(len(set(g) - {i}) for i, g in zip(want, got)) <= 0.05 * len(want)  # equal or nested items
+    assert recall[1.0] == 1 and recall[0.9] >= 0.95 and recall[0.8] >= 0.9, recall
+
+
 # -- line dedup ----------------------------------------------------------------------------------------------------
 def plain_clean(rows, sites):
     trim = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x)
