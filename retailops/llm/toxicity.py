@@ -15,8 +15,8 @@ Training.  At most ``sample`` rows of each label that are not held out; their te
 tasks, bounded by the texts of the sample.  One more pass over all documents counts in how many of them each of these terms
 stands; each task sends one count per term.
 
-Scoring reads whole texts in each task; nothing is shuffled.  Distinct words of a batch of texts are resolved once, and a
-Python worker keeps the index from one task to the next.
+Scoring reads whole texts in each task; nothing is shuffled.  The distinct words of a batch of texts are looked up in one go, and a
+Python worker keeps the index from one task to the next.  The matrix has at most ``CELLS`` cells.
 
 Defined results: NULL and empty texts have no words; a NULL doc_id is not held out (crc32 of nothing is 0); without labels
 of both kinds the score is their share, or 0.5; equal cosines at rank ``k`` go to the smaller example number; repeated rows
@@ -31,7 +31,7 @@ import re
 import uuid
 from collections import Counter, defaultdict
 from functools import cached_property
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +44,11 @@ from .pretokens import ragged
 from .quality_cnn import held_out, labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 32
+BLOCK = 64
 DENSE = 0.03  # share of the examples
+CELLS = 6 << 20  # of the matrix at most: it holds the terms in most examples
 ROWS = 256  # texts in one product
-CACHE = 300_000
+TEXT_BYTES = 4 << 20  # of texts that are looked up together
 
 
 STEMS = range(4, 9)
@@ -70,67 +71,65 @@ class Terms:
     """A numbered vocabulary, and the counts of texts over it."""
 
     def __init__(self, words: list[str]):
-        self.terms = {w: i for i, w in enumerate(words)}
-        self.level = np.full((len(LEVELS), len(words)), -1, np.int32)  # number of ``term#level`` by the plain term's
-        for w, i in self.terms.items():
-            plain, mark, level = w.partition("#")
-            if mark and plain in self.terms:
-                self.level[LEVELS.index(int(level)), self.terms[plain]] = i
-        self.seen: dict[str, list[int]] = {}
-
-    def resolve(self, piece: str) -> list[int]:
-        """Numbers of the terms that a run of non-space characters holds."""
-        known = self.terms
-        if piece.isalpha():  # one word
-            held = [known.get(piece)] + [known.get(piece[:n] + "*") for n in STEMS if len(piece) >= n]
-        else:
-            held = [known.get(w) for w in terms(piece)]
-        return [i for i in held if i is not None]
+        self.names = pa.array(words, pa.string())
+        # a term that comes several times also counts as ``term#level``: the plain term of each of those, and its number
+        marked = [(i, *w.rsplit("#", 1)) for i, w in enumerate(words) if "#" in w]
+        plain = self.numbers(pa.array([w for _, w, _ in marked], pa.string()))
+        self.level = np.full((len(LEVELS), len(words)), -1, np.int32)
+        at = np.array([LEVELS.index(int(x)) for _, _, x in marked], np.int64)
+        known = plain >= 0
+        self.level[at[known], plain[known]] = np.array([i for i, _, _ in marked], np.int64)[known]
+
+    @property
+    def terms(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.names.to_pylist())}
+
+    def numbers(self, terms: pa.Array) -> np.ndarray:
+        """Number of each term, -1 where it has none."""
+        return pc.fill_null(pc.index_in(terms, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(numbers, counts) of the terms of each text; what a run of non-space characters holds is looked up once."""
+        """(numbers, counts) of the terms of each text; the distinct words of all texts are looked up in one go."""
         number = defaultdict(count().__next__)
-        runs = [np.fromiter(map(number.__getitem__, t.lower().split()), np.int64) for t in texts]
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        seen, found = self.seen, []
-        for piece in number:
-            held = seen.get(piece)
-            if held is None:
-                held = seen[piece] = self.resolve(piece)
-            found.append(held)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int64, int(size.sum()))
+        runs = [np.fromiter(map(number.__getitem__, WORD.findall(t.lower())), np.int64) for t in texts]
+        words = pa.array(list(number), pa.string())
+        length = pc.utf8_length(words).to_numpy()
+        which, asked = [np.arange(len(words))], [words]
+        for n in STEMS:
+            which.append(np.flatnonzero(length >= n))
+            beginning = pc.utf8_slice_codeunits(words.take(pa.array(which[-1])), 0, n)
+            asked.append(pc.binary_join_element_wise(beginning, "*", ""))
+        which, term = np.concatenate(which), self.numbers(pa.concat_arrays(asked))
+        which, term = which[term >= 0], term[term >= 0]
+        flat = term[np.argsort(which, kind="stable")]  # the terms of each word, one word after another
+        size = np.bincount(which, minlength=len(words))
         start = np.cumsum(size) - size
         return [self.summed(run, start, size, flat) for run in runs]
 
     def summed(self, run: np.ndarray, start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        run = run[size[run] > 0]
-        if not len(run):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        t, n = np.unique(flat[ragged(start[run], size[run])], return_counts=True)
-        all_t, all_n = [t], [n]
+        each = size[run]
+        t, n = np.unique(flat[ragged(start[run], each)], return_counts=True)
+        often = n >= LEVELS[0]
+        often_t, often_n, all_t, all_n = t[often], n[often], [t], [n]
         for x, numbers in zip(LEVELS, self.level):
-            more = np.flatnonzero(n >= x)
-            more = more[numbers[t[more]] >= 0]
-            all_t.append(numbers[t[more]].astype(np.int64))
-            all_n.append(n[more] - x + 1)
-        t, n = np.concatenate(all_t), np.concatenate(all_n)
-        order = np.argsort(t)
-        return t[order], n[order]
+            more = often_n >= x
+            found, left = numbers[often_t[more]], often_n[more] - x + 1
+            all_t.append(found[found >= 0].astype(np.int64))
+            all_n.append(left[found >= 0])
+        return np.concatenate(all_t), np.concatenate(all_n)
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         return self.batch([text])[0]
 
 
-_KEPT: dict[str, object] = {}  # what a Python worker keeps between tasks: one vocabulary and one index
+_KEPT: dict[str, object] = {}  # what a Python worker keeps between tasks: one vocabulary or one index
 
 
-def kept(kind: str, tag: str, make):
-    held = _KEPT.get(kind)
-    if held is None or held[0] != tag:
-        held = _KEPT[kind] = tag, make()
-    return held[1]
+def kept(tag: str, make):
+    if tag not in _KEPT:
+        _KEPT.clear()
+        _KEPT[tag] = make()
+    return _KEPT[tag]
 
 
 class Index:
@@ -143,9 +142,10 @@ class Index:
         self.idf = np.array([x for _, x in vocabulary], np.float64)
         self.k = k
         vectors = []
+        terms = self.vocabulary.terms if any(isinstance(c, dict) for _, _, c in examples) else {}
         for i, y, c in examples:
             if isinstance(c, dict):
-                c = {self.vocabulary.terms[w]: n for w, n in c.items() if w in self.vocabulary.terms}
+                c = {terms[w]: n for w, n in c.items() if w in terms}
                 c = np.array(sorted(c), np.int64), np.array([c[t] for t in sorted(c)], np.int64)
             vectors.append((i, y, *c, self.unit(*c)[1]))
         empty = [v[1] for v in vectors if not len(v[2])]
@@ -183,8 +183,11 @@ class Index:
 
     @cached_property
     def often(self) -> np.ndarray:
-        """Whether a term stands in more than ``DENSE`` of the examples."""
-        return np.diff(self.lists) > DENSE * len(self.ids)
+        """Whether a term is a row of the matrix: in more than ``DENSE`` of the examples, and among the first that fit."""
+        size = np.diff(self.lists)
+        rank = np.empty(len(size), np.int64)
+        rank[np.argsort(-size, kind="stable")] = np.arange(len(size))
+        return (size > DENSE * len(self.ids)) & (rank < CELLS // max(1, len(self.ids)))
 
     @cached_property
     def dense(self) -> tuple[np.ndarray, np.ndarray]:
@@ -286,11 +289,11 @@ def frequencies(docs: DataFrame, names: list[str]) -> tuple[int, np.ndarray]:
     joined, tag = "\n".join(names), uuid.uuid4().hex
 
     def run(batches):
-        vocabulary, rows = kept("vocabulary", tag, lambda: Terms(joined.split("\n"))), 0
-        met = np.zeros(len(vocabulary.terms), np.int64)
+        vocabulary, rows = kept(tag, lambda: Terms(joined.split("\n"))), 0
+        met = np.zeros(len(vocabulary.names), np.int64)
         for batch in batches:
             rows += batch.num_rows
-            for _, _, texts in text_blocks(batch, 0, 2 << 20):
+            for _, _, texts in text_blocks(batch, 0, TEXT_BYTES):
                 for t, _ in vocabulary.batch(texts):
                     met[t] += 1
         at = np.flatnonzero(met)
@@ -356,9 +359,9 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     """(id, score, evidence, cosines) per document: the ids of the nearest examples and how near they are."""
 
     def run(batches):
-        held = kept("index", index.tag, lambda: index)
+        held = kept(index.tag, lambda: index)
         for batch in batches:
-            for start, stop, texts in text_blocks(batch, 1, 2 << 20):
+            for start, stop, texts in text_blocks(batch, 1, TEXT_BYTES):
                 got = held.scores(texts)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(start, stop - start), pa.array([g[0] for g in got], pa.float64()),
