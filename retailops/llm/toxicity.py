@@ -80,8 +80,9 @@ class Terms:
         known = plain >= 0
         self.level[at[known], plain[known]] = np.array([i for i, _, _ in marked], np.int64)[known]
 
-    @property
+    @cached_property
     def terms(self) -> dict[str, int]:
+        """Numbers by term, for a few lookups; tasks use ``numbers``."""
         return {w: i for i, w in enumerate(self.names.to_pylist())}
 
     def numbers(self, terms: pa.Array) -> np.ndarray:
