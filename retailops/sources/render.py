@@ -153,9 +153,10 @@ def sales_by_item(items: DataFrame) -> DataFrame:
 
 def sales_by_customer(lines: DataFrame) -> DataFrame:
     s = lines.withColumn("report_id", F.col("branch"))
-    r = _reports(lines)
+    # reports and their totals follow from the customers' totals, without further passes over the lines
     cust = s.groupBy("report_id", "customer").agg(F.sum("qty").alias("q"), F.sum("price").alias("t"))
-    br = s.groupBy("report_id").agg(F.sum("qty").alias("q"), F.sum("price").alias("t"))
+    br = cust.groupBy("report_id").agg(F.sum("q").alias("q"), F.sum("t").alias("t"))
+    r = br.select("report_id").distinct()
     item = F.concat(F.lit(","), money("qty"), F.lit(',"  '), F.replace(F.col("description"), F.lit('"'), F.lit('""')),
                     F.lit('",'), money("price"), F.lit(","))
     return assemble(_frame(r, "Sales by customer in detail,,,,", "Full Name,Qty,Description,Price,", 9) + [

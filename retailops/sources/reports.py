@@ -49,13 +49,19 @@ def _unescaped(c: Column) -> Column:
 def is_noise(line: str = "line") -> F.Column:
     """FIL-1: blank, copyright, leading report id, vendor URL."""
     t = F.trim(F.col(line))
-    return (~F.coalesce(t.rlike(r"\S"), F.lit(False)) | t.rlike(COPYRIGHT_RE) | t.rlike(REPORT_ID_RE)
-            | t.rlike(VENDOR_URL_RE))
+    # a plain search for a fixed part first: patterns that may start anywhere cost most of reading a line
+    return (~F.coalesce(t.rlike(r"\S"), F.lit(False)) | (t.contains("©") & t.rlike(COPYRIGHT_RE)) | t.rlike(REPORT_ID_RE)
+            | (F.lower(t).contains("www.") & t.rlike(VENDOR_URL_RE)))
+
+
+def is_page(text: Column) -> Column:
+    """Text that holds "Page N of" (``PAGE_RE``); NULL for NULL."""
+    return F.lower(text).contains("page") & text.rlike(PAGE_RE)
 
 
 def is_page_header(line: str = "line") -> F.Column:
     """FIL-2: any line holding "Page N of"."""
-    return F.coalesce(F.col(line).rlike(PAGE_RE), F.lit(False))
+    return F.coalesce(is_page(F.col(line)), F.lit(False))
 
 
 def drop_noise(lines: DataFrame, pages: bool = True) -> DataFrame:
