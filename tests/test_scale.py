@@ -1,4 +1,4 @@
-"""What keeps the queries over all sales lines in few passes: same results, and no pass more."""
+"""Counts taken in one pass, fields cut in linear time and noise found by plain searches first: the same results as the plain forms."""
 
 import datetime as dt
 import itertools
