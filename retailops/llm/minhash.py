@@ -181,7 +181,9 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     member = sets.select(F.col("node").alias("a"), F.col("shingles").alias("mine"))
     centre = sets.select(F.col("node").alias("b"), F.col("shingles").alias("theirs"))
     edges = stored(edges)
-    sizes = edges.groupBy("b").agg(F.count("*").alias("n"))
+    if edges.isEmpty():  # the sets need not be shuffled
+        return edges
+    sizes = stored(edges.groupBy("b").agg(F.count("*").alias("n")))
     met = join_spread(edges, centre.join(sizes.select("b"), "b", "left_semi"), "b", sizes).join(member, "a")
     both = F.size(F.array_intersect("mine", "theirs"))
     return met.filter(alike(F.size("mine"), F.size("theirs"), both, percent)).select("a", "b")
@@ -219,17 +221,18 @@ def star_edges(members: DataFrame, sizes: DataFrame) -> DataFrame:
     return join_spread(known, centre, "bucket", sizes).filter("node != b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): links that connect all classes (node, cls, key, n, bands; a stored table) that a bucket shows to be alike."""
+def linked(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, root): components of the links that a bucket shows between classes (node, cls, key, n, bands; a stored table)."""
     all_ = classes.select("node", F.explode("bands").alias("bucket"))
     sizes = stored(all_.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
     members = stored(join_spread(all_, sizes.select("bucket"), "bucket", sizes).select("bucket", "node"))
     wanted = members.select("node").distinct().join(classes.select("node", "cls", "key"), "node")
     sets = stored(full_sets(docs, stored(wanted), words, id_col, text_col))
     edges = star_edges(members, sizes).join(facts(sets, "a"), "a").join(facts(sets, "b"), "b").filter(can_be_alike("a", "b", percent))
-    found = stored(confirmed(edges.select("a", "b"), sets, percent))
-    more = open_pairs(members, components(found), sets, percent)
-    return found.union(confirmed(more, sets, percent))
+    roots = components(confirmed(edges.select("a", "b"), sets, percent))
+    more = confirmed(open_pairs(members, roots, sets, percent), sets, percent)
+    # the first links are connected by now: each of their nodes goes on with one link to its root
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b")))
 
 
 def groups(docs: DataFrame, words: int = 2, percent: int = 80, bands: int = 32, rows: int = 5, id_col: str = "doc_id",
@@ -240,7 +243,7 @@ def groups(docs: DataFrame, words: int = 2, percent: int = 80, bands: int = 32,
     classes = full.groupBy("cls").agg(F.count("*").alias("held"), F.min("id").alias("id"), F.min("key").alias("key"),
                                       F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
-    roots = components(links(docs, classes, words, percent, id_col, text_col))
+    roots = linked(docs, classes, words, percent, id_col, text_col)
     named = classes.select("cls", "held", "id", "node").join(roots, "node", "left")
     named = stored(named.withColumn("root", F.coalesce("root", "node")))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import row_key, stored, text_blocks, text_or_empty
@@ -213,23 +213,26 @@ def links(nodes: DataFrame, radius: int = 3, hot: int | None = None) -> DataFram
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of the links; root is the smallest node reachable."""
     def stars(e: DataFrame, large: bool) -> DataFrame:
-        # large star: every larger neighbour of u goes to the smallest around u; small star: every smaller one does
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
+        # large star: every larger neighbour of u goes to the smallest around u; small star: every smaller one does.  Edges that
+        # go both ways are told within a row: a union would run twice as many tasks, each with shuffle files of its own
+        turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+        both = e.select(F.inline(F.array(F.struct("a", "b"), turned))) if large else e
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         near = both.join(least, "a")
         if large:
             return near.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return near.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
-            least.select("a", F.col("m").alias("b"))).filter("a != b")
+        to_least = F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
+        return near.select(F.inline(F.array(to_least, F.struct("a", F.col("m").alias("b"))))).filter("a != b")
 
     edges = stored(edges)
     before = None
     for _ in range(rounds):
-        edges = stored(stars(stars(edges, True).distinct(), False).distinct())
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
+        # a large star gives one row per edge, so only the small one's are made distinct; counted as they are stored
+        seen, of_edges = Observation(), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        edges = stored(stars(stars(edges, True), False).distinct().observe(seen, F.count("*").alias("n"), of_edges.alias("h")))
+        if seen.get == before:
             break
-        before = now
+        before = seen.get
     else:
         raise RuntimeError(f"links did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

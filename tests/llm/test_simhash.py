@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from retailops.llm import simhash as M
@@ -115,3 +116,18 @@ def test_hot_groups_are_dealt_in_parts(spark, monkeypatch):
     assert max(roots.count(g) for g in least) > 100
     want = sorted((str(i), f"{f:016x}", str(least[g])) for (i, _), f, g in zip(rows, fps, roots))
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in M.component_ids(docs).collect()) == want
+
+
+def test_components_run_few_tasks(spark):
+    """Every task leaves shuffle files and a part file: a round takes five exchanges, told once for edges that go both ways."""
+    spark.sparkContext.setJobGroup("components", "a chain")
+    try:
+        chain = spark.range(1, 40).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+        roots = M.components(chain.repartition(4, "a")).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r.node, r.root) for r in roots} == {(i, 0) for i in range(1, 40)}
+    jobs, tell = spark.sparkContext.statusTracker().getJobIdsForGroup("components"), spark.sparkContext.statusTracker()
+    stages = {i for job in jobs for i in tell.getJobInfo(job).stageIds}
+    tasks = sum(x.numCompletedTasks for x in map(tell.getStageInfo, stages) if x)
+    assert tasks < 80, tasks  # 111 with a union, a count and one exchange more in each round
