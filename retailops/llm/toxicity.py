@@ -4,9 +4,9 @@ Method.  Texts are TF-IDF vectors over all words and word beginnings of the exam
 by how well it tells the labels apart (``tells`` of the chi-square on the examples).  IDF counts all documents.  The ``k`` nearest by
 cosine are exact.  Terms that stand in more than ``DENSE`` of the examples are rows of a matrix, and one product scores a
 batch of texts on them.  The other terms stand in an inverted index whose posting lists are cut into blocks of ``BLOCK``
-examples, with the largest weight of the term in each.  What the product gives is a lower bound of each cosine, so its ``k``-th
-best is one of the ``k``-th best cosine; the block maxima give the most that the lists can add to the examples of a block,
-and only blocks that reach the bound are scored.
+examples, with the largest weight of the term in each.  Lists that have fewer than ``FEW`` examples in a block are added at once.
+What is added by then is a lower bound of each cosine, so its ``k``-th best is one of the ``k``-th best cosine; the block
+maxima give the most that the other lists can add to the examples of a block, and only blocks that reach the bound are scored.
 Their votes, weighted by the squared cosine and smoothed by the share of toxic examples, give the score; the nearest are
 returned as evidence.  A text without any term of the examples stands with the examples that have none, and gets their
 smoothed share of toxic ones.
@@ -28,10 +28,10 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import uuid
-from collections import Counter, defaultdict
-from functools import cached_property
-from itertools import count
+from collections import Counter
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,8 @@ DENSE = 0.03  # share of the examples
 CELLS = 6 << 20  # of the matrix at most: it holds the terms in most examples
 ROWS = 256  # texts in one product
 TEXT_BYTES = 4 << 20  # of texts that are looked up together
+PART_CHARACTERS = 1 << 19  # of texts that are cut into words together
+FEW = 5  # examples that a list has in each of its blocks at least, if block maxima are to serve
 
 
 STEMS = range(4, 9)
@@ -67,6 +69,46 @@ def words(text: str) -> Counter:
     return c + Counter({f"{w}#{x}": n - x + 1 for w, n in c.items() for x in LEVELS if n >= x})
 
 
+@lru_cache(maxsize=1)
+def word_characters() -> np.ndarray:
+    """Whether each code point is one of ``WORD``."""
+    out = np.zeros(sys.maxunicode + 1, bool)
+    for found in WORD.finditer("".join(map(chr, range(len(out))))):
+        out[found.start():found.end()] = True
+    return out
+
+
+def all_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of lower-cased texts, one after another, as ``WORD.findall`` gives them, and how many each text has."""
+    lower = [t.lower() for t in texts]
+    points = np.frombuffer("\n".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = word_characters()[points]  # a line feed ends every text
+    edge = np.diff(inside, prepend=False)
+    start = np.flatnonzero(edge & inside)
+    kept = points[inside]
+    data = kept.tobytes().decode("utf-32-le").encode()
+    at = np.zeros(len(kept) + 1, np.int32)  # where each of the kept characters starts in UTF-8
+    np.cumsum(1 + (kept > 0x7F).astype(np.int8) + (kept > 0x7FF) + (kept > 0xFFFF), out=at[1:])
+    offset = at[np.append((np.cumsum(inside) - 1)[start], len(kept))]
+    ends = np.cumsum([len(t) + 1 for t in lower])
+    words = pa.StringArray.from_buffers(len(start), pa.py_buffer(offset), pa.py_buffer(data))
+    return words, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def numbered_words(texts: list[str]) -> tuple[pa.Array, list[np.ndarray]]:
+    """The distinct words of the texts, and the words of each text by their number."""
+    parts, sizes, first, held = [], [], 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= PART_CHARACTERS or i + 1 == len(texts):
+            words, size = all_words(texts[first:i + 1])
+            parts.append(words)
+            sizes.append(size)
+            first, held = i + 1, 0
+    coded = pa.concat_arrays(parts).dictionary_encode()
+    return coded.dictionary, np.split(coded.indices.to_numpy(), np.cumsum(np.concatenate(sizes))[:-1])
+
+
 class Terms:
     """A numbered vocabulary, and the counts of texts over it."""
 
@@ -91,9 +133,9 @@ class Terms:
 
     def batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(numbers, counts) of the terms of each text; the distinct words of all texts are looked up in one go."""
-        number = defaultdict(count().__next__)
-        runs = [np.fromiter(map(number.__getitem__, WORD.findall(t.lower())), np.int64) for t in texts]
-        words = pa.array(list(number), pa.string())
+        if not texts:
+            return []
+        words, runs = numbered_words(texts)
         length = pc.utf8_length(words).to_numpy()
         which, asked = [np.arange(len(words))], [words]
         for n in STEMS:
@@ -166,7 +208,7 @@ class Index:
 
     def __getstate__(self) -> dict:
         """What a task cannot derive; the rest is derived where it is used, so that little travels."""
-        derived = ("vocabulary", "value", "cells", "names", "often", "dense")
+        derived = ("vocabulary", "value", "cells", "names", "often", "thin", "dense")
         return {k: v for k, v in self.__dict__.items() if k not in derived} | {"joined": "\n".join(self.names)}
 
     def __setstate__(self, state: dict) -> None:
@@ -190,6 +232,14 @@ class Index:
         rank[np.argsort(-size, kind="stable")] = np.arange(len(size))
         return (size > DENSE * len(self.ids)) & (rank < CELLS // max(1, len(self.ids)))
 
+    @cached_property
+    def thin(self) -> np.ndarray:
+        """Whether a term is not in the matrix and has fewer than ``FEW`` examples in each of its blocks: a bound of a block would cost
+        what its scores cost."""
+        term = np.repeat(np.arange(len(self.idf)), np.diff(self.lists))
+        cell = np.unique(term * (self.blocks + 1) + self.example.astype(np.int64) // BLOCK) // (self.blocks + 1)
+        return ~self.often & (np.diff(self.lists) < FEW * np.bincount(cell, minlength=len(self.idf)))
+
     @cached_property
     def dense(self) -> tuple[np.ndarray, np.ndarray]:
         """Row of each such term, and the matrix of these terms and all examples."""
@@ -209,7 +259,7 @@ class Index:
             return np.zeros(len(self.idf) + 1, np.int64), *[np.empty(0, np.int64)] * 3, np.empty(0)
         at = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])))
         size, most = np.diff(np.append(at, len(term))), np.maximum.reduceat(self.value, at)
-        use = ~self.often[term[at]]
+        use = ~(self.often | self.thin)[term[at]]
         at, size, most = at[use], size[use], most[use]
         return np.searchsorted(term[at], np.arange(len(self.idf) + 1)), at, size, block[at], most
 
@@ -244,7 +294,11 @@ class Index:
         ``partial``: the row of ``products`` for this text.
         """
         c = self.products([(t, x)])[0] if partial is None else partial
-        rare = ~self.often[t]
+        thin = self.thin[t]
+        size = self.lists[t[thin] + 1] - self.lists[t[thin]]
+        post = ragged(self.lists[t[thin]].astype(np.int64), size)
+        c = c + np.bincount(self.example[post], np.repeat(x[thin], size) * self.value[post], len(c))
+        rare = ~(self.often[t] | thin)
         t, x = t[rare], x[rare]
         cell_first, cell_at, cell_size, cell_block, cell_most = self.cells
         n_cells = cell_first[t + 1] - cell_first[t]

@@ -144,6 +144,34 @@ def test_nearest_are_exact():
     assert less > 0
 
 
+def test_block_maxima_only_where_they_serve():
+    """Lists with few examples in each block are added at once: bounding their blocks costs what their scores cost."""
+    rnd = random.Random(8)
+    heavy = [(n, n % 2, {"all": 1, f"half{n % 2}": 1, **{f"w{rnd.randrange(400)}": rnd.randrange(1, 4) for _ in range(12)}}) for n in range(2000)]
+    ix = X.Index([("all", 0.1), ("half0", 0.5), ("half1", 0.5), *[(f"w{i}", 1 + i / 400) for i in range(400)]], heavy, 9)
+    size, cells = np.diff(ix.lists), np.diff(ix.cells[0])
+    assert (size[3:] > 20).all() and not cells[3:].sum()  # a cell a posting before
+    full = np.zeros((403, len(ix.ids)))
+    for t, (a, w) in enumerate(zip(ix.at, ix.weight)):
+        full[t, a] = w
+    for _ in range(20):
+        t, x = ix.vector({rnd.randrange(403): rnd.randrange(1, 4) for _ in range(30)})
+        n, c, _ = ix.nearest(t, x)
+        cos = (x @ full[t]).round(12)
+        assert np.allclose(c, np.sort(cos)[::-1][:9])
+
+
+def test_words_are_those_of_the_pattern():
+    texts = ["", "a", "Ab1cd_e fG", "ΟΔΟΣ", "İstanbul ²Ⅷ٣x", "ſt ﬁ\n\nz", "\U0001d51e\U00010400 中文\ud7ff!", "é́a\x00b", "\n", "end"]
+    want = [X.WORD.findall(t.lower()) for t in texts]
+    words, runs = X.numbered_words(texts)
+    assert [[words[int(i)].as_py() for i in r] for r in runs] == want
+    assert X.numbered_words(["", "12"])[1][1].size == 0
+    terms = X.Terms(sorted({w for t in texts for w in X.words(t)}))
+    for t, (number, n) in zip(texts, terms.batch(texts)):
+        assert dict(zip([terms.names[int(i)].as_py() for i in number], n.tolist())) == dict(X.words(t))
+
+
 def test_toxicity_held_out(spark):
     rows = X.report(documents(spark, MID), table(spark, "labels", MID)).join(table(spark, "labels", MID), "doc_id").collect()
     held = [r for r in rows if r.held_out]
