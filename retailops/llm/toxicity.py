@@ -50,7 +50,7 @@ CELLS = 6 << 20  # of the matrix at most: it holds the terms in most examples
 ROWS = 256  # texts in one product
 TEXT_BYTES = 4 << 20  # of texts that are looked up together
 PART_CHARACTERS = 1 << 19  # of texts that are cut into words together
-FEW = 5  # examples that a list has in each of its blocks at least, if block maxima are to serve
+FEW = 12  # examples that a list has in each of its blocks at least, if block maxima are to serve
 
 
 STEMS = range(4, 9)
@@ -208,7 +208,7 @@ class Index:
 
     def __getstate__(self) -> dict:
         """What a task cannot derive; the rest is derived where it is used, so that little travels."""
-        derived = ("vocabulary", "value", "cells", "names", "often", "thin", "dense")
+        derived = ("vocabulary", "value", "place", "cells", "names", "often", "thin", "dense")
         return {k: v for k, v in self.__dict__.items() if k not in derived} | {"joined": "\n".join(self.names)}
 
     def __setstate__(self, state: dict) -> None:
@@ -224,6 +224,11 @@ class Index:
         """Weight of each posting in the unit vector of its example."""
         return (1 + np.log(self.count, dtype=np.float64)) * np.repeat(self.idf, np.diff(self.lists)) / self.norm[self.example]
 
+    @cached_property
+    def place(self) -> np.ndarray:
+        """Example of each posting, as an index that needs no cast."""
+        return self.example.astype(np.intp)
+
     @cached_property
     def often(self) -> np.ndarray:
         """Whether a term is a row of the matrix: in more than ``DENSE`` of the examples, and among the first that fit."""
@@ -295,11 +300,24 @@ class Index:
         """
         c = self.products([(t, x)])[0] if partial is None else partial
         thin = self.thin[t]
-        size = self.lists[t[thin] + 1] - self.lists[t[thin]]
-        post = ragged(self.lists[t[thin]].astype(np.int64), size)
-        c = c + np.bincount(self.example[post], np.repeat(x[thin], size) * self.value[post], len(c))
+        first = self.lists[t[thin]]
+        size = self.lists[t[thin] + 1] - first
+        post = ragged(first.astype(np.int64), size)
+        c = c + np.bincount(self.place[post], np.repeat(x[thin], size) * self.value[post], len(c))
         rare = ~(self.often[t] | thin)
-        t, x = t[rare], x[rare]
+        scored = 0
+        if rare.any():
+            c, scored = self.added(c, t[rare], x[rare])
+        # equal cosines stay equal however they were summed, so those that may reach the k-th best are rounded
+        least = np.partition(c, -self.k)[-self.k] if len(c) > self.k else 0.0
+        n = np.flatnonzero(c >= least - 2e-12)
+        near = c[n].round(12)
+        n, near = n[near > 0], near[near > 0]
+        order = np.lexsort((n, -near))[:self.k]
+        return n[order], near[order], scored
+
+    def added(self, c: np.ndarray, t: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, int]:
+        """The cosines with these terms added in the blocks that reach the bound (0 in the others), and how many those are."""
         cell_first, cell_at, cell_size, cell_block, cell_most = self.cells
         n_cells = cell_first[t + 1] - cell_first[t]
         cells = ragged(cell_first[t], n_cells)
@@ -310,12 +328,8 @@ class Index:
         part = np.flatnonzero(chosen[block])
         size = cell_size[cells[part]]
         post = ragged(cell_at[cells[part]], size)
-        c = c + np.bincount(self.example[post], np.repeat(w[part], size) * self.value[post], len(c))
-        c = np.where(np.repeat(chosen, BLOCK)[:len(c)], c.round(12), 0)  # equal cosines stay equal however they were summed
-        least = np.partition(c, -self.k)[-self.k] if len(c) > self.k else 0.0
-        n = np.flatnonzero((c >= least) & (c > 0))
-        n = n[np.lexsort((n, -c[n]))][:self.k]
-        return n, c[n], int(chosen.sum())
+        c = c + np.bincount(self.place[post], np.repeat(w[part], size) * self.value[post], len(c))
+        return np.where(np.repeat(chosen, BLOCK)[:len(c)], c, 0), int(chosen.sum())
 
     def scores(self, texts: list[str]) -> list[tuple[float, list[int], list[float]]]:
         """(score, ids of the nearest, their cosines) per text."""
