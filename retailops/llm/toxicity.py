@@ -4,7 +4,8 @@ Method.  Texts are TF-IDF vectors over all words and word beginnings of the exam
 by how well it tells the labels apart (``tells`` of the chi-square on the examples).  IDF counts all documents.  The ``k`` nearest by
 cosine are exact.  Terms that stand in more than ``DENSE`` of the examples are rows of a matrix, and one product scores a
 batch of texts on them.  The other terms stand in an inverted index whose posting lists are cut into blocks of ``BLOCK``
-examples, with the largest weight of the term in each.  Lists that have fewer than ``FEW`` examples in a block are added at once.
+examples, with the largest weight of the term in each.  Lists that have fewer than ``FEW`` examples in a block are added at once,
+in rows of ``WIDTH`` examples: most counts in them are 1, so one weight stands for a list, and only larger counts are read besides.
 What is added by then is a lower bound of each cosine, so its ``k``-th best is one of the ``k``-th best cosine; the block
 maxima give the most that the other lists can add to the examples of a block, and only blocks that reach the bound are scored.
 Their votes, weighted by the squared cosine and smoothed by the share of toxic examples, give the score; the nearest are
@@ -15,8 +16,8 @@ Training.  At most ``sample`` rows of each label that are not held out; their te
 tasks, bounded by the texts of the sample.  One more pass over all documents counts in how many of them each of these terms
 stands; each task sends one count per term.
 
-Scoring reads whole texts in each task; nothing is shuffled.  The distinct words of a batch of texts are looked up in one go, and a
-Python worker keeps the index from one task to the next.  The matrix has at most ``CELLS`` cells.
+Scoring reads whole texts in each task; nothing is shuffled.  The distinct words of a batch of texts are looked up in one go, one sort
+counts the terms of many texts, and a Python worker keeps the index from one task to the next.  The matrix has at most ``CELLS`` cells.
 
 Defined results: NULL and empty texts have no words; a NULL doc_id is not held out (crc32 of nothing is 0); without labels
 of both kinds the score is their share, or 0.5; equal cosines at rank ``k`` go to the smaller example number; repeated rows
@@ -31,6 +32,7 @@ import re
 import sys
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -48,9 +50,11 @@ BLOCK = 64
 DENSE = 0.03  # share of the examples
 CELLS = 6 << 20  # of the matrix at most: it holds the terms in most examples
 ROWS = 256  # texts in one product
-TEXT_BYTES = 4 << 20  # of texts that are looked up together
+TEXT_BYTES = 8 << 20  # of texts that are looked up together
 PART_CHARACTERS = 1 << 19  # of texts that are cut into words together
-FEW = 12  # examples that a list has in each of its blocks at least, if block maxima are to serve
+RUNS, RUN_WORDS = 256, 1 << 14  # texts, and about how many words, whose terms are counted together
+WIDTH = 8  # postings in a row of the thin lists
+FEW = 24  # examples that a list has in each of its blocks at least, if block maxima are to serve
 
 
 STEMS = range(4, 9)
@@ -114,6 +118,9 @@ class Terms:
 
     def __init__(self, words: list[str]):
         self.names = pa.array(words, pa.string())
+        # no word and no beginning has a level: those names are not looked up
+        self.place = np.array([i for i, w in enumerate(words) if "#" not in w], np.int64)
+        self.plain = self.names.take(pa.array(self.place))
         # a term that comes several times also counts as ``term#level``: the plain term of each of those, and its number
         marked = [(i, *w.rsplit("#", 1)) for i, w in enumerate(words) if "#" in w]
         plain = self.numbers(pa.array([w for _, w, _ in marked], pa.string()))
@@ -128,13 +135,18 @@ class Terms:
         return {w: i for i, w in enumerate(self.names.to_pylist())}
 
     def numbers(self, terms: pa.Array) -> np.ndarray:
-        """Number of each term, -1 where it has none."""
-        return pc.fill_null(pc.index_in(terms, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        """Number of each term without a level, -1 where it has none."""
+        at = pc.fill_null(pc.index_in(terms, value_set=self.plain), -1).to_numpy(zero_copy_only=False)
+        return np.append(self.place, -1)[at]
 
     def batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(numbers, counts) of the terms of each text; the distinct words of all texts are looked up in one go."""
+        return list(self.each(texts))
+
+    def each(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(numbers, counts) of the terms of each text; the distinct words of all texts are looked up in one go, and the counts of few
+        texts are held at a time."""
         if not texts:
-            return []
+            return
         words, runs = numbered_words(texts)
         length = pc.utf8_length(words).to_numpy()
         which, asked = [np.arange(len(words))], [words]
@@ -147,19 +159,38 @@ class Terms:
         flat = term[np.argsort(which, kind="stable")]  # the terms of each word, one word after another
         size = np.bincount(which, minlength=len(words))
         start = np.cumsum(size) - size
-        return [self.summed(run, start, size, flat) for run in runs]
-
-    def summed(self, run: np.ndarray, start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, held = 0, 0
+        for i, run in enumerate(runs):
+            held += len(run)
+            if held >= RUN_WORDS or i + 1 - first == RUNS or i + 1 == len(runs):
+                yield from self.summed(runs[first:i + 1], start, size, flat)
+                first, held = i + 1, 0
+
+    def summed(self, runs: list[np.ndarray], start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(numbers, counts) of the terms of each run of words; one sort counts those of all runs."""
+        run, width = np.concatenate(runs), max(1, len(self.names))
         each = size[run]
-        t, n = np.unique(flat[ragged(start[run], each)], return_counts=True)
+        # the terms of run i are the keys from i * width on
+        key = np.repeat(np.repeat(np.arange(len(runs)) * width, [len(r) for r in runs]), each) + flat[ragged(start[run], each)]
+        key.sort()
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        key, n = key[at], np.diff(np.append(at, len(key)))
+        ends = np.searchsorted(key, np.arange(len(runs) + 1) * width)
+        which = np.repeat(np.arange(len(runs), dtype=np.uint16), np.diff(ends))
+        t = key - which * np.int64(width)
         often = n >= LEVELS[0]
-        often_t, often_n, all_t, all_n = t[often], n[often], [t], [n]
+        often_t, often_n, often_which, all_t, all_n, all_which = t[often], n[often], which[often], [t], [n], [which]
         for x, numbers in zip(LEVELS, self.level):
             more = often_n >= x
-            found, left = numbers[often_t[more]], often_n[more] - x + 1
-            all_t.append(found[found >= 0].astype(np.int64))
-            all_n.append(left[found >= 0])
-        return np.concatenate(all_t), np.concatenate(all_n)
+            found = numbers[often_t[more]]
+            known = found >= 0
+            all_t.append(found[known].astype(np.int64))
+            all_n.append((often_n[more] - x + 1)[known])
+            all_which.append(often_which[more][known])
+        which = np.concatenate(all_which)
+        order = np.argsort(which, kind="stable")
+        ends = np.cumsum(np.bincount(which, minlength=len(runs)))[:-1]
+        return list(zip(np.split(np.concatenate(all_t)[order], ends), np.split(np.concatenate(all_n)[order], ends)))
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         return self.batch([text])[0]
@@ -181,7 +212,7 @@ class Index:
     def __init__(self, vocabulary: list[tuple[str, float]], examples: list, k: int = 25):
         """vocabulary: (term, weight); examples: (id, label, counts), the counts as a dict by term or as (numbers, counts)."""
         self.tag = uuid.uuid4().hex
-        self.names = [w for w, _ in vocabulary]
+        self.vocabulary = Terms([w for w, _ in vocabulary])
         self.idf = np.array([x for _, x in vocabulary], np.float64)
         self.k = k
         vectors = []
@@ -208,27 +239,18 @@ class Index:
 
     def __getstate__(self) -> dict:
         """What a task cannot derive; the rest is derived where it is used, so that little travels."""
-        derived = ("vocabulary", "value", "place", "cells", "names", "often", "thin", "dense")
-        return {k: v for k, v in self.__dict__.items() if k not in derived} | {"joined": "\n".join(self.names)}
+        derived = ("vocabulary", "value", "cells", "often", "thin", "rows", "repeats", "dense")
+        return {k: v for k, v in self.__dict__.items() if k not in derived} | {"joined": "\n".join(self.vocabulary.names.to_pylist())}
 
     def __setstate__(self, state: dict) -> None:
         joined = state.pop("joined")
-        self.__dict__.update(state, names=joined.split("\n") if joined else [])
-
-    @cached_property
-    def vocabulary(self) -> Terms:
-        return Terms(self.names)
+        self.__dict__.update(state, vocabulary=Terms(joined.split("\n") if joined else []))
 
     @cached_property
     def value(self) -> np.ndarray:
         """Weight of each posting in the unit vector of its example."""
         return (1 + np.log(self.count, dtype=np.float64)) * np.repeat(self.idf, np.diff(self.lists)) / self.norm[self.example]
 
-    @cached_property
-    def place(self) -> np.ndarray:
-        """Example of each posting, as an index that needs no cast."""
-        return self.example.astype(np.intp)
-
     @cached_property
     def often(self) -> np.ndarray:
         """Whether a term is a row of the matrix: in more than ``DENSE`` of the examples, and among the first that fit."""
@@ -245,6 +267,25 @@ class Index:
         cell = np.unique(term * (self.blocks + 1) + self.example.astype(np.int64) // BLOCK) // (self.blocks + 1)
         return ~self.often & (np.diff(self.lists) < FEW * np.bincount(cell, minlength=len(self.idf)))
 
+    @cached_property
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """First row of each thin list, and the examples in all rows; a list is cut into rows of ``WIDTH`` postings, and its last row is
+        filled up with an example that there is not."""
+        every = np.diff(self.lists)
+        size = np.where(self.thin, every, 0)
+        first = np.append(0, np.cumsum(-(-size // WIDTH)))
+        example = np.full(first[-1] * WIDTH, len(self.ids), np.min_scalar_type(len(self.ids)))
+        example[ragged(first[:-1] * WIDTH, size)] = self.example[np.repeat(self.thin, every)]
+        return first.astype(np.int32), example.reshape(-1, WIDTH)
+
+    @cached_property
+    def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The postings of thin lists with a count over 1: first of each term, example, logarithm of the count."""
+        every = np.diff(self.lists)
+        at = np.flatnonzero(np.repeat(self.thin, every) & (self.count > 1))
+        first = np.searchsorted(at, self.lists).astype(np.int32)
+        return first, self.example[at], np.log(self.count[at], dtype=np.float64)
+
     @cached_property
     def dense(self) -> tuple[np.ndarray, np.ndarray]:
         """Row of each such term, and the matrix of these terms and all examples."""
@@ -300,10 +341,7 @@ class Index:
         """
         c = self.products([(t, x)])[0] if partial is None else partial
         thin = self.thin[t]
-        first = self.lists[t[thin]]
-        size = self.lists[t[thin] + 1] - first
-        post = ragged(first.astype(np.int64), size)
-        c = c + np.bincount(self.place[post], np.repeat(x[thin], size) * self.value[post], len(c))
+        c = c + self.thinly(t[thin], x[thin])
         rare = ~(self.often[t] | thin)
         scored = 0
         if rare.any():
@@ -316,6 +354,17 @@ class Index:
         order = np.lexsort((n, -near))[:self.k]
         return n[order], near[order], scored
 
+    def thinly(self, t: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Cosines with all examples on these thin terms: each posting counts once, the repeated ones add the logarithm of their count."""
+        first, example = self.rows
+        x, n = x * self.idf[t], first[t + 1] - first[t]
+        at = example.take(ragged(first[t], n), 0).ravel()
+        c = np.bincount(at, np.repeat(x, n * WIDTH), len(self.ids) + 1)[:-1]
+        first, example, log = self.repeats
+        n = first[t + 1] - first[t]
+        post = ragged(first[t], n)
+        return (c + np.bincount(example[post], np.repeat(x, n) * log[post], len(c))) / self.norm
+
     def added(self, c: np.ndarray, t: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, int]:
         """The cosines with these terms added in the blocks that reach the bound (0 in the others), and how many those are."""
         cell_first, cell_at, cell_size, cell_block, cell_most = self.cells
@@ -328,19 +377,21 @@ class Index:
         part = np.flatnonzero(chosen[block])
         size = cell_size[cells[part]]
         post = ragged(cell_at[cells[part]], size)
-        c = c + np.bincount(self.place[post], np.repeat(w[part], size) * self.value[post], len(c))
+        c = c + np.bincount(self.example[post], np.repeat(w[part], size) * self.value[post], len(c))
         return np.where(np.repeat(chosen, BLOCK)[:len(c)], c, 0), int(chosen.sum())
 
     def scores(self, texts: list[str]) -> list[tuple[float, list[int], list[float]]]:
         """(score, ids of the nearest, their cosines) per text."""
-        counts = self.vocabulary.batch(texts)
-        known = [i for i, (t, _) in enumerate(counts) if len(t) and self.blocks]
         out: list = [(self.share_empty, [], [])] * len(texts)
-        for i in range(0, len(known), ROWS):
-            some = known[i:i + ROWS]
-            vectors = [self.unit(*counts[j]) for j in some]
-            for j, (t, x), partial in zip(some, vectors, self.products(vectors)):
-                out[j] = self.vote(*self.nearest(t, x, partial)[:2])
+        some, vectors = [], []
+        for i, (t, n) in enumerate(self.vocabulary.each(texts)):
+            if len(t) and self.blocks:
+                some.append(i)
+                vectors.append(self.unit(t, n))
+            if some and (len(some) == ROWS or i + 1 == len(texts)):
+                for j, (t, x), partial in zip(some, vectors, self.products(vectors)):
+                    out[j] = self.vote(*self.nearest(t, x, partial)[:2])
+                some, vectors = [], []
         return out
 
     def score(self, text: str) -> tuple[float, list[int], list[float]]:
@@ -363,7 +414,7 @@ def frequencies(docs: DataFrame, names: list[str]) -> tuple[int, np.ndarray]:
         for batch in batches:
             rows += batch.num_rows
             for _, _, texts in text_blocks(batch, 0, TEXT_BYTES):
-                for t, _ in vocabulary.batch(texts):
+                for t, _ in vocabulary.each(texts):
                     met[t] += 1
         at = np.flatnonzero(met)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(met[at], rows))], ["term", "n"])

@@ -161,6 +161,43 @@ def test_block_maxima_only_where_they_serve():
         assert np.allclose(c, np.sort(cos)[::-1][:9])
 
 
+def test_thin_lists_in_rows_give_full_cosines():
+    """Thin lists read no weight per posting; last rows, counts over 1, terms of the matrix and texts without thin terms included."""
+    rnd = random.Random(9)
+    ex = [(n, n % 2, {"all": n % 5 + 1, **{f"w{rnd.randrange(1500)}": rnd.choice([1, 1, 2, 7]) for _ in range(20)}}) for n in range(700)]
+    ix = X.Index([("all", 0.2), *[(f"w{i}", 1 + i / 1500) for i in range(1500)], ("none", 3.0)], ex, 9)
+    first, example = ix.rows
+    assert ix.thin[1:1501].all() and not ix.thin[0] and not hasattr(ix, "place")
+    assert example.shape == (int((-(-np.diff(ix.lists)[ix.thin] // X.WIDTH)).sum()), X.WIDTH)
+    assert (example < 700).sum() == np.diff(ix.lists)[ix.thin].sum() and len(ix.repeats[1]) == (ix.count[ix.lists[1]:] > 1).sum()
+    full = np.zeros((1502, 700))
+    for t, (a, w) in enumerate(zip(ix.at, ix.weight)):
+        full[t, a] = w
+    for asked in [[0], [1501], [0, 1501], *[sorted({rnd.randrange(1502) for _ in range(rnd.randrange(1, 60))}) for _ in range(30)]]:
+        t, x = ix.vector({i: rnd.randrange(1, 4) for i in asked})
+        thin = ix.thin[t]
+        assert np.allclose(ix.thinly(t[thin], x[thin]), x[thin] @ full[t[thin]], atol=1e-14)
+        cos = (x @ full[t]).round(12)
+        want = [i for i in np.lexsort((np.arange(700), -cos))[:9] if cos[i] > 0]
+        n, c, _ = ix.nearest(t, x)
+        assert n.tolist() == want and np.allclose(c, cos[want], atol=1e-12)
+
+
+def test_terms_of_many_texts_are_counted_together():
+    """One pass counts the terms of many short texts (one pass a text before), with the same result for each."""
+    rnd = random.Random(10)
+    texts = [" ".join(rnd.choice(["bad", "badly", "fine", "of", "zzz"]) for _ in range(rnd.choice([0, 0, 1, 3, 40]))) for _ in range(600)]
+    names = sorted(w for w in set().union(*(X.words(t) for t in texts)) if not w.startswith("zzz"))
+    terms, passes = X.Terms(names), []
+    summed = terms.summed
+    terms.summed = lambda runs, *a: passes.append(len(runs)) or summed(runs, *a)
+    got = terms.batch(texts)
+    assert sum(passes) == len(got) == 600 and len(passes) <= 4
+    for text, (t, n) in zip(texts, got):
+        assert {names[i]: c for i, c in zip(t.tolist(), n.tolist())} == {w: c for w, c in X.words(text).items() if w in terms.terms}
+    assert terms.batch([]) == [] and [len(t) for t, _ in X.Terms([]).batch(["a b", ""])] == [0, 0]
+
+
 def test_words_are_those_of_the_pattern():
     texts = ["", "a", "Ab1cd_e fG", "ΟΔΟΣ", "İstanbul ²Ⅷ٣x", "ſt ﬁ\n\nz", "\U0001d51e\U00010400 中文\ud7ff!", "é́a\x00b", "\n", "end"]
     want = [X.WORD.findall(t.lower()) for t in texts]
